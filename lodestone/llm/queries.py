@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import topk
+from . import bpe, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,29 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
 
 
-QUERIES = {"op9_exact_topk": op9_exact_topk}
+def tokenizer(name: str) -> str:
+    """The place of a vocabulary file; the package is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to bit-packed files and read back."""
+    _, files = tokens.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
+    return tokens.read_tokens(spark, files)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and the bytes that they decode to, as digests."""
+    import public_tokenizers
+
+    ranks = tokenizer("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(coded, ranks).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op3_packed_tokens": op3_packed_tokens, "op9_exact_topk": op9_exact_topk, "op10_byte_bpe": op10_byte_bpe}
 
 SQL = {
     "op9_exact_topk": """
