@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, simhash, tokens, topk, warc
+from . import bpe, chat, extract, simhash, tokens, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text by its host's consensus paths."""
+    found = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: What the extra conversation says in both turns (a fixed value).
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -64,7 +70,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, ranks).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op3_packed_tokens": op3_packed_tokens, "op6_simhash": op6_simhash, "op8_warc": op8_warc, "op9_exact_topk": op9_exact_topk, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_html_extract": op1_html_extract, "op2_chat_format": op2_chat_format, "op3_packed_tokens": op3_packed_tokens, "op6_simhash": op6_simhash, "op8_warc": op8_warc, "op9_exact_topk": op9_exact_topk, "op10_byte_bpe": op10_byte_bpe}
 
 SQL = {
     "op2_chat_format": r"""
