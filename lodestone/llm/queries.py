@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, extract, simhash, tokens, topk, warc
+from . import bpe, chat, decontam, extract, simhash, tokens, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document leaks of every benchmark item."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, and the component of fingerprints within two bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -70,7 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, ranks).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_html_extract": op1_html_extract, "op2_chat_format": op2_chat_format, "op3_packed_tokens": op3_packed_tokens, "op6_simhash": op6_simhash, "op8_warc": op8_warc, "op9_exact_topk": op9_exact_topk, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_html_extract": op1_html_extract, "op2_chat_format": op2_chat_format, "op3_packed_tokens": op3_packed_tokens, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op8_warc": op8_warc, "op9_exact_topk": op9_exact_topk, "op10_byte_bpe": op10_byte_bpe}
 
 SQL = {
     "op2_chat_format": r"""
