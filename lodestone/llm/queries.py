@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, extract, simhash, tokens, topk, warc
+from . import bpe, chat, decontam, extract, language, quality, simhash, tokens, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by its text, its declared language and its source."""
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "language", "confidence", "accepted")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document leaks of every benchmark item."""
     return decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -23,6 +28,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by two co-trained views."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "quality_text", "quality_meta", "quality", "kept")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, read back through the capture index."""
     return warc.read_archives(spark, warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
@@ -68,14 +80,38 @@ def op3_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the bytes that they decode to, as digests."""
+    return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text)."""
     import public_tokenizers
 
     ranks = tokenizer("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     return bpe.decode(coded, ranks).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_html_extract": op1_html_extract, "op2_chat_format": op2_chat_format, "op3_packed_tokens": op3_packed_tokens, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op8_warc": op8_warc, "op9_exact_topk": op9_exact_topk, "op10_byte_bpe": op10_byte_bpe}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op2_chat_format": op2_chat_format,
+    "op3_packed_tokens": op3_packed_tokens,
+    "op4_language": op4_language,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
+    "op9_exact_topk": op9_exact_topk,
+    "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": pipeline,
+}
 
 SQL = {
     "op2_chat_format": r"""

@@ -17,12 +17,13 @@ least unless there is no other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import slices
@@ -32,6 +33,8 @@ from .components import components
 SEED, WORDS, RADIUS = 42, 3, 2
 #: Most fingerprints of a tree.
 SHARD = 20_000
+#: Fingerprints that a shard of sampled bits is to hold; the most bits of a key; the share of pairs at the least similarity that share a shard.
+NEAR, MOST_BITS, RECALL = 32, 24, 0.95
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
 
@@ -46,12 +49,30 @@ def hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray
     return np.array([f(join(g), seed) for g in grams], dtype=np.uint64)
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the numbers have each bit. Sums of 255 rows fit a byte."""
+    total = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), COUNTED):
+        bits = np.unpackbits(h[i : i + COUNTED].view(np.uint8), bitorder="little").reshape(-1, 64)
+        whole = len(bits) // 255 * 255
+        total += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+    return total
+
+
 def fingerprint(h: np.ndarray) -> int:
     """Bits that are 1 in more than half of the hashes; 0 without any."""
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), COUNTED):
-        ones += np.unpackbits(h[i : i + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]) if len(h) else 0
+    return int(np.packbits(2 * _ones(h) > len(h), bitorder="little").view(np.uint64)[0]) if len(h) else 0
+
+
+def wide_fingerprint(h: np.ndarray, bits: int) -> bytes:
+    """A fingerprint of more bits: each 64 are those of the hashes mixed anew."""
+    out = []
+    for k in range(bits // 64):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(np.packbits(2 * _ones(x ^ x >> np.uint64(31)) > len(h), bitorder="little").tobytes())
+    return b"".join(out)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -136,7 +157,11 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD
     edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
     block = lambda lo, hi: F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
     keys = F.array(*[F.struct(F.lit(i).alias("block"), block(lo, hi).alias("value")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    keyed = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.value")
+    return link_shards(nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.value"), radius, shard)
+
+
+def link_shards(keyed: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
+    """(a, b): links within ``radius`` that join groups in each shard of (fp, block, value); ``fp`` is a long or a binary."""
     counts = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
     pieces = F.ceil(F.col("n") / shard).cast("int")
     dealt = keyed.join(counts, ["block", "value"]).withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64(F.lit(1), "fp"), "pieces").cast("int"))
@@ -145,14 +170,21 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD
     spread = dealt.withColumn("p", F.explode(pairs)).select("block", "value", "p.i", "p.j", (F.col("piece") != F.col("p.i")).alias("asks"), "fp")
     # Whether a row's fingerprints build the tree or search it; the tree comes first.
     ordered = spread.repartition("block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j", "asks", "fp")
+    kind = dict(keyed.dtypes)["fp"]
+    number = (lambda x: int.from_bytes(x, "little")) if kind == "binary" else (lambda x: x & (1 << 64) - 1)
+
+    def column(values, size):
+        if kind == "binary":
+            return pa.array([x.to_bytes(size, "little") for x in values], pa.binary())
+        return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
     def run(batches):
         key, own, asked = None, [], []
 
         def out():
-            found = list(links([x & (1 << 64) - 1 for x in own], [x & (1 << 64) - 1 for x in asked] if key[2] != key[3] else None, radius)) if len(own) + len(asked) > 1 else []
+            found = list(links(map(number, own), map(number, asked) if key[2] != key[3] else None, radius)) if len(own) + len(asked) > 1 else []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in zip(*found, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([column(c, len((own or asked)[0]) if kind == "binary" else 8) for c in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
             for *k, asks, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -164,15 +196,81 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD
         if key is not None:
             yield from out()
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _named(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``prints`` with each fingerprint's component: the least id among the fingerprints that links reach."""
+    found = components(links)
+    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return prints.join(rooted.join(least, "root").select("fp", "component"), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS, shard: int = SHARD) -> DataFrame:
     """(id, fp, component): each document's fingerprint and the least id that links of ``radius`` bits or fewer reach."""
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    found = components(link_fingerprints(nodes.select("fp"), radius, shard))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select("id", "fp", "component")
+    return _named(prints, nodes, link_fingerprints(nodes.select("fp"), radius, shard)).select("id", "fp", "component")
+
+
+def expected(similarity: float) -> float:
+    """The share of differing bits between fingerprints of two sets of equal size with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tables(nodes: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a table's key, tables): about NEAR fingerprints to a shard, and a pair of this similarity shares a shard with chance ``recall``."""
+    bits = min(MOST_BITS, max(8, math.ceil(math.log2(max(1, nodes) / NEAR))))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - expected(similarity)) ** bits))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, bits: int = 256, shard: int = SHARD) -> DataFrame:
+    """(id, h, component): near-duplicates by shingles of more words and a lower similarity than blocks of equal bits could find.
+
+    Fingerprints have ``bits`` bits, which estimate the similarity; the radius is where it is expected to be ``similarity``,
+    and a standard deviation more. Shards are keyed by sampled bits, in as many tables as the recall asks for; their BK-trees
+    are searched as those of :func:`near_duplicates`. ``h`` is a hash of the text.
+    """
+    share = expected(similarity)
+    radius = int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            fp = [wide_fingerprint(hashes(t, words), bits) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary())], names=["id", "h", "fp"])
+
+    text = F.col(text_col).cast("string")
+    prints = written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "id long, h long, fp binary"), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    size, count = tables(nodes.count(), similarity)
+    rng = np.random.default_rng(12)
+    places = np.stack([rng.choice(bits, size, replace=False) for _ in range(count)])
+
+    def keyed(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                spread = np.unpackbits(raw, axis=1, bitorder="little")
+                for k, own in enumerate(places):
+                    value = spread[:, own].astype(np.int64) @ (1 << np.arange(size, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(value), k), pa.int32()), pa.array(value)], names=["fp", "block", "value"])
+
+    found = link_shards(nodes.select("fp").mapInArrow(keyed, "fp binary, block int, value long"), radius, shard)
+    return _named(prints, nodes, found).select("id", "h", "component")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of :func:`similar_documents`, the one with the least id (null first, then by the text's hash)."""
+    found = similar_documents(docs, id_col, text_col, similarity, words)
+    kept = written(found.groupBy("component").agg(F.min(F.struct("id", "h")).alias("k"), F.count("*").alias("n")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"), "n"), "kept")
+    text = F.col(f"`{text_col}`").cast("string")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
+    rows = docs.join(kept.select("__id", "__h"), same, "left_semi")
+    # Rows repeated whole are dealt with only where there are any.
+    repeats = found.join(kept.filter("n > 1"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).groupBy("id", "h").agg(F.count("*").alias("n")).filter("n > 1")
+    if repeats.isEmpty():
+        return rows
+    order = Window.partitionBy(F.col(f"`{id_col}`"), F.xxhash64(text)).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
