@@ -14,6 +14,7 @@ document is the end id alone. An empty table gives no file and no row.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -39,30 +40,37 @@ _MAGIC = b"LTOK1\0"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Pieces begin where white space follows another character. Every pre-token pattern of the byte-level family has a boundary there.
 _PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Pieces that a worker remembers; past that it forgets all and goes on, so memory stays bounded.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers at least, and twice as many at most; and those that go to the library at once.
+REMEMBERED, AT_ONCE = 200_000, 4096
 
 
 class PieceEncoder:
-    """Ids of texts, piece by piece; the ids of pieces met before are remembered as little-endian bytes."""
+    """Ids of texts, piece by piece; the ids of pieces met of late are remembered as little-endian bytes."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable], split: Callable[[str], list[str]] = _PIECES.findall):
-        self.encode, self.split, self.known = encode, split, {}
+        self.encode, self.split, self.known, self.older = encode, split, {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*parts).difference(self.known))
-        if new:
-            self.known.update((p, np.asarray(ids, dtype="<u4").tobytes()) for p, ids in zip(new, self.encode(new), strict=True))
+            self.known, self.older = {}, self.known
+        new = []
+        for p in set().union(*parts).difference(self.known):
+            if (ids := self.older.get(p)) is None:
+                new.append(p)
+            else:
+                self.known[p] = ids
+        for i in range(0, len(new), AT_ONCE):
+            own = new[i : i + AT_ONCE]
+            self.known.update((p, np.asarray(ids, dtype="<u4").tobytes()) for p, ids in zip(own, self.encode(own), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
+@functools.cache
 def library_encoder(path: str) -> PieceEncoder:
-    """By the tokenizers library, from a file with a byte-level BPE; strings of special tokens are ordinary text."""
+    """By the tokenizers library, from a file with a byte-level BPE; strings of special tokens are ordinary text. A worker process keeps it from task to task."""
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
