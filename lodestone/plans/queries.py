@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, paths, rules
 from ..operators import confidence, graph, impact, projections, resolve, retrieval, snapshots, versions
-from ..sources import fixtures
+from ..sources import fixtures, parser
 from ..sources.fixtures import Fixtures
+from . import reports
 
 QUERIES, SQL = {}, {}
 
@@ -391,6 +392,9 @@ view("t5", _CYCLES.format(k=5)[11:-1], "e")
 VIEWS["t5"] = (VIEWS["t5"][0].replace("FROM t JOIN", "FROM t5 t JOIN"), "e")
 
 
+view("t8", VIEWS["t5"][0].replace("t5", "t8").replace("len(p) < 5", "len(p) < 8"), "e")
+
+
 @query("cl", "SELECT ord, claim, confidence, reasoning, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS bucket FROM cl", True)
 def confidence_claims(x):
     return _claims(x)
@@ -642,3 +646,63 @@ def hybrid_retrieval(x):
     q = x.chunks().filter("id < 5").select(F.col("id").alias("query_id"), "label")
     near = x.chunks().filter("id % 2 = 0").join(F.broadcast(q), "label").select("query_id", "id")
     return retrieval.merged(retrieval.search(x.chunks(), _questions(x)), near)
+
+
+# Source files.
+
+
+def _sources(x):
+    """A small Python file for each document."""
+    n = lambda c: (c % fixtures.FUNCTIONS).cast("string")
+    rows = x._ids()
+    i = F.col("file_id")
+    content = F.concat(F.lit("import "), fixtures._pick(fixtures.EXTERNAL, i), F.lit("\nfrom "), "dir", F.lit(" import "), "stem", F.lit("\n\nclass C"), i.cast("string"), F.lit(":\n    pass\n\ndef fn_"), n(i), F.lit("(x):\n    return fn_"), n(3 * i + 1), F.lit("(x)\n\ntop = 1\n"))
+    return rows.select("path", F.lit("python").alias("language"), content.alias("content"))
+
+
+_FN = f"'fn_' || (file_id % {fixtures.FUNCTIONS})"
+_CALL = f"'fn_' || ((3 * file_id + 1) % {fixtures.FUNCTIONS})"
+
+
+@query("f", f"SELECT path AS file, {_FN} AS name, 7 AS line FROM f")
+def parsed_functions(x):
+    return parser.tables(parser.parse(_sources(x)))["functions"]
+
+
+@query("f", f"SELECT path AS file, {_FN} AS caller, {_CALL} AS callee FROM f")
+def parsed_calls(x):
+    return parser.tables(parser.parse(_sources(x)))["function_calls"]
+
+
+@query("f", f"SELECT path AS file, unnest([0, 1, 2]) AS pos, unnest([{_pick(fixtures.EXTERNAL, 'file_id')}, dir, stem]) AS module FROM f")
+def parsed_imports(x):
+    return parser.tables(parser.parse(_sources(x)))["imports"]
+
+
+@query("f", f"SELECT path AS file, 'File: ' || path || chr(10) || 'Class C' || file_id || ' at line 4' || chr(10) || 'Function ' || {_FN} || ' at line 7' || chr(10) || 'Imports: ' || {_pick(fixtures.EXTERNAL, 'file_id')} || ', ' || dir || ', ' || stem AS text FROM f")
+def embedding_texts(x):
+    return retrieval.embedding_text(parser.parse(_sources(x)))
+
+
+@query("f", f"SELECT path AS file, 'def ' || {_FN} || '(x):' || chr(10) || '    return ' || {_CALL} || '(x)' || chr(10) AS code FROM f")
+def function_bodies(x):
+    return _sources(x).select(F.col("path").alias("file"), parser.body(F.col("content"), F.lit(7)).alias("code"))
+
+
+@query("t reach imp_fn", f"SELECT target, 'MODIFY: Affects ' || total || ' files with ' || level || ' risk.' AS explanation FROM ({_blast('modify')})", True)
+def impact_explanations(x):
+    calls = resolve.resolve_calls(x.file_calls(), x.functions())
+    found = impact.blast_radius(x.edges(), targets(x), x.functions(), calls)
+    return found.select("target", reports.impact_text(F.lit("modify"), F.col("total"), F.col("level")).alias("explanation"))
+
+
+@query("f e", """WITH d AS (SELECT dir, count(*) AS n FROM f GROUP BY dir ORDER BY n DESC, dir LIMIT 10)
+SELECT 'Files: ' || (SELECT count(*) FROM f) || chr(10) || 'Dependencies: ' || (SELECT count(*) FROM e) || chr(10) || 'Directories:' || chr(10) || (SELECT string_agg('- ' || dir || ': ' || n || ' files', chr(10) ORDER BY n DESC, dir) FROM d) AS text""")
+def graph_context(x):
+    return reports.graph_context(x.paths(), x.edges())
+
+
+@query("f e nodes pat t8", """WITH d AS (SELECT dir, count(*) AS n FROM f GROUP BY dir ORDER BY n DESC, dir LIMIT 8), m AS (SELECT (SELECT count(*) FROM (SELECT path FROM f UNION SELECT node FROM nodes)) AS total_files, (SELECT count(*) FROM e) AS total_dependencies)
+SELECT total_files, total_dependencies, round(round(total_dependencies / greatest(total_files, 1), 6), 2) AS avg_coupling, (SELECT count(*) FROM t8 WHERE c = s) AS cycles, (SELECT string_agg(pattern, ', ' ORDER BY pattern) FROM pat WHERE detected) AS patterns, (SELECT string_agg(dir || ' (' || n || ')', ', ' ORDER BY n DESC, dir) FROM d) AS top_directories FROM m""", True)
+def architecture_stats(x):
+    return reports.architecture_stats(x.paths(), x.edges())
