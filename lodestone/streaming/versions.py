@@ -31,7 +31,9 @@ def track(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Append versions that the store doesn't have. A batch that runs again adds nothing, as its rows are there already."""
 
     def batch(rows: DataFrame, _: int) -> None:
+        rows.persist()  # a batch with state must not be computed twice
         known = store.read("file_versions") if store.exists("file_versions") else None
         store.append_new("file_versions", versions.new_versions(known, rows) if known is not None else rows)
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -111,7 +111,7 @@ def test_streamed_versions(spark, tmp_path):
     from lodestone.sources.store import Store
 
     rows = spark.createDataFrame([("r", "a", f"h{i % 3}", f"c{i % 3}", i % 3, "u") for i in range(9)], "repo_id string, file_path string, hash string, commit_hash string, ts long, author string")
-    rows.withColumn("ts", F.timestamp_seconds("ts")).repartition(3).write.parquet(str(tmp_path / "in"))
+    rows.withColumn("ts", F.timestamp_seconds(F.col("ts") + 1_700_000_000)).repartition(3).write.parquet(str(tmp_path / "in"))
     store = Store(spark, str(tmp_path / "store"))
     for _ in range(2):
         source = stream.unique(stream.read(spark, str(tmp_path / "in"), files=1))
