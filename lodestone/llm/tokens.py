@@ -17,7 +17,9 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -38,12 +40,22 @@ _MAGIC = b"LTOK1\0"
 
 #: Characters that Unicode calls white space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Pieces begin where white space follows another character. Every pre-token pattern of the byte-level family has a boundary there.
-_PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Letters and signs, parts of what Unicode calls so, that tell where a word ends (fixed values).
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", "!-@\\[-`{-~"
+#: Pieces begin where white space follows another character, or a sign a letter. Every pre-token pattern of the byte-level family has a boundary there.
+_PIECES = re.compile(f"[{WHITE}]*[{LETTERS}]+(?=[{WHITE}{SIGNS}]|\\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Pieces that a worker remembers at least, and twice as many at most; and those that go to the library at once.
 REMEMBERED, AT_ONCE = 200_000, 4096
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceEncoder:
     """Ids of texts, piece by piece; the ids of pieces met of late are remembered as little-endian bytes."""
 
@@ -63,7 +75,7 @@ class PieceEncoder:
                 self.known[p] = ids
         for i in range(0, len(new), AT_ONCE):
             own = new[i : i + AT_ONCE]
-            self.known.update((p, np.asarray(ids, dtype="<u4").tobytes()) for p, ids in zip(own, self.encode(own), strict=True))
+            self.known.update(zip(own, map(little, self.encode(own)), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
