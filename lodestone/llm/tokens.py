@@ -67,27 +67,51 @@ class PieceEncoder:
         parts = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
+        get, older = self.known.get, self.older
+        found = [list(map(get, p)) for p in parts]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
         new = []
-        for p in set().union(*parts).difference(self.known):
-            if (ids := self.older.get(p)) is None:
-                new.append(p)
+        for x in {p[i] for p, own in zip(parts, gaps, strict=True) for i in own}:
+            if (ids := older.get(x)) is None:
+                new.append(x)
             else:
-                self.known[p] = ids
+                self.known[x] = ids
         for i in range(0, len(new), AT_ONCE):
             own = new[i : i + AT_ONCE]
             self.known.update(zip(own, map(little, self.encode(own)), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        for p, f, own in zip(parts, found, gaps, strict=True):
+            for i in own:
+                f[i] = self.known[p[i]]
+        return list(map(b"".join, found))
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if it shows in print, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 @functools.cache
 def library_encoder(path: str) -> PieceEncoder:
-    """By the tokenizers library, from a file with a byte-level BPE; strings of special tokens are ordinary text. A worker process keeps it from task to task."""
+    """By the tokenizers library, from a file with a byte-level BPE; strings of special tokens are ordinary text. A worker process keeps it from task to task.
+
+    A word with at most one space before it is one pre-token, so it goes to the library's merges at once.
+    """
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
-    return PieceEncoder(lambda pieces: (e.ids for e in model.encode_batch_fast(pieces, add_special_tokens=False)))
+    word, letters, merges = re.compile(f" ?[{LETTERS}]+").fullmatch, byte_letters(), model.model.tokenize
+
+    def encode(pieces):
+        out: list = [None if word(p) is None else [t.id for t in merges(p.encode().decode("latin-1").translate(letters))] for p in pieces]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, model.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    return PieceEncoder(encode)
 
 
 def width(vocabulary: int) -> int:
