@@ -18,7 +18,9 @@ least unless there is no other; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .common import written
+from .common import file_system, new_path, put_file, written
 from .components import components
 
 SEED, WORDS, RADIUS = 42, 3, 2
 #: Most fingerprints of a tree.
 SHARD = 20_000
 #: Fingerprints that a shard of sampled bits is to hold; the most bits of a key; the share of pairs at the least similarity that share a shard.
-NEAR, MOST_BITS, RECALL = 32, 24, 0.95
+NEAR, MOST_BITS, RECALL = 32, 24, 0.99
+#: Standard deviations that the radius of candidates is above the expected distance; bytes of shingle sets that a task keeps.
+DEVIATIONS, HELD = 3, 16 << 20
+#: Bytes of a node's name, the digest of its set.
+NAME = 16
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
 
@@ -160,8 +166,11 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD
     return link_shards(nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.value"), radius, shard)
 
 
-def link_shards(keyed: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
-    """(a, b): links within ``radius`` that join groups in each shard of (fp, block, value); ``fp`` is a long or a binary."""
+def link_shards(keyed: DataFrame, radius: int, shard: int = SHARD, finder: Callable | None = None) -> DataFrame:
+    """(a, b): links within ``radius`` that join groups in each shard of (fp, block, value); ``fp`` is a long or a binary.
+
+    A task calls ``finder`` once for a function to be used instead of :func:`links`; it gets and gives binaries.
+    """
     counts = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
     pieces = F.ceil(F.col("n") / shard).cast("int")
     dealt = keyed.join(counts, ["block", "value"]).withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64(F.lit(1), "fp"), "pieces").cast("int"))
@@ -180,8 +189,14 @@ def link_shards(keyed: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
 
     def run(batches):
         key, own, asked = None, [], []
+        search = finder() if finder else None
 
         def out():
+            if search:
+                found = list(search(own, asked if key[2] != key[3] else None, radius)) if len(own) + len(asked) > 1 else []
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
+                return
             found = list(links(map(number, own), map(number, asked) if key[2] != key[3] else None, radius)) if len(own) + len(asked) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([column(c, len((own or asked)[0]) if kind == "binary" else 8) for c in zip(*found, strict=True)], names=["a", "b"])
@@ -225,40 +240,141 @@ def tables(nodes: int, similarity: float, recall: float = RECALL) -> tuple[int,
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - expected(similarity)) ** bits))
 
 
+class Sets:
+    """Sorted shingle sets in files of ``folder``, read where a node says; HELD bytes of them are kept."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.start, self.held, self.size = folder, bits // 8 + NAME, OrderedDict(), 0
+
+    def count(self, node: bytes) -> int:
+        return int.from_bytes(node[self.start + 24 :], "little")
+
+    def get(self, node: bytes) -> np.ndarray:
+        if node in self.held:
+            self.held.move_to_end(node)
+            return self.held[node]
+        filesystem, path = file_system(f"{self.folder}/{node[self.start : self.start + 16].hex()}")
+        with filesystem.open_input_file(path) as f:
+            f.seek(int.from_bytes(node[self.start + 16 : self.start + 24], "little"))
+            found = self.held[node] = np.frombuffer(f.read(8 * self.count(node)), np.uint64)
+        self.size += found.nbytes
+        while self.size > HELD and len(self.held) > 1:
+            self.size -= self.held.popitem(last=False)[1].nbytes
+        return found
+
+    def similar(self, x: bytes, y: bytes, similarity: float) -> bool:
+        """Whether the sets' Jaccard similarity is ``similarity`` or more."""
+        low, high = sorted((self.count(x), self.count(y)))
+        if low < similarity * high - 1e-9:
+            return False
+        shared = len(np.intersect1d(self.get(x), self.get(y), assume_unique=True))
+        return shared >= similarity * (low + high - shared) - 1e-9
+
+
+def verified(own: Iterable[bytes], asked: Iterable[bytes] | None, radius: int, size: int, similar: Callable[[bytes, bytes], bool]) -> Iterator[tuple[bytes, bytes]]:
+    """Names of linked nodes, as :func:`links`: nodes start with a fingerprint of ``size`` bytes and their name, and only links that are ``similar`` join groups."""
+    tree, place, members, top = Tree(), {}, [], {}
+
+    def root(x):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    def joined(x, fp):
+        for i in tree.within(fp, radius):
+            for y in members[i]:
+                a, b = root(x), root(y)
+                if a != b and similar(x, y):
+                    top[a] = b
+                    yield x[size : size + NAME], y[size : size + NAME]
+
+    for many, grows in ((own, True), (asked or (), False)):
+        for x in many:
+            if x not in top:
+                top[x], fp = x, int.from_bytes(x[:size], "little")
+                if asked is None or not grows:
+                    yield from joined(x, fp)
+                if grows:
+                    if fp not in place:
+                        place[fp] = len(members)
+                        members.append([])
+                        tree.add(fp)
+                    members[place[fp]].append(x)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, bits: int = 256, shard: int = SHARD) -> DataFrame:
     """(id, h, component): near-duplicates by shingles of more words and a lower similarity than blocks of equal bits could find.
 
-    Fingerprints have ``bits`` bits, which estimate the similarity; the radius is where it is expected to be ``similarity``,
-    and a standard deviation more. Shards are keyed by sampled bits, in as many tables as the recall asks for; their BK-trees
-    are searched as those of :func:`near_duplicates`. ``h`` is a hash of the text.
+    Texts with the same set of shingles are one node. Fingerprints of the sets have ``bits`` bits; candidates are pairs within
+    the distance expected at ``similarity`` and DEVIATIONS standard deviations more that share a shard. Shards are keyed by
+    sampled bits, in as many tables as the recall asks for; their BK-trees are searched as those of :func:`near_duplicates`.
+    A first search finds the fingerprints with candidates. The sets of only these are written to files, and a second search
+    compares each candidate's set before it joins groups, so every link has an exact Jaccard similarity of ``similarity`` or
+    more (of sets of 64-bit hashes). ``h`` is a hash of the text.
     """
-    share = expected(similarity)
-    radius = int(bits * share + math.sqrt(bits * share * (1 - share)))
+    share, size = expected(similarity), bits // 8
+    radius = int(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
     def run(batches):
         for part in slices(batches, "text"):
-            fp = [wide_fingerprint(hashes(t, words), bits) for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary())], names=["id", "h", "fp"])
-
-    text = F.col(text_col).cast("string")
-    prints = written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "id long, h long, fp binary"), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    size, count = tables(nodes.count(), similarity)
+            fp, name = [], []
+            for t in part.column(2).to_pylist():
+                own = np.unique(hashes(t, words))
+                fp.append(wide_fingerprint(own, bits))
+                name.append(xxhash.xxh128_digest(own.tobytes()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(name, pa.binary())], names=["id", "h", "fp", "name"])
+
+    prints = written(rows.mapInArrow(run, "id long, h long, fp binary, name binary"), "fingerprints")
+    nodes = written(prints.groupBy("name").agg(F.first("fp").alias("fp"), F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("r")), "nodes")
+    several = nodes.groupBy("fp").agg(F.count("*").alias("n"))
+    sampled, count = tables(nodes.count(), similarity)
     rng = np.random.default_rng(12)
-    places = np.stack([rng.choice(bits, size, replace=False) for _ in range(count)])
+    places = np.stack([rng.choice(bits, sampled, replace=False) for _ in range(count)])
 
     def keyed(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
-                raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                raw = np.frombuffer(b"".join(x[:size] for x in part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 spread = np.unpackbits(raw, axis=1, bitorder="little")
                 for k, own in enumerate(places):
-                    value = spread[:, own].astype(np.int64) @ (1 << np.arange(size, dtype=np.int64))
+                    value = spread[:, own].astype(np.int64) @ (1 << np.arange(sampled, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(value), k), pa.int32()), pa.array(value)], names=["fp", "block", "value"])
 
-    found = link_shards(nodes.select("fp").mapInArrow(keyed, "fp binary, block int, value long"), radius, shard)
-    return _named(prints, nodes, found).select("id", "h", "component")
+    shards = lambda some: some.mapInArrow(keyed, "fp binary, block int, value long")
+    found = link_shards(shards(several.select("fp")), radius, shard).select(F.explode(F.array("a", "b")).alias("fp"))
+    near = written(found.unionByName(several.filter("n > 1").select("fp")).distinct(), "near")
+    picked = nodes.join(near, "fp", "left_semi").select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
+    folder = new_path(docs.sparkSession, "sets")
+
+    def store(batches):
+        """A node for each text, with the place of its set; a file for each part."""
+        for part in slices(batches, "text"):
+            file, at, out, parts = uuid.uuid4(), 0, [], []
+            for t in part.column(0).to_pylist():
+                own = np.unique(hashes(t, words))
+                raw = own.tobytes()
+                parts.append(raw)
+                out.append(wide_fingerprint(own, bits) + xxhash.xxh128_digest(raw) + file.bytes + at.to_bytes(8, "little") + len(own).to_bytes(8, "little"))
+                at += len(raw)
+            put_file(f"{folder}/{file.hex}", parts)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["fp"])
+
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+    stored = written(rows.join(picked, same, "left_semi").select("text").mapInArrow(store, "fp binary"), "stored")
+    # Repeated rows gave one name several places.
+    once = stored.groupBy(F.substring("fp", 1, size + NAME).alias("k")).agg(F.min("fp").alias("fp")).select("fp")
+
+    def finder():
+        sets = Sets(folder, bits)
+        return lambda own, asked, radius: verified(own, asked, radius, size, lambda x, y: sets.similar(x, y, similarity))
+
+    links = link_shards(shards(once), radius, shard, finder)
+    named = _named(prints.select("id", "h", F.col("name").alias("fp")), nodes.select(F.col("name").alias("fp"), "least"), links)
+    return named.select("id", "h", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:

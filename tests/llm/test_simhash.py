@@ -88,3 +88,27 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 71)} | {1000 + i: 1000 for i in range(90)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_only_links_of_the_similarity_delete_documents(spark):
+    rng = random.Random(8)
+    fresh = iter(range(10**9))
+    new = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows = []
+    for i in range(150):
+        base = new(204)
+        own = list(base)
+        # n words replaced far apart: 200 - 5n of 200 + 5n shingles are shared.
+        for p in range(rng.choice([2, 4, 5, 6, 7, 8]) * (i > 0)):
+            own[10 + 20 * p : 11 + 20 * p] = new(1)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(own))]
+    line = " ".join(new(20)) + " "
+    rows += [(1000 + k, line * 30 + " ".join(new(80))) for k in range(2)]
+    grams = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    near = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) - 1e-9
+    want = {2 * i + 1: near(2 * i, 2 * i + 1) for i in range(150)} | {1001: near(1000, 1001)}
+    got = {r["id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {i: got[i] == i - 1 for i in want}
+    assert not [i for i, x in linked.items() if x and not want[i]]
+    assert sum(want.values()) > 40 and not want[1001] and sum(linked.values()) >= 0.97 * sum(want.values())
+    assert all(got[i] in (i, i - 1) for i in got)
