@@ -9,7 +9,9 @@ walks, which turn edits into differing places: a walk copies the word that it
 stands on and moves on or not by a hash of step and word. Repeated samples of
 places of several walks are the keys of a hash table of the items; windows that
 share a key with an item are candidates, and an exact edit distance decides.
-ROUNDS follows from a target recall, see :func:`rounds`.
+The number of samples follows from a target recall and the walks' agreement at
+each length, see :func:`needed`. Items of a length that needs more than MOST have
+no keys: each group of runs (below) is a candidate, which loses nothing.
 
 Not every place of a document needs a window: an item within k edits has at
 least n - q + 1 - kq of its runs of q words in common with the words that leak
@@ -45,6 +47,8 @@ EDITS = 0.2
 ITEMS = 20_000
 #: Random walks; places in a sample; the share of leaks that some sample shall find where a place agrees with probability AGREE.
 WALKS, PLACES, RECALL, AGREE = 4, 3, 0.999, 0.5
+#: Words of the longest items that samples are measured for; pairs that they are measured on; the most samples of a walk.
+LONGEST, TRIALS, MOST = 64, 256, 32
 #: Characters that are hashed at once, so that the arrays stay small however long a text is.
 PIECE = 1 << 20
 
@@ -173,6 +177,28 @@ def keys(words: np.ndarray, count: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+@functools.cache
+def needed(n: int, slack: int) -> int:
+    """Samples of each walk for RECALL of leaks of n words with ``slack`` edits, by the measured agreement of walks on replaced and on mixed edits; 0 if more than MOST."""
+    if n > LONGEST:
+        return 0
+    agree = []
+    for mixed in (False, True):
+        rng = np.random.default_rng([n, slack])
+        pairs = []
+        for _ in range(TRIALS):
+            own = rng.integers(1, 1 << 40, n)
+            other = own.tolist()
+            for at in sorted(rng.choice(n, slack, replace=False).tolist(), reverse=True):
+                kind = int(rng.integers(3)) if mixed else 0
+                other[at : at + (kind < 2)] = [int(rng.integers(1, 1 << 40))] * (kind != 1)
+            pairs.append((own, np.resize(np.array([*other, *rng.integers(1, 1 << 40, n)]), n)))
+        a, b = (np.stack(x) for x in zip(*pairs, strict=True))
+        agree.append([(embed(a, walk) == embed(b, walk)).mean(axis=1) for walk in range(WALKS)])
+    missed = 1 - np.array(agree) ** PLACES
+    return next((c for c in range(rounds(), MOST + 1) if (missed**c).prod(axis=1).mean(axis=1).max() <= 1 - RECALL), 0)
+
+
 def edits(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """(least edit distance of the item to any run of ``words``, where the run ends)."""
     row = np.zeros(len(words) + 1, dtype=np.int64)
@@ -190,7 +216,7 @@ class Items:
     """A block of items, ready to be searched for."""
 
     def __init__(self, rows: list[tuple[int, str]], share: float = EDITS):
-        self.names, self.count = [r[0] for r in rows], rounds()
+        self.names = [r[0] for r in rows]
         hashes = [word_hashes([t or ""])[0] for _, t in rows]
         self.vocabulary = np.unique(np.concatenate([*hashes, np.empty(0, np.uint64)]))
         # Words get numbers from 1; 0 is any other word.
@@ -211,13 +237,17 @@ class Items:
             first = np.nonzero(np.r_[True, codes[1:] != codes[:-1]])[0] if len(codes) else np.empty(0, np.int64)
             own = np.array([r[1:] for r in found], dtype=np.int64).reshape(-1, 2)[order]
             self.runs[q] = codes[first], np.r_[first, len(codes)], own
+        # By length; items without slack agree everywhere.
+        self.count = {len(w): needed(len(w), k) if k else 1 for w, k in zip(self.words, self.slack, strict=True)}
+        self.direct = [not self.count[len(w)] for w in self.words]
         self.table: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         lengths = defaultdict(list)
         for i, w in enumerate(self.words):
-            lengths[len(w)].append(i)
+            if not self.direct[i]:
+                lengths[len(w)].append(i)
         for n, own in lengths.items():
             if n:
-                for i, row in zip(own, keys(np.stack([self.words[i] for i in own]), self.count).tolist(), strict=True):
+                for i, row in zip(own, keys(np.stack([self.words[i] for i in own]), self.count[n]).tolist(), strict=True):
                     for key in set(row):
                         self.table[n][key].append(i)
         self.table = {n: dict(t) for n, t in self.table.items()}
@@ -249,8 +279,8 @@ class Items:
             out.append(np.stack([owner[at], own[which, 0], at - own[which, 1]], axis=1))
         return np.concatenate(out)
 
-    def windows(self, words: np.ndarray, owner: np.ndarray) -> dict[int, np.ndarray]:
-        """By length n, the starts of windows of n words: the diagonals of groups of enough runs."""
+    def windows(self, words: np.ndarray, owner: np.ndarray) -> tuple[dict[int, np.ndarray], list[tuple[int, int, int]]]:
+        """By length n, the starts of windows of n words: the diagonals of groups of enough runs. For items without keys, (text, item, first diagonal) of each group."""
         found = self.anchors(words, owner)
         found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
         need, slack = np.array([*self.need, 0])[found[:, 1]], np.array([*self.slack, 0])[found[:, 1]]
@@ -259,11 +289,17 @@ class Items:
         end = np.minimum(last, len(found) - 1)
         ok &= (found[end, :2] == found[:, :2]).all(axis=1) & (found[end, 2] - found[:, 2] <= slack) if len(found) else ok
         out: dict[int, set] = defaultdict(set)
+        groups = []
         for i in np.nonzero(ok)[0].tolist():
             text, item, d = found[i].tolist()
             n = len(self.words[item])
-            out[n].update(range(d, d + self.slack[item] + 1))
-        return {n: np.array(sorted(s)) for n, s in out.items()}
+            if self.direct[item]:
+                # One within slack of the last is covered by its reach.
+                if not groups or groups[-1][:2] != (text, item) or d - groups[-1][2] > self.slack[item]:
+                    groups.append((text, item, d))
+            else:
+                out[n].update(range(d, d + self.slack[item] + 1))
+        return {n: np.array(sorted(s)) for n, s in out.items()}, groups
 
     def leaks(self, h: np.ndarray, owner: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """{(text, item): (edits, first word)} of what the words leak; the fewest edits, then the first place."""
@@ -271,7 +307,16 @@ class Items:
         words = np.where(self.vocabulary[place] == h, place + 1, 0).astype(np.int64) if len(self.vocabulary) and len(h) else np.zeros(len(h), np.int64)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         begin = np.searchsorted(owner, np.arange((owner[-1] if len(owner) else 0) + 2))
-        for n, starts in self.windows(words, owner).items():
+        sampled, groups = self.windows(words, owner)
+        for text, item, d in groups:
+            n, slack = len(self.words[item]), self.slack[item]
+            # A leak starts within slack of its group's diagonals, and has at most slack words more; a group skipped starts slack later.
+            lo, hi = max(begin[text], d - 2 * slack), min(begin[text + 1], d + n + 4 * slack)
+            far, end = edits(self.words[item], words[lo:hi])
+            if far <= slack:
+                first = int(max(0, lo + end - n - begin[text]))
+                best[text, item] = min(best.get((text, item), (far, first)), (far, first))
+        for n, starts in sampled.items():
             # A window may start before its text does, or end after: those places are no words.
             table = self.table.get(n, {})
             for at in np.array_split(starts, -(-len(starts) // 4096)):
@@ -280,7 +325,7 @@ class Items:
                 inside = (spot >= begin[middle][:, None]) & (spot < begin[middle + 1][:, None])
                 rows = np.where(inside, words[np.clip(spot, 0, len(words) - 1)], 0)
                 seen = set()
-                for s, text, own in zip(at.tolist(), middle.tolist(), keys(rows, self.count).tolist(), strict=True):
+                for s, text, own in zip(at.tolist(), middle.tolist(), keys(rows, self.count[n]).tolist(), strict=True):
                     for item in set().union(*(table.get(k, ()) for k in own)):
                         slack = self.slack[item]
                         spread = max(1, slack)

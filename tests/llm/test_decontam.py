@@ -71,3 +71,25 @@ def test_leaks_against_brute_force(spark):
     assert sum(x in want for x in got) >= 0.98 * len(want)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_leaks(table, empty).count() == 0 and decontam.find_leaks(table.limit(0), empty).count() == 0
+
+
+def test_long_items_at_the_limit():
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for i, n in enumerate([37, 59, 100, 150, 200, 300, 400] * 12)]
+    found = decontam.Items(items)
+    texts = []
+    for i, item in items:
+        own = item.split()
+        n = len(own)
+        for k, p in enumerate(sorted(rng.sample(range(n), n // 5), reverse=True)):
+            own[p : p + 1] = [["zz"], [], ["zz", own[p]]][k % 3 if i >= 42 else 0]
+        texts.append(" ".join([f"x{rng.randrange(99)}" for _ in range(rng.randrange(60))] + own + ["y"] * rng.randrange(60)))
+    # One edit more than allowed, nowhere else.
+    texts.append(" ".join("zz" if p % 100 in range(0, 100, 5) or p == 1 else w for p, w in enumerate(items[4][1].split())))
+    got = {}
+    for h, owner in decontam.document_words(texts):
+        low = owner[0]
+        got |= {(t + low, i): d for (t, i), (d, _) in found.leaks(h, owner - low).items()}
+    want = {(i, i): distance(item.split(), texts[i].split()) for i, item in items}
+    assert all(d <= len(items[i][1].split()) // 5 for (i, _), d in want.items())
+    assert got == want
