@@ -6,9 +6,11 @@ are smoothed towards its suffix's, and those towards the whole corpus's. Priors
 are soft counts over all rows, summed by grouped aggregation; a row's own part is
 taken out of them before it is judged.
 
-Trigram counts are fitted on the rows with a declared language whose hash falls
-under SAMPLE / rows: SAMPLE rows are expected, and no text comes to the driver.
-Languages are the MOST most frequent declared ones with LEAST rows at least.
+Trigram counts are fitted on rows with a declared language, chosen by hash: SAMPLE
+of all are expected, and RARE of a language or all that it has; no text comes to
+the driver. Every declared language is one, however rare; tables are sparse, with
+an entry for each trigram that a language has. Text that no language explains
+clearly better than even chance does is OTHER, and not accepted.
 
 Defined cases: a null or empty text, or one without letters, has no likelihood;
 its posterior is that of the other evidence, and it is not accepted. Null
@@ -29,15 +31,19 @@ from pyspark.sql import functions as F
 from .arrow import appended, slices
 from .common import written
 
-#: Rows that trigram counts are fitted on, as expected; languages at most; rows of a language at least.
-SAMPLE, MOST, LEAST = 20_000, 64, 20
+#: Rows that trigram counts are fitted on, as expected; of a language at least, where it has them; the outcome of text that no language explains.
+SAMPLE, RARE, OTHER = 20_000, 200, "other"
+#: The share of chance texts that may be taken for a language.
+CHANCE = 0.01
+#: Cells of a table of rows by languages that a task holds at once.
+CELLS = 1 << 20
 #: Trigram buckets; trigrams that a text's likelihood counts as, so that long texts don't drown the rest.
 BUCKETS, WEIGHT = 1 << 15, 60
 #: The share of declared languages that is taken to be wrong; soft counts that a suffix has from the corpus and a host from its suffix.
 WRONG, SMOOTH = 0.02, 20.0
 #: The least posterior of an accepted row.
 ACCEPT = 0.5
-#: Hosts whose priors are broadcast at most; beyond it they are joined by a shuffle.
+#: Priors, hosts by languages, that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 #: Bytes that are looked at at once.
 PIECE = 1 << 20
@@ -61,36 +67,43 @@ def trigrams(texts: list[str]):
         yield (code[ok] * np.uint32(2654435761) >> np.uint32(17)).astype(np.int64), owner[ok]
 
 
-def fit(rows: DataFrame, languages: list[str], sample: int = SAMPLE) -> np.ndarray:
-    """Log-likelihoods, languages x buckets, of trigrams of (key, text, declared) rows."""
-    total = rows.filter(F.col("declared").isin(languages)).count()
-    share = min(1.0, sample / max(1, total))
-    few = rows.filter(F.col("declared").isin(languages) & (F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 20)) < int(share * (1 << 20))))
+def fit(rows: DataFrame, counts: dict[str, int], sample: int = SAMPLE) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each language of ``counts`` (rows of it), and OTHER, from (key, text, declared) rows: the log-likelihood of a trigram without a count, buckets with one, and what they have more."""
+    languages, total = list(counts), sum(counts.values())
+    draws = [(x, i, int(min(1.0, max(sample / total, RARE / n)) * (1 << 20))) for i, (x, n) in enumerate(counts.items())]
+    drawn = rows.sparkSession.createDataFrame(draws, "declared string, l int, draw int")
+    few = rows.join(drawn, "declared").filter(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 20)) < F.col("draw"))
 
     def count(batches):
-        n = np.zeros((len(languages), BUCKETS), dtype=np.int64)
-        place = {x: i for i, x in enumerate(languages)}
+        cells, n = np.empty(0, np.int64), np.empty(0, np.int64)
         for part in slices(batches, "text"):
-            own = np.array([place[x] for x in part.column(part.schema.get_field_index("declared")).to_pylist()])
+            own = part.column(part.schema.get_field_index("l")).to_numpy().astype(np.int64)
             for bucket, owner in trigrams(part.column(part.schema.get_field_index("text")).to_pylist()):
-                n += np.bincount(own[owner] * BUCKETS + bucket, minlength=n.size).reshape(n.shape)
-        i, j = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n[i, j], pa.int64())], names=["l", "b", "n"])
+                new, many = np.unique(own[owner] * BUCKETS + bucket, return_counts=True)
+                cells, place = np.unique(np.concatenate([cells, new]), return_inverse=True)
+                n = np.bincount(place, weights=np.concatenate([n, many]), minlength=len(cells)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cells // BUCKETS, pa.int32()), pa.array(cells % BUCKETS, pa.int32()), pa.array(n, pa.int64())], names=["l", "b", "n"])
 
-    counts = np.full((len(languages), BUCKETS), 0.5)
-    # At most languages x BUCKETS rows come back.
-    for r in few.select("text", "declared").mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect():
-        counts[r["l"], r["b"]] += r["n"]
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    found: list[tuple[list, list]] = [([], []) for _ in languages]
+    # A row comes back for each trigram that a language has.
+    for r in few.select("text", "l").mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect():
+        found[r["l"]][0].append(r["b"])
+        found[r["l"]][1].append(r["n"])
+    model = [(math.log(0.5 / (0.5 * BUCKETS + sum(n))), np.array(b, np.uint16), np.log(2 * np.array(n, np.float64) + 1).astype(np.float32)) for b, n in found]
+    return [*model, (-math.log(BUCKETS), np.empty(0, np.uint16), np.empty(0, np.float32))]
 
 
-def likelihoods(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def likelihoods(texts: list[str], model: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(weighted log-likelihood by text and language, trigrams by text)."""
     total, n = np.zeros((len(texts), len(model))), np.zeros(len(texts), dtype=np.int64)
+    table = np.zeros(BUCKETS)
     for bucket, owner in trigrams(texts):
-        n += np.bincount(owner, minlength=len(texts))
-        for k, table in enumerate(model):
-            total[:, k] += np.bincount(owner, weights=table[bucket], minlength=len(texts))
+        own = np.bincount(owner, minlength=len(texts))
+        n += own
+        for k, (base, at, more) in enumerate(model):
+            table[at] = more
+            total[:, k] += np.bincount(owner, weights=table[bucket], minlength=len(texts)) + base * own
+            table[at] = 0
     return total * (np.minimum(n, WEIGHT) / np.maximum(n, 1))[:, None], n
 
 
@@ -113,21 +126,28 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     text, declared, host, suffix, key, priors = (fresh(f"__{x}") for x in ("text", "declared", "host", "suffix", "key", "priors"))
     address = address_parts(F.col(address_col) if address_col else F.lit(None))
     rows = docs.withColumns({text: F.coalesce(F.col(text_col).cast("string"), F.lit("")), declared: F.lower(F.col(declared_col).cast("string")) if declared_col else F.lit(None).cast("string"), host: address[0], suffix: address[1]})
-    found = rows.groupBy(declared).agg(F.count("*").alias("n")).filter(F.col(declared).isNotNull() & (F.col("n") >= LEAST)).orderBy(F.desc("n"), declared).limit(MOST).collect()
-    languages = sorted(r[declared] for r in found)
+    found = rows.filter(F.col(declared).isNotNull()).groupBy(declared).agg(F.count("*").alias("n")).orderBy(declared).collect()
+    languages = [r[declared] for r in found]
     if not languages:
         return docs.withColumns({out[0]: F.lit(None).cast("string"), out[1]: F.lit(None).cast("double"), out[2]: F.lit(False)})
-    model = fit(rows.select(F.xxhash64(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text"), F.col(declared).alias("declared")), languages, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
-    size = len(languages)
+    model = fit(rows.select(F.xxhash64(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text"), F.col(declared).alias("declared")), {r[declared]: r["n"] for r in found}, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = len(model)
+    labels = [*languages, OTHER]
     place = {x: i for i, x in enumerate(languages)}
 
+    def parts(batches):
+        step = max(1, CELLS // size)
+        for part in slices(batches, text):
+            for a in range(0, part.num_rows, step):
+                yield part.slice(a, step)
+
     def evidence(part) -> tuple[np.ndarray, np.ndarray]:
         """(log evidence of text and declared language, trigrams)."""
         column = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()
         log, n = likelihoods(column(text), shared.value)
         for i, d in enumerate(column(declared)):
-            if d in place and size > 1:
+            if d in place:
                 log[i] += math.log(WRONG / (size - 1))
                 log[i, place[d]] += math.log(1 - WRONG) - math.log(WRONG / (size - 1))
         return log, n
@@ -137,48 +157,55 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         sums: dict[tuple[str, str], np.ndarray] = {}
 
         def rows_of(some):
-            h, s = zip(*some, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), pa.array([x.tolist() for x in some.values()], pa.list_(pa.float64()))], names=["host", "suffix", "p"])
+            h, p = [*zip(*some, strict=True)], np.round(np.stack([*some.values()]), 6)
+            i, j = np.nonzero(p)
+            return pa.RecordBatch.from_arrays([pa.array([h[0][x] for x in i]), pa.array([h[1][x] for x in i]), pa.array(j, pa.int32()), pa.array(p[i, j])], names=["host", "suffix", "i", "p"])
 
-        for part in slices(batches, text):
+        for part in parts(batches):
             p = _softmax(evidence(part)[0])
             for i, at in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 sums[at] = sums[at] + p[i] if at in sums else p[i]
-            if len(sums) > 50_000:
-                yield rows_of(sums)
-                sums.clear()
+                if len(sums) * size > 4 * CELLS:
+                    yield rows_of(sums)
+                    sums.clear()
         if sums:
             yield rows_of(sums)
 
-    each = [F.sum(F.round(F.col("p")[i], 6).cast("decimal(24,6)")).alias(f"p{i}") for i in range(size)]
-    parts = rows.select(host, suffix, text, declared).mapInArrow(soft, "host string, suffix string, p array<double>").groupBy("host", "suffix").agg(*each)
-    counts = written(parts.select("host", "suffix", F.array(*[F.col(f"p{i}").cast("double") for i in range(size)]).alias("p")), "hosts")
-    few = counts.count() <= BROADCAST_HOSTS
-    add = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(size)]
-    total = np.array([x or 0.0 for x in counts.agg(*add).first()])
+    # Sums are of decimals, so that they don't depend on the order of rows.
+    each = F.sum(F.col("p").cast("decimal(24,6)")).cast("double").alias("p")
+    counts = written(rows.select(host, suffix, text, declared).mapInArrow(soft, "host string, suffix string, i int, p double").groupBy("host", "suffix", "i").agg(each), "hosts")
+    few = counts.select("host").distinct().count() * size <= BROADCAST_HOSTS
+    total = np.zeros(size)
+    for r in counts.groupBy("i").agg(each).collect():
+        total[r["i"]] = r["p"]
     whole = ((total + 1) / (total + 1).sum()).tolist()
-    by_suffix = counts.groupBy("suffix").agg(*add)
-    vector = lambda c: F.array(*[F.col(f"s{i}") for i in range(size)]).alias(c)
-    named = counts.join(by_suffix.select("suffix", vector("s")), "suffix").select(F.col("host").alias(host), F.struct("p", "s").alias(priors))
+    vector = lambda c: F.map_from_entries(F.collect_list(F.struct("i", "p"))).alias(c)
+    by_suffix = counts.groupBy("suffix", "i").agg(each).groupBy("suffix").agg(vector("s"))
+    named = counts.groupBy("host", "suffix").agg(vector("p")).join(by_suffix, "suffix").select(F.col("host").alias(host), F.struct("p", "s").alias(priors))
     joined = rows.join(F.broadcast(named) if few else named, host, "left")
     kept = [*docs.columns]
     ordered = joined.select(*[F.col(f"`{c}`") for c in kept], text, declared, priors)
     schema = type(docs.schema)([*docs.schema.fields]).add(out[0], "string").add(out[1], "double").add(out[2], "boolean")
 
     def judge(batches):
-        for part in slices(batches, text):
+        for part in parts(batches):
             log, n = evidence(part)
             own = _softmax(log)
             # No priors where the row's host wasn't there at the count, which can't be but for a lost table.
             prior = part.column(part.schema.get_field_index(priors)).to_pylist()
-            h = np.array([x["p"] if x else [0.0] * size for x in prior])
-            s = np.array([x["s"] if x else [0.0] * size for x in prior])
+            h, s = np.zeros((2, len(prior), size))
+            for i, x in enumerate(prior):
+                for to, c in ((h, "p"), (s, "s")):
+                    for j, v in x[c] if x else ():
+                        to[i, j] = v
             h, s = np.maximum(h - own, 0), np.maximum(s - own, 0)
             s = (s + SMOOTH * np.array(whole)) / (s.sum(axis=1, keepdims=True) + SMOOTH)
             h = (h + SMOOTH * s) / (h.sum(axis=1, keepdims=True) + SMOOTH)
             p = _softmax(log + np.log(np.maximum(h, 1e-12)))
-            best = p.argmax(axis=1)
-            sure = p.max(axis=1)
-            yield appended(part.select(kept), **{out[0]: pa.array([languages[i] for i in best]), out[1]: pa.array(np.round(sure, 6)), out[2]: pa.array((sure >= ACCEPT) & (n > 0))})
+            # At chance, some language's likelihood ratio reaches size / CHANCE with probability CHANCE at most.
+            unlike = (log[:, :-1].max(axis=1) - log[:, -1] < math.log(size / CHANCE)) & (n > 0)
+            best = np.where(unlike, size - 1, p.argmax(axis=1))
+            sure = p[np.arange(len(p)), best]
+            yield appended(part.select(kept), **{out[0]: pa.array([labels[i] for i in best]), out[1]: pa.array(np.round(sure, 6)), out[2]: pa.array((sure >= ACCEPT) & (n > 0) & (best < size - 1))})
 
     return ordered.mapInArrow(judge, schema)

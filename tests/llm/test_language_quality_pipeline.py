@@ -40,6 +40,21 @@ def test_held_out_accuracy_and_fusion(spark):
     assert none["language"] is None and not none["accepted"]
 
 
+def test_rare_and_many_languages(spark):
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    words = {f"l{k}": ["".join(rng.choice(letters) for _ in range(rng.randrange(4, 8))) for _ in range(15)] for k in range(80)}
+    text = lambda k: " ".join(rng.choice(words[f"l{k}"]) for _ in range(30))
+    rows = [(1000 * k + i, text(k), f"l{k}") for k in range(80) for i in range(400 if k == 0 else 4)]
+    test = [(10**6 + k, text(k), None) for k in range(80)]
+    alien = [(2 * 10**6 + i, " ".join("".join(rng.choice("жзийклмнопрст") for _ in range(6)) for _ in range(30)), None) for i in range(5)]
+    docs = spark.createDataFrame(rows + test + alien, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(docs, address_col=None).collect()}
+    assert len(got) == len(rows + test + alien)
+    assert all(got[10**6 + k]["language"] == f"l{k}" and got[10**6 + k]["accepted"] for k in range(80))
+    assert all(got[i]["language"] == "other" and not got[i]["accepted"] for i, _, _ in alien)
+
+
 def test_quality_on_held_out_rows(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents").limit(3000)
     labels = table(spark, "/root/testdata/sf0.1", "labels")
