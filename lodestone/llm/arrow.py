@@ -11,13 +11,13 @@ import pyarrow.compute  # noqa: F401
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Parts of the batches of bounded rows and, but for single longer rows, bounded bytes of column ``text``."""
     for batch in batches:
         column, start, held = batch.column(batch.schema.get_field_index(text)), 0, 0
         sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
         for i, n in enumerate(sizes):
-            if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+            if i > start and (held + n > SLICE_BYTES or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

@@ -44,7 +44,7 @@ def rank_encoder(path: str, pattern: str) -> PieceEncoder:
     import tiktoken
 
     model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-    return PieceEncoder(lambda pieces: map(model._encode_single_piece, pieces), regex.compile(pattern).findall)
+    return PieceEncoder(model._encode_single_piece, regex.compile(pattern).findall)
 
 
 def chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:

@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,14 +39,17 @@ GROUP = 64
 _TAIL = struct.Struct("<QQQIB6s")
 _MAGIC = b"LTOK1\0"
 
-#: Characters that Unicode calls white space (fixed values).
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Letters and signs, parts of what Unicode calls so, that tell where a word ends (fixed values).
-LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", "!-@\\[-`{-~"
-#: Pieces begin where white space follows another character, or a sign a letter. Every pre-token pattern of the byte-level family has a boundary there.
-_PIECES = re.compile(f"[{WHITE}]*[{LETTERS}]+(?=[{WHITE}{SIGNS}]|\\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Pieces that a worker remembers at least, and twice as many at most; and those that go to the library at once.
-REMEMBERED, AT_ONCE = 200_000, 4096
+#: Pieces that a worker remembers at least, and twice as many at most; bytes of the longest of them; pieces that go to the library at once.
+REMEMBERED, SHORT, AT_ONCE = 400_000, 48, 4096
+#: Rows that are encoded together at most, and bytes that are cut into pieces at once, but for a longer piece.
+ROWS, WINDOW = 8192, 8 << 20
+#: Kinds of bytes: 0 for what may be anything, then white space, letters, digits, signs, and the apostrophe.
+_KIND = np.zeros(256, dtype=np.uint8)
+for _k, _own in enumerate((b"\t\n\x0b\x0c\r ", bytes(range(65, 91)) + bytes(range(97, 123)), b"0123456789", bytes(x for x in range(33, 127) if not chr(x).isalnum()), b"'"), 1):
+    _KIND[list(_own)] = _k
+#: By 8 x kind + the next byte's kind: whether a pre-token always ends between them.
+_ENDS = np.zeros(64, dtype=bool)
+_ENDS[[8 * a + b for a, b in ((0, 1), (2, 1), (3, 1), (4, 1), (5, 1), (2, 3), (2, 4), (2, 5), (3, 2), (3, 4), (3, 5), (4, 2), (4, 3), (5, 3))]] = True
 
 
 def little(ids: list[int]) -> bytes:
@@ -56,33 +60,43 @@ def little(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class Remembered:
+    """Ids of pieces as little-endian bytes; those of short pieces met of late are kept."""
+
+    def __init__(self, encode: Callable[[list], Iterable]):
+        self.encode, self.known, self.older = encode, {}, {}
+
+    def __call__(self, pieces: list) -> list[bytes]:
+        """The ids of each of the distinct pieces."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        out = list(map(known.get, pieces))
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        for a in range(0, len(gaps), AT_ONCE):
+            own, new = gaps[a : a + AT_ONCE], []
+            for i in own:
+                out[i] = older.get(pieces[i])
+                if out[i] is None:
+                    new.append(i)
+            for i, ids in zip(new, self.encode([pieces[i] for i in new]), strict=True):
+                out[i] = ids
+            known.update((pieces[i], out[i]) for i in own if len(pieces[i]) <= SHORT)
+        return out
+
+
 class PieceEncoder:
-    """Ids of texts, piece by piece; the ids of pieces met of late are remembered as little-endian bytes."""
+    """Ids of texts, piece by piece."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], split: Callable[[str], list[str]] = _PIECES.findall):
-        self.encode, self.split, self.known, self.older = encode, split, {}, {}
+    def __init__(self, encode: Callable[[str], list[int]], split: Callable[[str], list[str]]):
+        self.ids, self.split = Remembered(lambda pieces: [little(encode(p)) for p in pieces]), split
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        get, older = self.known.get, self.older
-        found = [list(map(get, p)) for p in parts]
-        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
-        new = []
-        for x in {p[i] for p, own in zip(parts, gaps, strict=True) for i in own}:
-            if (ids := older.get(x)) is None:
-                new.append(x)
-            else:
-                self.known[x] = ids
-        for i in range(0, len(new), AT_ONCE):
-            own = new[i : i + AT_ONCE]
-            self.known.update(zip(own, map(little, self.encode(own)), strict=True))
-        for p, f, own in zip(parts, found, gaps, strict=True):
-            for i in own:
-                f[i] = self.known[p[i]]
-        return list(map(b"".join, found))
+        pieces = list({x for p in parts for x in p})
+        get = dict(zip(pieces, self.ids(pieces), strict=True)).__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
 
 def byte_letters() -> dict[int, str]:
@@ -92,26 +106,116 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@functools.cache
-def library_encoder(path: str) -> PieceEncoder:
-    """By the tokenizers library, from a file with a byte-level BPE; strings of special tokens are ordinary text. A worker process keeps it from task to task.
+def piece_starts(raw: np.ndarray, low: int, high: int, closed: np.ndarray) -> np.ndarray:
+    """Places in ``raw`` between ``low`` and ``high`` where a pre-token always begins and what goes before doesn't matter.
 
-    A word with at most one space before it is one pre-token, so it goes to the library's merges at once.
+    ``closed`` are the ends of stretches, which are such places, too. By the byte-level pattern these are: white space after something else; changes
+    between letters, digits and signs in ASCII, but for letters after an apostrophe; and, where an ASCII character that is
+    no white space follows, the last of several white spaces, and what comes after white space other than a blank.
+    """
+    kind = _KIND[raw[low : high + 1]]
+    if high == len(raw):
+        kind = np.append(kind, np.uint8(0))
+    before, here, after = kind[:-2], kind[1:-1], kind[2:]
+    found = _ENDS[before * np.uint8(8) + here]
+    plain = here > 1
+    found |= (before == 1) & plain & (raw[low : low + len(before)] != 32)
+    last = (before == 1) & (here == 1) & (after > 1)
+    last[closed[(closed > low + 1) & (closed <= high)] - low - 2] = False
+    found |= last
+    # Bytes from 128 on may end a white space: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+    at = np.flatnonzero(found & (before == 0)) + low
+    if len(at):
+        end, two, three = raw[at], raw[np.maximum(at - 1, 0)], raw[np.maximum(at - 2, 0)]
+        found[at[(end >= 128) & ((two == 0xC2) | (three >= 0xE1) & (three <= 0xE3) & ((two == 0x9A) | (two == 0x80) | (two == 0x81)))] - low] = False
+    found[closed[(closed > low) & (closed < high)] - low - 1] = True
+    return np.flatnonzero(found) + low + 1
+
+
+class LibraryEncoder:
+    """Ids of Arrow columns of texts, as the tokenizers library gives them for a byte-level BPE without normalizer.
+
+    Texts are cut at their special tokens, as the library does, and these stretches where pre-tokens always end. Distinct
+    pieces are found by Arrow's hash table and encoded by the library; numpy puts their ids together.
     """
-    from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    word, letters, merges = re.compile(f" ?[{LETTERS}]+").fullmatch, byte_letters(), model.model.tokenize
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        added = list(model.get_added_tokens_decoder().values())
+        if model.normalizer is not None or any(t.single_word or t.lstrip or t.rstrip for t in added):
+            raise ValueError(f"{path} does more than a byte-level BPE with plain special tokens")
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(added, key=lambda t: -len(t.content)))) if added else None
+
+        special = {t.content.encode() for t in added}
+        # These are one pre-token each, so they go to the library's merges at once.
+        one = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|[\t\n\r ]").fullmatch
+        letters, merges = byte_letters(), model.model.tokenize
+
+        def encode(pieces):
+            out: list = [little([t.id for t in merges(p.decode("latin-1").translate(letters))]) if one(p) and p not in special else None for p in pieces]
+            rest = [i for i, ids in enumerate(out) if ids is None]
+            for i, e in zip(rest, model.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False), strict=True):
+                out[i] = little(e.ids)
+            return out
+
+        self.ids = Remembered(encode)
+
+    def __call__(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        data = b"".join(x.as_buffer() for x in column if x.is_valid)
+        raw, own = np.frombuffer(data, np.uint8), self._special(data, ends)
+        closed = np.union1d(ends, own.ravel())
+        out: list[list[bytes]] = [[] for _ in ends]
+        low, size = 0, WINDOW
+        while low < len(raw):
+            high = min(len(raw), low + size)
+            starts = piece_starts(raw, low, high, closed)
+            if len(own):
+                k = np.searchsorted(own[:, 0], starts, side="left") - 1
+                starts = starts[(k < 0) | (starts >= own[np.maximum(k, 0), 1])]
+            if high < len(raw):
+                if not len(starts):
+                    size *= 2
+                    continue
+                high, starts = int(starts[-1]), starts[:-1]
+            self._add(data, np.r_[low, starts, high], ends, out)
+            low, size = high, WINDOW
+        return [b"".join(x) for x in out]
+
+    def _special(self, data: bytes, ends: np.ndarray) -> np.ndarray:
+        """(start, end) of the special tokens in the texts."""
+        if self.special is None or not self.special.search(data):
+            return np.empty((0, 2), np.int64)
+        found = [m.span() for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True) for m in self.special.finditer(data, a, b)]
+        return np.array(found, dtype=np.int64).reshape(-1, 2)
+
+    def _add(self, data: bytes, cuts: np.ndarray, ends: np.ndarray, out: list[list[bytes]]) -> None:
+        """Append the ids of the pieces between ``cuts`` to their texts' lists."""
+        base = int(cuts[0])
+        part = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts - base).astype(np.int32)), pa.py_buffer(memoryview(data)[base : int(cuts[-1])])]).dictionary_encode()
+        each, place = self.ids(part.dictionary.to_pylist()), part.indices.to_numpy()
+        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat, first = np.frombuffer(b"".join(each), "<u4"), np.cumsum(n) - n
+        many = n[place]
+        upto = np.r_[0, np.cumsum(many)]
+        ids = flat[np.arange(upto[-1]) + np.repeat(first[place] - upto[:-1], many)]
+        # Texts that these pieces belong to, and where each of them ends.
+        i = int(np.searchsorted(ends, base, side="right"))
+        a = 0
+        while i < len(ends) and a < len(cuts) - 1:
+            b = int(np.searchsorted(cuts, ends[i], side="left")) if ends[i] <= cuts[-1] else len(cuts) - 1
+            out[i].append(ids[upto[a] : upto[b]].tobytes())
+            a = b
+            i += 1
 
-    def encode(pieces):
-        out: list = [None if word(p) is None else [t.id for t in merges(p.encode().decode("latin-1").translate(letters))] for p in pieces]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, model.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
 
-    return PieceEncoder(encode)
+@functools.cache
+def library_encoder(path: str) -> LibraryEncoder:
+    """The encoder for a tokenizer file; a worker process keeps it from task to task."""
+    return LibraryEncoder(path)
 
 
 def width(vocabulary: int) -> int:
@@ -120,7 +224,9 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids at ``bits`` bits each, highest bit first, filled up to whole bytes."""
+    """Ids at ``bits`` bits each, highest bit first, filled up to whole bytes. An id that needs more bits is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {ids.max()} needs more than {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f">u{bits // 8}").tobytes()
     spread = np.unpackbits(ids.astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 32 - bits :]
@@ -231,8 +337,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
         encode, totals = library_encoder(tokenizer), {}
 
         def documents():
-            for part in slices(batches, "text"):
-                for name, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+            for part in slices(batches, "text", ROWS):
+                for name, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     yield name, ids + end
 
         k = TaskContext.get().partitionId()

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -28,13 +29,23 @@ def test_width():
     assert [tokens.width(n) for n in (1, 2, 3, 256, 257, 50257, 65537)] == [1, 1, 2, 8, 9, 16, 17]
 
 
-@given(st.text(max_size=60))
-@settings(max_examples=150, deadline=None)
-def test_pieces_encode_like_whole_texts(text):
-    model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
-    ours = np.frombuffer(tokens.library_encoder(P.path("byte_bpe_50k.json"))([text])[0], "<u4").tolist() if text else []
-    assert ours == model.encode(text, add_special_tokens=False).ids
+MIXED = st.text(alphabet=st.sampled_from(list("ab1' \n\té!?-\x85\xa0\u2000\u3000\x1c×à数") + ["\r"]), max_size=12)
+
+
+@pytest.mark.parametrize("window", [tokens.WINDOW, 5])
+def test_columns_encode_like_the_library(window, monkeypatch):
+    monkeypatch.setattr(tokens, "WINDOW", window)
+    path = P.path("byte_bpe_50k.json")
+    model, ours = Tokenizer.from_file(path), tokens.LibraryEncoder(path)
+
+    @given(st.lists(st.none() | st.text(max_size=40) | st.lists(MIXED | st.sampled_from(["<|endoftext|>", "<|endo", "ftext|>", "  ", "'re"]), max_size=9).map("".join), max_size=6))
+    @settings(max_examples=200, deadline=None)
+    def check(texts):
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours(pa.array(texts, pa.string()))] == [model.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    check()
+    long = "x" * 50_000 + " word's  " * 9000 + "\n" * 4000 + "<|endoftext|>" * 3 + "é" * 3000
+    assert np.frombuffer(ours(pa.array([long], pa.string()))[0], "<u4").tolist() == model.encode(long, add_special_tokens=False).ids
 
 
 def test_token_files(spark):
@@ -44,7 +55,6 @@ def test_token_files(spark):
     folder, files = tokens.write_tokens(docs, path, 2, 50257, block=16)
     got = [tuple(r) for r in tokens.read_tokens(spark, files).orderBy("start").collect()]
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     want = {}
     for d, t, _ in rows:
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
