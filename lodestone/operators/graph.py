@@ -6,24 +6,15 @@ their lineage with checkpoints in the shared folder.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 
 #: Edges that one task may search by itself.
 LOCAL = 1_000_000
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Make sure that there is a checkpoint folder: ``spark.checkpoint.dir``, or a temp folder where that is unset."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-
-
 def clean(edges: DataFrame) -> DataFrame:
     """Each edge once, without loops."""
     return edges.select("src", "dst").filter("src <> dst").distinct()
@@ -74,7 +65,7 @@ def trails(edges: DataFrame, low: int, high: int) -> DataFrame:
 
 def core(edges: DataFrame, each: int = 3) -> DataFrame:
     """The edges that are left when nodes without edges in or out are taken away again and again; all cycles are among them."""
-    checkpoints(edges.sparkSession)
+    shared_dir(edges.sparkSession)
     now, n = clean(edges).checkpoint(), -1
     while (m := now.count()) != n:
         n = m
@@ -183,6 +174,7 @@ def spread_components(edges: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
     """(path): the elementary cycles of 2..longest nodes, each once and from its least node on. Only edges within a component are walked."""
+    shared_dir(edges.sparkSession)
     member = components(edges)
     one = clean(edges).join(member.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
     e = one.filter("a = b").select("src", "dst").checkpoint()
