@@ -3,27 +3,48 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new temp folder only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Paths that this process has handed out and not removed.
+_made: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, with a scheme so that any file system library can open it."""
     base = shared_dir(spark)
-    return f"{base if '://' in base else 'file://' + os.path.abspath(base)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base if '://' in base else 'file://' + os.path.abspath(base)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many paths there are that were handed out and not removed."""
+    return len(_made)
+
+
+def remove_made(spark: SparkSession, first: int, keep: int = 0) -> None:
+    """Remove what was made since :func:`made` said ``first``, but the last ``keep``; for a caller that has written its result."""
+    jvm = spark.sparkContext._jvm
+    gone = _made[first : len(_made) - keep]
+    del _made[first : len(_made) - keep]
+    for path in gone:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as set it apart from the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
