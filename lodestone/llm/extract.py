@@ -2,19 +2,32 @@
 
 Each page's containers are scored, and the page votes for the generalised
 tag-class path of its best one. Votes are summed by host in Spark; the host's
-leading paths then extract all its pages again. A page without any element on
-them goes by its own best container.
+leading paths then extract all its pages again. A path counts if it leads or if
+SUPPORT of the host's pages, and two at least, vote for it. A page goes by its
+own best container if it has none of the paths, or if the path is the whole
+body, or if its own container's score is CLEARLY higher.
+
+Elements are left out by what they are (menus, headers, footers, asides, forms,
+scripts and the like), if they are hidden, and by names made for such parts: a
+class or id that is one of these words or made of them and plain ones. Words
+that an article may use as well (related, search, social) leave out only what
+is mostly links.
 
 Defined cases: null or empty html gives an empty text; pages without a host (and
 null URLs) vote together as host ``""``; rows with equal ids are separate pages;
 an empty table gives an empty result. Text outside any container counts as the
-body's.
+body's. Tags are read by HTML's rules: what a page's end cuts off within a tag, a
+comment or a script is no text. Time and memory are linear in the page's length.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +37,10 @@ from pyspark.sql import functions as F
 from .arrow import slices
 from .common import written
 
-#: Leading paths that a host keeps, and the most hosts whose paths are broadcast; beyond it they are joined by a shuffle.
-PATHS, BROADCAST_HOSTS = 3, 100_000
+#: Leading paths that a host keeps; the share of its pages that has to vote for one; how many times better a page's own container must be.
+PATHS, SUPPORT, CLEARLY = 3, 0.05, 50
+#: Bytes of hosts and paths that are broadcast at most; beyond it they are joined by a shuffle. Characters of the longest path that is written out.
+BROADCAST, LONGEST = 16 << 20, 300
 
 # Elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,50 +58,125 @@ _CLOSES = [
     ({"tbody", "thead", "tfoot"}, {"tbody", "thead", "tfoot", "tr", "td", "th", "p", "caption"}, {"table", "body"}),
     ({"option"}, {"option"}, {"select", "body"}),
 ]
-CLOSES = {name: (ends, stops | SKIPPED) for names, ends, stops in _CLOSES for name in names}
-#: Words in classes, ids and roles that mark what is not main text (fixed values).
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert|advertisement|adverts|banner|breadcrumbs?|byline-share|captcha|comments?|commentlist|complementary|contentinfo|cookies?|cookie-consent|consent|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|pagination|pager|popup|promos?|promoted|related|recommended|replies|respond|search|share|sharing|sidebar|signup|site-header|skip-link|social|sponsored?|sponsor|subscribe|taboola|toolbar|widgets?)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+CLOSES = {name: (tuple(ends), tuple(stops - SKIPPED)) for names, ends, stops in _CLOSES for name in names}
+#: Elements whose content an end tag of another kind doesn't close, and those whose end tags go through them.
+BARRIERS = frozenset("article main td table".split())
+THROUGH = CONTAINERS | SKIPPED | {"table", "tr", "tbody", "html", "body"}
+# Words in classes, ids and roles of what is no main text; those that an article's parts may have, too; words that say nothing beside them.
+STRONG = frozenset("ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs captcha comment comments commentlist complementary consent contentinfo cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promos promoted sidebar signup skiplink sponsor sponsored subscribe taboola toolbar widget widgets".split())
+WEAK = frozenset("header recommended related replies respond search share sharing social".split())
+PLAIN = frozenset("add area article aside bar block bottom box button buttons container copyright form global google group inner item items legal left link links list main mobile module new outer page panel post posts primary privacy reader right section secondary site skip slot story sub text thread title top unit user view wrap wrapper".split())
+STRUCTURE = frozenset("article aside center dd details div dl dt fieldset figure li ol section table tbody td tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup body main".split())
 #: Words that speak for a container.
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.IGNORECASE)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAME = re.compile(r"[^\t\n\f\r />]*")
+_ATTRIBUTE = re.compile(r"""[\t\n\f\r /]*(?:(>)|([^\t\n\f\r />][^\t\n\f\r />=]*)(?:[\t\n\f\r ]*=[\t\n\f\r ]*(?:"([^"]*)"|'([^']*)'|(["'])|([^\t\n\f\r >]*)))?)""")
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """(attributes, where the tag ends, whether the page ends before it does), from behind a tag's name."""
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        # A quote that nothing closes takes the rest of the page.
+        if m is None or m[5]:
+            return found, len(page), True
+        at = m.end()
+        if m[1]:
+            return found, at, False
+        found.setdefault(m[2].lower(), m[3] or m[4] or m[6] or "")
+
+
+@functools.lru_cache(1 << 14)
+def marked(tag: str, class_: str, id_: str, role: str) -> int:
+    """2 if the names are those of what is no main text, 1 if they may be, 0 if they aren't."""
+    found = 0
+    for name in (*class_.split(), id_, *role.split()):
+        words = re.sub(r"(?<=[a-z])(?=[A-Z])|[\d_-]+", " ", name).lower().split()
+        if not words or tag in HEADINGS:
+            continue
+        if len(words) == 1 or tag in STRUCTURE and all(w in STRONG or w in WEAK or w in PLAIN for w in words):
+            if any(w in STRONG for w in words):
+                return 2
+            if tag in STRUCTURE and any(w in WEAK for w in words):
+                found = 1
+    return found
 
 
-def _names(text: str) -> tuple[str, str]:
-    """(class, id and role together; class) of a start tag's attributes."""
-    found = {}
-    for m in _ATTRIBUTE.finditer(text):
-        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-    own = [found.get("class", ""), found.get("id", ""), found.get("role", "")]
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        own.append("popup")
-    return re.sub(r"(?<=[a-z])(?=[A-Z])|\d+", "-", " ".join(own)), found.get("class", "") or found.get("id", "")
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in re.sub(r"\s", "", found.get("style", "").lower())
 
 
 class Node:
-    """An element: its generalised path, whether it is skipped, and where its text begins and ends among the page's pieces."""
+    """An element: the number of its generalised path, whether it is skipped, and where its text begins and ends among the page's pieces."""
 
-    __slots__ = ("commas", "good", "links", "path", "size", "skipped", "start", "stop", "tag")
+    __slots__ = ("commas", "depth", "good", "inside", "links", "mark", "path", "size", "skipped", "start", "stop", "tag")
 
-    def __init__(self, tag: str, path: str, skipped: bool, good: bool, start: int):
-        self.tag, self.path, self.skipped, self.good, self.start = tag, path, skipped, good, start
+    def __init__(self, tag: str, path: int, depth: int, skipped: bool, mark: int, good: bool, start: int, inside: int):
+        self.tag, self.path, self.depth, self.skipped, self.mark, self.good, self.start, self.inside = tag, path, depth, skipped, mark, good, start, inside
         self.stop, self.size, self.links, self.commas = None, 0, 0, 0
 
 
-def parse(page: str) -> tuple[list[str | None], list[Node]]:
-    """(pieces, containers): the page's kept text in order, with None where a block begins or ends, and its container elements."""
+class Paths:
+    """A page's generalised paths, each as its last step and the number of the path above it."""
+
+    def __init__(self):
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(-1, "body")]
+
+    def below(self, path: int, step: str) -> int:
+        key = path, step
+        if key not in self.numbers:
+            self.numbers[key] = len(self.steps)
+            self.steps.append(key)
+        return self.numbers[key]
+
+    def text(self, path: int) -> str:
+        """The path's steps, or a digest of more than LONGEST characters."""
+        out = []
+        while path >= 0:
+            path, step = self.steps[path]
+            out.append(step)
+        whole = ">".join(reversed(out))
+        return whole if len(whole) <= LONGEST else "#" + hashlib.sha256(whole.encode()).hexdigest()
+
+    def find(self, text: str, deepest: list[int]) -> int | None:
+        """The number of a path; those among ``deepest`` are asked for a digest."""
+        if text.startswith("#"):
+            return next((p for p in dict.fromkeys(deepest) if self.text(p) == text), None)
+        first, *steps = text.split(">")
+        at: int | None = 0 if first == "body" else None
+        for step in steps:
+            at = None if at is None else self.numbers.get((at, step))
+        return at
+
+
+def parse(page: str) -> tuple[list[str | None], list[Node], Paths]:
+    """(pieces, containers, paths): the page's kept text in order, with None where a block begins or ends, and its container elements."""
     pieces: list[str | None] = []
-    root = Node("body", "body", False, False, 0)
+    paths = Paths()
+    root = Node("body", 0, 0, False, 0, False, 0, 0)
     stack, nodes = [root], [root]
+    # Places on the stack of the open elements by tag, of skipped kinds, and of barriers.
+    places: dict[str, list[int]] = defaultdict(list)
+    skips, barriers = [], []
 
     def end(k):
         """Close the open elements from place ``k`` on; what they hold counts for their parents, too."""
         while len(stack) > k:
             node = stack.pop()
+            places[node.tag].pop()
+            if node.tag in SKIPPED:
+                skips.pop()
+            if node.tag in BARRIERS:
+                barriers.pop()
+            if node.mark == 1 and not node.skipped and 2 * node.links > node.size:
+                # Names that may be an article's, but mostly links: what it held is the end of the pieces.
+                del pieces[node.start :], nodes[node.inside :]
+                pieces.append(None)
+                continue
             if node.tag in BLOCKS:
                 pieces.append(None)
             node.stop = len(pieces)
@@ -101,28 +191,35 @@ def parse(page: str) -> tuple[list[str | None], list[Node]]:
             return
         value = html.unescape(raw) if "&" in raw else raw
         pieces.append(value)
-        n = len(value.strip())
-        top.size += n
+        top.size += len(value.strip())
         top.commas += value.count(",") + value.count(".")
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        while start >= 0 and not (page[start + 1 : start + 2].isascii() and (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("/", "!", "?"))):
+            start = page.find("<", start + 1)
+        if start < 0 or start + 1 >= n:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        text(page[at:start])
+        mark = page[start + 1]
+        if mark in "!?" or mark == "/" and not (page[start + 2 : start + 3].isascii() and page[start + 2 : start + 3].isalpha()):
+            if page.startswith("<!--", start):
+                close = re.compile("--!?>").search(page, start + 2 if page.startswith(("<!-->", "<!--->"), start) else start + 4)
+                at = close.end() if close else n
+            else:
+                at = page.find(">", start) + 1 or n
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    end(k)
-                    break
-                if stack[k].tag in ("article", "main", "td", "table") and tag not in CONTAINERS | SKIPPED | {"table", "tr", "tbody", "html", "body"}:
-                    break
+        closing = mark == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        tag = name[0].lower()
+        found, at, cut = attributes(page, name.end())
+        if cut:
+            break
+        if closing:
+            if places[tag] and not (barriers and barriers[-1] > places[tag][-1] and tag not in THROUGH):
+                end(places[tag][-1])
             if tag in BLOCKS:
                 pieces.append(None)
             continue
@@ -134,35 +231,42 @@ def parse(page: str) -> tuple[list[str | None], list[Node]]:
             continue
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            k, low = len(stack) - 1, None
-            while k > 0 and stack[k].tag not in stops:
-                if stack[k].tag in ends:
-                    low = k
-                k -= 1
-            if low is not None:
-                end(low)
-        names, own = _names(m[3]) if m[3].strip() else ("", "")
+            if opened := [places[t] for t in ends if places[t]]:
+                stop = max([places[t][-1] for t in stops if places[t]] + skips[-1:], default=0)
+                low = min((p[bisect_right(p, stop)] for p in opened if p[-1] > stop), default=None)
+                if low is not None:
+                    end(low)
         up = stack[-1]
-        skipped = up.skipped or tag in SKIPPED or bool(names and BOILERPLATE.search(names))
-        step = tag + (("." + re.sub(r"\d+", "#", own.split()[0].lower())) if own.split() else "")
+        class_, id_ = html.unescape(found.get("class", "")), html.unescape(found.get("id", ""))
+        names = marked(tag, class_, id_, found.get("role", "").lower()) if found else 0
+        skipped = up.skipped or tag in SKIPPED or names == 2 or bool(found) and _hidden(found)
         if tag in BLOCKS and not up.skipped:
             pieces.append(None)
-        node = Node(tag, f"{up.path}>{step}" if tag in CONTAINERS or tag in SKIPPED else up.path, skipped, bool(names and GOOD.search(names)), len(pieces))
+        path = up.path
+        if tag in CONTAINERS:
+            own = (class_ or id_).split()
+            path = paths.below(up.path, tag + ("." + re.sub(r"\d+", "#", own[0].lower()).replace(">", "") if own else ""))
+        node = Node(tag, path, up.depth + 1, skipped, names, bool(class_ or id_) and bool(GOOD.search(f"{class_} {id_}")), len(pieces), len(nodes))
         if tag in RAW or tag == "plaintext":
-            close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at) if tag != "plaintext" else None
+            close = re.compile(rf"</{re.escape(tag)}[\t\n\f\r />]", re.IGNORECASE).search(page, at) if tag != "plaintext" else None
             stop = close.start() if close else n
             if not skipped:
                 text(page[at:stop])
             at = (page.find(">", stop) + 1 or n) if close else n
             continue
-        if m[3].endswith("/") and tag in ("svg", "math", "path"):
+        if tag in ("svg", "math", "path") and page[at - 2] == "/":
             continue
+        places[tag].append(len(stack))
+        if tag in SKIPPED:
+            skips.append(len(stack))
+        if tag in BARRIERS:
+            barriers.append(len(stack))
         stack.append(node)
         if tag in CONTAINERS and not skipped:
             nodes.append(node)
     end(1)
     root.stop = len(pieces)
-    return pieces, nodes
+    return pieces, nodes, paths
 
 
 def score(node: Node) -> float:
@@ -174,7 +278,7 @@ def score(node: Node) -> float:
 
 def best(nodes: list[Node]) -> Node:
     """The container with the highest score; of equal ones the innermost, then the first."""
-    return max(enumerate(nodes), key=lambda x: (score(x[1]), x[1].path.count(">"), -x[0]))[1]
+    return max(enumerate(nodes), key=lambda x: (score(x[1]), x[1].depth, -x[0]))[1]
 
 
 def joined(pieces: list[str | None], spans: list[tuple[int, int]]) -> str:
@@ -192,20 +296,21 @@ def joined(pieces: list[str | None], spans: list[tuple[int, int]]) -> str:
     return "\n\n".join(out)
 
 
-def main_text(page: str | None, paths: list[str] | None = None) -> tuple[str, str]:
-    """(text, path): by the first of ``paths`` that the page has with any text, else by its own best container."""
+def main_text(page: str | None, leading: list[str] | None = None) -> tuple[str, str]:
+    """(text, path): by the first of the ``leading`` paths that the page has with any text, else by its own best container."""
     if not page:
         return "", ""
-    pieces, nodes = parse(page)
-    for path in paths or ():
-        spans: list[tuple[int, int]] = []
-        for node in nodes:
-            if node.path == path and node.size and (not spans or node.start >= spans[-1][1]):
-                spans.append((node.start, node.stop))
-        if spans:
-            return joined(pieces, spans), path
-    node = best(nodes)
-    return joined(pieces, [(node.start, node.stop)]), node.path
+    pieces, nodes, paths = parse(page)
+    own = best(nodes)
+    for path in leading or ():
+        number = paths.find(path, [x.path for x in nodes if x.size])
+        chosen: list[Node] = []
+        for node in nodes if number else ():
+            if node.path == number and node.size and (not chosen or node.start >= chosen[-1].stop):
+                chosen.append(node)
+        if chosen and score(own) <= CLEARLY * sum(map(score, chosen)):
+            return joined(pieces, [(x.start, x.stop) for x in chosen]), path
+    return joined(pieces, [(own.start, own.stop)]), paths.text(own.path)
 
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,18 +319,21 @@ def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             if page:
-                node = best(parse(page)[1])
+                _, nodes, paths = parse(page)
+                node = best(nodes)
                 if node.size:
-                    out.append((host, node.path, score(node)))
+                    out.append((host, paths.text(node.path), score(node)))
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["host", "path", "score"])
 
 
-def host_paths(rows: DataFrame, keep: int = PATHS) -> DataFrame:
-    """(host, paths): each host's leading paths by pages that vote for them, then by score."""
+def host_paths(rows: DataFrame, keep: int = PATHS, support: float = SUPPORT) -> DataFrame:
+    """(host, paths): each host's leading paths by pages that vote for them, then by score; the first, and others with enough votes."""
     summed = rows.mapInArrow(votes, "host string, path string, score double").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score", 3).cast("decimal(20,3)")).alias("score"))
     order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
     led = summed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+    enough = (F.col("place") == 1) | (F.col("n") >= F.greatest(F.lit(2.0), support * F.col("pages")))
+    led = led.join(summed.groupBy("host").agg(F.sum("n").alias("pages")), "host").filter(enough)
     return led.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("p")).select("host", F.col("p.path").alias("paths"))
 
 
@@ -235,7 +343,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     led = written(host_paths(rows.select("host", "html")), "paths")
-    few = led.count() <= BROADCAST_HOSTS
+    size = led.agg(F.sum(64 + F.octet_length("host") + F.aggregate("paths", F.lit(0), lambda a, x: a + 32 + F.octet_length(x)))).first()[0] or 0
+    few = size <= BROADCAST
     found = rows.join(F.broadcast(led) if few else led, "host", "left").select("page_id", "url", "paths", "html")
     kind = dict(found.dtypes)["page_id"]
 
