@@ -33,7 +33,7 @@ from .arrow import slices
 START, END = "<|im_start|>", "<|im_end|>"
 UNKNOWN = "unknown"
 
-#: Names of roles in other layouts (fixed values).
+#: Names of roles in other layouts; in rows with a role and a text roles stay as they are (fixed values).
 ALIASES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
 
 #: Mappings. Either ``each`` names a list and ``role`` and ``text`` fields of its items, or ``turns`` lists (role, paths):
@@ -106,7 +106,7 @@ def canonical(records: DataFrame, id_col: str, turn_col: str | None = None) -> D
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     key = F.col(id_col).alias("id")
     if found.get("row"):
-        return records.select(key, F.col(turn_col).cast("long").alias("turn"), _role(F.col(found["role"])).alias("role"), text(F.col(found["text"])).alias("text"))
+        return records.select(key, F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(found["role"]).cast("string"), F.lit(UNKNOWN)).alias("role"), text(F.col(found["text"])).alias("text"))
     if "each" in found:
         turns = F.transform(F.col(found["each"]), lambda x: F.struct(_role(x[found["role"]]).alias("role"), text(x[found["text"]]).alias("text")))
     else:
@@ -131,7 +131,7 @@ def json_turns(record) -> tuple[str, list[tuple[str, str]] | None]:
 
     role = lambda x: UNKNOWN if x is None else ALIASES.get(string(x), string(x))
     if found.get("row"):
-        return mark, [(role(record[found["role"]]), string(record[found["text"]]))]
+        return mark, [(UNKNOWN if record[found["role"]] is None else string(record[found["role"]]), string(record[found["text"]]))]
     if "each" in found:
         return mark, [(role(x.get(found["role"])), string(x.get(found["text"]))) for x in at(found["each"]) if isinstance(x, dict)]
     turns = [(r, "\n\n".join(x for x in (string(at(p)) for p in paths) if x)) for r, paths in found["turns"]]
