@@ -18,8 +18,9 @@ least n - q + 1 - kq of its runs of q words in common with the words that leak
 it, and all on diagonals at most k apart (the q-gram lemma). Windows start on
 just the diagonals of such groups of runs, which loses nothing.
 
-The items are broadcast in blocks of ITEMS; each block takes a pass over the
-documents. Defined cases: null texts and texts without words leak nothing, items
+The items are broadcast in blocks of ITEMS, and of WORDS words but for a longer
+item; each block takes a pass over the documents. Common runs that would meet too
+many items are looked at for some of the items at a time. Defined cases: null texts and texts without words leak nothing, items
 without words are never leaked; items of fewer than 5 words must occur as they
 are; repeated items and documents give repeated rows; empty tables give an empty
 result.
@@ -39,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .common import batched, new_path
+from .common import new_path, written
 
 #: Edits that an item may have, as a share of its words.
 EDITS = 0.2
-#: Items in a broadcast block.
-ITEMS = 20_000
+#: Items and their words in a broadcast block; meetings of runs and items that are held at once.
+ITEMS, WORDS, HITS = 20_000, 200_000, 1 << 20
 #: Random walks; places in a sample; the share of leaks that some sample shall find where a place agrees with probability AGREE.
 WALKS, PLACES, RECALL, AGREE = 4, 3, 0.999, 0.5
 #: Words of the longest items that samples are measured for; pairs that they are measured on; the most samples of a walk.
@@ -236,7 +237,9 @@ class Items:
             codes = codes[order]
             first = np.nonzero(np.r_[True, codes[1:] != codes[:-1]])[0] if len(codes) else np.empty(0, np.int64)
             own = np.array([r[1:] for r in found], dtype=np.int64).reshape(-1, 2)[order]
-            self.runs[q] = codes[first], np.r_[first, len(codes)], own
+            # The rank of a run's occurrence is by run, then by item.
+            rank = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(codes)])) * len(self.words) + own[:, 0]
+            self.runs[q] = codes[first], rank, own
         # By length; items without slack agree everywhere.
         self.count = {len(w): needed(len(w), k) if k else 1 for w, k in zip(self.words, self.slack, strict=True)}
         self.direct = [not self.count[len(w)] for w in self.words]
@@ -258,10 +261,10 @@ class Items:
             out = out * np.uint64(len(self.vocabulary) + 1) + c.astype(np.uint64)
         return out
 
-    def anchors(self, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Rows (text, item, diagonal): a run of q words that text and item have in common."""
-        out = [np.empty((0, 3), np.int64)]
-        for q, (codes, first, own) in self.runs.items():
+    def places(self, words: np.ndarray, owner: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By q, the places where a run of q words begins that some item has, too, and which run it is."""
+        out = {}
+        for q, (codes, _, _) in self.runs.items():
             if len(words) < q or not len(codes):
                 continue
             n = len(words) - q + 1
@@ -270,35 +273,49 @@ class Items:
                 fit &= words[j : n + j] > 0
             (at,) = np.nonzero(fit)
             c = self.code([words[at + j] for j in range(q)])
-            place = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
-            ok = codes[place] == c
-            at, place = at[ok], place[ok]
-            many = first[place + 1] - first[place]
-            which = np.repeat(first[place], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            at = np.repeat(at, many)
+            run = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+            ok = codes[run] == c
+            out[q] = at[ok], run[ok]
+        return out
+
+    def anchors(self, places: dict, owner: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
+        """Rows (text, item, diagonal): a run that text and an item from ``low`` to ``high`` have in common. Some items at a time, all of an item's rows together."""
+        spans = {}
+        for q, (at, run) in places.items():
+            _, rank, _ = self.runs[q]
+            spans[q] = [np.searchsorted(rank, run * len(self.words) + i) for i in (low, high)]
+        if sum(int((b - a).sum()) for a, b in spans.values()) > HITS and high - low > 1:
+            yield from self.anchors(places, owner, low, (low + high) // 2)
+            yield from self.anchors(places, owner, (low + high) // 2, high)
+            return
+        out = [np.empty((0, 3), np.int64)]
+        for q, (a, b) in spans.items():
+            own, many = self.runs[q][2], b - a
+            which = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = np.repeat(places[q][0], many)
             out.append(np.stack([owner[at], own[which, 0], at - own[which, 1]], axis=1))
-        return np.concatenate(out)
+        yield np.concatenate(out)
 
     def windows(self, words: np.ndarray, owner: np.ndarray) -> tuple[dict[int, np.ndarray], list[tuple[int, int, int]]]:
         """By length n, the starts of windows of n words: the diagonals of groups of enough runs. For items without keys, (text, item, first diagonal) of each group."""
-        found = self.anchors(words, owner)
-        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-        need, slack = np.array([*self.need, 0])[found[:, 1]], np.array([*self.slack, 0])[found[:, 1]]
-        last = np.arange(len(found)) + need - 1
-        ok = last < len(found)
-        end = np.minimum(last, len(found) - 1)
-        ok &= (found[end, :2] == found[:, :2]).all(axis=1) & (found[end, 2] - found[:, 2] <= slack) if len(found) else ok
         out: dict[int, set] = defaultdict(set)
-        groups = []
-        for i in np.nonzero(ok)[0].tolist():
-            text, item, d = found[i].tolist()
-            n = len(self.words[item])
-            if self.direct[item]:
-                # One within slack of the last is covered by its reach.
-                if not groups or groups[-1][:2] != (text, item) or d - groups[-1][2] > self.slack[item]:
-                    groups.append((text, item, d))
-            else:
-                out[n].update(range(d, d + self.slack[item] + 1))
+        groups: list[tuple[int, int, int]] = []
+        for found in self.anchors(self.places(words, owner), owner, 0, len(self.words)):
+            found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+            need, slack = np.array([*self.need, 0])[found[:, 1]], np.array([*self.slack, 0])[found[:, 1]]
+            last = np.arange(len(found)) + need - 1
+            ok = last < len(found)
+            end = np.minimum(last, len(found) - 1)
+            ok &= (found[end, :2] == found[:, :2]).all(axis=1) & (found[end, 2] - found[:, 2] <= slack) if len(found) else ok
+            for i in np.nonzero(ok)[0].tolist():
+                text, item, d = found[i].tolist()
+                n = len(self.words[item])
+                if self.direct[item]:
+                    # One within slack of the last is covered by its reach.
+                    if not groups or groups[-1][:2] != (text, item) or d - groups[-1][2] > self.slack[item]:
+                        groups.append((text, item, d))
+                else:
+                    out[n].update(range(d, d + self.slack[item] + 1))
         return {n: np.array(sorted(s)) for n, s in out.items()}, groups
 
     def leaks(self, h: np.ndarray, owner: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
@@ -340,15 +357,28 @@ class Items:
         return best
 
 
+def blocks(benchmark: DataFrame, item_id: str, item_text: str, items: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items as (id, text), in blocks."""
+    held, words = [], 0
+    for r in benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).toLocalIterator():
+        n = len(word_hashes([r[1] or ""])[0])
+        if held and (len(held) >= items or words + n > WORDS):
+            yield held
+            held, words = [], 0
+        held.append(tuple(r))
+        words += n
+    if held:
+        yield held
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDITS, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, edits, n_words, first_word): what each document leaks of each item."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, edits int, n_words int, first_word long"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    asked = benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string"))
     path = new_path(spark, "leaks")
-    for block in batched(asked.toLocalIterator(), items):
-        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in block], share))
+    for block in blocks(benchmark, item_id, item_text, items):
+        shared = spark.sparkContext.broadcast(Items(block, share))
 
         def run(batches, shared=shared):
             found = shared.value
@@ -363,21 +393,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "edits", "n_words", "first_word"])
 
         rows.mapInArrow(run, schema).write.mode("append").parquet(path)
+        shared.destroy()
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDITS, items: int = ITEMS) -> DataFrame:
-    """The rows of ``docs`` that leak no item. Rows pass as they are; nothing is shuffled."""
-    spark, place = docs.sparkSession, docs.columns.index(text_col)
-    asked = benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string"))
-    for block in batched(asked.toLocalIterator(), items):
-        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in block], share))
+    """The rows of ``docs`` that leak no item. Rows pass as they are; nothing is shuffled. Between blocks of items they are written."""
+    spark, place, shared = docs.sparkSession, docs.columns.index(text_col), None
+    for block in blocks(benchmark, item_id, item_text, items):
+        if shared is not None:
+            docs = written(docs, "clean")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(Items(block, share))
 
         def run(batches, shared=shared):
             for part in slices(batches, text_col):
                 leaking = set()
-                for h, owner in document_words([t or "" for t in part.column(place).to_pylist()]):
+                for h, owner in document_words(["" if t is None else str(t) for t in part.column(place).to_pylist()]):
                     if len(h):
                         leaking.update(t + owner[0] for t, _ in shared.value.leaks(h, owner - owner[0]))
                 yield part.filter(pa.array([i not in leaking for i in range(part.num_rows)]))

@@ -93,3 +93,25 @@ def test_long_items_at_the_limit():
     want = {(i, i): distance(item.split(), texts[i].split()) for i, item in items}
     assert all(d <= len(items[i][1].split()) // 5 for (i, _), d in want.items())
     assert got == want
+
+
+def test_common_openings_in_pieces(monkeypatch):
+    """Many items with one opening, in a long text that repeats it: the meetings are looked at in pieces, with the same result."""
+    opening = "one two three four five six seven eight "
+    items = [(i, opening + " ".join(f"v{i}x{k}" for k in range(6))) for i in range(60)]
+    found = decontam.Items(items)
+    text = (opening * 40 + items[7][1] + " ") * 3
+    h, owner = next(decontam.document_words([text]))
+    whole = found.leaks(h, owner)
+    pieces = [len(x) for x in found.anchors(found.places(np.where(np.isin(h, found.vocabulary), np.searchsorted(found.vocabulary, h) + 1, 0), owner), owner, 0, len(items))]
+    monkeypatch.setattr(decontam, "HITS", 1000)
+    assert found.leaks(h, owner) == whole and (0, 7) in whole and len(pieces) == 1
+
+
+def test_blocks_are_bounded_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "WORDS", 30)
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(9)] + [(9, "z " * 100)], "item_id long, text string")
+    assert [len(b) for b in decontam.blocks(items, "item_id", "text", 100)] == [2, 2, 2, 2, 1, 1]
+    docs = spark.createDataFrame([(i, "a b " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(11)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.find_leaks(docs, items).collect()) == list(range(9))
+    assert sorted(r["doc_id"] for r in decontam.decontaminated(docs, items).collect()) == [9, 10]
