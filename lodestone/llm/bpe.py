@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import appended, slices
+from .common import fresh, written
 from .tokens import PieceEncoder
 
 #: Characters in a chunk, and those that it shares with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
-#: The pattern looks at so many characters past a match at most.
+#: The pattern looks at so many characters past a match at most. Patterns that look further need more, see ``margin``.
 MARGIN = 4
 
 
@@ -63,7 +64,7 @@ def boundaries(text: str, pattern) -> list[int]:
     return out
 
 
-def stitched(parts: Iterator[tuple[int, str, list[int]]], pattern) -> Iterator[tuple[str, list[int]]]:
+def stitched(parts: Iterator[tuple[int, str, list[int]]], pattern, margin: int = MARGIN) -> Iterator[tuple[str, list[int]]]:
     """(text, boundaries) of consecutive stretches that end at true boundaries.
 
     ``parts``: (start, chunk, boundaries in it) of one text, in order. Two chunks are held at a time.
@@ -74,7 +75,7 @@ def stitched(parts: Iterator[tuple[int, str, list[int]]], pattern) -> Iterator[t
             held = start, text, marks
             continue
         at, before, own = held
-        end = at + len(before) - MARGIN
+        end = at + len(before) - margin
         own_set = {at + x for x in own if start <= at + x <= end}
         common = next((x for x in marks if start + x in own_set), None)
         if common is None:  # no pre-token ends in the overlap
@@ -88,12 +89,13 @@ def stitched(parts: Iterator[tuple[int, str, list[int]]], pattern) -> Iterator[t
         yield held[1], held[2]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out: str = "ids", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` with a binary column ``out`` of ids in place of the text."""
-    rest = [c for c in docs.columns if c != text_col]
-    taken = {c.lower() for c in docs.columns}
-    name = lambda x: x if x not in taken else name(x + "_")
-    key, no, start, marks, text = (name(x) for x in ("__key", "__no", "__start", "__marks", "__text"))
+def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out: str = "ids", size: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> DataFrame:
+    """``docs`` with a binary column ``out`` of ids in place of the text. An own column of that name gives way to it.
+
+    ``pattern`` must not look behind a match, nor more than ``margin`` characters past it, and its matches must cover the text.
+    """
+    rest = [c for c in docs.columns if c != text_col and c.lower() != out.lower()]
+    key, no, start, marks, text = fresh([*docs.columns, out], "__key", "__no", "__start", "__marks", "__text")
     base = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
     fields = [f for f in base.schema.fields if f.name != text]
     schema = type(base.schema)([*fields]).add(out, "binary")
@@ -104,8 +106,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
             yield appended(part.select(rest), **{out: pa.array(model(part.column(len(rest)).to_pylist()), pa.binary())})
 
     direct = base.filter(F.length(text) <= size + overlap).mapInArrow(short, schema)
-    # A row's place in its file names it; the place is the same when a task runs again.
-    long = base.filter(F.length(text) > size + overlap).withColumn(key, F.monotonically_increasing_id())
+    # The numbers of rows are written with them, so that every reader has the same ones, however the rows came.
+    long = written(base.filter(F.length(text) > size + overlap).withColumn(key, F.monotonically_increasing_id()), "long")
     texts = long.select(key, text)
 
     def cut(batches):
@@ -142,7 +144,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
         following = [r] if (r := next(source, None)) is not None else []
         while following:
             first = following.pop()
-            for n, (t, own) in enumerate(stitched(one(first, source, following), compiled)):
+            for n, (t, own) in enumerate(stitched(one(first, source, following), compiled, margin)):
                 yield pa.RecordBatch.from_arrays([pa.array([first[0]], pa.int64()), pa.array([n], pa.int32()), pa.array([t]), pa.array([own], pa.list_(pa.int32()))], names=[key, no, text, marks])
 
     stretches = pieces.repartition(key).sortWithinPartitions(key, no).mapInArrow(stitch, f"{key} long, {no} int, {text} string, {marks} array<int>")
