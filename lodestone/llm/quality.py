@@ -8,12 +8,13 @@ neither was fitted on, and a logistic regression of the two calibrated scores,
 fitted on those, too, scores all documents.
 
 Fitting takes at most about LABELLED labelled rows and POOL unlabelled ones,
-chosen by a hash of the document's id, and only their features come to the
-driver. Scoring takes all rows and whole texts.
+chosen by a hash of the document's id and text; rows that repeat both count once,
+and only features come to the driver. Scoring takes all rows and whole texts.
 
 Defined cases: null texts count as empty; an id with several labels counts as
 good from a mean of a half on; null labels are none. Without labels of both kinds
-every document has quality 1. Rows stay as they are, repeated ones too; an empty
+every document has quality 1. Own columns with the names of the new ones give way
+to them. Equal scores are handed over in order of id. Rows stay as they are, repeated ones too; an empty
 table gives an empty result.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import appended, slices
+from .common import fresh
 
 #: Labelled and unlabelled rows for fitting, as expected; rounds; rows of each label that a view hands over in a round; how sure it must be.
 LABELLED, POOL, ROUNDS, HANDED, SURE = 8_000, 8_000, 3, 400, 0.95
@@ -140,9 +142,7 @@ class _Names:
     """Columns that stand beside the documents' own."""
 
     def __init__(self, docs: DataFrame, out):
-        taken = {c.lower() for c in docs.columns} | {x.lower() for x in out}
-        fresh = lambda x: x if x not in taken else fresh(x + "_")
-        self.text, self.source, self.lang, self.chars = (fresh(f"__{x}") for x in ("text", "source", "lang", "chars"))
+        self.text, self.source, self.lang, self.chars = fresh([*docs.columns, *out], "__text", "__source", "__lang", "__chars")
 
     def views(self):
         return self.text, self.source, self.lang, self.chars
@@ -156,14 +156,17 @@ def _with_views(docs: DataFrame, names: _Names, text_col, source_col, lang_col)
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
     """A model of ``labels`` (id, 0 or 1) over the documents."""
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("double").alias("__y")).dropna().groupBy("__id").agg((F.avg("__y") >= 0.5).cast("int").alias("__y"))
-    hash_of = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1 << 20))
-    n, total = known.count(), docs.count()
-    own = known.filter(hash_of(F.col("__id"), 21) < math.ceil(min(1.0, labelled / max(1, n)) * (1 << 20)))
-    names = _Names(docs, ("__id", "__y"))
-    rows = _with_views(docs, names, text_col, source_col, lang_col).select(F.col(id_col).cast("long").alias("__id"), *names.views())
-    # LABELLED rows as expected, whatever the table's size: small enough to broadcast.
-    first = rows.join(F.broadcast(own), "__id").select("__id", "__y", *names.views())
-    others = rows.filter(hash_of(F.col("__id"), 22) < math.ceil(min(1.0, pool / max(1, total)) * (1 << 20))).join(F.broadcast(own), "__id", "left_anti").select("__id", F.lit(-1).alias("__y"), *names.views())
+    drawn = lambda seed, most, of, *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 20)) < math.ceil(min(1.0, most / max(1, of)) * (1 << 20))
+    own = known.filter(drawn(21, labelled, known.count(), F.col("__id")))
+    names = _Names(docs, ("__id", "__y", "__h"))
+    rows = _with_views(docs, names, text_col, source_col, lang_col).select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(names.text).alias("__h"), *names.views())
+    # LABELLED ids as expected, whatever the table's size: small enough to broadcast.
+    mine = rows.join(F.broadcast(own), "__id")
+    pairs = mine.select("__id", "__h").distinct().count()
+    first = mine.filter(drawn(23, labelled, pairs, "__id", "__h"))
+    others = rows.filter(drawn(22, pool, docs.count(), "__id", "__h")).join(F.broadcast(own.select("__id")), "__id", "left_anti").withColumn("__y", F.lit(-1))
+    # An id and text that many rows repeat counts once, before any of it moves.
+    once = lambda some: some.groupBy("__id", "__y", "__h").agg(F.min(F.struct(*names.views())).alias("__v")).select("__id", "__y", "__v.*")
 
     def run(batches):
         for part in slices(batches, names.text):
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in np.c_[a, b].astype("<f4")], pa.binary())], names=["id", "y", "x"])
 
     # Ordered, so that a fit is the same whatever order tasks end in.
-    found = sorted(((r["id"], r["y"], bytes(r["x"])) for r in first.unionByName(others).mapInArrow(run, "id long, y int, x binary").collect()), key=lambda r: (r[0] is not None, r))
+    found = sorted(((r["id"], r["y"], bytes(r["x"])) for r in once(first).unionByName(once(others)).mapInArrow(run, "id long, y int, x binary").collect()), key=lambda r: (r[0] is not None, r))
     x = np.array([np.frombuffer(r[2], "<f4") for r in found], dtype=np.float64).reshape(len(found), TEXT + META)
     y, fold = np.array([r[1] for r in found], dtype=np.int64), np.array([zlib.crc32(str(r[0]).encode()) % FOLD for r in found], dtype=np.int64)
     is_own, is_pool = y >= 0, y < 0
@@ -181,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: CoTrained, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", out: tuple[str, str, str, str] = ("quality_text", "quality_meta", "quality", "kept")) -> DataFrame:
     """``docs`` with four more columns ``out``: quality by the text, by the metadata and by both, and whether the row is kept."""
     names = _Names(docs, out)
-    shared, kept = docs.sparkSession.sparkContext.broadcast(model), [*docs.columns]
-    schema = type(docs.schema)([*docs.schema.fields])
+    shared, kept = docs.sparkSession.sparkContext.broadcast(model), [c for c in docs.columns if c.lower() not in {x.lower() for x in out}]
+    schema = type(docs.schema)([docs.schema[c] for c in kept])
     for c in out[:3]:
         schema = schema.add(c, "double")
     schema = schema.add(out[3], "boolean")
