@@ -78,12 +78,16 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int, id_col: str =
     path = new_path(spark, "topk")
     schema = "query_id long, rank int, id long, score double"
     for held in batched(asked.toLocalIterator(), block_rows):
-        _block(rows, held, longest, k).write.mode("append").parquet(path)
+        found, sent = _block(rows, held, longest, k)
+        found.write.mode("append").parquet(path)
+        for x in sent:
+            x.destroy()
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def _block(rows: DataFrame, held: list, longest: float, k: int) -> DataFrame:
+def _block(rows: DataFrame, held: list, longest: float, k: int) -> tuple[DataFrame, list]:
+    """The block's result, and the broadcasts that it needs until it is written."""
     spark = rows.sparkSession
     ids = np.array([r["id"] for r in held], dtype=np.int64)
     dims: dict[int, list[int]] = {}
@@ -123,6 +127,7 @@ def _block(rows: DataFrame, held: list, longest: float, k: int) -> DataFrame:
             top[r["q"]] = r["bin"]
             need[r["q"]] -= r["before"]
             loose += r["n"] > 4 * k
+        now.destroy()
         found = top >= 0
         low = np.where(found, low + top * width, low)
         # A hair of slack below keeps a value that rounding puts at the other side of an edge.
@@ -147,12 +152,8 @@ def _block(rows: DataFrame, held: list, longest: float, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), ids[q]), pa.int64()), pa.array(w, pa.int64()), pa.array(v, pa.float64())], names=["query_id", "id", "score"])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (
-        rows.mapInArrow(best, "query_id long, id long, score double")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "id", "score")
-    )
+    led = rows.mapInArrow(best, "query_id long, id long, score double").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return led.select("query_id", "rank", "id", "score"), [shared, floor]
 
 
 def quantised(vectors: DataFrame, vec_col: str = "embedding", scale: int = 256) -> DataFrame:
