@@ -1,11 +1,14 @@
 import hashlib
 import json
 import random
+import time
+from html.parser import HTMLParser
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.llm import chat, extract, warc
+from lodestone.llm.queries import op1_html_extract, table
 from pyspark.sql import functions as F
 
 NOISE = [
@@ -46,6 +49,70 @@ def test_odd_pages():
     assert extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000)[0] == "deep"
 
 
+def test_tags_by_the_rules():
+    for page, want in [
+        ("<article><p class=it's>Hello</p><p>World's end</p></article>", "Hello\n\nWorld's end"),
+        ('<p title="abc>text here</p>', ""), ('<p title="x"y">b', "b"), ("<p a='>'>b", "b"), ("<p a=>b", "b"), ("a < b <3 x</ y>z<", "a < b <3 xz<"),
+        ("<p>a<!-->b<!--->c<!-- d --!>e<!-- f", "abce"), ("x<? y >z<!w>", "xz"), ("<TEXTAREA></p></textareax></TextArea >q", "q"), ("<div hidden>x</div>y", "y"), ('<p style="Display : none">x</p>y', "y"),
+        ('<article><p class="social-science">a</p><section id="related-work"><p>b</p></section><h2 id="search">c</h2><div class="related">d</div></article>', "a\n\nb\n\nc\n\nd"),
+        ('<article><p>a</p><div class="related-posts"><a href=x>b</a></div><section id=comments>c</section><div class="sidebarLeft ad-box">d</div><p class=ad>e</p></article>', "a"),
+    ]:
+        assert extract.main_text(page)[0] == want, page
+
+
+def test_long_hostile_pages_take_linear_time():
+    n = 100_000
+    for page in ["<a " * n + '"', '<a x="' * n + '"', "<div>" * n + "</b>" * n, "<p>" + "<b>" * n + "<div>" * n, "<b><p>" * n, "<" * n, "<!--" * n, "<article>" + "<i>" * n + "</p>" * n, "<script>" * n, "<a " + " " * n, "&" * n]:
+        began = time.process_time()
+        extract.main_text(page)
+        assert time.process_time() - began < 20, page[:30]
+
+
+def test_the_whole_body_is_no_consensus():
+    page = "<body>menu words <article><p>One, two. three</p></article> tail</body>"
+    assert extract.main_text(page, ["body"]) == ("One, two. three", "body>article")
+    deep = "<div class=a>" * 200 + "<p>In, deep.</p>" + "</div>" * 200
+    text, path = extract.main_text(deep)
+    assert text == "In, deep." and path.startswith("#") and extract.main_text(deep, [path]) == (text, path)
+
+
+class Plain(HTMLParser):
+    """What stands in the article, by blocks, plainly."""
+
+    def __init__(self):
+        super().__init__()
+        self.on, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.on |= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.on &= tag != "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.on:
+            self.blocks[-1] += data
+
+
+def test_query_against_a_plain_reader(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        pages = {r["page_id"]: r for r in table(spark, sf, "pages").collect()}
+        got = op1_html_extract(spark, sf).collect()
+        assert sorted(r["page_id"] for r in got) == sorted(pages)
+        for r in got:
+            plain = Plain()
+            plain.feed(pages[r["page_id"]]["html"] or "")
+            plain.close()
+            want = "\n\n".join(x for x in (" ".join(b.split()) for b in plain.blocks) if x)
+            assert (r["text"], r["n_chars"], r["url"]) == (want, len(want), pages[r["page_id"]]["url"])
+
+
 def test_hosts_agree_on_a_path(spark):
     rng = random.Random(3)
     body = ["<p>Words, and more words, in this text.</p>"] * 3
@@ -84,6 +151,15 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.formatted(chat.canonical(table.limit(0), "conv_id", "turn"))).count() == 0
 
 
+def test_rows_keep_their_roles(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, 0, "model", "x" * 2_000_000), (2, 1, "bot", None)]
+    turns = chat.canonical(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "conv_id", "turn")
+    got = {r["id"]: r for r in chat.digests(chat.formatted(turns)).collect()}
+    for c in (1, 2):
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x or ''}\n" for k, _, r, x in rows if k == c).encode()).hexdigest()
+        assert got[c]["loss_chars"] == 0
+
+
 def test_layouts_by_fingerprint(spark):
     q, a = ("user", "Q"), ("assistant", "A")
     cases = [

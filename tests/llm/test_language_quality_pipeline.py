@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -114,6 +115,77 @@ def test_tables_meet_the_recall(n):
     assert 1 - (1 - (1 - simhash.expected(0.8)) ** bits) ** count >= 0.95
 
 
+def test_clashing_columns_nulls_and_long_texts_in_every_stage(spark):
+    own = ["language", "__row", "__id", "__h", "__a", "__kept", "__accepted", "__text", "n", "id", "component", "h"]
+    docs = table(spark, SF, "documents").limit(60)
+    for i, c in enumerate(own):
+        docs = docs.withColumn(c, F.lit(i))
+    long = "Some plain words, one after another, that run on. " * 40_000
+    extra = [(None, None, None, None, None), (10**6, "", "en", "s", 0), (10**6 + 1, long, "en", "s", len(long)), (10**6 + 1, long, "en", "s", len(long)), (None, "  \n", None, None, 3)]
+    more = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(more, allowMissingColumns=True).repartition(3)
+    rows = docs.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF).collect()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got and all(r in rows for r in got), name
+            assert stage(spark, docs.limit(0), SF).count() == 0
+        else:
+            assert len(got) == len(rows)
+    kept = simhash.deduplicated(docs).collect()
+    assert sum(r["doc_id"] == 10**6 + 1 for r in kept) == 1 and sum(r["doc_id"] is None for r in kept) == 1
+    named = language.identify(docs)
+    assert named.columns == [c for c in docs.columns if c != "language"] + ["language", "confidence", "accepted"] and named.count() == len(rows)
+
+
+def test_language_stage_against_brute_force(spark):
+    """The posterior by plain loops over the same likelihoods."""
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source")
+    rows = docs.collect()
+    declared = sorted({r["lang"].lower() for r in rows if r["lang"]})
+    counts = {x: sum((r["lang"] or "").lower() == x for r in rows) for x in declared}
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.lower("lang").alias("declared"))
+    model, size = language.fit(keyed, counts), len(declared) + 1
+    soft, logs = [], []
+    for r in rows:
+        log, n = language.likelihoods([r["text"] or ""], model)
+        log = [x + (0 if not r["lang"] else math.log(1 - language.WRONG) if k < size - 1 and declared[k] == r["lang"].lower() else math.log(language.WRONG / (size - 1))) for k, x in enumerate(log[0])]
+        e = [math.exp(x - max(log)) for x in log]
+        soft.append([x / sum(e) for x in e])
+        logs.append((log, int(n[0])))
+    total = [sum(p[k] for p in soft) + 1 for k in range(size)]
+    by_source = {}
+    for r, p in zip(rows, soft):
+        by_source.setdefault(r["source"], []).append(p)
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    for r, p, (log, n) in zip(rows, soft, logs):
+        host = [sum(q[k] for q in by_source[r["source"]]) - p[k] for k in range(size)]
+        # Sources here have no dot, so their suffix is that of all.
+        suffix = [t - 1 - x for t, x in zip(total, p)]
+        back = [(s + language.SMOOTH * t / sum(total)) / (sum(suffix) + language.SMOOTH) for s, t in zip(suffix, total)]
+        prior = [(h + language.SMOOTH * s) / (sum(host) + language.SMOOTH) for h, s in zip(host, back)]
+        post = [math.exp(x - max(log)) * max(h, 1e-12) for x, h in zip(log, prior)]
+        best = max(range(size), key=lambda k: post[k])
+        if n and max(log[:-1]) - log[-1] < math.log(size / language.CHANCE):
+            best = size - 1
+        own = got[r["doc_id"]]
+        assert own["language"] == [*declared, "other"][best]
+        assert abs(own["confidence"] - post[best] / sum(post)) < 1e-4 and own["accepted"] == (best < size - 1 and n > 0 and post[best] / sum(post) >= language.ACCEPT)
+
+
+def test_quality_against_plain_gradient_steps():
+    """The views' and the joint regression's optimum, found by small steps."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=200) > 0).astype(int)
+    model = quality.Logistic(x, y)
+    z = np.c_[np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8), np.ones(200)]
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w -= 0.01 * (z.T @ (1 / (1 + np.exp(-z @ w)) - y) + np.array([0.3, 0.3, 0.3, 1e-6]) * w)
+    assert np.abs(w - model.w).max() < 1e-3
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     kept, rows = docs, {r["doc_id"]: r for r in docs.collect()}
