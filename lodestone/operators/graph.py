@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..shared import shared_dir
 
-#: Edges that one task may search by itself.
-LOCAL = 1_000_000
+#: Edges that one task may search by itself; nodes of the longest cycles that are given unless more are asked for.
+LOCAL, LONGEST = 1_000_000, 8
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -172,22 +172,44 @@ def spread_components(edges: DataFrame) -> DataFrame:
     return empty if found is None else found
 
 
-def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
-    """(path): the elementary cycles of 2..longest nodes, each once and from its least node on. Only edges within a component are walked."""
+def _cycle_steps(edges: DataFrame, longest: int | None):
+    """(closed, open) for cycles of 2, 3, .. nodes: the paths that close, and those that go on; until none does, or up to ``longest``."""
     shared_dir(edges.sparkSession)
     member = components(edges)
     one = clean(edges).join(member.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
     e = one.filter("a = b").select("src", "dst").checkpoint()
-    step = e.filter("dst > src").select(F.col("src").alias("s"), F.col("dst").alias("c"), F.array("src", "dst").alias("path"))
-    found = None
-    for k in range(2, longest + 1):
+    step, k = e.filter("dst > src").select(F.col("src").alias("s"), F.col("dst").alias("c"), F.array("src", "dst").alias("path")), 2
+    while True:
         closed = step.join(e, (F.col("c") == F.col("src")) & (F.col("s") == F.col("dst")), "left_semi").select("path")
+        step = step.join(e, F.col("c") == F.col("src")).filter((F.col("dst") > F.col("s")) & ~F.array_contains("path", F.col("dst"))).select("s", F.col("dst").alias("c"), F.array_append("path", F.col("dst")).alias("path"))
+        if longest is None:
+            step = step.checkpoint()
+        yield closed, step
+        if k == longest or longest is None and step.isEmpty():
+            return
+        k += 1
+
+
+def cycles(edges: DataFrame, longest: int | None = LONGEST) -> DataFrame:
+    """(path): the elementary cycles of 2..``longest`` nodes, or of any length if that is None, each once and from its least node on.
+
+    Only edges within a component are walked. Cycles can be exponentially many, hence the limit; :func:`count_cycles` says
+    whether longer ones may be left out. Without a limit each length ends in a checkpoint.
+    """
+    found = None
+    for closed, _ in _cycle_steps(edges, longest):
         found = closed if found is None else found.unionByName(closed)
-        if k < longest:
-            step = step.join(e, F.col("c") == F.col("src")).filter((F.col("dst") > F.col("s")) & ~F.array_contains("path", F.col("dst"))).select("s", F.col("dst").alias("c"), F.array_append("path", F.col("dst")).alias("path"))
     return found
 
 
+def count_cycles(edges: DataFrame, longest: int | None = LONGEST) -> DataFrame:
+    """One row (cycles, truncated): how many :func:`cycles` gives, and whether a path within a component was still open at ``longest``."""
+    found = left = None
+    for closed, step in _cycle_steps(edges, longest):
+        found, left = closed if found is None else found.unionByName(closed), step
+    return found.agg(F.count("*").alias("cycles")).crossJoin(left.limit(1).agg((F.count("*") > 0).alias("truncated")))
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(node, neighbours): both directions, sorted."""
     both = clean(edges).select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("e"))

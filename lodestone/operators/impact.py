@@ -51,61 +51,54 @@ def function_impact(functions: DataFrame, file_calls: DataFrame) -> DataFrame:
     return found.select("file", "name", "callers", F.size("callers").cast("long").alias("n"))
 
 
-def blast_radius(edges: DataFrame, targets: DataFrame, functions: DataFrame, file_calls: DataFrame, kind: str = "modify") -> DataFrame:
-    """(target, direct, indirect, total, functions, callers, level, score) of a change of each of ``targets`` (target)."""
+def blast_radius(edges: DataFrame, targets: DataFrame, functions: DataFrame, calls: DataFrame, kind: str = "modify") -> DataFrame:
+    """(target, direct, indirect, total, functions, callers, level, score) of a change of each of ``targets`` (target).
+
+    ``calls`` are (file, callee). Only the targets' functions and calls of these names are looked at, and callers are counted
+    without a list of them.
+    """
     reached = graph.dependents(edges, targets, 3).filter("node <> target")
     counted = reached.groupBy("target").agg(F.count_if(F.expr("dist = 1")).alias("direct"), F.count_if(F.expr("dist > 1")).alias("indirect"))
-    impact = function_impact(functions, file_calls).join(targets.select(F.col("target").alias("file")), "file", "left_semi")
-    names = impact.groupBy(F.col("file").alias("target")).agg(F.count("*").alias("functions"))
-    callers = impact.select(F.col("file").alias("target"), F.explode("callers").alias("caller")).groupBy("target").agg(F.countDistinct("caller").alias("callers"))
+    own = functions.select(F.col("file").alias("target"), "name").distinct().join(targets.select("target").distinct(), "target", "left_semi")
+    names = own.groupBy("target").agg(F.count("*").alias("functions"))
+    called = calls.select("file", F.col("callee").alias("name")).distinct().join(own, "name").filter("file <> target")
+    callers = called.select("target", "file").distinct().groupBy("target").agg(F.count("*").alias("callers"))
     found = targets.select("target").join(counted, "target", "left").join(names, "target", "left").join(callers, "target", "left").na.fill(0)
     risk = rules.change_risk(F.lit(kind), F.col("direct"), F.col("indirect"), F.col("callers"), F.col("functions"))
     return found.withColumn("risk", risk).select("target", "direct", "indirect", (F.col("direct") + F.col("indirect")).alias("total"), "functions", "callers", "risk.level", "risk.score")
 
 
-def layered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: layers' sizes, whether they are in order, detected, confidence."""
-    c = nodes.select("node", patterns.classified(F.col("node"), patterns.LAYERED).alias("c"))
-    e = _classes(edges, c)
-    links = e.agg(F.count_if(F.expr("(a = 'presentation' AND b = 'business') OR (a = 'business' AND b = 'data')")).alias("links"))
-    n = c.agg(*[F.count_if(F.col("c") == x).alias(x) for x, *_ in patterns.LAYERED]).crossJoin(links)
-    layers = sum((F.when(F.col(x) > 0, 1).otherwise(0) for x, *_ in patterns.LAYERED), F.lit(0))
-    valid = (layers == 3) & (F.col("links") > 0)
-    return n.select(F.lit("layered").alias("pattern"), (layers == 3).alias("detected"), F.when(valid, 0.85).when(layers == 3, 0.6).when(layers == 2, 0.5).otherwise(0.0).cast("double").alias("confidence"), F.col("presentation").alias("n1"), F.col("business").alias("n2"), F.col("data").alias("n3"), F.when(layers == 3, F.col("links")).otherwise(0).cast("long").alias("links"))
-
-
-def _classes(edges: DataFrame, c: DataFrame) -> DataFrame:
-    """(a, b): the classes of each edge's ends."""
-    return edges.join(c.select(F.col("node").alias("src"), F.col("c").alias("a")), "src", "left").join(c.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst", "left").select("a", "b")
-
-
-def mvc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    c = nodes.select("node", patterns.classified(F.col("node"), patterns.MVC).alias("c"))
-    links = _classes(edges, c).agg(F.count_if(F.expr("a = 'controllers' AND b = 'models'")).alias("links"))
-    n = c.agg(*[F.count_if(F.col("c") == x).alias(f"n{i}") for i, x in enumerate(("controllers", "models", "views"), 1)]).crossJoin(links)
-    found = (F.col("n1") > 0) & (F.col("n2") > 0)
-    sure = F.when(~found, 0.0).when((F.col("n3") >= 2) & (F.col("links") > 0), 0.9).when(F.col("links") > 0, 0.75).otherwise(0.5)
-    return n.select(F.lit("mvc").alias("pattern"), found.alias("detected"), sure.cast("double").alias("confidence"), "n1", "n2", "n3", "links")
-
-
-def hexagonal(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``links`` counts the domain's edges to what is neither domain nor port; few of them mean that it is isolated."""
-    c = nodes.select("node", patterns.classified(F.col("node"), patterns.HEXAGONAL).alias("c"))
-    links = _classes(edges, c).agg(F.count_if(F.expr("a = 'domain' AND coalesce(b, '') NOT IN ('domain', 'ports')")).alias("links"))
-    n = c.agg(*[F.count_if(F.col("c") == x).alias(f"n{i}") for i, x in enumerate(("ports", "adapters", "domain"), 1)]).crossJoin(links)
-    found = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    sure = F.when(~found, 0.0).when(F.col("links") * 10 < F.col("n3") * 3, 0.8).otherwise(0.5)
-    return n.select(F.lit("hexagonal").alias("pattern"), found.alias("detected"), sure.cast("double").alias("confidence"), "n1", "n2", "n3", "links")
-
-
-def event_driven(nodes: DataFrame) -> DataFrame:
-    c = nodes.select(patterns.classified(F.col("node"), patterns.EVENTS).alias("c"))
-    n = c.agg(*[F.count_if(F.col("c") == x).alias(f"n{i}") for i, x in enumerate(("events", "publishers", "subscribers"), 1)])
-    found = (F.col("n1") > 0) & ((F.col("n2") > 0) | (F.col("n3") > 0))
-    sure = F.when(~found, 0.0).when((F.col("n2") >= 1) & (F.col("n3") >= 2), 0.75).otherwise(0.5)
-    return n.select(F.lit("event_driven").alias("pattern"), found.alias("detected"), sure.cast("double").alias("confidence"), "n1", "n2", "n3", F.lit(0).cast("long").alias("links"))
+#: The classes of each pattern, in the order of n1, n2, n3; the class pairs of edges that count as its links.
+_PATTERNS = {
+    "layered": (patterns.LAYERED, ("presentation", "business", "data"), "(a.{p} = 'presentation' AND b.{p} = 'business') OR (a.{p} = 'business' AND b.{p} = 'data')"),
+    "mvc": (patterns.MVC, ("controllers", "models", "views"), "a.{p} = 'controllers' AND b.{p} = 'models'"),
+    "hexagonal": (patterns.HEXAGONAL, ("ports", "adapters", "domain"), "a.{p} = 'domain' AND coalesce(b.{p}, '') NOT IN ('domain', 'ports')"),
+    "event_driven": (patterns.EVENTS, ("events", "publishers", "subscribers"), "FALSE"),
+}
 
 
 def detect_patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A row for each pattern: (pattern, detected, confidence, n1, n2, n3, links)."""
-    return layered(nodes, edges).unionByName(mvc(nodes, edges)).unionByName(hexagonal(nodes, edges)).unionByName(event_driven(nodes))
+    """A row for each pattern: (pattern, detected, confidence, n1, n2, n3, links).
+
+    Nodes are classified for all patterns at once, and one pass over the edges with the classes of both ends counts all
+    links. Those of a hexagonal architecture are the domain's edges to what is neither domain nor port; few of them mean
+    that it is isolated.
+    """
+    classes = nodes.select("node", F.struct(*[patterns.classified(F.col("node"), c).alias(p) for p, (c, _, _) in _PATTERNS.items()]).alias("c"))
+    ends = edges.join(classes.select(F.col("node").alias("src"), F.col("c").alias("a")), "src", "left").join(classes.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst", "left")
+    links = ends.agg(*[F.count_if(F.expr(rule.format(p=p))).alias(f"{p}_links") for p, (_, _, rule) in _PATTERNS.items()])
+    sizes = classes.agg(*[F.count_if(F.col(f"c.{p}") == x).alias(f"{p}_n{i}") for p, (_, names, _) in _PATTERNS.items() for i, x in enumerate(names, 1)])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), *[F.col(f"{p}_{c}").alias(c) for c in ("n1", "n2", "n3", "links")]) for p in _PATTERNS]))
+    rows = sizes.crossJoin(links).select(each.alias("r")).select("r.*")
+    n1, n2, n3, linked = (F.col(c) > 0 for c in ("n1", "n2", "n3", "links"))
+    layers = sum((c.cast("int") for c in (n1, n2, n3)), F.lit(0))
+    pick = lambda **by: F.coalesce(*[F.when(F.col("pattern") == p, x) for p, x in by.items()])
+    detected = pick(layered=layers == 3, mvc=n1 & n2, hexagonal=layers == 3, event_driven=n1 & (n2 | n3))
+    sure = pick(
+        layered=F.when((layers == 3) & linked, 0.85).when(layers == 3, 0.6).when(layers == 2, 0.5).otherwise(0.0),
+        mvc=F.when(~(n1 & n2), 0.0).when((F.col("n3") >= 2) & linked, 0.9).when(linked, 0.75).otherwise(0.5),
+        hexagonal=F.when(layers < 3, 0.0).when(F.col("links") * 10 < F.col("n3") * 3, 0.8).otherwise(0.5),
+        event_driven=F.when(~(n1 & (n2 | n3)), 0.0).when(n2 & (F.col("n3") >= 2), 0.75).otherwise(0.5),
+    )
+    counted = F.when((F.col("pattern") != "layered") | (layers == 3), F.col("links")).otherwise(F.lit(0).cast("long"))
+    return rows.select("pattern", detected.alias("detected"), sure.cast("double").alias("confidence"), "n1", "n2", "n3", counted.alias("links"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: Hits of a search, of a merged result, and what a structural hit adds (fixed values).
 HITS, MERGED, BOOST = 10, 5, 0.5
+#: Queries that are broadcast at once.
+BLOCK = 1024
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -14,15 +21,32 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def search(chunks: DataFrame, queries: DataFrame, n: int = HITS) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, n: int = HITS, block: int = BLOCK) -> DataFrame:
     """(query_id, id, distance, rank): the ``n`` nearest chunks (id, embedding) to each query (query_id, vector).
 
-    Queries are a few and are broadcast; distances are rounded to 6 places, ties go to the smaller id. The rank filter
-    keeps ``n`` rows of each query in every task before the shuffle.
+    Queries pass the driver in blocks of ``block``, which are broadcast; beyond one block, each block's hits are written before
+    the next is read. Distances are rounded to 6 places, ties go to the smaller id. The rank filter keeps ``n`` rows of each
+    query in every task before the shuffle.
     """
-    scored = chunks.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(cosine_distance(F.col("embedding"), F.col("vector")), 6).alias("distance"))
+    spark = chunks.sparkSession
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    asked = queries.select("query_id", "vector")
+
+    def hits(some: list) -> DataFrame:
+        own = F.broadcast(spark.createDataFrame(some, asked.schema))
+        scored = chunks.crossJoin(own).select("query_id", "id", F.round(cosine_distance(F.col("embedding"), F.col("vector")), 6).alias("distance"))
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+    rows = asked.toLocalIterator()
+    held = list(itertools.islice(rows, block))
+    following = list(itertools.islice(rows, block))
+    if not following:
+        return hits(held)
+    path = f"{shared_dir(spark)}/hits-{uuid.uuid4().hex}"
+    while held:
+        hits(held).write.mode("append").parquet(path)
+        held, following = following, list(itertools.islice(rows, block))
+    return spark.read.parquet(path)
 
 
 def merged(hits: DataFrame, structural: DataFrame, n: int = MERGED) -> DataFrame:

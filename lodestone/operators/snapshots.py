@@ -30,15 +30,38 @@ def edge_diff(first: DataFrame, second: DataFrame) -> DataFrame:
     return b.subtract(a).withColumn("status", F.lit("added")).unionByName(a.subtract(b).withColumn("status", F.lit("removed")))
 
 
-def compare(snapshots: DataFrame, files: DataFrame, first: str, second: str) -> DataFrame:
-    """One row: counts of changed files, differences of the metrics, risk areas, level and a summary. No row if a snapshot is missing."""
+def compare(snapshots: DataFrame, files: DataFrame, first: str, second: str, patterns: DataFrame | None = None, coupled: DataFrame | None = None) -> DataFrame:
+    """One row: counts of changed files, differences of the metrics, pattern changes, risk areas, level and a summary. No row if a snapshot is missing.
+
+    ``patterns`` (snapshot_id, pattern, detected, confidence) and ``coupled`` (snapshot_id, file), the highly coupled files, are
+    what snapshots hold besides their metrics; without them there are none. Risk areas are more than 10 files added, an average
+    coupling higher by more than 1, new cycles, and more highly coupled files.
+    """
     counted = file_diff(files, first, second).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "modified")])
     side = lambda s, c: snapshots.filter(F.col("snapshot_id") == s).select(*[F.coalesce(x, F.lit(0)).alias(f"{c}_{x}") for x in ("total_files", "total_deps", "avg_coupling", "cycle_count")])
     both = side(first, "a").crossJoin(side(second, "b")).crossJoin(counted)
     delta = lambda x: F.col(f"b_{x}") - F.col(f"a_{x}")
-    both = both.select("added", "removed", "modified", F.round(delta("avg_coupling"), 2).alias("coupling_delta"), delta("cycle_count").alias("cycle_delta"), delta("total_deps").alias("dependency_delta"), delta("total_files").alias("file_delta"))
-    areas = sum((F.when(c, 1).otherwise(0) for c in (F.col("added") > 10, F.col("coupling_delta") > 1.0, F.col("cycle_delta") > 0)), F.lit(0))
-    both = both.withColumn("risk_areas", areas)
+    if coupled is None:
+        both = both.withColumns({"high_coupling_before": F.lit(0).cast("long"), "high_coupling_after": F.lit(0).cast("long")})
+    else:
+        both = both.crossJoin(coupled.agg(F.count_if(F.col("snapshot_id") == first).alias("high_coupling_before"), F.count_if(F.col("snapshot_id") == second).alias("high_coupling_after")))
+    if patterns is None:
+        both = both.withColumn("pattern_changes", F.lit("").cast("string")).withColumn("changed_patterns", F.lit(0).cast("long"))
+    else:
+        own = lambda s: patterns.filter(F.col("snapshot_id") == s).select("pattern", "detected", "confidence")
+        text = F.array_join(F.array_sort(F.collect_list(F.concat("pattern", F.lit(": "), "change"))), "; ")
+        both = both.crossJoin(pattern_diff(own(first), own(second)).agg(text.alias("pattern_changes"), F.count("*").alias("changed_patterns")))
+    both = both.select("added", "removed", "modified", F.round(delta("avg_coupling"), 2).alias("coupling_delta"), delta("cycle_count").alias("cycle_delta"), delta("total_deps").alias("dependency_delta"), delta("total_files").alias("file_delta"), "high_coupling_before", "high_coupling_after", "pattern_changes", "changed_patterns")
+    more = F.col("high_coupling_after") - F.col("high_coupling_before")
+    areas = sum((F.when(c, 1).otherwise(0) for c in (F.col("added") > 10, F.col("coupling_delta") > 1.0, F.col("cycle_delta") > 0, more > 0)), F.lit(0))
+    said = F.concat_ws(
+        "; ",
+        F.when(F.col("added") > 10, F.concat(rules.signed(F.col("added")), F.lit(" files"))),
+        F.when(F.col("coupling_delta") > 1.0, F.format_string("coupling %+.2f", "coupling_delta")),
+        F.when(F.col("cycle_delta") > 0, F.concat(rules.signed(F.col("cycle_delta")), F.lit(" cycles"))),
+        F.when(more > 0, F.concat(rules.signed(more), F.lit(" highly coupled files"))),
+    )
+    both = both.withColumn("risk_areas", areas).withColumn("risks", said)
     return both.withColumn("level", rules.level(F.col("risk_areas"), (3, "high"), (1, "medium"))).withColumn("summary", summary())
 
 
@@ -53,6 +76,7 @@ def summary() -> Column:
         F.when(F.col("coupling_delta") > 0.5, "coupling increased").when(F.col("coupling_delta") < -0.5, "coupling decreased"),
         some("cycle_delta", "%d new cycles"),
         F.when(F.col("cycle_delta") < 0, F.format_string("%d cycles resolved", -F.col("cycle_delta").cast("long"))),
+        some("changed_patterns", "%d pattern changes"),
     )
     return F.when(said == "", "No significant changes detected").otherwise(said)
 
@@ -81,16 +105,20 @@ def pattern_diff(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.select("pattern", change.alias("change")).filter("change IS NOT NULL")
 
 
-def complete(snapshots: DataFrame, files: DataFrame) -> DataFrame:
-    """(snapshot_id, complete): whether a snapshot has metrics and files."""
+def complete(snapshots: DataFrame, files: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """(snapshot_id, complete): whether a snapshot has metrics, files and (where that table is given) patterns."""
     live = files.groupBy("snapshot_id").agg(F.count("*").alias("n"))
     whole = F.col("avg_coupling").isNotNull() & (F.coalesce("total_files", F.lit(0)) > 0) & (F.coalesce("n", F.lit(0)) > 0)
-    return snapshots.join(live, "snapshot_id", "left").select("snapshot_id", whole.alias("complete"))
+    rows = snapshots.join(live, "snapshot_id", "left")
+    if patterns is not None:
+        rows = rows.join(patterns.select("snapshot_id", F.lit(True).alias("described")).distinct(), "snapshot_id", "left")
+        whole = whole & F.coalesce("described", F.lit(False))
+    return rows.select("snapshot_id", whole.alias("complete"))
 
 
-def cached(snapshots: DataFrame, files: DataFrame, repositories: DataFrame) -> DataFrame:
+def cached(snapshots: DataFrame, files: DataFrame, repositories: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """The complete snapshots of their repositories' current commits."""
-    whole = complete(snapshots, files).filter("complete").select("snapshot_id")
+    whole = complete(snapshots, files, patterns).filter("complete").select("snapshot_id")
     now = repositories.select("repo_id", F.col("current_commit").alias("commit_hash"))
     return snapshots.join(whole, "snapshot_id", "left_semi").join(now, ["repo_id", "commit_hash"], "left_semi")
 
@@ -102,6 +130,12 @@ def preserved(files: DataFrame, already: DataFrame | None = None) -> DataFrame:
 
 
 def riskiest(risks: DataFrame, files: DataFrame, looked: int = 30, n: int = 10) -> DataFrame:
-    """(file, score, level) of the first ``looked`` changed files (file): the ``n`` of most risk, none without any."""
-    few = files.orderBy("file").limit(looked)
-    return risks.join(F.broadcast(few), "file", "left_semi").filter("score > 0").orderBy(F.desc("score"), "file").limit(n).select("file", "score", "level")
+    """(file, score, level) of the first ``looked`` changed files (file): the ``n`` of most risk, none without any.
+
+    A file that isn't among the risks goes by the first file of its name.
+    """
+    few = files.select("file").orderBy("file").limit(looked).withColumn("name", paths.name(F.col("file")))
+    known = risks.withColumn("name", paths.name(F.col("file"))).join(F.broadcast(few.select("name").distinct()), "name", "left_semi")
+    met = F.broadcast(few).join(known.select("name", F.col("file").alias("own"), "score", "level"), "name")
+    best = met.groupBy("file").agg(F.min_by(F.struct("score", "level"), F.struct(F.col("own") != F.col("file"), "own")).alias("r"))
+    return best.select("file", "r.score", "r.level").filter("score > 0").orderBy(F.desc("score"), "file").limit(n)

@@ -12,6 +12,12 @@ def commit_lineage(commits: DataFrame) -> DataFrame:
     return commits.select("repo_id", "commit_hash", F.lag("commit_hash").over(order).alias("previous")).filter("previous IS NOT NULL")
 
 
+def analysis_links(log: DataFrame) -> DataFrame:
+    """(repo_id, commit_hash, previous): each analysed commit and the one that was current before it, where they differ. ``log``: (repo_id, commit_hash, ts)."""
+    order = Window.partitionBy("repo_id").orderBy("ts", "commit_hash")
+    return log.withColumn("previous", F.lag("commit_hash").over(order)).filter("previous <> commit_hash").select("repo_id", "commit_hash", "previous").distinct()
+
+
 def file_history(versions: DataFrame) -> DataFrame:
     """The versions with the hash before them."""
     order = Window.partitionBy("repo_id", "file_path").orderBy("ts", "hash")
@@ -35,10 +41,14 @@ def contributors(versions: DataFrame) -> DataFrame:
 
 
 def tampered(versions: DataFrame, current: DataFrame) -> DataFrame:
-    """(file_path, status) of the files (file_path, hash) as they are now: not_tracked, tampered or intact."""
-    stored = latest(versions).select("file_path", F.col("hash").alias("stored"))
+    """``current`` files ([repo_id], file_path, hash) with their status now: not_tracked, tampered or intact.
+
+    Without a repository in ``current``, versions of all repositories count as one history.
+    """
+    key = ["repo_id", "file_path"] if "repo_id" in current.columns else ["file_path"]
+    stored = versions.groupBy(*key).agg(F.max_by("hash", F.struct("ts", "hash")).alias("stored"))
     status = F.when(F.col("stored").isNull(), "not_tracked").when(F.col("stored").eqNullSafe(F.col("hash")), "intact").otherwise("tampered")
-    return current.join(stored, "file_path", "left").select("file_path", status.alias("status"))
+    return current.join(stored, key, "left").select(*key, status.alias("status"))
 
 
 def new_versions(versions: DataFrame, scanned: DataFrame) -> DataFrame:
