@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,20 +20,29 @@ class Api:
     def __init__(self, spark: SparkSession, root: str, writer: reports.Writer | None = None):
         self.spark, self.store, self.writer = spark, Store(spark, root), writer
         self.jobs: dict[str, dict] = {}
+        self.texts: dict[tuple[str, str | None], dict[str, str]] = {}
 
     def _own(self, table: str, repo: str) -> DataFrame:
-        return self.store.read(table).filter(F.col("repo_id") == repo).drop("repo_id")
+        return self.store.read(table, repo).filter(F.col("repo_id") == repo).drop("repo_id")
 
     # Analyses and their state.
 
-    def analyze(self, url: str, workspace: str | None = None, root: str | None = None) -> str:
-        """Analyse a repository, cloned to ``workspace`` or already at ``root``; the job's id."""
+    def analyze(self, url: str, workspace: str | None = None, root: str | None = None, wait: bool = True) -> str:
+        """Analyse a repository, cloned to ``workspace`` or already at ``root``; the job's id. Without ``wait`` it goes on in a thread."""
         job = uuid.uuid4().hex
-        try:
-            where = root or str(git.clone(url, workspace))
-            self.jobs[job] = {"status": "completed", "result": analysis.analyze(self.spark, self.store, url, where)}
-        except Exception as error:
-            self.jobs[job] = {"status": "failed", "error": str(error)}
+        self.jobs[job] = {"status": "processing"}
+
+        def run():
+            try:
+                where = root or str(git.clone(url, workspace))
+                self.jobs[job] = {"status": "completed", "result": analysis.analyze(self.spark, self.store, url, where)}
+            except Exception as error:
+                self.jobs[job] = {"status": "failed", "error": str(error)}
+
+        if wait:
+            run()
+        else:
+            threading.Thread(target=run, daemon=True).start()
         return job
 
     def status(self, job: str) -> dict:
@@ -50,6 +60,27 @@ class Api:
         return analysis.rebuild(self.store, repo)["edges"]
 
     def architecture(self, repo: str) -> dict[str, str]:
+        """The description of a repository's current commit: the one in memory, else the one that is stored, else a new one, which is stored."""
+        commit = r["current_commit"] if (r := self._own_repository(repo).first()) else None
+        if (repo, commit) in self.texts:
+            return self.texts[repo, commit]
+        found = None
+        if commit and self.store.exists("architecture", repo):
+            found = self._own("architecture", repo).filter((F.col("commit_hash") == commit) & (F.trim("macro") != "")).orderBy(F.desc("ts")).first()
+        if found:
+            text = {c: found[c] for c in ("macro", "meso", "micro")}
+        else:
+            text = self._described(repo)
+            if commit and text["macro"].strip():
+                row = self.spark.createDataFrame([(repo, commit, text["macro"], text["meso"], text["micro"])], "repo_id string, commit_hash string, macro string, meso string, micro string")
+                self.store.upsert("architecture", row.withColumn("ts", F.current_timestamp()))
+        self.texts[repo, commit] = text
+        return text
+
+    def _own_repository(self, repo: str) -> DataFrame:
+        return self.store.read("repositories").filter(F.col("repo_id") == repo)
+
+    def _described(self, repo: str) -> dict[str, str]:
         state = analysis.rebuild(self.store, repo)
         e, f = state["edges"], state["files"]
         return reports.architecture_report(reports.architecture_stats(f, e), reports.graph_context(f, e), [r["code"] for r in self._own("code_chunks", repo).orderBy("id").limit(reports.HITS).collect()], self.writer)
@@ -77,8 +108,7 @@ class Api:
         """The blast radius of a change, its structural risk and a sentence on it."""
         state, file = analysis.rebuild(self.store, repo), self.resolve_path(repo, path)
         target = self.spark.createDataFrame([(file,)], "target string")
-        calls = resolve.resolve_calls(state["file_calls"], state["functions"])
-        found = impact.blast_radius(state["edges"], target, state["functions"], calls, kind)
+        found = impact.blast_radius(state["edges"], target, state["functions"], state["file_calls"], kind)
         risk = impact.risk_of(impact.structural_risk(state["edges"], state["files"].select(F.col("path").alias("node"))), target.select(F.col("target").alias("file"))).select(F.col("file").alias("target"), F.col("score").alias("structural_score"), F.col("level").alias("structural_level"))
         return found.join(risk, "target").withColumn("explanation", reports.impact_text(F.lit(kind), F.col("total"), F.col("level")))
 
@@ -86,15 +116,23 @@ class Api:
         return projections.dependencies_of(self.resolve_path(repo, path), self._own("imports", repo), self._edges(repo))
 
     def function(self, repo: str, name: str, content: DataFrame | None = None) -> DataFrame:
-        """(name, file, line, callers, usage_count, code): a function's definitions; the code if ``content`` (path, content) is given."""
+        """(name, file, line, callers, usage_count, related, code): a function's definitions.
+
+        Callers are functions as ``file::name``, and other files for calls outside any function.
+        Related are the ids of the nearest chunks. The code is there if ``content`` (path, content) is given.
+        """
         state = analysis.rebuild(self.store, repo)
-        calls = resolve.resolve_calls(state["file_calls"], state["functions"]).filter(F.col("name") == name)
-        callers = calls.groupBy(F.col("function_file").alias("file")).agg(F.array_sort(F.collect_set(F.when(F.col("file") != F.col("function_file"), F.col("file")))).alias("callers"))
-        own = state["functions"].filter(F.col("name") == name).join(callers, "file", "left")
-        own = own.select("name", "file", "line", F.coalesce("callers", F.array().cast("array<string>")).alias("callers")).withColumn("usage_count", F.size("callers"))
+        calls = state["function_calls"].filter(F.col("callee") == name).select(F.col("callee").alias("name"), "file", "caller")
+        by_file = state["file_calls"].filter(F.col("callee") == name).select(F.col("callee").alias("name"), "file")
+        merged = resolve.merged_callers(calls.distinct(), by_file).select("name", F.col("file").alias("from"), F.concat_ws("::", "file", "caller").alias("caller"))
+        own = state["functions"].filter(F.col("name") == name)
+        used = F.array_sort(F.collect_set(F.when(F.col("caller").contains("::") | (F.col("from") != F.col("file")), F.col("caller"))))
+        found = own.join(merged, "name", "left").groupBy("name", "file", "line").agg(used.alias("callers")).withColumn("usage_count", F.size("callers"))
+        related = self.search(repo, name).agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r")).select(F.slice("r.id", 1, reports.HITS).alias("related"))
+        found = found.crossJoin(related)
         if content is None:
-            return own
-        return own.join(content.select(F.col("path").alias("file"), "content"), "file", "left").withColumn("code", parser.body(F.col("content"), F.col("line"))).drop("content")
+            return found
+        return found.join(content.select(F.col("path").alias("file"), "content"), "file", "left").withColumn("code", parser.body(F.col("content"), F.col("line"))).drop("content")
 
     def search(self, repo: str, question: str, context: str | None = None) -> DataFrame:
         """The chunks nearest to a question, with those first that depend on the context file or that it depends on."""
@@ -124,12 +162,17 @@ class Api:
 
     def function_graph(self, repo: str) -> tuple[DataFrame, DataFrame]:
         state = analysis.rebuild(self.store, repo)
-        none = self.spark.createDataFrame([], "src string, dst string")
-        return projections.function_graph(state["functions"], resolve.resolve_calls(state["file_calls"], state["functions"]), none)
+        between = resolve.resolve_function_calls(state["function_calls"], state["functions"])
+        return projections.function_graph(state["functions"], resolve.resolve_calls(state["file_calls"], state["functions"]), between)
+
+    def function_closure(self, repo: str) -> DataFrame:
+        """(src, dst, dist): functions that a function reaches by up to five calls."""
+        return self._own("function_closure", repo)
 
     def call_chain(self, repo: str, name: str) -> DataFrame:
         state = analysis.rebuild(self.store, repo)
-        return projections.call_chain(name, state["functions"], resolve.resolve_calls(state["file_calls"], state["functions"]))
+        named = state["functions"].filter(F.col("name") == name)
+        return projections.call_chain(name, named, resolve.resolve_calls(state["file_calls"].filter(F.col("callee") == name), named))
 
     # Repositories, snapshots and history.
 
@@ -141,14 +184,41 @@ class Api:
         return snapshots.listing(self.store.read("snapshots").filter(F.col("repo_id") == repo), self.store.read("snapshot_files")).orderBy(F.desc("ordinal"))
 
     def delete_snapshot(self, snapshot: str) -> int:
-        self.store.delete("snapshot_files", snapshot_id=snapshot)
+        for table in ("snapshot_files", "snapshot_edges", "snapshot_patterns", "snapshot_coupling"):
+            self.store.delete(table, snapshot_id=snapshot)
         return self.store.delete("snapshots", snapshot_id=snapshot)
 
     def delete_repository(self, repo: str) -> int:
         return self.store.delete_repository(repo)
 
+    def _of(self, table: str, *snapshots_: str) -> DataFrame:
+        return self.store.read(table).filter(F.col("snapshot_id").isin(*snapshots_))
+
     def compare_snapshots(self, first: str, second: str) -> DataFrame:
-        return snapshots.compare(self.store.read("snapshots"), self.store.read("snapshot_files"), first, second)
+        return snapshots.compare(self.store.read("snapshots"), self._of("snapshot_files", first, second), first, second, self._of("snapshot_patterns", first, second), self._of("snapshot_coupling", first, second))
+
+    def changed_files(self, first: str, second: str) -> DataFrame:
+        return snapshots.file_diff(self._of("snapshot_files", first, second), first, second)
+
+    def changed_edges(self, first: str, second: str) -> DataFrame:
+        return snapshots.edge_diff(self._of("snapshot_edges", first), self._of("snapshot_edges", second))
+
+    def changed_patterns(self, first: str, second: str) -> DataFrame:
+        return snapshots.pattern_diff(self._of("snapshot_patterns", first), self._of("snapshot_patterns", second))
+
+    def riskiest_changes(self, repo: str, first: str, second: str) -> DataFrame:
+        """(file, score, level): of the files added or changed between two snapshots, those of most structural risk now."""
+        state = analysis.rebuild(self.store, repo)
+        risks = impact.structural_risk(state["edges"], state["files"].select(F.col("path").alias("node")).union(graph.nodes(state["edges"])).distinct())
+        return snapshots.riskiest(risks, self.changed_files(first, second).filter("status <> 'removed'").select(F.col("path").alias("file")))
+
+    def analysis_links(self, repo: str) -> DataFrame:
+        """(commit_hash, previous): analysed commits and the one that was current before."""
+        return versions.analysis_links(self.store.read("analysis_log", repo)).drop("repo_id")
+
+    def commit_state(self, repo: str, commit: str) -> tuple[DataFrame, DataFrame]:
+        """A commit's (dependencies, metrics), as they were when it was analysed."""
+        return analysis.commit_edges(self.store, repo, commit), analysis.commit_metrics(self.store, repo, commit)
 
     def compare_architecture(self, repo: str, first: str, second: str) -> DataFrame:
         return snapshots.compare_architecture(self.store.read("snapshots").filter(F.col("repo_id") == repo), first, second)
@@ -173,4 +243,4 @@ class Api:
         return versions.contributors(self._own("file_versions", repo))
 
     def check_integrity(self, repo: str, current: DataFrame) -> DataFrame:
-        return versions.tampered(self.store.read("file_versions").filter(F.col("repo_id") == repo), current)
+        return versions.tampered(self.store.read("file_versions", repo).filter(F.col("repo_id") == repo), current.withColumn("repo_id", F.lit(repo))).drop("repo_id")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, paths, rules
 from ..operators import confidence, graph, impact, projections, resolve, retrieval, snapshots, versions
-from ..sources import fixtures, parser
+from ..shared import shared_dir
+from ..sources import fixtures, git, parser
 from ..sources.fixtures import Fixtures
+from ..sources.store import Store
+from ..streaming import versions as stream
 from . import reports
 
 QUERIES, SQL = {}, {}
@@ -82,7 +87,9 @@ FROM ids JOIN f a ON a.file_id = s JOIN f b ON b.file_id = d UNION ALL SELECT pa
 view("fn", f"SELECT name, path AS file, arg_max(p_size, p_partkey) AS line FROM (SELECT 'fn_' || (p_partkey % {fixtures.FUNCTIONS}) AS name, p_partkey % n AS file_id, p_size, p_partkey FROM part, n) JOIN f USING (file_id) GROUP BY name, path", "n f")
 view("fc", f"SELECT DISTINCT path AS file, callee FROM (SELECT DISTINCT (l_suppkey * 7) % n AS file_id, 'fn_' || (l_partkey % {fixtures.FUNCTIONS}) AS callee FROM lineitem, n) JOIN f USING (file_id)", "n f")
 view("calls", "SELECT fc.file, name, fn.file AS function_file FROM fc JOIN fn ON callee = name", "fc fn")
-view("ff", f"SELECT 'fn_' || s AS caller, 'fn_' || d AS callee FROM ({_EDGES.format(nodes=f'(SELECT range AS s, {fixtures.CALL_NODES} AS n FROM range({fixtures.CALL_NODES}))')})")
+view("pe_", _EDGES.format(nodes="(SELECT p_partkey AS s, (SELECT count(*) FROM part) AS n FROM part)"))
+view("ff", f"SELECT path AS file, caller, callee FROM (SELECT DISTINCT s % n AS file_id, 'fn_' || (s % {fixtures.FUNCTIONS}) AS caller, 'fn_' || (d % {fixtures.FUNCTIONS}) AS callee FROM pe_, n) JOIN f USING (file_id)", "pe_ n f")
+view("fe", "SELECT DISTINCT a.file || '::' || a.name AS src, b.file || '::' || b.name AS dst FROM ff JOIN fn a ON caller = a.name AND ff.file = a.file JOIN fn b ON callee = b.name", "ff fn")
 view("deg", "SELECT node AS file, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node", "e")
 view("closure", "SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM closure JOIN e ON b = src", "e")
 view("nodes", "SELECT src AS node FROM e UNION SELECT dst FROM e", "e")
@@ -93,15 +100,15 @@ view("cuts", "SELECT * FROM (VALUES ('s1', '2024-01-10', '/tmp/r/src/', 1), ('s2
 view("sf", "SELECT snapshot_id, place || CASE WHEN snapshot_id = 's2' THEN replace(file_path, '/', '\\') ELSE file_path END AS path, 'src/' || file_path AS canonical, arg_max(hash, (ts, hash)) AS hash FROM v JOIN cuts ON commit_hash <= cut GROUP BY snapshot_id, place, file_path", "v cuts")
 view("s", "SELECT snapshot_id, cut AS commit_hash, count(*) AS total_files, count(*) * k * 2 AS total_deps, CAST(k * 1.25 AS DOUBLE) AS avg_coupling, k % 3 AS cycle_count FROM sf JOIN cuts USING (snapshot_id) GROUP BY snapshot_id, cut, k", "sf cuts")
 view("r", "SELECT substr(sha256(url), 1, 16) AS repo_id, name, url, n_nationkey FROM (SELECT 'https://example.org/' || lower(n_name) || '.git' AS url, n_name AS name, n_nationkey FROM nation)")
-# Shortest distances of up to three steps to each file with a number below 40.
-view("t", "SELECT path AS target FROM f WHERE file_id < 40", "f")
+# Shortest distances of up to three steps to each file.
+view("t", "SELECT path AS target FROM f", "f")
 view("walk", "SELECT DISTINCT target, src AS node, 1 AS dist FROM t JOIN e ON dst = target UNION SELECT DISTINCT target, src, dist + 1 FROM walk JOIN e ON dst = node WHERE dist < 3", "t e")
 view("reach", "SELECT target, node, min(dist) AS dist FROM walk GROUP BY target, node", "walk")
 view("imp_fn", "SELECT fn.file, fn.name, calls.file AS caller FROM fn LEFT JOIN calls ON calls.function_file = fn.file AND calls.name = fn.name AND calls.file <> fn.file", "fn calls")
 
 
 def targets(x: Fixtures) -> DataFrame:
-    return x.paths().filter("file_id < 40").select(F.col("path").alias("target"))
+    return x.paths().select(F.col("path").alias("target"))
 
 
 def typed(x: Fixtures) -> DataFrame:
@@ -184,8 +191,7 @@ SELECT target, direct, indirect, total, functions, callers, {level} AS level, CA
 
 def _register_blast(kind: str) -> None:
     def f(x):
-        calls = resolve.resolve_calls(x.file_calls(), x.functions())
-        return impact.blast_radius(x.edges(), targets(x), x.functions(), calls, kind)
+        return impact.blast_radius(x.edges(), targets(x), x.functions(), x.file_calls(), kind)
 
     f.__name__ = f"blast_radius_{kind}"
     query("t reach imp_fn", _blast(kind), True)(f)
@@ -201,18 +207,48 @@ def function_impact(x):
     return found.withColumn("callers", F.array_join("callers", ","))
 
 
-@query("ff", """WITH t AS (SELECT caller AS a, callee AS c, 1 AS d, [caller || '>' || callee] AS p FROM ff UNION ALL SELECT t.a, ff.callee, d + 1, list_append(p, ff.caller || '>' || ff.callee) FROM t JOIN ff ON t.c = ff.caller WHERE d < 5 AND NOT list_contains(p, ff.caller || '>' || ff.callee))
-SELECT a AS src, c AS dst, count(*) AS paths FROM t WHERE d BETWEEN 2 AND 5 GROUP BY a, c""", True)
+@query("pe_", """WITH t AS (SELECT s AS a, d AS c, 1 AS k, [s || '>' || d] AS p FROM pe_ UNION ALL SELECT t.a, pe_.d, k + 1, list_append(p, pe_.s || '>' || pe_.d) FROM t JOIN pe_ ON t.c = pe_.s WHERE k < 5 AND NOT list_contains(p, pe_.s || '>' || pe_.d))
+SELECT 'fn_' || a AS src, 'fn_' || c AS dst, count(*) AS paths FROM t WHERE k BETWEEN 2 AND 5 GROUP BY a, c""", True)
 def call_closure(x):
-    return graph.trails(x.function_calls().select(F.col("caller").alias("src"), F.col("callee").alias("dst")), 2, 5)
+    name = lambda c, to: F.concat(F.lit("fn_"), F.col(c).cast("string")).alias(to)
+    return graph.trails(x.part_edges().select(name("s", "src"), name("d", "dst")), 2, 5)
+
+
+@query("pe_", """WITH t AS (SELECT s AS a, d AS c, 1 AS k FROM pe_ UNION SELECT t.a, pe_.d, k + 1 FROM t JOIN pe_ ON t.c = pe_.s WHERE k < 5)
+SELECT 'fn_' || a AS src, 'fn_' || c AS dst, CAST(min(k) AS INTEGER) AS dist FROM t GROUP BY a, c""", True)
+def call_reachability(x):
+    name = lambda c, to: F.concat(F.lit("fn_"), F.col(c).cast("string")).alias(to)
+    e = x.part_edges().select(name("d", "src"), name("s", "dst"))
+    return graph.dependents(e, graph.nodes(e).select(F.col("node").alias("target")), 5).select(F.col("target").alias("src"), F.col("node").alias("dst"), "dist")
 
 
 _CYCLES = "WITH t AS (SELECT src AS s, dst AS c, [src] AS p FROM e UNION ALL SELECT t.s, e.dst, list_append(p, t.c) FROM t JOIN e ON t.c = e.src WHERE t.c > t.s AND len(p) < {k} AND NOT list_contains(p, t.c))"
 
 
-@query("e", _CYCLES.format(k=8) + "\nSELECT array_to_string(p, ' -> ') AS cycle, CAST(len(p) AS INTEGER) AS length FROM t WHERE c = s", True)
+# Edges within a component: those whose end leads back to their start.
+view("ec", "SELECT e.src, e.dst FROM e JOIN closure ON closure.a = e.dst AND closure.b = e.src", "e closure")
+view("tc", "SELECT src AS s, dst AS c, [src] AS p FROM ec UNION ALL SELECT tc.s, ec.dst, list_append(p, tc.c) FROM tc JOIN ec ON tc.c = ec.src WHERE tc.c > tc.s AND len(p) < 8 AND NOT list_contains(p, tc.c)", "ec")
+
+
+@query("tc", "SELECT array_to_string(p, ' -> ') AS cycle, CAST(len(p) AS INTEGER) AS length FROM tc WHERE c = s", True)
 def elementary_cycles(x):
-    return graph.cycles(x.edges(), 8).select(F.array_join("path", " -> ").alias("cycle"), F.size("path").alias("length"))
+    return graph.cycles(x.edges()).select(F.array_join("path", " -> ").alias("cycle"), F.size("path").alias("length"))
+
+
+view("cc", "SELECT count(*) FILTER (WHERE c = s) AS cycles, count(*) FILTER (WHERE c > s AND len(p) = 8 AND NOT list_contains(p, c)) > 0 AS truncated FROM tc", "tc")
+
+
+@query("cc", "SELECT * FROM cc", True)
+def cycle_count(x):
+    return graph.count_cycles(x.edges())
+
+
+@query("", """WITH be AS (SELECT DISTINCT s, b + d AS d FROM (SELECT doc_id AS s, doc_id - doc_id % 8 AS b, unnest([(3 * doc_id + 1) % 8, (5 * doc_id + 2) % 8, (7 * doc_id + 3) % 8]) AS d FROM documents) WHERE s <> b + d),
+t AS (SELECT s, d AS c, [s] AS p FROM be UNION ALL SELECT t.s, be.d, list_append(p, t.c) FROM t JOIN be ON t.c = be.s WHERE t.c > t.s AND NOT list_contains(p, t.c))
+SELECT array_to_string(p, ' -> ') AS cycle, CAST(len(p) AS INTEGER) AS length FROM t WHERE c = s""", True)
+def all_cycles(x):
+    """The cycles of any length of a graph that has edges within blocks of eight."""
+    return graph.cycles(x.block_edges(), None).select(F.array_join("path", " -> ").alias("cycle"), F.size("path").alias("length"))
 
 
 @query("e", _CYCLES.format(k=5) + "\nSELECT array_to_string(min(p), ' -> ') AS cycle FROM t WHERE c = s", True)
@@ -275,19 +311,19 @@ def call_resolution(x):
     return resolve.resolve_calls(x.file_calls(), x.functions())
 
 
-@query("ff fn", "SELECT DISTINCT a.file || '::' || a.name AS src, b.file || '::' || b.name AS dst FROM ff JOIN fn a ON caller = a.name JOIN fn b ON callee = b.name")
+@query("fe", "SELECT src, dst FROM fe")
 def function_call_resolution(x):
     return resolve.resolve_function_calls(x.function_calls(), x.functions())
 
 
 def _callers(x):
     own = x.functions().select(F.col("name").alias("caller"), "file")
-    by_function = x.function_calls().join(own, "caller").select(F.col("callee").alias("name"), "file", "caller")
+    by_function = x.function_calls().join(own, ["caller", "file"]).select(F.col("callee").alias("name"), "file", "caller")
     by_file = x.file_calls().select(F.col("callee").alias("name"), "file")
     return resolve.merged_callers(by_function, by_file)
 
 
-@query("ff fn fc", """WITH a AS (SELECT callee AS name, file, caller FROM ff JOIN fn ON fn.name = caller)
+@query("ff fn fc", """WITH a AS (SELECT callee AS name, ff.file, caller FROM ff JOIN fn ON fn.name = caller AND fn.file = ff.file)
 SELECT name, file, caller FROM a UNION ALL SELECT callee, file, NULL FROM fc WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.name = fc.callee AND a.file = fc.file)""")
 def function_callers(x):
     return _callers(x)
@@ -303,7 +339,7 @@ def file_graph_edges(x):
     return projections.file_graph(typed(x), x.paths())[1]
 
 
-view("fg", "SELECT DISTINCT file AS source, function_file || '::' || name AS target FROM calls WHERE file <> function_file UNION SELECT a.file || '::' || a.name, b.file || '::' || b.name FROM ff JOIN fn a ON caller = a.name JOIN fn b ON callee = b.name", "calls ff fn")
+view("fg", "SELECT DISTINCT file AS source, function_file || '::' || name AS target FROM calls WHERE file <> function_file UNION SELECT src, dst FROM fe", "calls fe")
 
 
 def _function_graph(x):
@@ -392,9 +428,6 @@ view("t5", _CYCLES.format(k=5)[11:-1], "e")
 VIEWS["t5"] = (VIEWS["t5"][0].replace("FROM t JOIN", "FROM t5 t JOIN"), "e")
 
 
-view("t8", VIEWS["t5"][0].replace("t5", "t8").replace("len(p) < 5", "len(p) < 8"), "e")
-
-
 @query("cl", "SELECT ord, claim, confidence, reasoning, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS bucket FROM cl", True)
 def confidence_claims(x):
     return _claims(x)
@@ -456,7 +489,7 @@ view("cur", "SELECT file_path, arg_max(hash, (ts, hash)) AS hash FROM v WHERE co
 
 @query("cur last", "SELECT cur.file_path, CASE WHEN last.hash IS NULL THEN 'not_tracked' WHEN last.hash = cur.hash THEN 'intact' ELSE 'tampered' END AS status FROM cur LEFT JOIN last USING (file_path)")
 def tamper_check(x):
-    return versions.tampered(x.versions(), _current(x))
+    return versions.tampered(x.versions(), _current(x).withColumn("repo_id", F.lit("main"))).drop("repo_id")
 
 
 @query("v cur", "SELECT file_path, hash FROM cur WHERE hash IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v WHERE v.file_path = cur.file_path AND v.hash = cur.hash AND v.commit_hash = '2024-01-15')")
@@ -488,6 +521,12 @@ def versions_listing(x):
     return versions.versions_listing(x.versions(), x.commits())
 
 
+@query("v", """SELECT DISTINCT 'u' || u AS repo_id, commit_hash, previous FROM (SELECT CAST(substr(author, 2) AS BIGINT) AS u, commit_hash, lag(commit_hash) OVER (PARTITION BY author ORDER BY ts, commit_hash) AS previous FROM v) WHERE previous <> commit_hash""")
+def analysis_links(x):
+    log = x.versions().select(F.col("author").alias("repo_id"), "commit_hash", "ts")
+    return versions.analysis_links(log)
+
+
 @query("", "SELECT conv_id, turn, sha256(coalesce(text, '')) AS hash, lag(sha256(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn, sha256(coalesce(text, ''))) AS previous_hash FROM conversations")
 def message_history(x):
     rows = x.raw("conversations").select(F.lit("chat").alias("repo_id"), F.col("conv_id").alias("file_path"), F.col("turn").alias("ts"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
@@ -515,12 +554,24 @@ def snapshot_file_diff(x):
     return snapshots.file_diff(x.snapshot_files(), "s1", "s2")
 
 
-@query("sd s", """WITH n AS (SELECT count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'modified') AS modified FROM sd),
-w AS (SELECT added, removed, modified, round(b.avg_coupling - a.avg_coupling, 2) AS coupling_delta, CAST(b.cycle_count - a.cycle_count AS BIGINT) AS cycle_delta, CAST(b.total_deps - a.total_deps AS BIGINT) AS dependency_delta, b.total_files - a.total_files AS file_delta FROM n, s a, s b WHERE a.snapshot_id = 's1' AND b.snapshot_id = 's2'),
-ra AS (SELECT *, CAST(added > 10 AS INT) + CAST(coupling_delta > 1.0 AS INT) + CAST(cycle_delta > 0 AS INT) AS risk_areas FROM w)
-SELECT *, CASE WHEN risk_areas >= 3 THEN 'high' WHEN risk_areas >= 1 THEN 'medium' ELSE 'low' END AS level, coalesce(nullif(concat_ws('; ', CASE WHEN added > 0 THEN added || ' files added' END, CASE WHEN removed > 0 THEN removed || ' files removed' END, CASE WHEN modified > 0 THEN modified || ' files modified' END, CASE WHEN coupling_delta > 0.5 THEN 'coupling increased' WHEN coupling_delta < -0.5 THEN 'coupling decreased' END, CASE WHEN cycle_delta > 0 THEN cycle_delta || ' new cycles' WHEN cycle_delta < 0 THEN (-cycle_delta) || ' cycles resolved' END), ''), 'No significant changes detected') AS summary FROM ra""")
+view("sp", "SELECT 's' || k AS snapshot_id, pattern, i < k AS detected, CASE WHEN i < k THEN round(0.3 + 0.2 * k, 2) ELSE 0 END AS confidence FROM (SELECT unnest([1, 2, 3]) AS k) CROSS JOIN (SELECT unnest([0, 1, 2]) AS i, unnest(['mvc', 'layered', 'event_driven']) AS pattern)")
+view("sc", "SELECT snapshot_id, path AS file FROM sf WHERE contains(substr('0123456789', 1, CAST(substr(snapshot_id, 2, 1) AS INTEGER)), substr(hash, 1, 1))", "sf")
+view("spd", "SELECT pattern, CASE WHEN NOT a.detected AND b.detected THEN 'newly_detected' WHEN a.detected AND NOT b.detected THEN 'no_longer_detected' WHEN a.detected AND b.detected AND abs(round(b.confidence - a.confidence, 2)) > 0.1 THEN 'confidence_changed: ' || printf('%+.2f', round(b.confidence - a.confidence, 2)) END AS change FROM (SELECT * FROM sp WHERE snapshot_id = 's1') a JOIN (SELECT * FROM sp WHERE snapshot_id = 's2') b USING (pattern)", "sp")
+
+
+@query("sd s sc spd", """WITH n AS (SELECT count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'modified') AS modified FROM sd),
+w AS (SELECT added, removed, modified, round(b.avg_coupling - a.avg_coupling, 2) AS coupling_delta, CAST(b.cycle_count - a.cycle_count AS BIGINT) AS cycle_delta, CAST(b.total_deps - a.total_deps AS BIGINT) AS dependency_delta, b.total_files - a.total_files AS file_delta, (SELECT count(*) FROM sc WHERE snapshot_id = 's1') AS high_coupling_before, (SELECT count(*) FROM sc WHERE snapshot_id = 's2') AS high_coupling_after,
+  (SELECT coalesce(string_agg(pattern || ': ' || change, '; ' ORDER BY pattern), '') FROM spd WHERE change IS NOT NULL) AS pattern_changes, (SELECT count(*) FROM spd WHERE change IS NOT NULL) AS changed_patterns FROM n, s a, s b WHERE a.snapshot_id = 's1' AND b.snapshot_id = 's2'),
+ra AS (SELECT *, CAST(added > 10 AS INT) + CAST(coupling_delta > 1.0 AS INT) + CAST(cycle_delta > 0 AS INT) + CAST(high_coupling_after > high_coupling_before AS INT) AS risk_areas,
+  concat_ws('; ', CASE WHEN added > 10 THEN printf('%+d', added) || ' files' END, CASE WHEN coupling_delta > 1.0 THEN 'coupling ' || printf('%+.2f', coupling_delta) END, CASE WHEN cycle_delta > 0 THEN printf('%+d', cycle_delta) || ' cycles' END, CASE WHEN high_coupling_after > high_coupling_before THEN printf('%+d', high_coupling_after - high_coupling_before) || ' highly coupled files' END) AS risks FROM w)
+SELECT *, CASE WHEN risk_areas >= 3 THEN 'high' WHEN risk_areas >= 1 THEN 'medium' ELSE 'low' END AS level, coalesce(nullif(concat_ws('; ', CASE WHEN added > 0 THEN added || ' files added' END, CASE WHEN removed > 0 THEN removed || ' files removed' END, CASE WHEN modified > 0 THEN modified || ' files modified' END, CASE WHEN coupling_delta > 0.5 THEN 'coupling increased' WHEN coupling_delta < -0.5 THEN 'coupling decreased' END, CASE WHEN cycle_delta > 0 THEN cycle_delta || ' new cycles' WHEN cycle_delta < 0 THEN (-cycle_delta) || ' cycles resolved' END, CASE WHEN changed_patterns > 0 THEN changed_patterns || ' pattern changes' END), ''), 'No significant changes detected') AS summary FROM ra""")
 def compare_snapshots(x):
-    return snapshots.compare(x.snapshots(), x.snapshot_files(), "s1", "s2")
+    return snapshots.compare(x.snapshots(), x.snapshot_files(), "s1", "s2", x.snapshot_patterns(), x.snapshot_coupling())
+
+
+@query("s sp sc", """SELECT snapshot_id, total_files > 0 AND (SELECT count(*) FROM sp WHERE sp.snapshot_id = s.snapshot_id) > 0 AS complete FROM s""")
+def described_snapshots(x):
+    return snapshots.complete(x.snapshots(), x.snapshot_files(), x.snapshot_patterns())
 
 
 @query("s", """WITH w AS (SELECT a.commit_hash AS before, b.commit_hash AS after, round(b.avg_coupling - a.avg_coupling, 2) AS coupling_delta, CAST(b.cycle_count - a.cycle_count AS BIGINT) AS cycle_delta, b.total_files - a.total_files AS file_delta FROM s a, s b WHERE a.snapshot_id = 's1' AND b.snapshot_id = 's3'),
@@ -573,10 +624,10 @@ def riskiest_changes(x):
     return snapshots.riskiest(impact.structural_risk(x.edges()), x.paths().filter("file_id % 3 = 0").select(F.col("path").alias("file")))
 
 
-@query("r", "SELECT repo_id, name, (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS file_count, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 10 = 0) AS version_count FROM r")
+@query("r", "SELECT repo_id, name, (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS file_count, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS version_count FROM r")
 def repositories_listing(x):
     files = x.raw("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.countDistinct("s_suppkey").alias("file_count"))
-    shots = x.raw("customer").filter("c_custkey % 10 = 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.countDistinct("c_custkey").alias("version_count"))
+    shots = x.raw("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.countDistinct("c_custkey").alias("version_count"))
     found = x.repositories().join(files, "n_nationkey", "left").join(shots, "n_nationkey", "left").na.fill(0, ["file_count", "version_count"])
     return found.select("repo_id", "name", "file_count", "version_count")
 
@@ -584,9 +635,10 @@ def repositories_listing(x):
 # Predicates, sets and paths.
 
 
-@query("f e", "SELECT path FROM f WHERE path NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
+@query("f ids", "SELECT path FROM f WHERE file_id NOT IN (SELECT s FROM ids WHERE rule > 0 UNION SELECT d FROM ids WHERE rule > 0)")
 def orphan_files(x):
-    return x.paths().select("path").join(graph.nodes(x.edges()).select(F.col("node").alias("path")), "path", "left_anti")
+    e = x.id_edges().filter("rule > 0").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    return x.paths().join(graph.nodes(e).select(F.col("node").alias("file_id")), "file_id", "left_anti").select("path")
 
 
 @query("f fn", "SELECT path FROM f WHERE path IN (SELECT file FROM fn)")
@@ -617,35 +669,76 @@ def included_paths(x):
     return x.raw("pages").select("page_id", "url").filter(paths.included(url) & ~F.array_contains(F.split(paths.forward(url), "/"), "fr"))
 
 
-@query("f", """WITH q AS (SELECT path AS asked FROM f WHERE file_id % 40 = 0 UNION ALL SELECT dir || '/' || split_part(path, '/', -1) FROM f WHERE file_id % 40 = 1 UNION ALL SELECT 'elsewhere/' || split_part(path, '/', -1) FROM f WHERE file_id % 40 = 2 UNION ALL SELECT 'no/such.py'),
+@query("f", """WITH q AS (SELECT path AS asked FROM f UNION ALL SELECT dir || '/' || split_part(path, '/', -1) FROM f UNION ALL SELECT 'elsewhere/' || split_part(path, '/', -1) FROM f UNION ALL SELECT 'no/such.py'),
 j AS (SELECT asked, path, CASE WHEN path = asked THEN 0 WHEN ends_with(path, asked) THEN 1 ELSE 2 END AS rank FROM q JOIN f ON split_part(path, '/', -1) = split_part(asked, '/', -1))
 SELECT asked, coalesce((SELECT arg_min(path, (rank, path)) FROM j WHERE j.asked = q.asked), asked) AS path FROM q""")
 def path_resolution(x):
     p = x.paths()
     name = paths.name(F.col("path"))
-    asked = p.filter("file_id % 40 = 0").select(F.col("path").alias("asked")).union(p.filter("file_id % 40 = 1").select(F.concat_ws("/", paths.parent(F.col("path")), name))).union(p.filter("file_id % 40 = 2").select(F.concat(F.lit("elsewhere/"), name))).union(x.spark.createDataFrame([("no/such.py",)], "asked string"))
+    asked = p.select(F.explode(F.array("path", F.concat_ws("/", paths.parent(F.col("path")), name), F.concat(F.lit("elsewhere/"), name))).alias("asked")).union(x.spark.createDataFrame([("no/such.py",)], "asked string"))
     return projections.resolved_path(asked, p)
 
 
 # Vectors.
 
 
-@query("", """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, vec_id AS id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS distance FROM embeddings, q)
+@query("", """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id AS id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS distance FROM embeddings, q)
 SELECT query_id, id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10""")
 def nearest_chunks(x):
     return retrieval.search(x.chunks(), _questions(x))
 
 
 def _questions(x):
-    return x.chunks().filter("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return x.chunks().filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-@query("", """WITH q AS (SELECT vec_id AS query_id, embedding AS v, label AS l FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, vec_id AS id, l, label, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS distance FROM embeddings, q), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10), z AS (SELECT query_id, id, round(1 - distance + CASE WHEN label = l AND id % 2 = 0 THEN 0.5 ELSE 0 END, 6) AS score FROM k)
+@query("", """WITH q AS (SELECT vec_id AS query_id, embedding AS v, label AS l FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id AS id, l, label, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS distance FROM embeddings, q), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10), z AS (SELECT query_id, id, round(1 - distance + CASE WHEN label = l THEN 0.5 ELSE 0 END, 6) AS score FROM k)
 SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
 def hybrid_retrieval(x):
-    q = x.chunks().filter("id < 5").select(F.col("id").alias("query_id"), "label")
-    near = x.chunks().filter("id % 2 = 0").join(F.broadcast(q), "label").select("query_id", "id")
-    return retrieval.merged(retrieval.search(x.chunks(), _questions(x)), near)
+    hits = retrieval.search(x.chunks(), _questions(x))
+    label = lambda c, to: x.chunks().select(F.col("id").alias(c), F.col("label").alias(to))
+    near = hits.join(label("id", "own"), "id").join(label("query_id", "asked"), "query_id").filter("own = asked").select("query_id", "id")
+    return retrieval.merged(hits, near)
+
+
+# Logs, the store and the stream.
+
+
+@query("v c", "SELECT c.commit_hash AS hash, c.author, 'subject of ' || c.commit_hash AS message, (SELECT string_agg(DISTINCT file_path, ',' ORDER BY file_path) FROM v WHERE v.commit_hash = c.commit_hash) AS files FROM c")
+def parsed_log(x):
+    """A log's lines, as git writes them, back to commits."""
+    part = git.PART.replace("%x00", "\0")
+    at = F.unix_timestamp("ts").cast("string")
+    heads = x.commits().select("commit_hash", F.lit("").alias("name"), F.concat(F.lit(git.MARK), F.concat_ws(part, "commit_hash", "author", "author", at, F.concat(F.lit("subject of "), "commit_hash"))).alias("line"))
+    files = x.versions().select("commit_hash", F.col("file_path").alias("name"), F.col("file_path").alias("line")).distinct()
+    lines = heads.union(files).withColumn("line_no", F.row_number().over(Window.orderBy("commit_hash", "name")))
+    return git.parse_log(lines.select("line_no", "line")).select("hash", "author", "message", F.array_join("files", ",").alias("files"))
+
+
+def _store(x) -> Store:
+    return Store(x.spark, f"{shared_dir(x.spark)}/store-{uuid.uuid4().hex}")
+
+
+@query("f", "SELECT 'r' || (file_id % 3) AS repo_id, path, CASE WHEN file_id % 2 = 0 THEN 'changed' ELSE 'first' END AS language FROM f WHERE file_id % 3 <> 1 UNION ALL SELECT 'r1', 'new/' || file_id, 'third' FROM f WHERE file_id % 3 = 1")
+def stored_files(x):
+    """Three repositories in the store: an upsert of some of their files, a repository deleted, and its part written anew."""
+    store, rows = _store(x), x.paths().select(F.concat(F.lit("r"), (F.col("file_id") % 3).cast("string")).alias("repo_id"), "path", F.lit("first").alias("language"), "file_id")
+    store.upsert("files", rows.drop("file_id"))
+    store.upsert("files", rows.filter("file_id % 2 = 0").withColumn("language", F.lit("changed")).drop("file_id"))
+    store.delete("files", repo_id="r1")
+    anew = rows.filter("repo_id = 'r1'").select("repo_id", F.concat(F.lit("new/"), F.col("file_id").cast("string")).alias("path"), F.lit("third").alias("language"))
+    store.append_new("files", anew)
+    store.append_new("files", anew)
+    return store.read("files").select("repo_id", "path", "language")
+
+
+@query("v", "SELECT DISTINCT file_path, hash, commit_hash FROM v")
+def tracked_versions(x):
+    """Versions that arrive as a stream, each in the store once."""
+    store, place = _store(x), f"{shared_dir(x.spark)}/stream-{uuid.uuid4().hex}"
+    x.versions().write.parquet(f"{place}/in")
+    stream.track(stream.unique(stream.read(x.spark, f"{place}/in")), store, f"{place}/state").awaitTermination()
+    return store.read("file_versions").select("file_path", "hash", "commit_hash")
 
 
 # Source files.
@@ -660,6 +753,17 @@ def _sources(x):
     return rows.select("path", F.lit("python").alias("language"), content.alias("content"))
 
 
+def _scripts(x):
+    """A small JavaScript file for each document, with strings, a template literal, a comment and a regular expression that hold quotes."""
+    n = lambda c: (c % fixtures.FUNCTIONS).cast("string")
+    i = F.col("file_id")
+    content = F.concat(
+        F.lit("import x from '"), fixtures._pick(fixtures.EXTERNAL, i), F.lit("';\nimport {\n"), F.repeat(F.lit("  a,\n"), 120), F.lit("} from \""), "stem", F.lit("\";\n// it's no call()\nclass C"), i.cast("string"),
+        F.lit(" {}\nfunction fn_"), n(i), F.lit("(x) {\n  const q = /[\"'/]+/g;\n  return `${fn_"), n(3 * i + 1), F.lit("(x)} not()`;\n}\nhelper('no()');\n"),
+    )
+    return x._ids().select("path", F.lit("javascript").alias("language"), content.alias("content"))
+
+
 _FN = f"'fn_' || (file_id % {fixtures.FUNCTIONS})"
 _CALL = f"'fn_' || ((3 * file_id + 1) % {fixtures.FUNCTIONS})"
 
@@ -679,6 +783,36 @@ def parsed_imports(x):
     return parser.tables(parser.parse(_sources(x)))["imports"]
 
 
+@query("f", "SELECT path AS file, 'C' || file_id AS name, 4 AS line FROM f")
+def parsed_classes(x):
+    return parser.tables(parser.parse(_sources(x)))["classes"]
+
+
+@query("f", f"SELECT path AS file, {_CALL} AS callee FROM f")
+def parsed_file_calls(x):
+    return parser.tables(parser.parse(_sources(x)))["file_calls"]
+
+
+@query("f", f"SELECT path AS file, {_FN} AS name, 126 AS line FROM f")
+def script_functions(x):
+    return parser.tables(parser.parse(_scripts(x)))["functions"]
+
+
+@query("f", f"SELECT path AS file, unnest([0, 1]) AS pos, unnest([{_pick(fixtures.EXTERNAL, 'file_id')}, stem]) AS module FROM f")
+def script_imports(x):
+    return parser.tables(parser.parse(_scripts(x)))["imports"]
+
+
+@query("f", f"SELECT path AS file, {_CALL} AS callee FROM f UNION ALL SELECT path, 'helper' FROM f")
+def script_file_calls(x):
+    return parser.tables(parser.parse(_scripts(x)))["file_calls"]
+
+
+@query("f", f"SELECT path AS file, {_FN} AS caller, {_CALL} AS callee FROM f")
+def script_calls(x):
+    return parser.tables(parser.parse(_scripts(x)))["function_calls"]
+
+
 @query("f", f"SELECT path AS file, 'File: ' || path || chr(10) || 'Class C' || file_id || ' at line 4' || chr(10) || 'Function ' || {_FN} || ' at line 7' || chr(10) || 'Imports: ' || {_pick(fixtures.EXTERNAL, 'file_id')} || ', ' || dir || ', ' || stem AS text FROM f")
 def embedding_texts(x):
     return retrieval.embedding_text(parser.parse(_sources(x)))
@@ -691,8 +825,7 @@ def function_bodies(x):
 
 @query("t reach imp_fn", f"SELECT target, 'MODIFY: Affects ' || total || ' files with ' || level || ' risk.' AS explanation FROM ({_blast('modify')})", True)
 def impact_explanations(x):
-    calls = resolve.resolve_calls(x.file_calls(), x.functions())
-    found = impact.blast_radius(x.edges(), targets(x), x.functions(), calls)
+    found = impact.blast_radius(x.edges(), targets(x), x.functions(), x.file_calls())
     return found.select("target", reports.impact_text(F.lit("modify"), F.col("total"), F.col("level")).alias("explanation"))
 
 
@@ -702,7 +835,7 @@ def graph_context(x):
     return reports.graph_context(x.paths(), x.edges())
 
 
-@query("f e nodes pat t8", """WITH d AS (SELECT dir, count(*) AS n FROM f GROUP BY dir ORDER BY n DESC, dir LIMIT 8), m AS (SELECT (SELECT count(*) FROM (SELECT path FROM f UNION SELECT node FROM nodes)) AS total_files, (SELECT count(*) FROM e) AS total_dependencies)
-SELECT total_files, total_dependencies, round(round(total_dependencies / greatest(total_files, 1), 6), 2) AS avg_coupling, (SELECT count(*) FROM t8 WHERE c = s) AS cycles, (SELECT string_agg(pattern, ', ' ORDER BY pattern) FROM pat WHERE detected) AS patterns, (SELECT string_agg(dir || ' (' || n || ')', ', ' ORDER BY n DESC, dir) FROM d) AS top_directories FROM m""", True)
+@query("f e nodes pat cc", """WITH d AS (SELECT dir, count(*) AS n FROM f GROUP BY dir ORDER BY n DESC, dir LIMIT 8), m AS (SELECT (SELECT count(*) FROM (SELECT path FROM f UNION SELECT node FROM nodes)) AS total_files, (SELECT count(*) FROM e) AS total_dependencies)
+SELECT total_files, total_dependencies, round(round(total_dependencies / greatest(total_files, 1), 6), 2) AS avg_coupling, (SELECT cycles FROM cc) AS cycles, (SELECT truncated FROM cc) AS cycles_truncated, (SELECT string_agg(pattern, ', ' ORDER BY pattern) FROM pat WHERE detected) AS patterns, (SELECT string_agg(dir || ' (' || n || ')', ', ' ORDER BY n DESC, dir) FROM d) AS top_directories FROM m""", True)
 def architecture_stats(x):
     return reports.architecture_stats(x.paths(), x.edges())

@@ -21,18 +21,18 @@ def impact_text(kind: Column, total: Column, level: Column) -> Column:
 
 
 def architecture_stats(files: DataFrame, edges: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
-    """One row (total_files, total_dependencies, avg_coupling, cycles, patterns, top_directories); from ``snapshot``'s metrics where there are no files."""
+    """One row (total_files, total_dependencies, avg_coupling, cycles, cycles_truncated, patterns, top_directories); from ``snapshot``'s metrics where there are no files."""
     every = files.select(F.col("path").alias("node"))
     found = impact.detect_patterns(graph.nodes(edges), edges).filter("detected").agg(F.array_join(F.array_sort(F.collect_list("pattern")), ", ").alias("patterns"))
     top = impact.directory_histogram(files, 8).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "dir"))), lambda x: F.format_string("%s (%d)", x["dir"], -x["n"])), ", ").alias("top_directories"))
     row = impact.coupling_metrics(edges, every).select("total_files", "total_dependencies", F.round("avg_coupling", 2).alias("avg_coupling"))
-    row = row.crossJoin(graph.cycles(edges, 8).agg(F.count("*").alias("cycles"))).crossJoin(found).crossJoin(top)
+    row = row.crossJoin(graph.count_cycles(edges).withColumnRenamed("truncated", "cycles_truncated")).crossJoin(found).crossJoin(top)
     if snapshot is None:
         return row
-    old = snapshot.limit(1).select(F.col("total_files").alias("f"), F.col("total_deps").alias("d"), F.col("avg_coupling").alias("a"), F.col("cycle_count").alias("c"))
+    old = snapshot.limit(1).select(F.col("total_files").alias("f"), F.col("total_deps").alias("d"), F.col("avg_coupling").alias("a"), F.col("cycle_count").alias("c"), (F.col("cycles_truncated") if "cycles_truncated" in snapshot.columns else F.lit(None).cast("boolean")).alias("t"))
     gone = F.col("total_files") == 0
     either = lambda new, o: F.when(gone, F.coalesce(o, new)).otherwise(F.col(new)).alias(new)
-    return row.join(old, F.lit(True), "left").select(either("total_files", F.col("f")), either("total_dependencies", F.col("d")), either("avg_coupling", F.col("a")), either("cycles", F.col("c")), "patterns", "top_directories")
+    return row.join(old, F.lit(True), "left").select(either("total_files", F.col("f")), either("total_dependencies", F.col("d")), either("avg_coupling", F.col("a")), either("cycles", F.col("c")), either("cycles_truncated", F.col("t")), "patterns", "top_directories")
 
 
 def graph_context(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def sections(text: str) -> dict[str, str]:
 def architecture_report(stats: DataFrame, context: DataFrame, evidence: list[str], writer: Writer | None = None) -> dict[str, str]:
     """Three sections; by ``writer`` from a prompt, else from the figures."""
     s, c = stats.first(), context.first()["text"]
-    figures = f"{s['total_files']} files with {s['total_dependencies']} dependencies (average {s['avg_coupling']:.2f}, {s['cycles']} cycles). Patterns: {s['patterns'] or 'none'}."
+    figures = f"{s['total_files']} files with {s['total_dependencies']} dependencies (average {s['avg_coupling']:.2f}, {s['cycles']} cycles{' of up to %d files' % graph.LONGEST if s['cycles_truncated'] else ''}). Patterns: {s['patterns'] or 'none'}."
     if writer is not None:
         return sections(writer(architecture_prompt(figures, c, evidence)))
     return {"macro": figures, "meso": f"Directories: {s['top_directories'] or 'none'}.", "micro": c}

@@ -10,7 +10,7 @@ DIRECTORIES = ["controllers", "services", "models", "views", "adapters", "domain
 STEMS = ["user_controller", "order_service", "item_model", "page_view", "db_adapter", "event_listener", "message_publisher", "helper", "repo_interface"]
 EXTENSIONS = [".py", ".py", ".js", ".java", ".py"]
 EXTERNAL = ["os", "react", "numpy", "lodash", "json"]
-FUNCTIONS, CALL_NODES = 1500, 200
+FUNCTIONS = 1500
 
 
 def _pick(values: list[str], i) -> F.Column:
@@ -69,6 +69,13 @@ class Fixtures:
         p = self.paths()
         return self.id_edges().join(p.select(F.col("file_id").alias("s"), F.col("path").alias("src")), "s").join(p.select(F.col("file_id").alias("d"), F.col("path").alias("dst")), "d").select("src", "dst")
 
+    def block_edges(self) -> DataFrame:
+        """(src, dst): edges between numbers of files, within blocks of eight."""
+        s = F.col("s")
+        rows = self.raw("documents").select(F.col("doc_id").alias("s"))
+        rows = rows.select("s", F.explode(F.array(*[s - s % 8 + (k * s + k // 2) % 8 for k in (3, 5, 7)])).alias("d"))
+        return rows.filter("s <> d").distinct().select(F.col("s").alias("src"), F.col("d").alias("dst"))
+
     def imports(self) -> DataFrame:
         """(file, pos, module): raw import strings, some of them external."""
         f = self._ids()
@@ -93,11 +100,17 @@ class Fixtures:
         rows = self.raw("lineitem").select((F.col("l_suppkey") * 7).alias("k"), (F.col("l_partkey") % FUNCTIONS).alias("f")).distinct().crossJoin(n)
         return rows.select((F.col("k") % F.col("n")).alias("file_id"), F.concat(F.lit("fn_"), F.col("f").cast("string")).alias("callee")).join(self.paths(), "file_id").select(F.col("path").alias("file"), "callee").distinct()
 
+    def part_edges(self) -> DataFrame:
+        """(rule, s, d): edges between the numbers of parts."""
+        part = self.raw("part")
+        return modular_edges(part.select(F.col("p_partkey").alias("s")), part.agg(F.count("*").alias("n")))
+
     def function_calls(self) -> DataFrame:
-        """(caller, callee): calls between functions, by name."""
-        nodes = self.spark.range(CALL_NODES).select(F.col("id").alias("s"))
-        e = modular_edges(nodes, self.spark.createDataFrame([(CALL_NODES,)], "n long"))
-        return e.select(F.concat(F.lit("fn_"), F.col("s").cast("string")).alias("caller"), F.concat(F.lit("fn_"), F.col("d").cast("string")).alias("callee"))
+        """(file, caller, callee): calls between functions, from the caller's file, by the callee's name."""
+        n = F.broadcast(self.raw("documents").agg(F.count("*").alias("n")))
+        name = lambda c: F.concat(F.lit("fn_"), (F.col(c) % FUNCTIONS).cast("string"))
+        rows = self.part_edges().crossJoin(n).select((F.col("s") % F.col("n")).alias("file_id"), name("s").alias("caller"), name("d").alias("callee")).distinct()
+        return rows.join(self.paths(), "file_id").select(F.col("path").alias("file"), "caller", "callee")
 
     def versions(self) -> DataFrame:
         """(repo_id, file_path, hash, commit_hash, ts, author)"""
@@ -122,6 +135,17 @@ class Fixtures:
         rows = cuts.join(counted, "snapshot_id")
         return rows.select("snapshot_id", F.lit("main").alias("repo_id"), "commit_hash", "total_files", (F.col("total_files") * F.col("k") * 2).alias("total_deps"), (F.col("k") * 1.25).cast("double").alias("avg_coupling"), (F.col("k") % 3).alias("cycle_count"))
 
+    def snapshot_patterns(self) -> DataFrame:
+        """(snapshot_id, pattern, detected, confidence): each a pattern more, surer by 0.2."""
+        rows = [(f"s{k}", p, i < k, 0.3 + 0.2 * k if i < k else 0.0) for k in (1, 2, 3) for i, p in enumerate(("mvc", "layered", "event_driven"))]
+        return self.spark.createDataFrame(rows, "snapshot_id string, pattern string, detected boolean, confidence double").withColumn("confidence", F.round("confidence", 2))
+
+    def snapshot_coupling(self) -> DataFrame:
+        """(snapshot_id, file): the files of a snapshot whose hash begins with one of k digits are highly coupled."""
+        rows = self.snapshot_files()
+        k = F.substring("snapshot_id", 2, 1).cast("int")
+        return rows.filter(F.instr(F.substring(F.lit("0123456789"), F.lit(1), k), F.substring("hash", 1, 1)) > 0).select("snapshot_id", F.col("path").alias("file"))
+
     def snapshot_files(self) -> DataFrame:
         """(snapshot_id, path, hash): each file's last version before the cut, below a place that differs by snapshot."""
         cuts = self.spark.createDataFrame([("s1", "2024-01-10", "/tmp/r/src/"), ("s2", "2024-01-20", "C:\\Users\\u\\r\\src\\"), ("s3", "2024-01-30", "/tmp/q/src/")], "snapshot_id string, cut string, place string")

@@ -53,21 +53,55 @@ def parse_python(source: str) -> dict:
 
 
 _JS = re.compile(
-    r"""//[^\n]*|/\*.*?(?:\*/|\Z)|`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][\w$]*|[{}()]|\n|\S""",
+    r"""[ \t\r\f\v]+|//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][\w$]*|\n|.""",
     re.DOTALL,
 )
+_JS_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^\\`$])*", re.DOTALL)
+_JS_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+# What a regular expression, rather than a division, follows.
+_JS_BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % > ~ ^ return typeof case in of delete void throw new do else yield await instanceof".split())
 # Words before a parenthesis that call nothing.
 _JS_WORDS = frozenset("if for while switch catch function return typeof await new super import with delete void in of case do else yield throw async".split())
 
 
+def _javascript_tokens(source: str) -> list[tuple[str, int]]:
+    """(token, line) without comments and white space. What stands in a template literal's braces is code; the rest of it is one token."""
+    out: list[tuple[str, int]] = []
+    line, at, text, braces = 1, 0, False, []
+    while at < len(source):
+        if text:
+            m = _JS_TEMPLATE.match(source, at)
+            line, at, text = line + m[0].count("\n"), m.end(), False
+            if source.startswith("${", at):
+                braces.append(0)
+                at += 2
+            else:
+                at += 1
+            continue
+        m = _JS.match(source, at)
+        if m[0] == "/" and (not out or out[-1][0] in _JS_BEFORE_REGEX):
+            m = _JS_REGEX.match(source, at) or m
+        t, at = m[0], m.end()
+        if braces and t in "{}":
+            if t == "}" and not braces[-1]:
+                braces.pop()
+                text = True
+                continue
+            braces[-1] += 1 if t == "{" else -1
+        text = t == "`"
+        if not t.isspace() and not t.startswith(("//", "/*")):
+            out.append((t, line))
+        line += t.count("\n")
+    return out
+
+
 def parse_javascript(source: str) -> dict:
     """Declared functions, imports with a string, and calls of names and of members."""
-    tokens, line = [], 1
-    for m in _JS.finditer(source):
-        t = m[0]
-        if not t.startswith(("//", "/*")) and not t.isspace():
-            tokens.append((t, line))
-        line += t.count("\n")
+    tokens = _javascript_tokens(source)
+    # Where the string or semicolon is that ends a statement begun at each token.
+    ends = [len(tokens)] * (len(tokens) + 1)
+    for i in range(len(tokens) - 1, -1, -1):
+        ends[i] = i if tokens[i][0] == ";" or tokens[i][0][0] in "\"'" else ends[i + 1]
     out = {k: [] for k in _EMPTY}
     open_functions: list[tuple[str, int, dict]] = []
     depth, pending = 0, None
@@ -90,12 +124,8 @@ def parse_javascript(source: str) -> dict:
                 out["function_to_function_calls"] += [{"caller": name, "callee": c} for c in callees]
             depth -= 1
         elif t == "import" and before != "." and after != "(":
-            for s, _ in tokens[i + 1 : i + 200]:
-                if s[0] in "\"'":
-                    out["imports"].append(s[1:-1])
-                    break
-                if s == ";":
-                    break
+            if ends[i] < len(tokens) and tokens[ends[i]][0] != ";":
+                out["imports"].append(tokens[ends[i]][0][1:-1])
         elif after == "(" and re.match(r"[A-Za-z_$]", t) and t not in _JS_WORDS and before not in ("function", "*"):
             out["function_calls"].append(t)
             for _, _, callees in open_functions:

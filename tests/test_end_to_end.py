@@ -1,5 +1,6 @@
 import os
 import subprocess
+import time
 
 import duckdb
 import pytest
@@ -78,16 +79,37 @@ def test_analysis_of_a_repository(spark, repository, tmp_path):
     assert hit["direct"] == 1 and hit["functions"] == 2 and hit["callers"] == 1 and hit["explanation"].startswith("DELETE: Affects 1 files")
     assert [r["name"] for r in api.functions(repo).collect()] == ["main", "place", "check"]
     own_function = api.function(repo, "place").first()
-    assert own_function["usage_count"] == 1 and api.call_chain(repo, "place").count() == 1
+    assert own_function["callers"] == [f"{root}/src/app_controller.py::main"] and len(own_function["related"]) == 3 and api.call_chain(repo, "place").count() == 1
+    service = f"{root}/src/services/order_service.py"
+    between = {(r["source"], r["target"]) for r in api.function_graph(repo)[1].collect()}
+    assert between >= {(f"{root}/src/app_controller.py::main", f"{service}::place"), (f"{service}::place", f"{service}::check")}
+    assert {(r["src"].rpartition(":")[2], r["dst"].rpartition(":")[2], r["dist"]) for r in api.function_closure(repo).collect()} == {("main", "place", 1), ("main", "check", 2), ("place", "check", 1)}
     assert api.search(repo, "order service place check", context="item_model.py").count() == 3
     assert {r["pattern"] for r in api.patterns(repo).filter("detected").collect()} >= {"mvc"}
     assert api.confidence_report(repo)[1].first()["total"] >= 1 and api.coupling(repo)[0].first()["total_files"] >= 3
-    assert "files with" in api.architecture(repo)["macro"] and api.repositories().first()["file_count"] == 3
+    text = api.architecture(repo)
+    assert "files with" in text["macro"] and Api(spark, str(tmp_path / "store"), writer=lambda _: "never asked").architecture(repo) == text and api.repositories().first()["file_count"] == 3
     assert api.dependencies(repo, "app_controller.py").first()["modules"] == ["os", "place", "services.order_service"]
     again = api.status(api.analyze(f"file://{repository}", root=root))["result"]
     assert again["cached"] and again["snapshot_id"] == state["result"]["snapshot_id"]
     snapshot = api.snapshots(repo).collect()
     assert [s["file_count"] for s in snapshot] == [3] and api.compare_snapshots(snapshot[0]["snapshot_id"], snapshot[0]["snapshot_id"]).first()["level"] == "low"
+    head = git.head(spark, root).first()["commit_hash"]
+    old_edges, old_metrics = api.commit_state(repo, head)
+    assert old_edges.count() >= 3 and old_metrics.first()["total_files"] >= 3 and api.commit_state(repo, "none")[1].count() == 0
+    with open(f"{root}/src/view_page.py", "w") as f:
+        f.write("import item_model\nimport app_controller\n")
+    later = api.analyze(f"file://{repository}", root=root, wait=False)
+    assert api.status(later)["status"] in ("processing", "completed")
+    while api.status(later)["status"] == "processing":
+        time.sleep(0.2)
+    later = api.status(later)["result"]
+    assert not later["cached"]
+    pair = state["result"]["snapshot_id"], later["snapshot_id"]
+    assert {r["status"] for r in api.changed_edges(*pair).collect()} == {"added"} and [r["status"] for r in api.changed_files(*pair).collect()] == ["added"]
+    assert api.compare_snapshots(*pair).first()["added"] == 1 and api.changed_patterns(*pair).columns == ["pattern", "change"]
+    assert [r["file"].rpartition("/")[2] for r in api.riskiest_changes(repo, *pair).collect()] == ["view_page.py"] and api.analysis_links(repo).count() == 0
+    assert api.delete_snapshot(later["snapshot_id"]) == 1
     assert api.import_git_history(repo, str(repository)) >= 3 and api.import_git_history(repo, str(repository)) == 0
     messages = [r["message"] for r in api.commits(repo).collect()]
     assert sorted(messages) == ["first | with a bar", "second"]

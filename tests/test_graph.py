@@ -53,6 +53,20 @@ def test_random_graphs(spark, seed):
     for x in names:
         walk([x])
     assert {tuple(r["path"]) for r in graph.cycles(e, 6).collect()} == cycles
+    every = set()
+
+    def further(path):
+        for a, b in plain:
+            if a == path[-1]:
+                if b == path[0]:
+                    every.add(tuple(path))
+                elif b > path[0] and b not in path:
+                    further([*path, b])
+
+    for x in names:
+        further([x])
+    assert {tuple(r["path"]) for r in graph.cycles(e, None).collect()} == every
+    assert tuple(graph.count_cycles(e, None).first()) == (len(every), False)
     reach = {x: set(reachable(plain, x, 12)) for x in names}
     member = {x: max(y for y in names if y == x or (y in reach[x] and x in reach[y])) for x in names if x in reach[x]}
     assert {r["node"]: r["component"] for r in graph.components(e).collect()} == member
@@ -82,6 +96,11 @@ def test_empty_graph(spark):
     assert impact.coupling_metrics(e, spark.createDataFrame([], "node string")).first()["avg_coupling"] == 0
 
 
+def test_a_limit_of_cycles_is_told(spark):
+    e = edge_table(spark, [(f"r{i:02d}", f"r{(i + 1) % 12:02d}") for i in range(12)] + [("a", "b"), ("b", "a")])
+    assert tuple(graph.count_cycles(e, 8).first()) == (1, True) and tuple(graph.count_cycles(e, 12).first()) == (2, False) and tuple(graph.count_cycles(e, None).first()) == (2, False)
+
+
 def test_trails_of_a_two_cycle(spark):
     got = {(r["src"], r["dst"]): r["paths"] for r in graph.trails(edge_table(spark, [("a", "b"), ("b", "a"), ("a", "c")]), 2, 5).collect()}
     assert got == {("a", "a"): 1, ("b", "b"): 1, ("b", "c"): 1, ("a", "c"): 1}
@@ -109,7 +128,7 @@ def test_high_coupling_threshold(spark):
 def test_blast_radius_counts(spark):
     e = edge_table(spark, [(f"d{i}", "t") for i in range(3)] + [("i1", "d0"), ("i2", "i1"), ("far", "i2"), ("t", "d0")])
     fns = spark.createDataFrame([("f", "t", 1), ("g", "t", 9)], "name string, file string, line int")
-    calls = spark.createDataFrame([("d0", "f", "t"), ("other", "f", "t"), ("t", "g", "t")], "file string, name string, function_file string")
+    calls = spark.createDataFrame([("d0", "f"), ("other", "f"), ("other", "f"), ("t", "g"), ("x", "unknown")], "file string, callee string")
     targets = spark.createDataFrame([("t",), ("nobody",)], "target string")
     got = {r["target"]: tuple(r)[1:] for r in impact.blast_radius(e, targets, fns, calls, "delete").collect()}
     assert got["t"] == (3, 2, 5, 2, 2, "critical", 100) and got["nobody"] == (0, 0, 0, 0, 0, "low", 0)

@@ -1,8 +1,11 @@
+import re
+
 import pytest
 
 from lodestone.functions import paths
 from lodestone.operators import projections, resolve, retrieval, snapshots, versions
 from lodestone.sources import parser
+from lodestone.sources.store import Store
 from pyspark.sql import functions as F
 
 
@@ -30,20 +33,25 @@ def test_path_parts(spark):
 
 
 def resolved_plainly(files, imports):
-    """First-match resolution with a dictionary, in scan order."""
-    order = sorted(files, key=lambda f: ([".py", ".js", ".java"].index(f[f.rindex(".") :]), f))
-    keys = {}
-    for f in order:
-        parts = ["/"] * f.startswith("/") + [x for x in f.split("/") if x]
-        stem = parts[-1].rpartition(".")[0]
-        tails = ["/".join(parts[i:]) for i in range(max(0, len(parts) - 3), len(parts))] if len(parts) >= 2 else []
-        for k in [stem, "./" + stem, "../" + stem, *(t.replace(".py", "").replace(".js", "").replace(".java", "") for t in tails)]:
-            keys[k] = f
-    out = set()
-    for file, module in imports:
-        hit = keys.get(module) or next((f for k, f in keys.items() if module.endswith(k) or k.endswith(module)), None)
-        out.add((file, hit, "imports") if hit and hit != file else (file, module, "external"))
-    return out
+    """By a list of all names in the order in which files are scanned."""
+    table = []
+    for ext in (".py", ".js", ".java"):
+        for path in sorted(f for f in files if f.endswith(ext)):
+            bare = path.rsplit("/", 1)[-1][: -len(ext)]
+            table += [(bare, path), (f"./{bare}", path), (f"../{bare}", path)]
+            pieces = re.findall(r"^/|[^/]+", path)
+            for k in (3, 2, 1):
+                if len(pieces) >= max(2, k):
+                    table.append((re.sub(r"\.(py|java|js)", "", "/".join(pieces[-k:])), path))
+    holder = dict(table)
+
+    def target(module):
+        if module in holder:
+            return holder[module]
+        fitting = [name for name, _ in table if module.endswith(name) or name.endswith(module)]
+        return holder[fitting[0]] if fitting else None
+
+    return {(file, module, "external") if target(module) in (None, file) else (file, target(module), "imports") for file, module in imports}
 
 
 def test_import_resolution(spark):
@@ -74,6 +82,8 @@ def test_versions(spark):
     assert {tuple(r) for r in versions.tampered(v, now).collect()} == {("a", "intact"), ("b", "tampered"), ("c", "not_tracked")}
     scanned = spark.createDataFrame([("r", "a", "h2", "c3"), ("r", "a", "h2", "c4"), ("r", "z", None, "c4")], "repo_id string, file_path string, hash string, commit_hash string")
     assert [r["commit_hash"] for r in versions.new_versions(v, scanned).collect()] == ["c4"]
+    elsewhere = now.limit(1).withColumn("repo_id", F.lit("other"))
+    assert [r["status"] for r in versions.tampered(v, elsewhere).collect()] == ["not_tracked"]
     ab = {tuple(r) for r in versions.compare_commits(v, "c2", "c3").collect()}
     ba = {tuple(r) for r in versions.compare_commits(v, "c3", "c2").collect()}
     assert ab == {("a", "modified"), ("b", "added")} and ba == {("a", "modified"), ("b", "removed")}
@@ -90,6 +100,14 @@ def test_snapshot_comparison(spark):
     assert row["summary"] == "11 files added; 1 files modified; coupling increased; 1 new cycles"
     same = snapshots.compare(s, f, "s1", "s1").first()
     assert same["summary"] == "No significant changes detected" and same["level"] == "low"
+    p = spark.createDataFrame([("s1", "mvc", True, 0.5), ("s2", "mvc", True, 0.9), ("s2", "layered", True, 0.6)], "snapshot_id string, pattern string, detected boolean, confidence double")
+    c = spark.createDataFrame([("s1", "a"), ("s2", "a"), ("s2", "b")], "snapshot_id string, file string")
+    full = snapshots.compare(s, f, "s1", "s2", p, c).first()
+    assert (full["risk_areas"], full["high_coupling_before"], full["high_coupling_after"]) == (4, 1, 2)
+    assert full["pattern_changes"] == "layered: newly_detected; mvc: confidence_changed: +0.40" and full["summary"].endswith("; 2 pattern changes")
+    assert full["risks"] == "+11 files; coupling +1.50; +1 cycles; +1 highly coupled files"
+    risks = spark.createDataFrame([("/r/src/f0.py", 40, "medium"), ("/r/a/f1.py", 90, "critical"), ("src/f1.py", 0, "low")], "file string, score long, level string")
+    assert [tuple(r) for r in snapshots.riskiest(risks, spark.createDataFrame([("src/f0.py",), ("src/f1.py",), ("gone",)], "file string")).collect()] == [("src/f0.py", 40, "medium")]
     assert snapshots.compare(s, f, "s1", "nope").count() == 0
     assert snapshots.compare_architecture(s, "abc", "abd").first()["level"] == "high"
 
@@ -134,6 +152,61 @@ const f = () => outer(1);
 """
 
 
+SCRIPT = """import {
+""" + "  a,\n" * 150 + """} from './many';
+const text = `x ${call(`in ${deep({ a: 1 })}`)} not()`;
+const rx = /[/"'`]no()/g, half = total() / 2 / more();
+function outer() { return /"no()'/.test(name()) ? `${inner()}` : "no()"; }
+import('lazy');
+"""
+
+
+def test_scripts_with_templates_and_regular_expressions():
+    got = parser.parse_javascript(SCRIPT)
+    assert got["imports"] == ["./many"]
+    assert got["function_calls"] == ["call", "deep", "total", "more", "test", "name", "inner"]
+    assert got["functions"] == [{"name": "outer", "line": 155}]
+    assert got["function_to_function_calls"] == [{"caller": "outer", "callee": c} for c in ("test", "name", "inner")]
+    assert parser.parse_javascript("`${a(`")["function_calls"] == ["a"] and parser.parse_javascript("x = a / b(1) / c(2)")["function_calls"] == ["b", "c"]
+
+
+def test_function_calls_from_their_own_file(spark):
+    calls = spark.createDataFrame([("a.py", "f", "g"), ("a.py", "f", "g")], "file string, caller string, callee string")
+    own = spark.createDataFrame([("f", "a.py"), ("f", "b.py"), ("g", "b.py"), ("g", "c.py")], "name string, file string")
+    assert sorted(map(tuple, resolve.resolve_function_calls(calls, own).collect())) == [("a.py::f", "b.py::g"), ("a.py::f", "c.py::g")]
+
+
+def test_search_in_blocks(spark):
+    chunks = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(30)], "id int, embedding array<float>")
+    q = spark.createDataFrame([(k, [1.0, k / 10]) for k in range(7)], "query_id int, vector array<float>")
+    whole = sorted(map(tuple, retrieval.search(chunks, q).collect()))
+    assert len(whole) == 70 and sorted(map(tuple, retrieval.search(chunks, q, block=2).collect())) == whole
+    assert retrieval.search(chunks, q.limit(0)).count() == 0
+
+
+def test_store_writes_parts(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = lambda *some: spark.createDataFrame(list(some), "repo_id string, path string, language string")
+    store.upsert("files", rows(("1", "a", "x"), ("2", "a", "x"), ("2", "a", "y")))
+    assert sorted(map(tuple, store.read("files").collect())) == [("1", "a", "x"), ("2", "a", "y")]
+    before = store._newest("files", store._part("files", "2"))
+    store.upsert("files", rows(("1", "a", "z"), ("1", "b", "x")))
+    assert store._newest("files", store._part("files", "2")) == before and store.read("files", "1").count() == 2
+    store.replace("files", "1", rows(("1", "c", "x")).limit(0))
+    assert store.read("files", "1").count() == 0 and store.read("files").count() == 1 and store.read("files", "none").count() == 0
+    assert store.append_new("files", rows(("2", "a", "q"), ("3", "n", "x"))) == 1 and store.delete("files", repo_id="2") == 1
+    store._claim("files", store._part("files", "3"), 2)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.upsert("files", rows(("3", "m", "x")))
+    store.vacuum("files", 1)
+    assert [r["repo_id"] for r in store.read("files").collect()] == ["3"]
+
+
+def test_analysis_links(spark):
+    log = spark.createDataFrame([("r", "c1", 1), ("r", "c1", 2), ("r", "c2", 3), ("r", "c1", 4), ("q", "c9", 1)], "repo_id string, commit_hash string, ts long")
+    assert sorted(map(tuple, versions.analysis_links(log).collect())) == [("r", "c1", "c2"), ("r", "c2", "c1")]
+
+
 def test_parser(spark):
     rows = [("a.py", "python", PYTHON), ("b.js", "javascript", JAVASCRIPT), ("c.java", "java", "class X {}"), ("d.py", "python", "def broken(:"), ("e.py", "python", None)]
     parsed = parser.parse(spark.createDataFrame(rows, "path string, language string, content string"))
