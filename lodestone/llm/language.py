@@ -14,7 +14,8 @@ clearly better than even chance does is OTHER, and not accepted.
 
 Defined cases: a null or empty text, or one without letters, has no likelihood;
 its posterior is that of the other evidence, and it is not accepted. Null
-declared languages and addresses are no evidence. Without any declared language
+declared languages and addresses are no evidence. Own columns with the names of
+the new ones give way to them. Without any declared language
 in the table, the language is null and nothing is accepted. Rows stay as they
 are, repeated ones too; an empty table gives an empty result.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import appended, slices
-from .common import written
+from .common import fresh, written
 
 #: Rows that trigram counts are fitted on, as expected; of a language at least, where it has them; the outcome of text that no language explains.
 SAMPLE, RARE, OTHER = 20_000, 200, "other"
@@ -43,8 +44,8 @@ BUCKETS, WEIGHT = 1 << 15, 60
 WRONG, SMOOTH = 0.02, 20.0
 #: The least posterior of an accepted row.
 ACCEPT = 0.5
-#: Priors, hosts by languages, that are broadcast at most; beyond it they are joined by a shuffle.
-BROADCAST_HOSTS = 100_000
+#: Bytes of priors (hosts by languages), or of languages' shares, that are broadcast at most; beyond it they are joined by a shuffle.
+BROADCAST = 8 << 20
 #: Bytes that are looked at at once.
 PIECE = 1 << 20
 
@@ -72,7 +73,8 @@ def fit(rows: DataFrame, counts: dict[str, int], sample: int = SAMPLE) -> list[t
     languages, total = list(counts), sum(counts.values())
     draws = [(x, i, int(min(1.0, max(sample / total, RARE / n)) * (1 << 20))) for i, (x, n) in enumerate(counts.items())]
     drawn = rows.sparkSession.createDataFrame(draws, "declared string, l int, draw int")
-    few = rows.join(drawn, "declared").filter(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 20)) < F.col("draw"))
+    small = sum(64 + len(x.encode()) for x in languages) <= BROADCAST
+    few = rows.join(F.broadcast(drawn) if small else drawn, "declared").filter(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 20)) < F.col("draw"))
 
     def count(batches):
         cells, n = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -121,15 +123,14 @@ def address_parts(address: Column) -> tuple[Column, Column]:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", address_col: str | None = "source", out: tuple[str, str, str] = ("language", "confidence", "accepted"), sample: int = SAMPLE) -> DataFrame:
     """``docs`` with three more columns ``out``: the language, its posterior, and whether the row is accepted."""
-    taken = {c.lower() for c in docs.columns} | {x.lower() for x in out}
-    fresh = lambda x: x if x not in taken else fresh(x + "_")
-    text, declared, host, suffix, key, priors = (fresh(f"__{x}") for x in ("text", "declared", "host", "suffix", "key", "priors"))
+    text, declared, host, suffix, key, priors = fresh([*docs.columns, *out], "__text", "__declared", "__host", "__suffix", "__key", "__priors")
+    kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in out}]
     address = address_parts(F.col(address_col) if address_col else F.lit(None))
     rows = docs.withColumns({text: F.coalesce(F.col(text_col).cast("string"), F.lit("")), declared: F.lower(F.col(declared_col).cast("string")) if declared_col else F.lit(None).cast("string"), host: address[0], suffix: address[1]})
     found = rows.filter(F.col(declared).isNotNull()).groupBy(declared).agg(F.count("*").alias("n")).orderBy(declared).collect()
     languages = [r[declared] for r in found]
     if not languages:
-        return docs.withColumns({out[0]: F.lit(None).cast("string"), out[1]: F.lit(None).cast("double"), out[2]: F.lit(False)})
+        return docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns({out[0]: F.lit(None).cast("string"), out[1]: F.lit(None).cast("double"), out[2]: F.lit(False)})
     model = fit(rows.select(F.xxhash64(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text"), F.col(declared).alias("declared")), {r[declared]: r["n"] for r in found}, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     size = len(model)
@@ -174,7 +175,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     # Sums are of decimals, so that they don't depend on the order of rows.
     each = F.sum(F.col("p").cast("decimal(24,6)")).cast("double").alias("p")
     counts = written(rows.select(host, suffix, text, declared).mapInArrow(soft, "host string, suffix string, i int, p double").groupBy("host", "suffix", "i").agg(each), "hosts")
-    few = counts.select("host").distinct().count() * size <= BROADCAST_HOSTS
+    few = (counts.agg(F.sum(96 + F.octet_length("host") + F.octet_length("suffix"))).first()[0] or 0) <= BROADCAST
     total = np.zeros(size)
     for r in counts.groupBy("i").agg(each).collect():
         total[r["i"]] = r["p"]
@@ -183,9 +184,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     by_suffix = counts.groupBy("suffix", "i").agg(each).groupBy("suffix").agg(vector("s"))
     named = counts.groupBy("host", "suffix").agg(vector("p")).join(by_suffix, "suffix").select(F.col("host").alias(host), F.struct("p", "s").alias(priors))
     joined = rows.join(F.broadcast(named) if few else named, host, "left")
-    kept = [*docs.columns]
     ordered = joined.select(*[F.col(f"`{c}`") for c in kept], text, declared, priors)
-    schema = type(docs.schema)([*docs.schema.fields]).add(out[0], "string").add(out[1], "double").add(out[2], "boolean")
+    schema = type(docs.schema)([docs.schema[c] for c in kept]).add(out[0], "string").add(out[1], "double").add(out[2], "boolean")
 
     def judge(batches):
         for part in parts(batches):

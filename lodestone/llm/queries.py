@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, by its text, its declared language and its source."""
-    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "language", "confidence", "accepted")
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "language", "confidence", "accepted")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
