@@ -38,6 +38,8 @@ LEAST = 1000
 LINES = 1000
 #: Gzip's level, and the stretch of an archive that one task reads.
 LEVEL, STRETCH = 5, 64 << 20
+#: Digests of repeated payloads that are broadcast at most; each is 20 bytes in hex and an id. More are joined by a shuffle.
+BROADCAST = 100_000
 #: Bytes between wanted records that are read along rather than skipped by a new request.
 GAP = 64 << 10
 DATE = "1970-01-01T00:00:00Z"
@@ -86,13 +88,16 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
     """(page, url, payload, digest, refers): the row that each row revisits, null for responses.
 
-    Ids of responses come from a grouped maximum, which is summed up before it is shuffled; Spark splits hot digests in the join.
+    Ids of responses come from a grouped maximum, which is summed up before it is shuffled. Payloads stay where they are, unless
+    there are too many repeated digests to broadcast; then Spark splits hot digests in the join.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least
     copied = rows.filter(large).groupBy("digest").agg(F.max("page").alias("best"), F.count("*").alias("n")).filter("n > 1").select("digest", "best", F.lit(True).alias("large"))
-    joined = rows.withColumn("large", large).join(copied, ["digest", "large"], "left")
+    copied = written(copied, "copied")
+    few = copied.count() <= BROADCAST
+    joined = rows.withColumn("large", large).join(F.broadcast(copied) if few else copied, ["digest", "large"], "left")
     return joined.select("page", "url", "payload", "digest", F.when(~F.coalesce(F.col("page") == F.col("best"), F.lit(False)), F.col("best")).alias("refers"))
 
 
