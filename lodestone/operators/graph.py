@@ -1,7 +1,7 @@
 """Traversals and graph algorithms over edge tables (src, dst).
 
 Loops run on the driver; their tables stay on the executors. Unbounded loops cut
-their lineage with checkpoints in the shared folder.
+their lineage with tables written to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import written
 
 #: Edges that one task may search by itself; nodes of the longest cycles that are given unless more are asked for.
 LOCAL, LONGEST = 1_000_000, 8
@@ -65,14 +65,13 @@ def trails(edges: DataFrame, low: int, high: int) -> DataFrame:
 
 def core(edges: DataFrame, each: int = 3) -> DataFrame:
     """The edges that are left when nodes without edges in or out are taken away again and again; all cycles are among them."""
-    shared_dir(edges.sparkSession)
-    now, n = clean(edges).checkpoint(), -1
+    now, n = written(clean(edges), "edges"), -1
     while (m := now.count()) != n:
         n = m
         for _ in range(each):
             now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             now = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        now = now.checkpoint()
+        now = written(now, "edges")
     return now
 
 
@@ -81,7 +80,7 @@ def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
     total = None
     while True:
         taken = values.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "color")
-        values = values.unionByName(taken).groupBy("node").agg(F.max("color").alias("color")).checkpoint()
+        values = written(values.unionByName(taken).groupBy("node").agg(F.max("color").alias("color")), "colors")
         seen = values.agg(F.sum(F.xxhash64("node", "color").cast("decimal(38,0)"))).first()[0]
         if seen == total:
             return values
@@ -133,8 +132,8 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     Up to ``local`` edges go through one depth-first search in one task, which saves the rounds; the count is checked first.
     Beyond it :func:`spread_components` does the work.
     """
-    own = clean(edges)
-    if own.limit(local + 1).count() > local:
+    own = written(clean(edges), "edges")
+    if own.count() > local:
         return spread_components(own)
     kind = dict(own.dtypes)["src"]
 
@@ -158,12 +157,12 @@ def spread_components(edges: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         color = _spread(nodes(rest).withColumn("color", F.col("node")), rest)
         same = rest.join(color.select(F.col("node").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst").filter("a = b").select("src", "dst", F.col("a").alias("color"))
-        reached = same.filter("dst = color").select(F.col("src").alias("node"), "color").distinct().checkpoint()
+        reached = written(same.filter("dst = color").select(F.col("src").alias("node"), "color").distinct(), "reached")
         size = -1
         while (n := reached.count()) != size:
             size = n
             more = same.join(reached.select(F.col("node").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("node"), "color")
-            reached = reached.unionByName(more).distinct().checkpoint()
+            reached = written(reached.unionByName(more).distinct(), "reached")
         one = reached.select("node", F.col("color").alias("component"))
         found = one if found is None else found.unionByName(one)
         gone = reached.select("node")
@@ -174,16 +173,15 @@ def spread_components(edges: DataFrame) -> DataFrame:
 
 def _cycle_steps(edges: DataFrame, longest: int | None):
     """(closed, open) for cycles of 2, 3, .. nodes: the paths that close, and those that go on; until none does, or up to ``longest``."""
-    shared_dir(edges.sparkSession)
     member = components(edges)
     one = clean(edges).join(member.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
-    e = one.filter("a = b").select("src", "dst").checkpoint()
+    e = written(one.filter("a = b").select("src", "dst"), "within")
     step, k = e.filter("dst > src").select(F.col("src").alias("s"), F.col("dst").alias("c"), F.array("src", "dst").alias("path")), 2
     while True:
         closed = step.join(e, (F.col("c") == F.col("src")) & (F.col("s") == F.col("dst")), "left_semi").select("path")
         step = step.join(e, F.col("c") == F.col("src")).filter((F.col("dst") > F.col("s")) & ~F.array_contains("path", F.col("dst"))).select("s", F.col("dst").alias("c"), F.array_append("path", F.col("dst")).alias("path"))
         if longest is None:
-            step = step.checkpoint()
+            step = written(step, "open")
         yield closed, step
         if k == longest or longest is None and step.isEmpty():
             return
@@ -194,7 +192,7 @@ def cycles(edges: DataFrame, longest: int | None = LONGEST) -> DataFrame:
     """(path): the elementary cycles of 2..``longest`` nodes, or of any length if that is None, each once and from its least node on.
 
     Only edges within a component are walked. Cycles can be exponentially many, hence the limit; :func:`count_cycles` says
-    whether longer ones may be left out. Without a limit each length ends in a checkpoint.
+    whether longer ones may be left out. Without a limit the open paths of each length are written.
     """
     found = None
     for closed, _ in _cycle_steps(edges, longest):
