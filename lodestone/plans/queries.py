@@ -618,10 +618,10 @@ def preserved_files(x):
     return found.select("snapshot_id", F.array_join(F.transform("files", lambda f: F.concat_ws("=", f["path"], f["hash"])), ",").alias("files"))
 
 
-@query("deg closure f", f"""WITH x AS (SELECT *, EXISTS (SELECT 1 FROM closure WHERE a = file AND b = file) AS in_cycle FROM deg), y AS (SELECT file, CAST(least({_RISK}, 100) AS BIGINT) AS score FROM x), few AS (SELECT path FROM f WHERE file_id % 3 = 0 ORDER BY path LIMIT 30)
+@query("deg closure f", f"""WITH x AS (SELECT *, EXISTS (SELECT 1 FROM closure WHERE a = file AND b = file) AS in_cycle FROM deg), y AS (SELECT file, CAST(least({_RISK}, 100) AS BIGINT) AS score FROM x), few AS (SELECT path FROM f ORDER BY path LIMIT 30)
 SELECT file, score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level FROM y WHERE file IN (SELECT path FROM few) AND score > 0 ORDER BY score DESC, file LIMIT 10""", True)
 def riskiest_changes(x):
-    return snapshots.riskiest(impact.structural_risk(x.edges()), x.paths().filter("file_id % 3 = 0").select(F.col("path").alias("file")))
+    return snapshots.riskiest(impact.structural_risk(x.edges()), x.paths().select(F.col("path").alias("file")))
 
 
 @query("r", "SELECT repo_id, name, (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS file_count, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS version_count FROM r")
