@@ -1,12 +1,16 @@
+import hashlib
 import math
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import language, quality, simhash
+from lodestone.llm import bpe, decontam, language, quality, simhash
+from lodestone.llm.common import written
 from lodestone.llm.queries import table
 
 SF = "/root/testdata/sf0.001"
@@ -203,3 +207,36 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in last) == sorted(r["doc_id"] for r in own) and len(last) == counts[4]
     items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
     assert not [r["doc_id"] for r in own if any(t in r["text"] for t in items)]
+
+
+def test_later_stages_against_brute_force(spark):
+    """Near copies by all pairs, leaks by the edit distance of all pairs, ids by the library; on what the first two stages keep."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = written(stages["language ID"](spark, stages["quality classifier"](spark, table(spark, SF, "documents"), SF), SF), "in")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    grams = [set(zip(*(r["text"].encode().lower().split()[i:] for i in range(5)))) or {tuple(r["text"].encode().lower().split())} for r in rows]
+    label = list(range(len(rows)))
+    for _ in range(8):
+        for i in range(len(rows)):
+            for j in range(i):
+                if label[i] != label[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    deduped = written(stages["SimHash near-dedup"](spark, docs, SF), "deduped")
+    assert sorted(r["doc_id"] for r in deduped.collect()) == [rows[i]["doc_id"] for i in sorted(set(label))]
+
+    items = [decontam.word_hashes([r["text"]])[0].view(np.int64) for r in table(spark, SF, "benchmark").collect()]
+    want = []
+    for r in deduped.collect():
+        words = decontam.word_hashes([r["text"]])[0].view(np.int64)
+        limit = lambda x: len(x) // 5 if len(x) >= 5 else 0
+        if not any(len(x) and decontam.edits(x, words)[0] <= limit(x) for x in items):
+            want.append(r["doc_id"])
+    clean = written(stages["benchmark decontamination"](spark, deduped, SF), "clean")
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(want) and len(want) < deduped.count()
+
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    got = {r["doc_id"]: tuple(r) for r in stages["byte-level BPE encoding and decoding"](spark, clean, SF).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for r in clean.collect():
+        ids = model.encode_ordinary(r["text"])
+        assert got[r["doc_id"]] == (r["doc_id"], len(ids), sha(np.array(ids, "<u4").tobytes()), sha(r["text"].encode()))
