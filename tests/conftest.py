@@ -1,17 +1,23 @@
+import shutil
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark():
+    folder = tempfile.mkdtemp(prefix="lodestone-tests-")
     found = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", f"file://{folder}")
         .getOrCreate()
     )
     found.sparkContext.setLogLevel("ERROR")
     yield found
     found.stop()
+    shutil.rmtree(folder, ignore_errors=True)

@@ -4,6 +4,7 @@ import pytest
 
 from lodestone.functions import paths
 from lodestone.operators import projections, resolve, retrieval, snapshots, versions
+from lodestone.shared import shared_dir
 from lodestone.sources import parser
 from lodestone.sources.store import Store
 from pyspark.sql import functions as F
@@ -202,6 +203,31 @@ def test_store_writes_parts(spark, tmp_path):
     assert [r["repo_id"] for r in store.read("files").collect()] == ["3"]
 
 
+def test_the_shared_folder(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    class Cluster:
+        """A session on a cluster without a folder."""
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            class _jsc:
+                class _Sc:
+                    class _None:
+                        isDefined = staticmethod(lambda: False)
+
+                    getCheckpointDir = staticmethod(lambda: Cluster.sparkContext._jsc._Sc._None)
+
+                sc = staticmethod(lambda: Cluster.sparkContext._jsc._Sc)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+
+
 def test_analysis_links(spark):
     log = spark.createDataFrame([("r", "c1", 1), ("r", "c1", 2), ("r", "c2", 3), ("r", "c1", 4), ("q", "c9", 1)], "repo_id string, commit_hash string, ts long")
     assert sorted(map(tuple, versions.analysis_links(log).collect())) == [("r", "c1", "c2"), ("r", "c2", "c1")]
