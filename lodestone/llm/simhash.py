@@ -25,12 +25,12 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .common import file_system, new_path, put_file, written
-from .components import components
+from .common import file_system, fresh, new_path, put_file, written
+from .components import components, hot_from, spread_join
 
 SEED, WORDS, RADIUS = 42, 3, 2
 #: Most fingerprints of a tree.
@@ -215,17 +215,25 @@ def link_shards(keyed: DataFrame, radius: int, shard: int = SHARD, finder: Calla
 
 
 def _named(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``prints`` with each fingerprint's component: the least id among the fingerprints that links reach."""
-    found = components(links)
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(rooted.join(least, "root").select("fp", "component"), "fp")
+    """``prints`` with each fingerprint's component: the least id among the fingerprints that links reach. ``nodes``: (fp, least, n).
+
+    Nodes are named by their own least id, null last, and the fingerprint, so a component's least node names it, and no group
+    has to meet in one task to find it.
+    """
+    names = nodes.select("fp", F.struct(F.col("least").isNull().alias("no"), F.col("least").alias("id"), "fp").alias("name"))
+    end = lambda c, name: names.select(F.col("fp").alias(c), F.col("name").alias(name))
+    found = components(links.join(end("a", "u"), "a").join(end("b", "v"), "b").select("u", "v"), "u", "v")
+    # Only nodes with a link are among those found.
+    rooted = found.filter("node.fp <> root.fp").select(F.col("node.fp").alias("fp"), F.col("root.id").alias("id"))
+    given = nodes.join(rooted, "fp", "left").select("fp", F.when(rooted["fp"].isNotNull(), F.col("id")).otherwise(F.col("least")).alias("component"), "n")
+    given, limit = written(given, "given"), hot_from(prints.count())
+    return spread_join(prints, given, "fp", None if given.filter(F.col("n") > limit).isEmpty() else limit)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS, shard: int = SHARD) -> DataFrame:
     """(id, fp, component): each document's fingerprint and the least id that links of ``radius`` bits or fewer reach."""
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     return _named(prints, nodes, link_fingerprints(nodes.select("fp"), radius, shard)).select("id", "fp", "component")
 
 
@@ -328,7 +336,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(name, pa.binary())], names=["id", "h", "fp", "name"])
 
     prints = written(rows.mapInArrow(run, "id long, h long, fp binary, name binary"), "fingerprints")
-    nodes = written(prints.groupBy("name").agg(F.first("fp").alias("fp"), F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("r")), "nodes")
+    nodes = written(prints.groupBy("name").agg(F.first("fp").alias("fp"), F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("r"), F.count("*").alias("n")), "nodes")
     several = nodes.groupBy("fp").agg(F.count("*").alias("n"))
     sampled, count = tables(nodes.count(), similarity)
     rng = np.random.default_rng(12)
@@ -373,20 +381,27 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return lambda own, asked, radius: verified(own, asked, radius, size, lambda x, y: sets.similar(x, y, similarity))
 
     links = link_shards(shards(once), radius, shard, finder)
-    named = _named(prints.select("id", "h", F.col("name").alias("fp")), nodes.select(F.col("name").alias("fp"), "least"), links)
+    named = _named(prints.select("id", "h", F.col("name").alias("fp")), nodes.select(F.col("name").alias("fp"), "least", "n"), links)
     return named.select("id", "h", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component of :func:`similar_documents`, the one with the least id (null first, then by the text's hash)."""
+    """The rows of ``docs`` that stay: of each component of :func:`similar_documents`, the one with the least id (null first, then by the text's hash).
+
+    Of rows with that id and text, the one with the least other columns stays. Other columns may have any names.
+    """
     found = similar_documents(docs, id_col, text_col, similarity, words)
-    kept = written(found.groupBy("component").agg(F.min(F.struct("id", "h")).alias("k"), F.count("*").alias("n")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"), "n"), "kept")
-    text = F.col(f"`{text_col}`").cast("string")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
-    rows = docs.join(kept.select("__id", "__h"), same, "left_semi")
-    # Rows repeated whole are dealt with only where there are any.
-    repeats = found.join(kept.filter("n > 1"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).groupBy("id", "h").agg(F.count("*").alias("n")).filter("n > 1")
-    if repeats.isEmpty():
-        return rows
-    order = Window.partitionBy(F.col(f"`{id_col}`"), F.xxhash64(text)).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return rows.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+    key, mark, row, n = fresh(docs.columns, "__id", "__h", "__row", "__n")
+    kept = written(found.groupBy("component").agg(F.min(F.struct("id", "h")).alias("k"), F.count("*").alias("n")).select(F.col("k.id").alias(key), F.col("k.h").alias(mark), F.col("n").alias(n)), "kept")
+    own = {key: F.col(f"`{id_col}`").cast("long"), mark: F.xxhash64(F.col(f"`{text_col}`").cast("string"))}
+    pairs = lambda a, b: a[key].eqNullSafe(b[key]) & (a[mark] == b[mark])
+    rows = docs.withColumns(own)
+    rows = rows.join(kept, pairs(rows, kept), "left_semi")
+    # Rows repeated whole are dealt with only where there are any; each task makes one of those that it has, so no group meets in one.
+    several = found.select(F.col("id").alias(key), F.col("h").alias(mark))
+    several = several.join(kept.filter(F.col(n) > 1), pairs(several, kept), "left_semi").groupBy(key, mark).agg(F.count("*").alias(n)).filter(F.col(n) > 1)
+    if several.isEmpty():
+        return rows.select(docs.columns)
+    several = written(several, "repeated")
+    once = rows.join(several, pairs(rows, several), "left_semi").groupBy(key, mark).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row)).select(f"{row}.*")
+    return rows.join(several, pairs(rows, several), "left_anti").select(docs.columns).unionByName(once)

@@ -4,6 +4,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodestone.llm import components as components_module
 from lodestone.llm import simhash
 from lodestone.llm.components import components
 
@@ -83,6 +84,16 @@ def test_cut_shards_lose_no_link(spark):
         assert sorted(sorted(g) for g in groups.values()) == want
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "HOT", 5)
+    edges = [(i, i + 1) for i in range(1, 12)] + [(100, 100 + i) for i in range(1, 60)] + [(300 + i, 400) for i in range(40)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 13)} | {100 + i: 100 for i in range(60)} | {300 + i: 300 for i in range(40)} | {400: 300}
+    docs = spark.createDataFrame([(i, "one and the same text" if i % 3 else f"text {i} of its own words {i}") for i in range(60)], "doc_id long, text string")
+    named = {r["id"]: r["component"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(named) == 60 and all(named[i] == (1 if i % 3 else named[i]) for i in named)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 70)] + [(1000, 1000 + i) for i in range(1, 90)] + [(5, 5), (7, None)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
