@@ -329,7 +329,9 @@ def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_paths(rows: DataFrame, keep: int = PATHS, support: float = SUPPORT) -> DataFrame:
     """(host, paths): each host's leading paths by pages that vote for them, then by score; the first, and others with enough votes."""
-    summed = rows.mapInArrow(votes, "host string, path string, score double").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score", 3).cast("decimal(20,3)")).alias("score"))
+    voted = rows.mapInArrow(votes, "host string, path string, score double")
+    # Written, as it is read twice and pages should be parsed once for it.
+    summed = written(voted.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score", 3).cast("decimal(20,3)")).alias("score")), "votes")
     order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
     led = summed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
     enough = (F.col("place") == 1) | (F.col("n") >= F.greatest(F.lit(2.0), support * F.col("pages")))
