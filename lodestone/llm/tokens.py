@@ -42,7 +42,7 @@ _MAGIC = b"LTOK1\0"
 #: Pieces that a worker remembers at least, and twice as many at most; bytes of the longest of them; pieces that go to the library at once.
 REMEMBERED, SHORT, AT_ONCE = 400_000, 48, 4096
 #: Rows that are encoded together at most, and bytes that are cut into pieces at once, but for a longer piece.
-ROWS, WINDOW = 8192, 8 << 20
+ROWS, WINDOW = 4096, 2 << 20
 #: Kinds of bytes: 0 for what may be anything, then white space, letters, digits, signs, and the apostrophe.
 _KIND = np.zeros(256, dtype=np.uint8)
 for _k, _own in enumerate((b"\t\n\x0b\x0c\r ", bytes(range(65, 91)) + bytes(range(97, 123)), b"0123456789", bytes(x for x in range(33, 127) if not chr(x).isalnum()), b"'"), 1):
