@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, extract, language, quality, simhash, tokens, topk, warc
+from . import bpe, chat, decontam, extract, language, quality, simhash, tokens, topk, warc, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,13 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return bpe.decode(coded, ranks).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in a vocabulary with word ends, and the text that they decode to, as digests."""
+    path = tokenizer("word_bpe_49k.json")
+    coded = wordbpe.decode(wordbpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -110,6 +117,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_topk": op9_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_word_bpe": op13_word_bpe,
     "pipeline": pipeline,
 }
 
