@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, extract, language, quality, simhash, tokens, topk, warc, wordbpe
+from . import bpe, chat, decontam, extract, language, merkle, quality, simhash, tokens, topk, warc, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +94,16 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return bpe.decode(coded, ranks).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in a manifest by language, and whether a table with lower-cased texts in places still fits it."""
+    docs, names = table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    now = F.when(changed, merkle.digest([lower if n == "text" else F.col(n) for n in names]))
+    rows = docs.select(F.col("lang").alias("grp"), F.col("doc_id").cast("long").alias("id"), merkle.digest([F.col(n) for n in names]).alias("leaf"), now.alias("now"))
+    return merkle.proofs(merkle.manifest(rows)).withColumnRenamed("id", "doc_id")
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in a vocabulary with word ends, and the text that they decode to, as digests."""
     path = tokenizer("word_bpe_49k.json")
@@ -117,6 +129,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_topk": op9_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_word_bpe": op13_word_bpe,
     "pipeline": pipeline,
 }
