@@ -63,12 +63,12 @@ def little(ids: list[int]) -> bytes:
 class Remembered:
     """Ids of pieces as little-endian bytes; those of short pieces met of late are kept."""
 
-    def __init__(self, encode: Callable[[list], Iterable]):
-        self.encode, self.known, self.older = encode, {}, {}
+    def __init__(self, encode: Callable[[list], Iterable], most: int = REMEMBERED):
+        self.encode, self.most, self.known, self.older = encode, most, {}, {}
 
     def __call__(self, pieces: list) -> list[bytes]:
         """The ids of each of the distinct pieces."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         out = list(map(known.get, pieces))

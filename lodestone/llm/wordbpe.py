@@ -38,12 +38,18 @@ from pyspark.sql import functions as F
 
 from .arrow import appended, slices
 from .common import fresh, written
-from .tokens import Remembered, little
+from .tokens import Remembered, byte_letters, little
 
 #: Characters of a leaf, leaves or nodes that a task joins, and characters at each side of a first window.
 LEAF, FAN, WINDOW = 1 << 14, 16, 128
+#: Pieces that a worker remembers at least, and twice as many at most; bytes of texts that are cut into pieces at once.
+REMEMBERED, AT_ONCE = 150_000, 1 << 20
 #: Ids (of one byte at least) next to an edge that say nothing about agreement: more than any rule of words looks over.
 MARGIN = 24
+#: Pieces of printable ASCII and letters of Latin-1 in composed form; their words in lower case; and the pattern of words as the file writes it, without which pieces aren't plain (fixed values).
+_plain = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+_words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class WordEncoder:
@@ -60,14 +66,34 @@ class WordEncoder:
             raise ValueError(f"{path} gives ids to white space")
         self.model, self.special = model, re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.reach = max(map(len, added), default=1)
-        self.pieces = Remembered(lambda pieces: [little(e.ids) for e in model.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+        self.letters, self.plain = byte_letters(), _WORDS in model.to_str()
+        self.pieces = Remembered(self._pieces, REMEMBERED)
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece. The words of plain pieces, which normalisation only makes lower-case, go to the library's merges at once, all else to the library as it is."""
+        merges, letters = self.model.model.tokenize, self.letters
+        out: list = [None] * len(pieces)
+        for i, p in enumerate(pieces):
+            if self.plain and _plain(p) and not (self.special and self.special.search(p.decode())):
+                out[i] = little([t.id for w in _words(p.decode().lower()) for t in merges(w.encode().decode("latin-1").translate(letters))])
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.model.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = little(e.ids)
+        return out
 
     def texts(self, raw: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8), as little-endian unsigned 32-bit integers; distinct pieces are encoded once."""
-        parts = [t.split() for t in raw]
-        pieces = list({x for p in parts for x in p})
-        get = dict(zip(pieces, self.pieces(pieces), strict=True)).__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out: list[bytes] = []
+        while len(out) < len(raw):
+            end, held = len(out) + 1, len(raw[len(out)])
+            while end < len(raw) and held + len(raw[end]) <= AT_ONCE:
+                held += len(raw[end])
+                end += 1
+            parts = [t.split() for t in raw[len(out) : end]]
+            pieces = list({x for p in parts for x in p})
+            get = dict(zip(pieces, self.pieces(pieces), strict=True)).__getitem__
+            out += [b"".join(map(get, p)) for p in parts]
+        return out
 
     def window(self, text: str) -> np.ndarray:
         """The ids of a short text."""
@@ -184,7 +210,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out: str = "
 
     def short(batches):
         model = word_encoder(tokenizer)
-        for part in slices(batches, text, 4096):
+        for part in slices(batches, text):
             raw = part.column(len(rest)).cast(pa.binary()).to_pylist()
             yield appended(part.select(rest), **{out: pa.array(model.texts(raw), pa.binary())})
 
