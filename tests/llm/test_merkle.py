@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,3 +121,6 @@ def test_the_query(spark):
     got = sorted(map(tuple, got.collect()), key=repr)
     assert got == plainly(rows)
     assert 0 < sum(r[-1] for r in got) < len(got)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    assert sorted(db.execute(queries.SQL["op11_merkle_manifest"]).fetchall(), key=repr) == got
