@@ -30,7 +30,7 @@ def analyze(spark: SparkSession, store: Store, url: str, root: str, commit: str
         commit = found["commit_hash"] if found else None
     if commit and store.exists("snapshots", repo) and not (with_git and git.dirty(root)):
         own = store.read("snapshots", repo)
-        whole = snapshots.complete(own, store.read("snapshot_files"), store.read("snapshot_patterns")).filter("complete")
+        whole = snapshots.complete(own, of_snapshots(store, "snapshot_files", own), of_snapshots(store, "snapshot_patterns", own)).filter("complete")
         hit = own.filter(F.col("commit_hash") == commit).join(whole, "snapshot_id", "left_semi").first()
         if hit:
             return {"repo_id": repo, "snapshot_id": hit["snapshot_id"], "cached": True}
@@ -72,6 +72,12 @@ def closure(called: DataFrame, calls: int = 5) -> DataFrame:
     return graph.dependents(back, called.select(F.col("src").alias("target")).distinct(), calls).select(F.col("target").alias("src"), F.col("node").alias("dst"), "dist")
 
 
+def of_snapshots(store: Store, table: str, own: DataFrame) -> DataFrame:
+    """The parts of a table that belong to these snapshots: a repository's list of them comes to the driver."""
+    names = [r[0] for r in own.select("snapshot_id").collect()]
+    return store.read(table, *names) if names else store.read(table).limit(0)
+
+
 def store_commit(store: Store, repo: str, commit: str, edges: DataFrame, metrics: DataFrame) -> None:
     """A commit's dependencies and its row of metrics, in place of what was stored for it."""
     mark = lambda df: df.withColumns({"repo_id": F.lit(repo), "commit_hash": F.lit(commit)})

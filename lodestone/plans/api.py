@@ -23,7 +23,7 @@ class Api:
         self.texts: dict[tuple[str, str | None], dict[str, str]] = {}
 
     def _own(self, table: str, repo: str) -> DataFrame:
-        return self.store.read(table, repo).filter(F.col("repo_id") == repo).drop("repo_id")
+        return self.store.read(table, repo).drop("repo_id")
 
     # Analyses and their state.
 
@@ -181,7 +181,8 @@ class Api:
         return self.store.read("repositories").join(count("files", "file_count"), "repo_id", "left").join(count("snapshots", "version_count"), "repo_id", "left").na.fill(0, ["file_count", "version_count"]).orderBy(F.desc("last_analyzed"), "repo_id")
 
     def snapshots(self, repo: str) -> DataFrame:
-        return snapshots.listing(self.store.read("snapshots").filter(F.col("repo_id") == repo), self.store.read("snapshot_files")).orderBy(F.desc("ordinal"))
+        own = self.store.read("snapshots", repo)
+        return snapshots.listing(own, analysis.of_snapshots(self.store, "snapshot_files", own)).orderBy(F.desc("ordinal"))
 
     def delete_snapshot(self, snapshot: str) -> int:
         for table in ("snapshot_files", "snapshot_edges", "snapshot_patterns", "snapshot_coupling"):
@@ -192,7 +193,7 @@ class Api:
         return self.store.delete_repository(repo)
 
     def _of(self, table: str, *snapshots_: str) -> DataFrame:
-        return self.store.read(table).filter(F.col("snapshot_id").isin(*snapshots_))
+        return self.store.read(table, *snapshots_)
 
     def compare_snapshots(self, first: str, second: str) -> DataFrame:
         return snapshots.compare(self.store.read("snapshots"), self._of("snapshot_files", first, second), first, second, self._of("snapshot_patterns", first, second), self._of("snapshot_coupling", first, second))
@@ -221,7 +222,7 @@ class Api:
         return analysis.commit_edges(self.store, repo, commit), analysis.commit_metrics(self.store, repo, commit)
 
     def compare_architecture(self, repo: str, first: str, second: str) -> DataFrame:
-        return snapshots.compare_architecture(self.store.read("snapshots").filter(F.col("repo_id") == repo), first, second)
+        return snapshots.compare_architecture(self.store.read("snapshots", repo), first, second)
 
     def commits(self, repo: str) -> DataFrame:
         return versions.commits_listing(self._own("commits", repo), self._own("file_versions", repo))
@@ -236,11 +237,11 @@ class Api:
         return versions.versions_listing(self._own("file_versions", repo), self._own("commits", repo))
 
     def file_history(self, repo: str, path: str) -> DataFrame:
-        own = self.store.read("file_versions").filter((F.col("repo_id") == repo) & F.col("file_path").endswith(path))
+        own = self.store.read("file_versions", repo).filter(F.col("file_path").endswith(path))
         return versions.file_history(own).orderBy(F.desc("ts"), "hash")
 
     def contributors(self, repo: str) -> DataFrame:
         return versions.contributors(self._own("file_versions", repo))
 
     def check_integrity(self, repo: str, current: DataFrame) -> DataFrame:
-        return versions.tampered(self.store.read("file_versions", repo).filter(F.col("repo_id") == repo), current.withColumn("repo_id", F.lit(repo))).drop("repo_id")
+        return versions.tampered(self.store.read("file_versions", repo), current.withColumn("repo_id", F.lit(repo))).drop("repo_id")

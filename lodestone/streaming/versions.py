@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..operators import versions
 from ..sources.store import Store
 
 
@@ -32,8 +31,7 @@ def track(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
 
     def batch(rows: DataFrame, _: int) -> None:
         rows.persist()  # a batch with state must not be computed twice
-        known = store.read("file_versions") if store.exists("file_versions") else None
-        store.append_new("file_versions", versions.new_versions(known, rows) if known is not None else rows)
+        store.append_new("file_versions", rows)
         rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import os
 import re
 
 import pytest
@@ -185,22 +186,92 @@ def test_search_in_blocks(spark):
     assert retrieval.search(chunks, q.limit(0)).count() == 0
 
 
+FILE_ROWS = "repo_id string, path string, language string"
+
+
 def test_store_writes_parts(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    rows = lambda *some: spark.createDataFrame(list(some), "repo_id string, path string, language string")
+    rows = lambda *some: spark.createDataFrame(list(some), FILE_ROWS)
+    with pytest.raises(FileNotFoundError):
+        store.read("files")
     store.upsert("files", rows(("1", "a", "x"), ("2", "a", "x"), ("2", "a", "y")))
     assert sorted(map(tuple, store.read("files").collect())) == [("1", "a", "x"), ("2", "a", "y")]
-    before = store._newest("files", store._part("files", "2"))
+    before = store._state("files")[1]["parts"][store._part("files", "2")]
     store.upsert("files", rows(("1", "a", "z"), ("1", "b", "x")))
-    assert store._newest("files", store._part("files", "2")) == before and store.read("files", "1").count() == 2
+    assert store._state("files")[1]["parts"][store._part("files", "2")] == before
+    assert sorted(map(tuple, store.read("files", "1").collect())) == [("1", "a", "z"), ("1", "b", "x")]
+    assert store.delete("files", repo_id="1", path="a") == 1 and [r["path"] for r in store.read("files", "1").collect()] == ["b"]
+    assert store.append_new("files", rows(("1", "a", "back"), ("1", "b", "no"))) == 1
+    assert sorted(map(tuple, store.read("files", "1").collect())) == [("1", "a", "back"), ("1", "b", "x")]
     store.replace("files", "1", rows(("1", "c", "x")).limit(0))
     assert store.read("files", "1").count() == 0 and store.read("files").count() == 1 and store.read("files", "none").count() == 0
+    assert store.exists("files", "1") and not store.exists("files", "none") and not store.exists("classes")
     assert store.append_new("files", rows(("2", "a", "q"), ("3", "n", "x"))) == 1 and store.delete("files", repo_id="2") == 1
-    store._claim("files", store._part("files", "3"), 2)
+    # Columns that come later are null before.
+    store.append_new("files", rows(("4", "w", "x")).withColumn("more", F.lit(1)))
+    assert sorted(map(tuple, store.read("files", "3", "4").collect())) == [("3", "n", "x", None), ("4", "w", "x", 1)]
+    store.vacuum("files", 0)
+    assert sorted(r["repo_id"] for r in store.read("files").collect()) == ["3", "4"]
+    assert sum(p.name.startswith("data-") for p in (tmp_path / "files").iterdir()) == 2
+
+
+def test_an_append_writes_its_own_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    data = lambda: {p: p.stat().st_size for p in (tmp_path / "files").rglob("*.parquet")}
+    many = spark.range(200_000).select(F.lit("r").alias("repo_id"), F.concat(F.lit("path"), F.sha2(F.col("id").cast("string"), 256)).alias("path"), F.lit("x").alias("language"))
+    store.upsert("files", many)
+    before = data()
+    for k in range(3):
+        assert store.append_new("files", spark.createDataFrame([("r", f"n{k}", "x"), ("r", "n0", "x")], FILE_ROWS)) == 1
+    store.upsert("files", spark.createDataFrame([("r", "n1", "y")], FILE_ROWS))
+    assert store.delete("files", repo_id="r", path="n2") == 1
+    new = {p: n for p, n in data().items() if p not in before}
+    assert len(new) == 5 and sum(new.values()) < sum(before.values()) / 100 and store.read("files").count() == 200_002
+    # Appended layers have new keys, so reading them shuffles nothing; covered ones are put over each other.
+    plan = store.read("files")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan
+    store.compact("files")
+    plan = store.read("files")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and store.read("files").filter("path = 'n1' and language = 'y'").count() == 1 and store.read("files").count() == 200_002
+
+
+def test_layers_are_merged_by_size(spark, tmp_path):
+    """Rows are written again about as often as the logarithm of their number says, and a part never has many layers."""
+    store, written, want = Store(spark, str(tmp_path)), 0, {}
+    for k in range(40):
+        rows = [("r", f"f{(k * 7 + j) % 50}", f"{k}") for j in range(3)]
+        want |= {r[1]: r[2] for r in rows}
+        store.upsert("files", spark.createDataFrame(rows, FILE_ROWS))
+        if k % 9 == 4:
+            gone = f"f{(k * 7 + 1) % 50}"
+            assert store.delete("files", repo_id="r", path=gone) == 1
+            want.pop(gone)
+        (layers,) = store._state("files")[1]["parts"].values()
+        assert len(layers) <= 8
+    assert {r["path"]: r["language"] for r in store.read("files").collect()} == want
+    assert any(p.name.endswith(".all") for p in (tmp_path / "files" / "log").iterdir())
+
+
+def test_writers_of_one_part_conflict(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = lambda *some: spark.createDataFrame(list(some), FILE_ROWS)
+    store.upsert("files", rows(("1", "a", "x"), ("2", "a", "x")))
+    base, state = store._state("files")
+    store.upsert("files", rows(("1", "b", "x")))
+    # A writer that began before: another part goes on top, the same part fails, and nothing is lost.
+    store._add("files", base, state, rows(("2", "b", "x")), True)
     with pytest.raises(RuntimeError, match="another writer"):
-        store.upsert("files", rows(("3", "m", "x")))
-    store.vacuum("files", 1)
-    assert [r["repo_id"] for r in store.read("files").collect()] == ["3"]
+        store._add("files", base, state, rows(("1", "c", "x")), True)
+    assert sorted((r["repo_id"], r["path"]) for r in store.read("files").collect()) == [("1", "a"), ("1", "b"), ("2", "a"), ("2", "b")]
+    # An entry whose writer is still at it is not read; one whose writer died is passed over.
+    entry = tmp_path / "files" / "log" / "00000004.json"
+    entry.write_text("")
+    (tmp_path / "files" / "log" / ".00000004.json.crc").unlink(missing_ok=True)
+    with pytest.raises(RuntimeError):
+        store.upsert("files", rows(("1", "d", "x")))
+    os.utime(entry, (1, 1))
+    store.upsert("files", rows(("1", "d", "x")))
+    assert store.read("files", "1").count() == 3
 
 
 def test_the_shared_folder(spark):
