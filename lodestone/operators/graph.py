@@ -50,8 +50,55 @@ def indirect(reached: DataFrame) -> DataFrame:
     return reached.filter("dist > 1 AND node <> target").select("target", "node")
 
 
+def _times(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, c, n): how many walks through ``x`` (a, c, n) and then ``y`` there are between each pair; summed up before the shuffle."""
+    right = y.select(F.col("a").alias("by"), F.col("c").alias("to"), F.col("n").alias("m"))
+    return x.join(right, F.col("c") == F.col("by")).groupBy("a", F.col("to").alias("c")).agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+
+def _sum(*terms: tuple[int, DataFrame]) -> DataFrame:
+    """(a, c, n): the sum of tables, each with its factor."""
+    total = None
+    for k, t in terms:
+        one = t.select("a", "c", (F.col("n") * k).alias("n"))
+        total = one if total is None else total.unionByName(one)
+    return total.groupBy("a", "c").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
 def trails(edges: DataFrame, low: int, high: int) -> DataFrame:
-    """(src, dst, paths): pairs joined by walks of low..high edges that repeat none, and how many there are."""
+    """(src, dst, paths): pairs joined by walks of low..high edges that repeat none, and how many there are.
+
+    Without loops and up to five edges, walks are counted, not made: of the walks whose later edges all differ, those that
+    have the first edge again are taken away. So work grows with the pairs that walks join, not with the walks. Otherwise
+    each walk carries its edges.
+    """
+    own = edges.select("src", "dst")
+    if high > 5 or not own.filter("src = dst").isEmpty():
+        return _walked(own, low, high)
+    a = written(own.groupBy(F.col("src").alias("a"), F.col("dst").alias("c")).agg(F.count("*").alias("n")), "steps")
+    if not a.filter("n > 1").isEmpty():
+        return _walked(own, low, high)
+    # Pairs with ways forward of one edge and back of one, two or three; nodes by how many of their edges have one back.
+    back = lambda m: a.join(m.select(F.col("c").alias("a"), F.col("a").alias("c"), F.col("n").alias("m")), ["a", "c"]).select("a", "c", (F.col("n") * F.col("m")).alias("n"))
+    twice = written(_times(a, a), "steps") if high > 1 else None
+    found = {1: a, 2: twice}
+    if high > 2:
+        pair = written(back(a), "steps")
+        found[3] = written(_sum((1, _times(a, twice)), (-1, pair)), "steps")
+    if high > 3:
+        ring = written(back(twice), "steps")
+        turn = pair.groupBy("a").agg(F.sum("n").alias("n")).select("a", F.col("a").alias("c"), "n")
+        found[4] = written(_sum((1, _times(a, found[3])), (-1, _times(pair, a)), (-1, ring), (1, turn)), "steps")
+    if high > 4:
+        # Walks of three edges back to a pair: all of them, so those that :data:`found` left out are in.
+        square = back(_sum((1, found[3]), (1, pair)))
+        chord = ring.select(F.col("c").alias("a"), F.col("a").alias("c"), "n")
+        found[5] = _sum((1, _times(a, found[4])), (-1, _times(pair, twice)), (-1, _times(ring, a)), (-1, square), (1, _times(turn, a)), (1, chord), (1, pair))
+    return _sum(*[(1, found[k]) for k in range(low, high + 1)]).select(F.col("a").alias("src"), F.col("c").alias("dst"), F.col("n").alias("paths"))
+
+
+def _walked(edges: DataFrame, low: int, high: int) -> DataFrame:
+    """:func:`trails` by walks that carry their edges."""
     e = edges.select("src", "dst", F.struct("src", "dst").alias("edge"))
     step = e.select(F.col("src").alias("a"), F.col("dst").alias("c"), F.array("edge").alias("walk"))
     found = None
@@ -75,13 +122,17 @@ def core(edges: DataFrame, each: int = 3) -> DataFrame:
     return now
 
 
-def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, color) after each node takes the greatest color of its predecessors, until none changes."""
-    total = None
+def _spread(edges: DataFrame, each: int = 3) -> DataFrame:
+    """(node, f, b): the greatest node that reaches each node, and the greatest that it reaches, itself included, by the same rounds of ``each`` steps."""
+    values, total = nodes(edges).select("node", F.col("node").alias("f"), F.col("node").alias("b")), None
     while True:
-        taken = values.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "color")
-        values = written(values.unionByName(taken).groupBy("node").agg(F.max("color").alias("color")), "colors")
-        seen = values.agg(F.sum(F.xxhash64("node", "color").cast("decimal(38,0)"))).first()[0]
+        for _ in range(each):
+            ends = edges.join(values.select(F.col("node").alias("src"), "f"), "src").join(values.select(F.col("node").alias("dst"), "b"), "dst")
+            none = F.lit(None).cast(dict(values.dtypes)["f"])
+            moved = ends.select(F.explode(F.array(F.struct(F.col("dst").alias("node"), "f", none.alias("b")), F.struct(F.col("src").alias("node"), none.alias("f"), "b"))).alias("m")).select("m.*")
+            values = values.unionByName(moved).groupBy("node").agg(F.max("f").alias("f"), F.max("b").alias("b"))
+        values = written(values, "colors")
+        seen = values.agg(F.sum(F.xxhash64("node", "f", "b").cast("decimal(38,0)"))).first()[0]
         if seen == total:
             return values
         total = seen
@@ -150,23 +201,18 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
 def spread_components(edges: DataFrame) -> DataFrame:
     """:func:`components` of a graph of any size.
 
-    Colors spread forward until each node has the greatest node that reaches it; a color's own node and all that reach it
-    within the color are a component. What is left goes through the same again.
+    Every node is a pivot: the greatest node that reaches it and the greatest that it reaches spread over the graph at once. Where
+    they are the same node, that node's component is found. Nodes of one component agree in both, so of the rest only edges
+    between nodes that do so stay, without those that lie on no cycle, and go through the same again.
     """
     rest, found = core(edges), None
     while not rest.isEmpty():
-        color = _spread(nodes(rest).withColumn("color", F.col("node")), rest)
-        same = rest.join(color.select(F.col("node").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst").filter("a = b").select("src", "dst", F.col("a").alias("color"))
-        reached = written(same.filter("dst = color").select(F.col("src").alias("node"), "color").distinct(), "reached")
-        size = -1
-        while (n := reached.count()) != size:
-            size = n
-            more = same.join(reached.select(F.col("node").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("node"), "color")
-            reached = written(reached.unionByName(more).distinct(), "reached")
-        one = reached.select("node", F.col("color").alias("component"))
+        color = _spread(rest)
+        one = color.filter("f = b").select("node", F.col("f").alias("component"))
         found = one if found is None else found.unionByName(one)
-        gone = reached.select("node")
-        rest = core(rest.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
+        left = color.filter("f <> b").select("node", F.struct("f", "b").alias("k"))
+        same = rest.join(left.select(F.col("node").alias("src"), "k"), "src").join(left.select(F.col("node").alias("dst"), "k"), ["dst", "k"])
+        rest = core(same.select("src", "dst"))
     empty = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     return empty if found is None else found
 

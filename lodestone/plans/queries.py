@@ -261,6 +261,12 @@ def strong_components(x):
     return graph.components(x.edges())
 
 
+@query("closure", "SELECT x.a AS node, max(x.b) AS component FROM closure x JOIN closure y ON x.b = y.a AND x.a = y.b GROUP BY x.a", True)
+def spread_components(x):
+    """Strong components by the way that goes for graphs of any size."""
+    return graph.spread_components(x.edges())
+
+
 @query("e", "SELECT node, array_to_string(list_sort(list(DISTINCT other)), ',') AS neighbours FROM (SELECT src AS node, dst AS other FROM e UNION ALL SELECT dst, src FROM e) GROUP BY node")
 def neighbourhoods(x):
     return graph.neighbours(x.edges()).withColumn("neighbours", F.array_join("neighbours", ","))

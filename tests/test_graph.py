@@ -161,3 +161,53 @@ def test_pairs_of_neighbours(spark):
     got = {r["node"]: r["neighbours"] for r in graph.neighbours(edge_table(spark, FIXED)).collect()}
     assert got["t"] == ["a", "n1"] and all(x in got[y] for x, own in got.items() for y in own) and "l" not in got
     assert len(list(itertools.chain(*got.values()))) % 2 == 0
+
+
+def walked(plain, low, high):
+    """Trails by loops."""
+    found = {}
+
+    def extend(a, c, used):
+        if len(used) >= low:
+            found[a, c] = found.get((a, c), 0) + 1
+        if len(used) < high:
+            for x in plain:
+                if x[0] == c and x not in used:
+                    extend(a, x[1], [*used, x])
+
+    for x in plain:
+        extend(x[0], x[1], [x])
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trails_by_sums(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(a, b) for a in "abcdef" for b in "abcdef" if a != b]
+    plain = rng.sample(pairs, 9 + 4 * seed)
+    loops = [("a", "a"), ("c", "c")] if seed == 3 else []
+    for low, high in ((1, 5), (5, 5), (2, 3)):
+        got = graph.trails(edge_table(spark, plain + loops), low, high)
+        assert {(r["src"], r["dst"]): r["paths"] for r in got.collect()} == walked(plain + loops, low, high)
+
+
+def test_trails_through_a_hub(spark):
+    """A hub has a million walks of two edges; no walk carries its edges."""
+    e = edge_table(spark, [(f"i{k}", "hub") for k in range(1000)] + [("hub", f"o{k}") for k in range(1000)] + [("o7", "i7")])
+    got = graph.trails(e, 2, 5)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "array_append" not in plan and "array_contains" not in plan
+    # Of two edges, of three, four and five; the way back by o7 and i7 is gone once.
+    walks = 1_000_000 + 2, 2 * 1000 + 1, 2 * 999, 999 * 999
+    assert tuple(got.agg(F.count("*"), F.sum("paths")).first()) == (1_000_000 + 2 * 1000 + 2 * 999 + 3, sum(walks))
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    from lodestone.sources.fixtures import Fixtures
+
+    rounds, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name="table": rounds.append(name) or plain(df, name))
+    e = Fixtures(spark, "/root/testdata/sf0.01").edges()
+    got = {(r["node"], r["component"]) for r in graph.spread_components(e).collect()}
+    assert len(rounds) < 20
+    assert got == {(r["node"], r["component"]) for r in graph.components(e).collect()}
