@@ -16,9 +16,8 @@ HITS, MERGED, BOOST = 10, 5, 0.5
 BLOCK = 1024
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
 
 
 def search(chunks: DataFrame, queries: DataFrame, n: int = HITS, block: int = BLOCK) -> DataFrame:
@@ -30,11 +29,13 @@ def search(chunks: DataFrame, queries: DataFrame, n: int = HITS, block: int = BL
     """
     spark = chunks.sparkSession
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    asked = queries.select("query_id", "vector")
+    # Squares of lengths are made once for each vector, not for each pair.
+    asked = queries.select("query_id", "vector", dot(F.col("vector"), F.col("vector")).alias("vv"))
+    stored = chunks.select("id", "embedding", dot(F.col("embedding"), F.col("embedding")).alias("ee"))
 
     def hits(some: list) -> DataFrame:
         own = F.broadcast(spark.createDataFrame(some, asked.schema))
-        scored = chunks.crossJoin(own).select("query_id", "id", F.round(cosine_distance(F.col("embedding"), F.col("vector")), 6).alias("distance"))
+        scored = stored.crossJoin(own).select("query_id", "id", F.round(1 - dot(F.col("embedding"), F.col("vector")) / F.sqrt(F.col("ee") * F.col("vv")), 6).alias("distance"))
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
     rows = asked.toLocalIterator()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, paths, rules
-from ..operators import confidence, graph, impact, projections, resolve, retrieval, snapshots, versions
+from ..operators import confidence, graph, impact, projections, resolve, retrieval, snapshots, vectors, versions
 from ..shared import shared_dir
 from ..sources import fixtures, git, parser
 from ..sources.fixtures import Fixtures
@@ -688,12 +688,21 @@ def path_resolution(x):
 # Vectors.
 
 
-@query("", """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id AS id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS distance FROM embeddings, q)
-SELECT query_id, id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10""")
+_NEAREST = """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id AS id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS distance FROM embeddings, q)
+SELECT query_id, id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10"""
+
+
+@query("", _NEAREST)
 def nearest_chunks(x):
     return retrieval.search(x.chunks(), _questions(x))
 
 
+@query("", _NEAREST)
+def indexed_chunks(x):
+    """The same by an index of cells, and its exact finish."""
+    return vectors.search(vectors.build(x.chunks()), _questions(x))
+
+
 def _questions(x):
     return x.chunks().filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
 
