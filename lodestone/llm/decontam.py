@@ -9,9 +9,9 @@ walks, which turn edits into differing places: a walk copies the word that it
 stands on and moves on or not by a hash of step and word. Repeated samples of
 places of several walks are the keys of a hash table of the items; windows that
 share a key with an item are candidates, and an exact edit distance decides.
-The number of samples follows from a target recall and the walks' agreement at
-each length, see :func:`needed`. Items of a length that needs more than MOST have
-no keys: each group of runs (below) is a candidate, which loses nothing.
+The number of samples follows from a target recall and the walks' agreement that
+is measured at each length, see :func:`needed`. Only items of more than LONGEST
+words, or of more edits than samples can bridge, have no keys: each group of runs (below) is a candidate of theirs.
 
 Not every place of a document needs a window: an item within k edits has at
 least n - q + 1 - kq of its runs of q words in common with the words that leak
@@ -46,10 +46,12 @@ from .common import new_path, written
 EDITS = 0.2
 #: Items and their words in a broadcast block; meetings of runs and items that are held at once.
 ITEMS, WORDS, HITS = 20_000, 200_000, 1 << 20
-#: Random walks; places in a sample; the share of leaks that some sample shall find where a place agrees with probability AGREE.
-WALKS, PLACES, RECALL, AGREE = 4, 3, 0.999, 0.5
-#: Words of the longest items that samples are measured for; pairs that they are measured on; the most samples of a walk.
-LONGEST, TRIALS, MOST = 64, 256, 32
+#: Random walks; places in a sample; the share of leaks that some sample shall find.
+WALKS, PLACES, RECALL = 16, 3, 0.999
+#: Words of the longest items with keys; pairs that agreement is measured on; words of windows that walk at once.
+LONGEST, TRIALS, AT_ONCE = 512, 128, 1 << 16
+#: The most samples of a walk: more than EDITS needs at any length that has keys.
+MOST = 256
 #: Characters that are hashed at once, so that the arrays stay small however long a text is.
 PIECE = 1 << 20
 
@@ -61,11 +63,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def rounds(recall: float = RECALL, agree: float = AGREE, places: int = PLACES, walks: int = WALKS) -> int:
-    """Samples of each walk, so that all together miss at most 1 - recall, were they independent."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**places) / walks)
-
-
 class _Powers:
     """Powers of the hash's base and of its inverse, as many as were needed so far."""
 
@@ -133,56 +130,59 @@ def document_words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 @functools.cache
-def _constants(step: int, walk: int) -> tuple[np.uint64, np.uint64]:
-    rng = np.random.default_rng([walk, step])
-    a, b = rng.integers(1, 1 << 62, 2, dtype=np.int64).tolist()
-    return np.uint64(a | 1), np.uint64(b | 1)
+def _constants(step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two odd numbers for each walk."""
+    a, b = np.random.default_rng([11, step]).integers(1, 1 << 62, (2, WALKS, 1), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    return a, b
 
 
-def _bits(step: int, walk: int, symbols: np.ndarray) -> np.ndarray:
-    """0 or 1 for each word, by a hash of walk and step."""
-    a, b = _constants(step, walk)
+def _bits(step: int, symbols: np.ndarray) -> np.ndarray:
+    """0 or 1 for each word (walks x rows), by a hash of walk and step."""
+    a, b = _constants(step)
     x = (symbols.astype(np.uint64) + b) * a
     return ((x ^ x >> np.uint64(31)) * b >> np.uint64(47) & np.uint64(1)).astype(np.int64)
 
 
-def embed(words: np.ndarray, walk: int) -> np.ndarray:
-    """CGK walks over rows of n words: 2n places each. Places past a row's end hold -1."""
+def embed(words: np.ndarray) -> np.ndarray:
+    """CGK walks over rows of n words: walks x rows x 2n places. Places past a row's end hold -1."""
     rows, n = words.shape
     padded = np.concatenate([words, np.full((rows, 1), -1, dtype=words.dtype)], axis=1)
-    at, every, out = np.zeros(rows, dtype=np.int64), np.arange(rows), np.empty((rows, 2 * n), dtype=words.dtype)
+    at, every, out = np.zeros((WALKS, rows), dtype=np.int64), np.arange(rows), np.empty((WALKS, rows, 2 * n), dtype=words.dtype)
     for step in range(2 * n):
-        out[:, step] = now = padded[every, np.minimum(at, n)]
-        at += _bits(step, walk, now)
+        out[:, :, step] = now = padded[every, np.minimum(at, n)]
+        at += _bits(step, now)
     return out
 
 
 @functools.cache
-def samples(n: int, walk: int, count: int) -> np.ndarray:
-    """The places of each of ``count`` samples of a walk over n words."""
-    rng = np.random.default_rng([7, n, walk])
-    return np.array([rng.choice(2 * n, size=min(PLACES, 2 * n), replace=False) for _ in range(count)])
+def samples(n: int, count: int) -> np.ndarray:
+    """The places of each sample: walks x ``count`` x PLACES."""
+    rng = np.random.default_rng([7, n])
+    return rng.random((WALKS, count, 2 * n)).argpartition(min(PLACES, 2 * n) - 1, axis=2)[:, :, : min(PLACES, 2 * n)]
 
 
 def keys(words: np.ndarray, count: int) -> np.ndarray:
     """The table keys of rows of n words: one for each walk and sample."""
-    out = []
-    for walk in range(WALKS):
-        places = embed(words, walk)
-        for k, own in enumerate(samples(words.shape[1], walk, count)):
-            h = np.full(len(words), walk * 1000 + k + 1, dtype=np.uint64)
-            for p in own:
-                h = (h ^ (places[:, p].astype(np.uint64) + np.uint64(2))) * np.uint64(_BASE)
-                h ^= h >> np.uint64(31)
-            out.append(h)
-    return np.stack(out, axis=1)
+    out, places = [], embed(words)
+    for walk, own in enumerate(samples(words.shape[1], count)):
+        chosen = places[walk][:, own].astype(np.uint64) + np.uint64(2)
+        h = np.broadcast_to((walk * 1000 + 1 + np.arange(count)).astype(np.uint64), chosen.shape[:2])
+        for p in range(chosen.shape[2]):
+            h = (h ^ chosen[:, :, p]) * np.uint64(_BASE)
+            h = h ^ h >> np.uint64(31)
+        out.append(h)
+    return np.concatenate(out, axis=1)
+
+
+def grid(n: int) -> int:
+    """The least of 2, 3, 4, 6, 8, 12, 16, 24, .. from n on: agreement is measured at these lengths, and is no better at longer ones."""
+    power = 1 << max(0, n - 1).bit_length()
+    return 3 * power // 4 if power >= 4 and 3 * power // 4 >= n else power
 
 
 @functools.cache
 def needed(n: int, slack: int) -> int:
-    """Samples of each walk for RECALL of leaks of n words with ``slack`` edits, by the measured agreement of walks on replaced and on mixed edits; 0 if more than MOST."""
-    if n > LONGEST:
-        return 0
+    """Samples of each walk for RECALL of leaks of n words with ``slack`` edits, by the measured agreement of walks on replaced and on mixed edits; 0 if more than MOST, as where nearly all words may be edited."""
     agree = []
     for mixed in (False, True):
         rng = np.random.default_rng([n, slack])
@@ -195,9 +195,9 @@ def needed(n: int, slack: int) -> int:
                 other[at : at + (kind < 2)] = [int(rng.integers(1, 1 << 40))] * (kind != 1)
             pairs.append((own, np.resize(np.array([*other, *rng.integers(1, 1 << 40, n)]), n)))
         a, b = (np.stack(x) for x in zip(*pairs, strict=True))
-        agree.append([(embed(a, walk) == embed(b, walk)).mean(axis=1) for walk in range(WALKS)])
+        agree.append((embed(a) == embed(b)).mean(axis=2))
     missed = 1 - np.array(agree) ** PLACES
-    return next((c for c in range(rounds(), MOST + 1) if (missed**c).prod(axis=1).mean(axis=1).max() <= 1 - RECALL), 0)
+    return next((c for c in range(1, MOST + 1) if (missed**c).prod(axis=1).mean(axis=1).max() <= 1 - RECALL), 0)
 
 
 def edits(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -241,8 +241,8 @@ class Items:
             rank = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(codes)])) * len(self.words) + own[:, 0]
             self.runs[q] = codes[first], rank, own
         # By length; items without slack agree everywhere.
-        self.count = {len(w): needed(len(w), k) if k else 1 for w, k in zip(self.words, self.slack, strict=True)}
-        self.direct = [not self.count[len(w)] for w in self.words]
+        self.count = {len(w): needed(grid(len(w)), math.ceil(share * grid(len(w)))) if k else 1 for w, k in zip(self.words, self.slack, strict=True) if len(w) <= LONGEST}
+        self.direct = [not self.count.get(len(w)) for w in self.words]
         self.table: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         lengths = defaultdict(list)
         for i, w in enumerate(self.words):
@@ -336,7 +336,7 @@ class Items:
         for n, starts in sampled.items():
             # A window may start before its text does, or end after: those places are no words.
             table = self.table.get(n, {})
-            for at in np.array_split(starts, -(-len(starts) // 4096)):
+            for at in np.array_split(starts, -(-len(starts) * n // AT_ONCE)):
                 spot = at[:, None] + np.arange(n)
                 middle = owner[np.clip(at + n // 2, 0, len(owner) - 1)]
                 inside = (spot >= begin[middle][:, None]) & (spot < begin[middle + 1][:, None])

@@ -115,3 +115,43 @@ def test_blocks_are_bounded_and_lose_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(11)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in decontam.find_leaks(docs, items).collect()) == list(range(9))
     assert sorted(r["doc_id"] for r in decontam.decontaminated(docs, items).collect()) == [9, 10]
+
+
+def test_given_items_all_have_keys():
+    import pyarrow.parquet as pq
+
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        rows = pq.read_table(f"/root/testdata/{sf}/benchmark.parquet").to_pylist()
+        found = decontam.Items([(r["item_id"], r["text"]) for r in rows])
+        assert rows and not any(found.direct) and {i for t in found.table.values() for own in t.values() for i in own} == set(range(len(rows)))
+
+
+def test_recall_of_keys_alone():
+    """Windows at a leak's own diagonal share a key with their item, at every length and the most edits."""
+    rng = np.random.default_rng(3)
+    for n in (5, 8, 16, 30, 45, 59, 100, 200, 400):
+        k, hits = int(0.2 * n + 1e-9), 0
+        count = decontam.needed(decontam.grid(n), -(-decontam.grid(n) // 5))
+        items = rng.integers(1, 1 << 40, (150, n))
+        rows = []
+        for own in items.tolist():
+            for p in sorted(rng.choice(n, k, replace=False).tolist(), reverse=True):
+                kind = int(rng.integers(3))
+                own[p : p + (kind < 2)] = [int(rng.integers(1 << 41, 1 << 42))] * (kind != 1)
+            rows.append([*own, *rng.integers(1 << 41, 1 << 42, n).tolist()][:n])
+        a, b = decontam.keys(items, count), decontam.keys(np.array(rows), count)
+        hits = int((a == b).any(axis=1).sum())
+        assert hits >= 148, (n, hits)
+
+
+def test_grid():
+    assert [decontam.grid(n) for n in (1, 2, 3, 4, 5, 6, 7, 9, 13, 17, 25, 33, 49, 64, 65, 97, 512)] == [1, 2, 3, 4, 6, 6, 8, 12, 16, 24, 32, 48, 64, 64, 96, 128, 512]
+
+
+def test_items_beyond_keys_are_compared_exactly(monkeypatch):
+    monkeypatch.setattr(decontam, "LONGEST", 10)
+    items = [(0, " ".join(f"w{i}" for i in range(40))), (1, " ".join(f"v{i}" for i in range(8)))]
+    found = decontam.Items(items)
+    assert found.direct == [True, False]
+    h, owner = next(decontam.document_words([" ".join(f"w{i}" if i % 6 else "x" for i in range(40)) + " " + items[1][1]]))
+    assert set(found.leaks(h, owner)) == {(0, 0), (0, 1)}
