@@ -34,3 +34,21 @@ def summary(claims: DataFrame) -> DataFrame:
     """One row (total, sure, average, text)."""
     found = claims.agg(F.count("*").alias("total"), F.count_if(F.expr("confidence >= 0.8")).alias("sure"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("average"))
     return found.withColumn("text", F.format_string("%d of %d claims at high confidence (average %.2f)", "sure", "total", "average"))
+
+
+#: What a claim can't see, by its place among the claims.
+SCENARIOS = [
+    "layers that no directory or file name shows are not seen",
+    "controllers and models under other names, or in one file, are missed",
+    "ports and adapters under other names are missed, and which way they depend is not proved",
+    "queues and topics that no file is named after are missed",
+    "imports that are made at run time are not counted, and generated files count as written ones",
+    "cycles through imports at run time, or longer than those searched, are missed",
+]
+
+
+def explained(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Claims with ``failure_scenario`` and, of patterns, the files in ``evidence`` (pattern, files) that speak for them."""
+    scenario = F.element_at(F.array(*map(F.lit, SCENARIOS)), F.col("ord") + 1)
+    found = claims.withColumn("pattern", F.when(F.col("ord") < 4, F.substring("claim", 9, 64))).join(evidence, "pattern", "left")
+    return found.select(*claims.columns, scenario.alias("failure_scenario"), F.coalesce("files", F.array().cast("array<string>")).alias("evidence"))

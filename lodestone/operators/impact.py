@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, paths, rules
@@ -17,6 +17,20 @@ def structural_risk(edges: DataFrame, every: DataFrame | None = None) -> DataFra
     return scored.select(F.col("node").alias("file"), "fan_in", "fan_out", "in_cycle", "score", rules.structural_level(F.col("score")).alias("level"))
 
 
+def risk_breakdown(risks: DataFrame) -> DataFrame:
+    """``risks`` (fan_in, fan_out, in_cycle, ..) with the points that each part of the score gives, before it is capped."""
+    bonus = lambda c: F.when(F.col(c) > 5, 10).otherwise(0).cast("long")
+    return risks.withColumns(
+        {
+            "fan_in_pts": (8 * F.col("fan_in")).cast("long"),
+            "fan_out_pts": (5 * F.col("fan_out")).cast("long"),
+            "cycle_pts": F.when(F.col("in_cycle"), 30).otherwise(0).cast("long"),
+            "high_fan_in_bonus": bonus("fan_in"),
+            "high_fan_out_bonus": bonus("fan_out"),
+        }
+    )
+
+
 def risk_of(risks: DataFrame, asked: DataFrame) -> DataFrame:
     """The risks of the files ``asked`` (file); unknown files have score 0 and level ``unknown``."""
     return asked.select("file").join(risks, "file", "left").select("file", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("level", F.lit("unknown")).alias("level"))
@@ -68,6 +82,23 @@ def blast_radius(edges: DataFrame, targets: DataFrame, functions: DataFrame, cal
     return found.withColumn("risk", risk).select("target", "direct", "indirect", (F.col("direct") + F.col("indirect")).alias("total"), "functions", "callers", "risk.level", "risk.score")
 
 
+def affected(edges: DataFrame, targets: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """(target, direct_dependents, indirect_dependents, functions_affected, function_callers): what :func:`blast_radius` counts, as sorted lists.
+
+    One file's lists are as long as its counts say, which the graph bounds; a file without any has empty ones.
+    """
+    reached = graph.dependents(edges, targets, 3).filter("node <> target")
+    listed = lambda c: F.array_sort(F.collect_list(c))
+    files = reached.groupBy("target").agg(listed(F.when(F.col("dist") == 1, F.col("node"))).alias("direct_dependents"), listed(F.when(F.col("dist") > 1, F.col("node"))).alias("indirect_dependents"))
+    own = functions.select(F.col("file").alias("target"), "name").distinct().join(targets.select("target").distinct(), "target", "left_semi")
+    names = own.groupBy("target").agg(listed("name").alias("functions_affected"))
+    called = calls.select("file", F.col("callee").alias("name")).distinct().join(own, "name").filter("file <> target").select("target", "file").distinct()
+    callers = called.groupBy("target").agg(listed("file").alias("function_callers"))
+    found = targets.select("target").join(files, "target", "left").join(names, "target", "left").join(callers, "target", "left")
+    none = F.array().cast("array<string>")
+    return found.select("target", *[F.coalesce(c, none).alias(c) for c in ("direct_dependents", "indirect_dependents", "functions_affected", "function_callers")])
+
+
 #: The classes of each pattern, in the order of n1, n2, n3; the class pairs of edges that count as its links.
 _PATTERNS = {
     "layered": (patterns.LAYERED, ("presentation", "business", "data"), "(a.{p} = 'presentation' AND b.{p} = 'business') OR (a.{p} = 'business' AND b.{p} = 'data')"),
@@ -102,3 +133,11 @@ def detect_patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     counted = F.when((F.col("pattern") != "layered") | (layers == 3), F.col("links")).otherwise(F.lit(0).cast("long"))
     return rows.select("pattern", detected.alias("detected"), sure.cast("double").alias("confidence"), "n1", "n2", "n3", counted.alias("links"))
+
+
+def evidence(nodes: DataFrame, n: int = 5) -> DataFrame:
+    """(pattern, files): the first ``n`` files that have a class in each pattern. Each task keeps no more than ``n`` of a pattern."""
+    classes = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), patterns.classified(F.col("node"), c).alias("class")) for p, (c, _, _) in _PATTERNS.items()]))
+    found = nodes.select("node", classes.alias("c")).filter("c.class IS NOT NULL").select("c.pattern", "node").distinct()
+    first = found.withColumn("rank", F.row_number().over(Window.partitionBy("pattern").orderBy("node"))).filter(F.col("rank") <= n)
+    return first.groupBy("pattern").agg(F.array_sort(F.collect_list("node")).alias("files"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import paths, rules
 
 
+#: Files of each kind that a comparison lists, and characters of a summary (fixed values).
+LISTED, SHORT = 20, 200
+
+
 def listing(snapshots: DataFrame, files: DataFrame) -> DataFrame:
     """(repo_id, snapshot_id, commit_hash, file_count, ordinal): the ordinal counts a repository's snapshots by commit."""
     counted = files.groupBy("snapshot_id").agg(F.countDistinct("path").alias("file_count"))
@@ -24,6 +28,13 @@ def file_diff(files: DataFrame, first: str, second: str) -> DataFrame:
     return found.select("path", status.alias("status")).filter("status IS NOT NULL")
 
 
+def changed_lists(files: DataFrame, first: str, second: str, n: int = LISTED) -> DataFrame:
+    """One row (files_added, files_removed, files_modified): the first ``n`` paths of each in order. Each task keeps no more than ``n`` of a kind."""
+    order = Window.partitionBy("status").orderBy("path")
+    few = file_diff(files, first, second).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return few.agg(*[F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("path")))).alias(f"files_{s}") for s in ("added", "removed", "modified")])
+
+
 def edge_diff(first: DataFrame, second: DataFrame) -> DataFrame:
     """(src, dst, status): dependencies that only one of two edge tables has."""
     a, b = first.select("src", "dst"), second.select("src", "dst")
@@ -95,6 +106,35 @@ def compare_architecture(snapshots: DataFrame, first: str, second: str) -> DataF
     return both.withColumn("risk_areas", areas).withColumn("level", rules.level(F.col("risk_areas"), (2, "high"), (1, "medium")))
 
 
+def described(snapshots: DataFrame, architecture: DataFrame, first: str, second: str) -> DataFrame:
+    """One row (architecture_before, architecture_after): what was written on the commits of two snapshots, ``Not cached`` where nothing was.
+
+    ``architecture``: (commit_hash, macro, ts), of which the newest that says something counts.
+    """
+    said = architecture.filter(F.trim("macro") != "").groupBy("commit_hash").agg(F.max_by("macro", F.struct("ts", "macro")).alias("macro"))
+    text = snapshots.filter(F.col("snapshot_id").isin(first, second)).join(said, "commit_hash", "left").select("snapshot_id", "macro")
+    pick = lambda s: F.coalesce(F.max(F.when(F.col("snapshot_id") == s, F.col("macro"))), F.lit("Not cached"))
+    return text.agg(pick(first).alias("architecture_before"), pick(second).alias("architecture_after"))
+
+
+def architecture_report(snapshots: DataFrame, first: str, second: str, patterns: DataFrame, architecture: DataFrame) -> DataFrame:
+    """One row: :func:`compare_architecture`, the pattern changes, the beginnings of both texts and a sentence; or just an error if a commit has no snapshot."""
+    found = compare_architecture(snapshots, first, second)
+    at = lambda c, side: found.select(F.col(c).alias("commit_hash")).join(snapshots, "commit_hash").orderBy("snapshot_id").limit(1).select(F.lit(side).alias("side"), "snapshot_id")
+    own = patterns.join(F.broadcast(at("before", "a").unionByName(at("after", "b"))), "snapshot_id")
+    changed = pattern_diff(*[own.filter(F.col("side") == s).select("pattern", "detected", "confidence") for s in "ab"])
+    changes = changed.agg(F.array_join(F.array_sort(F.collect_list(F.concat("pattern", F.lit(": "), "change"))), "; ").alias("pattern_changes"), F.count("*").alias("changed_patterns"))
+    said = architecture.filter(F.trim("macro") != "").groupBy("commit_hash").agg(F.max_by("macro", F.struct("ts", "macro")).alias("macro"))
+    short = F.when(F.length("macro") > SHORT, F.concat(F.substring("macro", 1, SHORT), F.lit("..."))).otherwise(F.col("macro"))
+    text = lambda c: said.select(F.col("commit_hash").alias(c), short.alias(f"summary_{c}"))
+    whole = found.crossJoin(changes).join(text("before"), "before", "left").join(text("after"), "after", "left")
+    sentence = F.format_string("%+d files, coupling %+.2f, %+d cycles, %d pattern changes", F.col("file_delta").cast("long"), F.col("coupling_delta").cast("double"), F.col("cycle_delta").cast("long"), "changed_patterns")
+    whole = whole.withColumn("summary", sentence)
+    asked = snapshots.sparkSession.createDataFrame([(f"no snapshots of the commits {first[:8]} and {second[:8]}",)], "missing string")
+    out = asked.join(whole, F.lit(True), "left")
+    return out.select(F.when(F.col("before").isNull(), F.col("missing")).alias("error"), *whole.columns)
+
+
 def pattern_diff(first: DataFrame, second: DataFrame) -> DataFrame:
     """(pattern, change) between two tables (pattern, detected, confidence): newly detected, gone, or of another confidence."""
     a = first.select("pattern", F.col("detected").alias("da"), F.col("confidence").alias("ca"))

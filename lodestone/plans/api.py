@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from ..sources import git, parser
 from ..sources.store import Store
 from . import analysis, reports
 
+#: Descriptions that are kept in memory; the oldest go first.
+TEXTS = 100
+
 
 class Api:
     """All analyses in a store."""
@@ -20,7 +24,7 @@ class Api:
     def __init__(self, spark: SparkSession, root: str, writer: reports.Writer | None = None):
         self.spark, self.store, self.writer = spark, Store(spark, root), writer
         self.jobs: dict[str, dict] = {}
-        self.texts: dict[tuple[str, str | None], dict[str, str]] = {}
+        self.texts: OrderedDict[tuple[str, str | None], dict[str, str]] = OrderedDict()
 
     def _own(self, table: str, repo: str) -> DataFrame:
         return self.store.read(table, repo).drop("repo_id")
@@ -75,6 +79,8 @@ class Api:
                 row = self.spark.createDataFrame([(repo, commit, text["macro"], text["meso"], text["micro"])], "repo_id string, commit_hash string, macro string, meso string, micro string")
                 self.store.upsert("architecture", row.withColumn("ts", F.current_timestamp()))
         self.texts[repo, commit] = text
+        while len(self.texts) > TEXTS:
+            self.texts.popitem(last=False)
         return text
 
     def _own_repository(self, repo: str) -> DataFrame:
@@ -89,15 +95,16 @@ class Api:
         e = self._edges(repo)
         return impact.detect_patterns(graph.nodes(e), e)
 
-    def coupling(self, repo: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(metrics, highly coupled files, cycles)"""
+    def coupling(self, repo: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(metrics, highly coupled files, cycles, how many cycles there are and whether longer ones are left out)"""
         state = analysis.rebuild(self.store, repo)
-        return impact.coupling_metrics(state["edges"], state["files"].select(F.col("path").alias("node"))), impact.high_coupling(state["edges"]), graph.cycles(state["edges"])
+        counted = graph.count_cycles(state["edges"])
+        return impact.coupling_metrics(state["edges"], state["files"].select(F.col("path").alias("node"))), impact.high_coupling(state["edges"]), graph.cycles(state["edges"]), counted
 
     def confidence_report(self, repo: str) -> tuple[DataFrame, DataFrame]:
         e = self._edges(repo)
         found = confidence.claims(self.patterns(repo), impact.high_coupling(e), graph.cycles(e, 5))
-        return found, confidence.summary(found)
+        return confidence.explained(found, impact.evidence(graph.nodes(e))), confidence.summary(found)
 
     # Files and functions.
 
@@ -105,12 +112,16 @@ class Api:
         return projections.resolved_path(self.spark.createDataFrame([(path,)], "asked string"), self._own("files", repo)).first()["path"]
 
     def impact(self, repo: str, path: str, kind: str = "modify") -> DataFrame:
-        """The blast radius of a change, its structural risk and a sentence on it."""
+        """The blast radius of a change with lists of what it affects, its structural risk with the points of each part, and a sentence on it."""
         state, file = analysis.rebuild(self.store, repo), self.resolve_path(repo, path)
         target = self.spark.createDataFrame([(file,)], "target string")
         found = impact.blast_radius(state["edges"], target, state["functions"], state["file_calls"], kind)
-        risk = impact.risk_of(impact.structural_risk(state["edges"], state["files"].select(F.col("path").alias("node"))), target.select(F.col("target").alias("file"))).select(F.col("file").alias("target"), F.col("score").alias("structural_score"), F.col("level").alias("structural_level"))
-        return found.join(risk, "target").withColumn("explanation", reports.impact_text(F.lit(kind), F.col("total"), F.col("level")))
+        lists = impact.affected(state["edges"], target, state["functions"], state["file_calls"])
+        risks = impact.risk_breakdown(impact.structural_risk(state["edges"], state["files"].select(F.col("path").alias("node"))))
+        asked = target.select(F.col("target").alias("file"))
+        parts = risks.drop("score", "level").withColumnRenamed("file", "target").join(target, "target", "left_semi")
+        risk = impact.risk_of(risks, asked).select(F.col("file").alias("target"), F.col("score").alias("structural_score"), F.col("level").alias("structural_level"))
+        return found.join(lists, "target").join(risk, "target").join(parts, "target", "left").withColumn("explanation", reports.impact_text(F.lit(kind), F.col("total"), F.col("level")))
 
     def dependencies(self, repo: str, path: str) -> DataFrame:
         return projections.dependencies_of(self.resolve_path(repo, path), self._own("imports", repo), self._edges(repo))
@@ -196,7 +207,15 @@ class Api:
         return self.store.read(table, *snapshots_)
 
     def compare_snapshots(self, first: str, second: str) -> DataFrame:
-        return snapshots.compare(self.store.read("snapshots"), self._of("snapshot_files", first, second), first, second, self._of("snapshot_patterns", first, second), self._of("snapshot_coupling", first, second))
+        """One row: counts and differences, up to 20 files of each kind, and what was written on both."""
+        files = self._of("snapshot_files", first, second)
+        found = snapshots.compare(self.store.read("snapshots"), files, first, second, self._of("snapshot_patterns", first, second), self._of("snapshot_coupling", first, second))
+        return found.crossJoin(snapshots.changed_lists(files, first, second)).crossJoin(snapshots.described(self.store.read("snapshots"), self._texts(), first, second))
+
+    def _texts(self, repo: str | None = None) -> DataFrame:
+        if not self.store.exists("architecture"):
+            return self.spark.createDataFrame([], "commit_hash string, macro string, ts timestamp")
+        return self.store.read("architecture", *([] if repo is None else [repo])).select("commit_hash", "macro", "ts")
 
     def changed_files(self, first: str, second: str) -> DataFrame:
         return snapshots.file_diff(self._of("snapshot_files", first, second), first, second)
@@ -222,7 +241,8 @@ class Api:
         return analysis.commit_edges(self.store, repo, commit), analysis.commit_metrics(self.store, repo, commit)
 
     def compare_architecture(self, repo: str, first: str, second: str) -> DataFrame:
-        return snapshots.compare_architecture(self.store.read("snapshots", repo), first, second)
+        own = self.store.read("snapshots", repo)
+        return snapshots.architecture_report(own, first, second, analysis.of_snapshots(self.store, "snapshot_patterns", own), self._texts(repo))
 
     def commits(self, repo: str) -> DataFrame:
         return versions.commits_listing(self._own("commits", repo), self._own("file_versions", repo))

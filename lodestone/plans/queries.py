@@ -126,6 +126,12 @@ def structural_risk(x):
     return impact.structural_risk(x.edges())
 
 
+@query("deg closure", f"""WITH x AS (SELECT *, EXISTS (SELECT 1 FROM closure WHERE a = file AND b = file) AS in_cycle FROM deg)
+SELECT file, CAST(least({_RISK}, 100) AS BIGINT) AS score, CAST(8 * fan_in AS BIGINT) AS fan_in_pts, CAST(5 * fan_out AS BIGINT) AS fan_out_pts, CAST(CASE WHEN in_cycle THEN 30 ELSE 0 END AS BIGINT) AS cycle_pts, CAST(CASE WHEN fan_in > 5 THEN 10 ELSE 0 END AS BIGINT) AS high_fan_in_bonus, CAST(CASE WHEN fan_out > 5 THEN 10 ELSE 0 END AS BIGINT) AS high_fan_out_bonus FROM x""", True)
+def risk_breakdown(x):
+    return impact.risk_breakdown(impact.structural_risk(x.edges())).drop("fan_in", "fan_out", "in_cycle", "level")
+
+
 @query("deg", "SELECT file AS node, fan_in, fan_out FROM deg")
 def fan_in_out(x):
     return graph.degrees(x.edges())
@@ -201,6 +207,15 @@ for _kind in ("modify", "delete", "move"):
     _register_blast(_kind)
 
 
+@query("t reach imp_fn", """WITH r AS (SELECT target, string_agg(node, ',' ORDER BY node) FILTER (WHERE dist = 1) AS d, string_agg(node, ',' ORDER BY node) FILTER (WHERE dist > 1) AS i FROM reach WHERE node <> target GROUP BY target),
+u AS (SELECT file, string_agg(name, ',' ORDER BY name) AS f FROM (SELECT DISTINCT file, name FROM imp_fn) GROUP BY file),
+k AS (SELECT file, string_agg(caller, ',' ORDER BY caller) AS c FROM (SELECT DISTINCT file, caller FROM imp_fn WHERE caller IS NOT NULL) GROUP BY file)
+SELECT target, coalesce(d, '') AS direct_dependents, coalesce(i, '') AS indirect_dependents, coalesce(f, '') AS functions_affected, coalesce(c, '') AS function_callers FROM t LEFT JOIN r USING (target) LEFT JOIN u ON u.file = target LEFT JOIN k ON k.file = target""", True)
+def blast_lists(x):
+    found = impact.affected(x.edges(), targets(x), x.functions(), x.file_calls())
+    return found.select("target", *[F.array_join(c, ",").alias(c) for c in found.columns[1:]])
+
+
 @query("imp_fn", "SELECT file, name, coalesce(array_to_string(list_sort(list_distinct(list(caller) FILTER (WHERE caller IS NOT NULL))), ','), '') AS callers, count(DISTINCT caller) AS n FROM imp_fn GROUP BY file, name")
 def function_impact(x):
     found = impact.function_impact(x.functions(), resolve.resolve_calls(x.file_calls(), x.functions()))
@@ -445,6 +460,17 @@ def confidence_summary(x):
     return confidence.summary(_claims(x))
 
 
+_SCENARIO = "CASE ord " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(confidence.SCENARIOS)) + " END"
+_EVIDENCE = " UNION ALL ".join(f"SELECT {i} AS ord, array_to_string((SELECT list(node ORDER BY node) FROM (SELECT DISTINCT node FROM {v} WHERE c IS NOT NULL ORDER BY node LIMIT 5)), ',') AS files" for i, v in enumerate(("pl", "pm", "ph", "pe")))
+
+
+@query("cl pl pm ph pe", f"""WITH ev AS ({_EVIDENCE})
+SELECT ord, claim, confidence, {_SCENARIO} AS failure_scenario, coalesce(files, '') AS evidence FROM cl LEFT JOIN ev USING (ord)""", True)
+def explained_claims(x):
+    found = confidence.explained(_claims(x), impact.evidence(_nodes(x)))
+    return found.select("ord", "claim", "confidence", "failure_scenario", F.array_join("evidence", ",").alias("evidence"))
+
+
 # Versions and commits.
 
 
@@ -575,6 +601,41 @@ def compare_snapshots(x):
     return snapshots.compare(x.snapshots(), x.snapshot_files(), "s1", "s2", x.snapshot_patterns(), x.snapshot_coupling())
 
 
+@query("sd", "SELECT " + ", ".join(f"coalesce((SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT path FROM sd WHERE status = '{k}' ORDER BY path LIMIT 20)), '') AS files_{k}" for k in ("added", "removed", "modified")))
+def changed_file_lists(x):
+    found = snapshots.changed_lists(x.snapshot_files(), "s1", "s2")
+    return found.select(*[F.array_join(c, ",").alias(c) for c in found.columns])
+
+
+view("ar", "SELECT cut AS commit_hash, CASE k WHEN 2 THEN ' ' ELSE repeat('files ' || total_files || ', ', 10 * k) END AS macro, k AS ts FROM cuts JOIN s ON s.commit_hash = cut", "cuts s")
+
+
+def _architecture(x):
+    """Texts on the commits of the snapshots but the second, that of the third a long one."""
+    place = F.substring("snapshot_id", 2, 9).cast("int")
+    return x.snapshots().select("commit_hash", F.when(place == 2, " ").otherwise(F.expr("repeat(concat('files ', total_files, ', '), 10 * int(substring(snapshot_id, 2, 9)))")).alias("macro"), place.alias("ts"))
+
+
+@query("s ar", "SELECT coalesce((SELECT macro FROM ar JOIN s USING (commit_hash) WHERE snapshot_id = 's1' AND trim(macro) <> ''), 'Not cached') AS architecture_before, coalesce((SELECT macro FROM ar JOIN s USING (commit_hash) WHERE snapshot_id = 's2' AND trim(macro) <> ''), 'Not cached') AS architecture_after")
+def snapshot_texts(x):
+    return snapshots.described(x.snapshots(), _architecture(x), "s1", "s2")
+
+
+@query("s sp ar", """WITH w AS (SELECT a.commit_hash AS before, b.commit_hash AS after, round(b.avg_coupling - a.avg_coupling, 2) AS coupling_delta, CAST(b.cycle_count - a.cycle_count AS BIGINT) AS cycle_delta, b.total_files - a.total_files AS file_delta FROM s a, s b WHERE a.snapshot_id = 's1' AND b.snapshot_id = 's3'),
+ra AS (SELECT *, CAST(coupling_delta > 1.0 AS INT) + CAST(cycle_delta > 0 AS INT) + CAST(file_delta > 20 AS INT) AS risk_areas FROM w),
+ch AS (SELECT pattern, CASE WHEN NOT a.detected AND b.detected THEN 'newly_detected' WHEN a.detected AND NOT b.detected THEN 'no_longer_detected' WHEN a.detected AND b.detected AND abs(round(b.confidence - a.confidence, 2)) > 0.1 THEN 'confidence_changed: ' || printf('%+.2f', round(b.confidence - a.confidence, 2)) END AS change FROM (SELECT * FROM sp WHERE snapshot_id = 's1') a JOIN (SELECT * FROM sp WHERE snapshot_id = 's3') b USING (pattern)),
+c AS (SELECT coalesce(string_agg(pattern || ': ' || change, '; ' ORDER BY pattern), '') AS pattern_changes, count(change) AS changed_patterns FROM ch WHERE change IS NOT NULL),
+tx AS (SELECT commit_hash, CASE WHEN length(macro) > 200 THEN substr(macro, 1, 200) || '...' ELSE macro END AS short FROM ar WHERE trim(macro) <> '')
+SELECT CAST(NULL AS VARCHAR) AS error, ra.*, CASE WHEN risk_areas >= 2 THEN 'high' WHEN risk_areas = 1 THEN 'medium' ELSE 'low' END AS level, c.*, p.short AS summary_before, q.short AS summary_after,
+  printf('%+d', CAST(file_delta AS BIGINT)) || ' files, coupling ' || printf('%+.2f', coupling_delta) || ', ' || printf('%+d', cycle_delta) || ' cycles, ' || changed_patterns || ' pattern changes' AS summary
+FROM ra CROSS JOIN c LEFT JOIN tx p ON p.commit_hash = before LEFT JOIN tx q ON q.commit_hash = after
+UNION ALL SELECT 'no snapshots of the commits 2024-01- and 1999-01-', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""")
+def architecture_reports(x):
+    """Two comparisons: of commits that have snapshots, and of one that has none."""
+    report = lambda second: snapshots.architecture_report(x.snapshots(), "2024-01-10", second, x.snapshot_patterns(), _architecture(x))
+    return report("2024-01-3").unionByName(report("1999-01-01"))
+
+
 @query("s sp sc", """SELECT snapshot_id, total_files > 0 AND (SELECT count(*) FROM sp WHERE sp.snapshot_id = s.snapshot_id) > 0 AS complete FROM s""")
 def described_snapshots(x):
     return snapshots.complete(x.snapshots(), x.snapshot_files(), x.snapshot_patterns())

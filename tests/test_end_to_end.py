@@ -77,6 +77,8 @@ def test_analysis_of_a_repository(spark, repository, tmp_path):
     assert ("src/app_controller.py", "src/services/order_service.py") in edges and ("src/services/order_service.py", "src/item_model.py") in edges
     hit = api.impact(repo, "order_service.py", "delete").first()
     assert hit["direct"] == 1 and hit["functions"] == 2 and hit["callers"] == 1 and hit["explanation"].startswith("DELETE: Affects 1 files")
+    assert [p.rpartition("/")[2] for p in hit["direct_dependents"]] == ["app_controller.py"] and hit["indirect_dependents"] == [] and hit["functions_affected"] == ["check", "place"]
+    assert [p.rpartition("/")[2] for p in hit["function_callers"]] == ["app_controller.py"] and hit["structural_score"] == hit["fan_in_pts"] + hit["fan_out_pts"] == 8 * hit["fan_in"] + 5 * hit["fan_out"]
     assert [r["name"] for r in api.functions(repo).collect()] == ["main", "place", "check"]
     own_function = api.function(repo, "place").first()
     assert own_function["callers"] == [f"{root}/src/app_controller.py::main"] and len(own_function["related"]) == 3 and api.call_chain(repo, "place").count() == 1
@@ -86,6 +88,7 @@ def test_analysis_of_a_repository(spark, repository, tmp_path):
     assert {(r["src"].rpartition(":")[2], r["dst"].rpartition(":")[2], r["dist"]) for r in api.function_closure(repo).collect()} == {("main", "place", 1), ("main", "check", 2), ("place", "check", 1)}
     assert api.search(repo, "order service place check", context="item_model.py").count() == 3
     assert {r["pattern"] for r in api.patterns(repo).filter("detected").collect()} >= {"mvc"}
+    assert all(r["failure_scenario"] for r in api.confidence_report(repo)[0].collect()) and tuple(api.coupling(repo)[3].first()) == (0, False)
     assert api.confidence_report(repo)[1].first()["total"] >= 1 and api.coupling(repo)[0].first()["total_files"] >= 3
     text = api.architecture(repo)
     assert "files with" in text["macro"] and Api(spark, str(tmp_path / "store"), writer=lambda _: "never asked").architecture(repo) == text and api.repositories().first()["file_count"] == 3
@@ -107,6 +110,9 @@ def test_analysis_of_a_repository(spark, repository, tmp_path):
     assert not later["cached"]
     pair = state["result"]["snapshot_id"], later["snapshot_id"]
     assert {r["status"] for r in api.changed_edges(*pair).collect()} == {"added"} and [r["status"] for r in api.changed_files(*pair).collect()] == ["added"]
+    compared = api.compare_snapshots(*pair).first()
+    assert [p.rpartition("/")[2] for p in compared["files_added"]] == ["view_page.py"] and compared["files_removed"] == compared["files_modified"] == [] and compared["architecture_before"] == text["macro"]
+    assert api.compare_architecture(repo, head, "none").first()["error"].startswith("no snapshots") and api.compare_architecture(repo, head, head).first()["error"] is None
     assert api.compare_snapshots(*pair).first()["added"] == 1 and api.changed_patterns(*pair).columns == ["pattern", "change"]
     assert [r["file"].rpartition("/")[2] for r in api.riskiest_changes(repo, *pair).collect()] == ["view_page.py"] and api.analysis_links(repo).count() == 0
     assert api.delete_snapshot(later["snapshot_id"]) == 1
