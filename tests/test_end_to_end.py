@@ -1,5 +1,6 @@
 import os
 import subprocess
+import sys
 import time
 
 import duckdb
@@ -44,6 +45,14 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_the_training_operators():
+    """The engine's queries are there whatever keeps the other operators from being imported."""
+    for hidden in ("xxhash", "lodestone.llm", "corpus_pipeline"):
+        code = f"import sys; sys.modules[{hidden!r}] = None; import __spark_entry__ as e; q = e.queries(); assert 'structural_risk' in q and set(e.oracle_sql()) <= set(q), q; print(len(q))"
+        done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__))
+        assert done.returncode == 0, done.stderr
+
+
 @pytest.fixture
 def repository(tmp_path):
     root = tmp_path / "origin" / "shop"
