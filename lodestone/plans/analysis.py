@@ -98,10 +98,10 @@ def commit_metrics(store: Store, repo: str, commit: str) -> DataFrame:
 
 def import_history(spark: SparkSession, store: Store, repo: str, root: str, n: int = 100) -> int:
     """Commits and file versions of a repository's log; how many new versions there are."""
-    log = git.parse_log(git.log_lines(spark, root, n)).cache()
+    log = git.log(spark, root, n).cache()
     store.upsert("commits", log.select(F.lit(repo).alias("repo_id"), F.col("hash").alias("commit_hash"), "message", F.timestamp_seconds("timestamp").alias("ts"), "author", "author_name"))
     store.upsert("users", log.select(F.col("author").alias("user_id"), F.col("author_name").alias("name")))
-    new = store.append_new("file_versions", git.blob_hashes(spark, root, log).withColumn("repo_id", F.lit(repo)))
+    new = store.append_new("file_versions", git.log(spark, root, n, git.GitBlobs).withColumn("repo_id", F.lit(repo)))
     log.unpersist()
     return new
 

@@ -782,13 +782,12 @@ def hybrid_retrieval(x):
 
 @query("v c", "SELECT c.commit_hash AS hash, c.author, 'subject of ' || c.commit_hash AS message, (SELECT string_agg(DISTINCT file_path, ',' ORDER BY file_path) FROM v WHERE v.commit_hash = c.commit_hash) AS files FROM c")
 def parsed_log(x):
-    """A log's lines, as git writes them, back to commits."""
+    """A log's records, as git writes them, back to commits."""
     part = git.PART.replace("%x00", "\0")
-    at = F.unix_timestamp("ts").cast("string")
-    heads = x.commits().select("commit_hash", F.lit("").alias("name"), F.concat(F.lit(git.MARK), F.concat_ws(part, "commit_hash", "author", "author", at, F.concat(F.lit("subject of "), "commit_hash"))).alias("line"))
-    files = x.versions().select("commit_hash", F.col("file_path").alias("name"), F.col("file_path").alias("line")).distinct()
-    lines = heads.union(files).withColumn("line_no", F.row_number().over(Window.orderBy("commit_hash", "name")))
-    return git.parse_log(lines.select("line_no", "line")).select("hash", "author", "message", F.array_join("files", ",").alias("files"))
+    files = x.versions().groupBy("commit_hash").agg(F.concat_ws("\n", F.sort_array(F.collect_list("file_path"), asc=False)).alias("lines"))
+    head = F.concat(F.lit(git.MARK), F.concat_ws(part, "commit_hash", "author", "author", F.unix_timestamp("ts").cast("string"), F.concat(F.lit("subject of "), "commit_hash")))
+    written = x.commits().join(files, "commit_hash", "left").select(F.concat(head, F.lit("\n\n"), F.coalesce("lines", F.lit("")), F.lit("\n")).alias("record"))
+    return git.parse_log(written).select("hash", "author", "message", F.array_join("files", ",").alias("files"))
 
 
 def _store(x) -> Store:
@@ -849,6 +848,14 @@ def parsed_functions(x):
     return parser.tables(parser.parse(_sources(x)))["functions"]
 
 
+@query("f", f"SELECT path AS file, {_FN} AS name, 7 AS line FROM f")
+def functions_by_sql(x):
+    """The same in SQL: the parser is a table function that each file's row goes through."""
+    parser.register(x.spark)
+    _sources(x).createOrReplaceTempView("lodestone_sources")
+    return x.spark.sql("SELECT s.path AS file, p.name, max_by(p.line, p.pos) AS line FROM lodestone_sources AS s, LATERAL parse_source(s.language, s.content) AS p WHERE p.kind = 'function' GROUP BY s.path, p.name")
+
+
 @query("f", f"SELECT path AS file, {_FN} AS caller, {_CALL} AS callee FROM f")
 def parsed_calls(x):
     return parser.tables(parser.parse(_sources(x)))["function_calls"]

@@ -1,18 +1,23 @@
-"""Git repositories. Commands run on the driver; what they print becomes tables."""
+"""Git repositories: logs and blobs as data sources whose partitions are commits; the state of a work tree by commands on the driver."""
 
 from __future__ import annotations
 
+import datetime
+import hashlib
 import shutil
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Seconds for a clone, for the log and for other commands.
 CLONE, LOG, OTHER = 300, 30, 5
 #: Starts a commit's line, and parts its fields; no subject can hold a NUL.
 MARK, PART = "\x1e", "%x00"
+#: Commits of a partition, and bytes of a blob that are held at once.
+COMMITS, PIECE = 500, 1 << 20
 
 
 def run(repo: str | Path, *args: str, timeout: int = OTHER) -> str:
@@ -35,27 +40,111 @@ def clone(url: str, workspace: str | Path, depth: int | None = 1) -> Path:
     return target
 
 
-def log_lines(spark: SparkSession, repo: str | Path, n: int = 100) -> DataFrame:
-    """(line_no, line) of the last ``n`` commits with the files that they touch."""
-    text = run(repo, "log", f"--max-count={n}", f"--format=%x1e%H{PART}%ae{PART}%an{PART}%at{PART}%s", "--name-only", timeout=LOG)
-    return spark.createDataFrame([x for x in enumerate(text.split("\n")) if x[1]], "line_no int, line string")
+def records(repo: str | Path, skip: int, n: int) -> list[str]:
+    """The log's records from place ``skip`` on: a header and the files that the commit touches, in lines."""
+    text = run(repo, "-c", "core.quotepath=off", "log", f"--skip={skip}", f"--max-count={n}", f"--format=%x1e%H{PART}%ae{PART}%an{PART}%at{PART}%s", "--name-only", timeout=LOG)
+    return text.split(MARK)[1:]
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
-    """(hash, author, author_name, timestamp, message, files) of a log; a header's files are the lines up to the next."""
-    head = F.when(F.col("line").startswith(MARK), F.substring("line", 2, 1_000_000))
-    order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("head", F.last(head, ignorenulls=True).over(order)).filter("head IS NOT NULL")
-    f = F.split("head", "\x00")
-    grouped = rows.groupBy("head").agg(F.min("line_no").alias("n"), F.array_sort(F.collect_set(F.when(~F.col("line").startswith(MARK), F.col("line")))).alias("files"))
-    return grouped.orderBy("n").select(f[0].alias("hash"), f[1].alias("author"), f[2].alias("author_name"), f[3].cast("long").alias("timestamp"), f[4].alias("message"), "files")
+def fields(record: str) -> tuple[str, str, str, int, str, list[str]]:
+    """(hash, author, author_name, timestamp, message, files) of a record."""
+    head, *names = record.split("\n")
+    commit, author, name, at, message = head.split("\0")
+    return commit, author, name, int(at), message, sorted({x for x in names if x})
+
+
+def parse_log(log: DataFrame) -> DataFrame:
+    """(hash, author, author_name, timestamp, message, files) of the records (record) of a log that was written down."""
+    lines = F.split(F.ltrim("record", F.lit(MARK)), "\n")
+    f = F.split(lines[0], "\0")
+    files = F.array_sort(F.array_distinct(F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x != "")))
+    return log.filter(F.col("record") != "").select(f[0].alias("hash"), f[1].alias("author"), f[2].alias("author_name"), f[3].cast("long").alias("timestamp"), f[4].alias("message"), files.alias("files"))
+
+
+class _Part(InputPartition):
+    """Commits from a place in the log on."""
+
+    def __init__(self, skip: int, n: int):
+        self.skip, self.n = skip, n
+
+
+class _Reader(DataSourceReader):
+    """Reads a repository that executors see, some commits in each partition."""
+
+    def __init__(self, options: dict):
+        self.path, self.limit, self.each = options["path"], int(options.get("limit", 0)), int(options.get("commits", COMMITS))
+
+    def partitions(self):
+        every = int(run(self.path, "rev-list", "--count", "HEAD", timeout=LOG))
+        n = min(every, self.limit) if self.limit else every
+        return [_Part(a, min(self.each, n - a)) for a in range(0, n, self.each)] or [_Part(0, 0)]
+
+
+class _LogReader(_Reader):
+    def read(self, part):
+        for i, record in enumerate(records(self.path, part.skip, part.n)):
+            yield (part.skip + i, *fields(record))
+
+
+class _BlobReader(_Reader):
+    def read(self, part):
+        with subprocess.Popen(["git", "-C", str(self.path), "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as process:
+            for record in records(self.path, part.skip, part.n):
+                commit, author, _, at, _, files = fields(record)
+                for file in files:
+                    process.stdin.write(f"{commit}:{file}\n".encode())
+                    process.stdin.flush()
+                    answer = process.stdout.readline().split()
+                    if answer[-1] == b"missing":  # the commit deleted it
+                        continue
+                    digest, left = hashlib.sha256(), int(answer[-1])
+                    while left:
+                        data = process.stdout.read(min(left, PIECE))
+                        digest.update(data)
+                        left -= len(data)
+                    process.stdout.read(1)
+                    yield commit, file, digest.hexdigest(), datetime.datetime.fromtimestamp(at, datetime.timezone.utc), author
+
+
+class GitLog(DataSource):
+    """``spark.read.format("git_log").load(path)``: commits, newest first by n. Options: limit (0: all), commits (in a partition)."""
+
+    @classmethod
+    def name(cls):
+        return "git_log"
+
+    def schema(self):
+        return "n long, hash string, author string, author_name string, timestamp long, message string, files array<string>"
+
+    def reader(self, schema):
+        return _LogReader(self.options)
+
+
+class GitBlobs(GitLog):
+    """``spark.read.format("git_blobs").load(path)``: the digest of each file in each commit that touches it, read and hashed where the partition is."""
+
+    @classmethod
+    def name(cls):
+        return "git_blobs"
+
+    def schema(self):
+        return "commit_hash string, file_path string, hash string, ts timestamp, author string"
+
+    def reader(self, schema):
+        return _BlobReader(self.options)
+
+
+def log(spark: SparkSession, repo: str | Path, n: int = 100, kind: type[DataSource] = GitLog) -> DataFrame:
+    """The last ``n`` commits (0: all), or of kind :class:`GitBlobs` their files."""
+    spark.dataSource.register(kind)
+    return spark.read.format(kind.name()).option("limit", n).load(str(repo))
 
 
 def head(spark: SparkSession, repo: str | Path) -> DataFrame:
     """The current commit as one row; none outside a repository."""
     try:
-        fields = run(repo, "log", "-1", f"--format=%H{PART}%ae{PART}%s{PART}%at{PART}%an").rstrip("\n").split("\x00")
-        rows = [(fields[0], fields[1], fields[2], int(fields[3]), fields[4])]
+        own = run(repo, "log", "-1", f"--format=%H{PART}%ae{PART}%s{PART}%at{PART}%an").rstrip("\n").split("\x00")
+        rows = [(own[0], own[1], own[2], int(own[3]), own[4])]
     except (subprocess.SubprocessError, OSError, IndexError):
         rows = []
     return spark.createDataFrame(rows, "commit_hash string, author_email string, message string, timestamp long, author_name string")
@@ -66,25 +155,3 @@ def dirty(repo: str | Path) -> bool:
         return bool(run(repo, "status", "--porcelain").strip())
     except (subprocess.SubprocessError, OSError):
         return False
-
-
-def blob_hashes(spark: SparkSession, repo: str | Path, log: DataFrame) -> DataFrame:
-    """(commit_hash, file_path, hash, ts, author) of each file of a log, by one ``cat-file`` process; files that a commit deleted have none."""
-    import hashlib
-
-    wanted = [(r["hash"], f, r["timestamp"], r["author"]) for r in log.select("hash", "timestamp", "author", "files").collect() for f in r["files"]]
-    process = subprocess.Popen(["git", "-C", str(repo), "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
-    rows = []
-    for commit, file, at, author in wanted:
-        if "\n" in file:
-            continue
-        process.stdin.write(f"{commit}:{file}\n".encode())
-        process.stdin.flush()
-        answer = process.stdout.readline().split()
-        if answer[-1] != b"missing":
-            data = process.stdout.read(int(answer[-1]) + 1)[:-1]
-            rows.append((commit, file, hashlib.sha256(data).hexdigest(), at, author))
-    process.stdin.close()
-    process.wait(OTHER)
-    table = spark.createDataFrame(rows, "commit_hash string, file_path string, hash string, at long, author string")
-    return table.select("commit_hash", "file_path", "hash", F.timestamp_seconds("at").alias("ts"), "author")

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -183,3 +183,24 @@ def body(content: Column, start: Column, most: int = BODY) -> Column:
     n = F.when(stop > 0, stop - 1).otherwise(F.size(rest))
     text = F.array_join(F.slice(rest, 1, F.least(n, F.lit(most))), "\n")
     return F.when((start < 1) | (F.size(rest) < 1), F.lit(None).cast("string")).when(n > most, F.concat(text, F.lit("\n... (truncated)"))).otherwise(text)
+
+
+@F.udtf(returnType="kind string, pos int, name string, line int, callee string")
+class ParseSource:
+    """The parse of one file as rows: ``class`` and ``function`` with their lines, ``import``, ``call``, and ``edge`` from a function to its callee, each kind numbered by ``pos``."""
+
+    def eval(self, language: str, content: str):
+        found = parse_source(language, content)
+        for kind, key in (("class", "classes"), ("function", "functions")):
+            for pos, x in enumerate(found[key]):
+                yield kind, pos, x["name"], x["line"], None
+        for kind, key in (("import", "imports"), ("call", "function_calls")):
+            for pos, name in enumerate(found[key]):
+                yield kind, pos, name, None, None
+        for pos, x in enumerate(found["function_to_function_calls"]):
+            yield "edge", pos, x["caller"], None, x["callee"]
+
+
+def register(spark: SparkSession, name: str = "parse_source") -> None:
+    """Make the parser a table function of SQL: ``FROM files, LATERAL parse_source(language, content)``."""
+    spark.udtf.register(name, ParseSource)

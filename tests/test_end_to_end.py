@@ -1,3 +1,4 @@
+import hashlib
 import os
 import subprocess
 import sys
@@ -128,7 +129,7 @@ def test_analysis_of_a_repository(spark, repository, tmp_path):
     assert api.import_git_history(repo, str(repository)) >= 3 and api.import_git_history(repo, str(repository)) == 0
     messages = [r["message"] for r in api.commits(repo).collect()]
     assert sorted(messages) == ["first | with a bar", "second"]
-    log = git.parse_log(git.log_lines(spark, repository)).collect()
+    log = git.log(spark, repository).orderBy("n").collect()
     status = {r["path"]: r["status"] for r in api.compare_commits(repo, log[1]["hash"], log[0]["hash"]).collect()}
     assert status["src/item_model.py"] == "modified"
     assert api.file_history(repo, "item_model.py").count() == 2 and api.contributors(repo).first()["author"] == "a@b"
@@ -138,6 +139,26 @@ def test_analysis_of_a_repository(spark, repository, tmp_path):
     assert git.head(spark, repository).first()["message"] == "second" and not git.dirty(repository) and git.head(spark, tmp_path).count() == 0
 
 
+def test_git_as_a_source(spark, repository):
+    """Partitions are commits; each reads and hashes its own, and all together are what one gives."""
+    for i in range(7):
+        (repository / "src" / f"é {i}.py").write_text(f"x = {i}\n" * 1000)
+        subprocess.run(["git", "-C", str(repository), "add", "."], check=True)
+        subprocess.run(["git", "-c", "user.email=c@d", "-c", "user.name=C", "-C", str(repository), "commit", "-qm", f"more {i}"], check=True)
+    (repository / "src" / "é 0.py").unlink()
+    subprocess.run(["git", "-c", "user.email=c@d", "-c", "user.name=C", "-C", str(repository), "commit", "-qam", "less"], check=True)
+    for kind in (git.GitLog, git.GitBlobs):
+        spark.dataSource.register(kind)
+    log = spark.read.format("git_log").option("commits", 3).load(str(repository))
+    assert log.rdd.getNumPartitions() == 4 and [r["message"] for r in log.orderBy("n").collect()] == ["less", *[f"more {i}" for i in range(6, -1, -1)], "second", "first | with a bar"]
+    blobs = spark.read.format("git_blobs").option("commits", 2).load(str(repository)).collect()
+    assert sorted(map(str, blobs)) == sorted(map(str, spark.read.format("git_blobs").load(str(repository)).collect()))
+    for name, many in (("src/é 3.py", 1), ("src/item_model.py", 2)):
+        own = {r["hash"] for r in blobs if r["file_path"] == name}
+        assert len(own) == many and hashlib.sha256((repository / name).read_bytes()).hexdigest() in own
+    assert len([r for r in blobs if r["file_path"] == "src/é 0.py"]) == 1 and git.log(spark, repository, 2).count() == 2
+
+
 def test_prompts_and_sections():
     assert reports.sections("# MACRO\nbig\n## Meso level\nmiddle\n**Micro**\nsmall") == {"macro": "big", "meso": "middle", "micro": "small"}
     assert reports.sections("all of it")["macro"] == "all of it"
