@@ -12,8 +12,10 @@ backslash away restores it. Line feeds in roles become a backslash and an n.
 
 Defined cases: null texts are empty turns; null roles are ``unknown``; turns of
 a conversation go by turn (null first), then role, then text, so repeated rows
-stay; an empty table gives no row. Records that no mapping fits have no turns
-and a null fingerprint match, see :func:`canonical_json`.
+stay; an empty table gives no row. Where known fields stand beside a layout's
+own, the largest mapping whose fields are all there counts, of equal ones the
+first in MAPPINGS. An empty list of turns gives no row. Records that no mapping
+fits give a row without a turn, see :func:`canonical_json`.
 """
 
 from __future__ import annotations
@@ -70,6 +72,15 @@ KNOWN = set().union(*map(mapping_paths, MAPPINGS))
 BY_FINGERPRINT = {fingerprint(mapping_paths(m)): m for m in MAPPINGS}
 
 
+def mapping(paths: Iterable[str]) -> dict | None:
+    """The mapping with the fingerprint of the paths, else the largest that needs no other ones."""
+    known = set(paths) & KNOWN
+    if found := BY_FINGERPRINT.get(fingerprint(known)):
+        return found
+    fits = [m for m in MAPPINGS if mapping_paths(m) <= known]
+    return max(fits, key=lambda m: len(mapping_paths(m)), default=None)
+
+
 def schema_paths(kind: T.DataType, at: str = "") -> Iterator[str]:
     """Leaf paths of a schema."""
     if isinstance(kind, T.StructType):
@@ -89,6 +100,8 @@ def value_paths(value, at: str = "") -> Iterator[str]:
     elif isinstance(value, list):
         for v in value:
             yield from value_paths(v, f"{at}[]")
+        if not value:
+            yield f"{at}[]"
     else:
         yield at
 
@@ -100,7 +113,7 @@ def _role(c: Column) -> Column:
 
 def canonical(records: DataFrame, id_col: str, turn_col: str | None = None) -> DataFrame:
     """(id, turn, role, text) of a typed table, by the mapping of its schema's fingerprint. ``turn_col`` orders the rows of a row layout."""
-    found = BY_FINGERPRINT.get(fingerprint(schema_paths(records.schema)))
+    found = mapping(schema_paths(records.schema))
     if found is None:
         raise ValueError(f"no mapping for the fields {sorted(schema_paths(records.schema))}")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -117,10 +130,12 @@ def canonical(records: DataFrame, id_col: str, turn_col: str | None = None) -> D
 
 def json_turns(record) -> tuple[str, list[tuple[str, str]] | None]:
     """(fingerprint, turns) of a parsed record; None without a mapping."""
-    mark = fingerprint(value_paths(record))
-    found = BY_FINGERPRINT.get(mark)
-    if found is None or not isinstance(record, dict):
+    paths_ = set(value_paths(record))
+    mark, found = fingerprint(paths_), mapping(paths_)
+    if not isinstance(record, dict):
         return mark, None
+    if found is None:
+        return mark, [] if any(f"{m['each']}[]" in paths_ for m in MAPPINGS if "each" in m) else None
     string = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
     def at(path):
@@ -138,8 +153,21 @@ def json_turns(record) -> tuple[str, list[tuple[str, str]] | None]:
     return mark, [(r, t) for r, t in turns if r != "system" or t]
 
 
+def whole(text: str) -> str:
+    """The text with halves of surrogate pairs replaced."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def canonical_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, fingerprint, turn, role, text) of JSON records of any layouts. A record that no mapping fits, or that is no JSON, gives one row with null turn, role and text."""
+    """(id, fingerprint, turn, role, text) of JSON records of any layouts. A record that no mapping fits, or that is no JSON, gives one row with null turn, role and text.
+
+    So does one whose names only look like a mapping's paths (a dot in a name), or that is nested too deeply to be read. Half of
+    a surrogate pair becomes U+FFFD.
+    """
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(json_col).cast("string").alias("record"))
 
     def run(batches):
@@ -148,8 +176,9 @@ def canonical_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
             for key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 try:
                     mark, turns = json_turns(json.loads(text or ""))
-                except ValueError:
+                except (ValueError, LookupError, TypeError, RecursionError):
                     mark, turns = None, None
+                turns = turns and [(whole(r), whole(t)) for r, t in turns]
                 out += [(key, mark, None, None, None)] if turns is None else [(key, mark, i, r, t) for i, (r, t) in enumerate(turns)]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*out, strict=True)) or [()] * 5

@@ -4,6 +4,7 @@ import random
 import time
 from html.parser import HTMLParser
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -218,3 +219,32 @@ def test_lookup_over_many_blocks(spark):
     for k in range(7):
         found = list(warc.lookup(files, f"http://h{k}.example.org/p"))
         assert sorted(b.decode() for _, b in found) == sorted(f"body {i}" for i in range(200) if i % 7 == k)
+
+
+def test_bad_records_are_rows_of_nulls(spark):
+    hi = [{"role": "user", "content": "hi"}]
+    records = [
+        json.dumps({"data.messages": hi}),
+        '{"messages":[{"role":"user","content":"\\ud800 half"}]}',
+        "[" * 100_000,
+        '{"messages":[]}',
+        json.dumps({"prompt": "p", "messages": hi}),
+        json.dumps({"prompt": "p", "response": "r", "output": "o"}),
+        '{"messages":{"role":"user"}}',
+        "nonsense",
+        None,
+        '{"messages":["x",{"role":null,"content":7}]}',
+    ]
+    table = spark.createDataFrame(list(enumerate(records)), "id long, record string")
+    got = {}
+    for r in chat.canonical_json(table, "id", "record").collect():
+        got.setdefault(r["id"], []).append((r["turn"], r["role"], r["text"]))
+    nothing = [(None, None, None)]
+    assert got == {0: nothing, 1: [(0, "user", "\ufffd half")], 2: nothing, 4: [(0, "user", "hi")], 5: [(0, "user", "p"), (1, "assistant", "r")], 6: nothing, 7: nothing, 8: nothing, 9: [(0, "unknown", "7")]}
+
+
+def test_known_fields_beside_a_layout(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "hi", "other")], "conv_id long, turn long, role string, text string, prompt string")
+    assert [tuple(r) for r in chat.canonical(rows, "conv_id", "turn").collect()] == [(1, 0, "user", "hi")]
+    with pytest.raises(ValueError):
+        chat.canonical(rows.drop("text"), "conv_id", "turn")
