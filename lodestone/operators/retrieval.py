@@ -65,10 +65,39 @@ def embedding_text(parsed: DataFrame) -> DataFrame:
     return parsed.select("file", F.array_join(lines, "\n").alias("text"))
 
 
-def embed(texts: DataFrame, size: int = 64) -> DataFrame:
-    """``texts`` (.., text) with a unit vector of hashed word counts as ``embedding``."""
+#: Places of a vector.
+SIZE = 64
+
+
+def _words(texts: DataFrame, id_col: str) -> DataFrame:
+    """(id, word, tf) of each text."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)) == i)).cast("double"))
-    norm = F.sqrt(F.aggregate("__c", F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform("__c", lambda x: F.when(F.col("__n") > 0, x / F.col("__n")).otherwise(0.0).cast("float"))
-    return texts.withColumn("__c", counts).withColumn("__n", norm).withColumn("embedding", unit).drop("__c", "__n")
+    return texts.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+
+
+def dictionary(texts: DataFrame, id_col: str = "id") -> DataFrame:
+    """(word, weight): ln((1 + N) / (1 + df)) + 1 of each word that df of N texts hold, and as the empty word the weight of one that none does."""
+    n = texts.agg(F.count("*").alias("n"))
+    df = _words(texts, id_col).groupBy("word").agg(F.count("*").alias("df"))
+    weight = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    unseen = n.select(F.lit("").alias("word"), F.lit(0).cast("long").alias("df"))
+    return df.unionByName(unseen).crossJoin(F.broadcast(n)).select("word", weight.alias("weight"))
+
+
+def hashed(texts: DataFrame, terms: DataFrame, id_col: str = "id", size: int = SIZE) -> DataFrame:
+    """(id, place, value): places of unit vectors that aren't zero. A word adds (1 + ln tf) times its weight, or takes it away, at a place by its hash."""
+    unseen = F.broadcast(terms.filter("word = ''").select(F.col("weight").alias("other")))
+    found = _words(texts, id_col).join(terms.filter("word <> ''"), "word", "left").crossJoin(unseen)
+    mark = F.md5(F.col("word").cast("binary"))
+    place = F.pmod(F.conv(F.substring(mark, 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
+    sign = F.when(F.substring(mark, 9, 1) < "8", 1.0).otherwise(-1.0)
+    summed = found.groupBy("id", place.alias("place")).agg(F.sum(sign * (1 + F.log("tf")) * F.coalesce("weight", "other")).alias("value"))
+    long = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    return summed.join(long, "id").filter("abs(value) > 1e-9").select("id", "place", (F.col("value") / F.col("norm")).alias("value"))
+
+
+def embed(texts: DataFrame, terms: DataFrame, id_col: str = "id", size: int = SIZE) -> DataFrame:
+    """``texts`` (.., text; one row for each id) with a unit vector of weighted, hashed words as ``embedding``; zeros for a text without words."""
+    vectors = hashed(texts, terms, id_col, size).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
+    return texts.join(vectors.withColumnRenamed("id", id_col), id_col, "left").withColumn("embedding", values).drop("m")

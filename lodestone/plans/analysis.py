@@ -46,7 +46,9 @@ def analyze(spark: SparkSession, store: Store, url: str, root: str, commit: str
     metrics = impact.coupling_metrics(edges, files.select(F.col("path").alias("node"))).first()
     cycles = graph.count_cycles(edges).first()
     called = resolve.resolve_function_calls(found["function_calls"], found["functions"])
-    text = retrieval.embed(retrieval.embedding_text(parsed)).select(F.concat_ws(":", F.lit(repo), "file").alias("id"), F.col("text").alias("code"), "embedding")
+    texts = retrieval.embedding_text(parsed)
+    terms = retrieval.dictionary(texts, "file")
+    text = retrieval.embed(texts, terms, "file").select(F.concat_ws(":", F.lit(repo), "file").alias("id"), F.col("text").alias("code"), "embedding")
 
     snapshot = hashlib.sha256(f"{repo}_{now.isoformat()}".encode()).hexdigest()[:16]
     parts = {"snapshot_files": scanned.select("path", F.col("content_hash").alias("hash")), "snapshot_edges": edges, "snapshot_patterns": impact.detect_patterns(nodes, edges), "snapshot_coupling": impact.high_coupling(edges)}
@@ -57,7 +59,7 @@ def analyze(spark: SparkSession, store: Store, url: str, root: str, commit: str
     if commit:
         store_commit(store, repo, commit, edges, spark.createDataFrame([row[4:]], "total_files long, total_deps long, avg_coupling double, cycle_count long, cycles_truncated boolean"))
         store.upsert("analysis_log", spark.createDataFrame([(repo, commit, now)], "repo_id string, commit_hash string, ts timestamp"))
-    live = {"files": files, **found, "dep_edges": edges, "function_closure": closure(called), "code_chunks": text.filter("trim(code) <> ''")}
+    live = {"files": files, **found, "dep_edges": edges, "function_closure": closure(called), "code_chunks": text.filter("trim(code) <> ''"), "terms": terms}
     for name, table in live.items():
         store.replace(name, repo, mark(table, repo_id=repo))
     store.upsert("repositories", spark.createDataFrame([(repo, url.rstrip("/").rpartition("/")[2].removesuffix(".git"), url, root, commit, now)], "repo_id string, name string, url string, path string, current_commit string, last_analyzed timestamp"))

@@ -147,7 +147,7 @@ class Api:
 
     def search(self, repo: str, question: str, context: str | None = None) -> DataFrame:
         """The chunks nearest to a question, with those first that depend on the context file or that it depends on."""
-        vector = retrieval.embed(self.spark.createDataFrame([("q", question)], "query_id string, text string")).select("query_id", F.col("embedding").alias("vector"))
+        vector = retrieval.embed(self.spark.createDataFrame([("q", question)], "query_id string, text string"), self._own("terms", repo), "query_id").select("query_id", F.col("embedding").alias("vector"))
         hits = retrieval.search(self._own("code_chunks", repo), vector)
         if context is None:
             near = hits.select("query_id", "id").limit(0)

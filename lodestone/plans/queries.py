@@ -764,6 +764,17 @@ def indexed_chunks(x):
     return vectors.search(vectors.build(x.chunks()), _questions(x))
 
 
+@query("", r"""WITH w AS (SELECT doc_id AS id, word, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents) WHERE word <> '' GROUP BY doc_id, word),
+d AS (SELECT word, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS weight FROM w GROUP BY word),
+b AS (SELECT id, CAST(CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS INTEGER) AS place, CASE WHEN substr(md5(word), 9, 1) < '8' THEN 1.0 ELSE -1.0 END * (1 + ln(tf)) * weight AS part FROM w JOIN d USING (word)),
+v AS (SELECT id, place, sum(part) AS value FROM b GROUP BY id, place), l AS (SELECT id, sqrt(sum(value * value)) AS norm FROM v GROUP BY id)
+SELECT id, place, round(value / norm, 6) AS value FROM v JOIN l USING (id) WHERE abs(value) > 1e-9""")
+def text_vectors(x):
+    """Vectors of weighted, hashed words of every document, place by place."""
+    texts = x.raw("documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.hashed(texts, retrieval.dictionary(texts)).withColumn("value", F.round("value", 6))
+
+
 def _questions(x):
     return x.chunks().filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
 

@@ -121,8 +121,19 @@ def test_search_and_boost(spark):
     assert [r["id"] for r in hits.orderBy("rank").collect()] == list(range(10))
     near = spark.createDataFrame([(0, 9), (0, 11)], "query_id int, id int")
     assert [r["id"] for r in retrieval.merged(hits, near).orderBy("rank").collect()] == [9, 0, 1, 2, 3]
-    same = retrieval.embed(spark.createDataFrame([("a b c",), ("c, B a",), ("",)], "text string")).collect()
-    assert same[0]["embedding"] == same[1]["embedding"] and sum(same[2]["embedding"]) == 0
+
+
+def test_a_rare_word_decides(spark):
+    texts = spark.createDataFrame([(0, "a b c"), (1, "c, B a"), (2, ""), (3, "the list the list sort"), (4, "the list zebra"), (5, None), *[(10 + i, f"the list of things {i}") for i in range(30)]], "id long, text string")
+    terms = retrieval.dictionary(texts)
+    weight = {r["word"]: r["weight"] for r in terms.collect()}
+    assert weight["zebra"] > weight["of"] > weight["the"] and weight[""] > weight["zebra"]
+    made = {r["id"]: r["embedding"] for r in retrieval.embed(texts, terms, size=4096).collect()}
+    assert made[0] == made[1] and sum(map(abs, made[2])) == sum(map(abs, made[5])) == 0 and abs(sum(x * x for x in made[4]) - 1) < 1e-5 and len(made) == 36
+    asked = spark.createDataFrame([(0, "the list of the zebra")], "query_id long, text string")
+    q = retrieval.embed(asked, terms, "query_id", size=4096).select("query_id", F.col("embedding").alias("vector"))
+    chunks = spark.createDataFrame([(i, v) for i, v in made.items() if any(v)], "id long, embedding array<float>")
+    assert retrieval.search(chunks, q).filter("rank = 1").first()["id"] == 4
 
 
 PYTHON = """import os, a.b, numpy as np
