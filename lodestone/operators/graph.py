@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..shared import written
 
-#: Edges that one task may search by itself; nodes of the longest cycles that are given unless more are asked for.
-LOCAL, LONGEST = 1_000_000, 8
+#: Edges that one task may search by itself; edges within components that are broadcast to be searched from each first edge; nodes of the longest cycles that are given unless more are asked for.
+LOCAL, SEARCHED, LONGEST = 1_000_000, 100_000, 8
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -217,11 +217,16 @@ def spread_components(edges: DataFrame) -> DataFrame:
     return empty if found is None else found
 
 
-def _cycle_steps(edges: DataFrame, longest: int | None):
-    """(closed, open) for cycles of 2, 3, .. nodes: the paths that close, and those that go on; until none does, or up to ``longest``."""
+def _within(edges: DataFrame) -> DataFrame:
+    """(src, dst, component): the edges within a strong component, written."""
     member = components(edges)
     one = clean(edges).join(member.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
-    e = written(one.filter("a = b").select("src", "dst"), "within")
+    return written(one.filter("a = b").select("src", "dst", F.col("a").alias("component")), "within")
+
+
+def _cycle_steps(within: DataFrame, longest: int | None):
+    """(closed, open) for cycles of 2, 3, .. nodes: the paths that close, and those that go on; until none does, or up to ``longest``."""
+    e = within.select("src", "dst")
     step, k = e.filter("dst > src").select(F.col("src").alias("s"), F.col("dst").alias("c"), F.array("src", "dst").alias("path")), 2
     while True:
         closed = step.join(e, (F.col("c") == F.col("src")) & (F.col("s") == F.col("dst")), "left_semi").select("path")
@@ -234,22 +239,97 @@ def _cycle_steps(edges: DataFrame, longest: int | None):
         k += 1
 
 
-def cycles(edges: DataFrame, longest: int | None = LONGEST) -> DataFrame:
+def _back(s, before: dict) -> dict:
+    """How many edges each node that reaches ``s`` by greater nodes only has to it at least."""
+    far, now = {s: 0}, [s]
+    while now:
+        some = [a for b in now for a in before.get(b, ()) if a > s and a not in far]
+        for a in some:
+            far.setdefault(a, far[now[0]] + 1)
+        now = list(dict.fromkeys(some))
+    return far
+
+
+def _circuits(s, first, after: dict, before: dict, longest: int | None):
+    """The cycles that begin with s, first and go by nodes greater than s only.
+
+    Without a limit a node that led nowhere is blocked until a node that it leads to is free again (Johnson's search), so time
+    is bounded by the number of cycles; with one, nodes too far from s are left out. Memory is a path and the blocked nodes.
+    """
+    far = _back(s, before)
+    if first not in far:
+        return
+    path, blocked, waiting = [s, first], {s, first}, {}
+    walk, hit = [iter(after[first])], [False]
+    while walk:
+        for b in walk[-1]:
+            if b == s:
+                yield list(path)
+                hit[-1] = True
+            elif b not in blocked and b in far and (longest is None or len(path) + far[b] <= longest):
+                path.append(b)
+                blocked.add(b)
+                walk.append(iter(after[b]))
+                hit.append(False)
+                break
+        else:
+            walk.pop()
+            v, closed = path.pop(), hit.pop()
+            if closed or longest is not None:
+                free = [v]
+                while free:
+                    x = free.pop()
+                    if x in blocked:
+                        blocked.discard(x)
+                        free += waiting.pop(x, ())
+            else:
+                for b in after[v]:
+                    waiting.setdefault(b, set()).add(v)
+            if closed and hit:
+                hit[-1] = True
+
+
+def cycles(edges: DataFrame, longest: int | None = LONGEST, searched: int = SEARCHED) -> DataFrame:
     """(path): the elementary cycles of 2..``longest`` nodes, or of any length if that is None, each once and from its least node on.
 
-    Only edges within a component are walked. Cycles can be exponentially many, hence the limit; :func:`count_cycles` says
-    whether longer ones may be left out. Without a limit the open paths of each length are written.
+    Cycles can be exponentially many, hence the limit; :func:`count_cycles` says whether longer ones may be left out. Where no
+    more than ``searched`` edges lie within components, which is checked, those are broadcast and searched from each first edge
+    apart, so cycles come as a stream, whatever their number. More edges are walked by joins, and without a limit the open
+    paths of each length are written.
     """
-    found = None
-    for closed, _ in _cycle_steps(edges, longest):
-        found = closed if found is None else found.unionByName(closed)
-    return found
+    within = _within(edges)
+    if within.count() > searched:
+        found = None
+        for closed, _ in _cycle_steps(within, longest):
+            found = closed if found is None else found.unionByName(closed)
+        return found
+    spark, kind = edges.sparkSession, dict(within.dtypes)["src"]
+    after: dict = {}
+    before: dict = {}
+    for r in within.select("src", "dst").collect():  # SEARCHED edges at most
+        after.setdefault(r["src"], []).append(r["dst"])
+        before.setdefault(r["dst"], []).append(r["src"])
+    shared = spark.sparkContext.broadcast((after, before))
+
+    def search(batches):
+        import itertools
+
+        import pyarrow as pa
+
+        after, before = shared.value
+        for batch in batches:
+            for s, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _circuits(s, first, after, before, longest)
+                while some := list(itertools.islice(found, 1000)):
+                    yield pa.RecordBatch.from_pydict({"path": some})
+
+    return within.filter("dst > src").select("src", "dst").repartition("src", "dst").mapInArrow(search, f"path array<{kind}>")
 
 
 def count_cycles(edges: DataFrame, longest: int | None = LONGEST) -> DataFrame:
     """One row (cycles, truncated): how many :func:`cycles` gives, and whether a path within a component was still open at ``longest``."""
     found = left = None
-    for closed, step in _cycle_steps(edges, longest):
+    for closed, step in _cycle_steps(_within(edges), longest):
         found, left = closed if found is None else found.unionByName(closed), step
     return found.agg(F.count("*").alias("cycles")).crossJoin(left.limit(1).agg((F.count("*") > 0).alias("truncated")))
 

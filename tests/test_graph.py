@@ -211,3 +211,41 @@ def test_components_in_few_rounds(spark, monkeypatch):
     got = {(r["node"], r["component"]) for r in graph.spread_components(e).collect()}
     assert len(rounds) < 20
     assert got == {(r["node"], r["component"]) for r in graph.components(e).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_by_search_and_by_joins(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(9)]
+    e = edge_table(spark, {(a, b) for a in names for b in names if a != b and rng.random() < 0.25 + 0.1 * seed} | {("z", "y"), ("y", "z")})
+    for longest in (3, None):
+        by_search = sorted(tuple(r["path"]) for r in graph.cycles(e, longest).collect())
+        assert by_search == sorted(tuple(r["path"]) for r in graph.cycles(e, longest, searched=0).collect()) and len(set(by_search)) == len(by_search) > 0
+
+
+def test_blocked_nodes_are_freed():
+    """A node that led nowhere at first is on cycles later."""
+    pairs = [(0, 1), (1, 2), (2, 3), (3, 1), (1, 4), (4, 0), (3, 0), (2, 4), (4, 2)]
+    after, before = {}, {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+        before.setdefault(b, []).append(a)
+    got = sorted(p for s, b in pairs if b > s for p in graph._circuits(s, b, after, before, None))
+
+    def plainly(path):
+        for a, b in pairs:
+            if a == path[-1]:
+                if b == path[0]:
+                    yield list(path)
+                elif b > path[0] and b not in path:
+                    yield from plainly([*path, b])
+
+    assert got == sorted(p for s in range(5) for p in plainly([s]))
+
+
+def test_cycles_of_any_length_come_as_a_stream(spark):
+    """The graph of files has more cycles of any length than could be held."""
+    from lodestone.sources.fixtures import Fixtures
+
+    few = graph.cycles(Fixtures(spark, "/root/testdata/sf0.01").edges(), None).limit(3000).collect()
+    assert len({tuple(r["path"]) for r in few}) == 3000 and max(len(r["path"]) for r in few) > 8
