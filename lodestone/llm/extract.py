@@ -46,7 +46,7 @@ BROADCAST, LONGEST = 16 << 20, 300
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIPPED = frozenset("aside button canvas datalist dialog footer form frame frameset head header iframe input label map math menu nav noembed noframes noscript object option script select style svg template textarea title audio video".split())
+SKIPPED = frozenset("aside button canvas datalist dialog footer form frame frameset head header iframe input label map menu nav noembed noframes noscript object option script select style svg template textarea title audio video".split())
 CONTAINERS = frozenset("article body div main section td".split())
 #: An open element of the second kind ends where one of the first begins, unless one of the third stands between.
 _CLOSES = [
@@ -63,9 +63,13 @@ CLOSES = {name: (tuple(ends), tuple(stops - SKIPPED)) for names, ends, stops in
 BARRIERS = frozenset("article main td table".split())
 THROUGH = CONTAINERS | SKIPPED | {"table", "tr", "tbody", "html", "body"}
 # Words in classes, ids and roles of what is no main text; those that an article's parts may have, too; words that say nothing beside them.
-STRONG = frozenset("ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs captcha comment comments commentlist complementary consent contentinfo cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promos promoted sidebar signup skiplink sponsor sponsored subscribe taboola toolbar widget widgets".split())
-WEAK = frozenset("header recommended related replies respond search share sharing social".split())
-PLAIN = frozenset("add area article aside bar block bottom box button buttons container copyright form global google group inner item items legal left link links list main mobile module new outer page panel post posts primary privacy reader right section secondary site skip slot story sub text thread title top unit user view wrap wrapper".split())
+STRONG = frozenset("ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs captcha comment comments commentlist complementary consent contentinfo cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promos promoted replies respond sidebar signup skiplink sponsor sponsored subscribe taboola toolbar widget widgets".split())
+WEAK = frozenset("header recommended related search share sharing social".split())
+PLAIN = frozenset("add area article aside bar block body bottom box button buttons container content copyright form global google group inner item items legal left link links list main mobile module new outer page panel post posts primary privacy reader right section secondary site skip slot story sub text thread title top unit user view wrap wrapper".split())
+#: Those of them that name a part of its own as soon as another word stands beside them.
+FIRM = WEAK - {"header", "search"}
+#: Elements within a line or of code, which no name makes a part of the page.
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark pre q s samp small span strong sub sup time tt u var".split())
 STRUCTURE = frozenset("article aside center dd details div dl dt fieldset figure li ol section table tbody td tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup body main".split())
 #: Words that speak for a container.
@@ -95,10 +99,14 @@ def marked(tag: str, class_: str, id_: str, role: str) -> int:
     found = 0
     for name in (*class_.split(), id_, *role.split()):
         words = re.sub(r"(?<=[a-z])(?=[A-Z])|[\d_-]+", " ", name).lower().split()
-        if not words or tag in HEADINGS:
+        if not words or tag in HEADINGS or tag in INLINE:
+            continue
+        if name == id_ and not class_ and tag in ("section", "article") and len(words) == 1:
+            # What an article's own part is about, if that is text.
+            found = max(found, int(words[0] in STRONG or words[0] in WEAK))
             continue
         if len(words) == 1 or tag in STRUCTURE and all(w in STRONG or w in WEAK or w in PLAIN for w in words):
-            if any(w in STRONG for w in words):
+            if any(w in STRONG for w in words) or len(words) > 1 and any(w in FIRM for w in words):
                 return 2
             if tag in STRUCTURE and any(w in WEAK for w in words):
                 found = 1
@@ -112,11 +120,12 @@ def _hidden(found: dict[str, str]) -> bool:
 class Node:
     """An element: the number of its generalised path, whether it is skipped, and where its text begins and ends among the page's pieces."""
 
-    __slots__ = ("commas", "depth", "good", "inside", "links", "mark", "path", "size", "skipped", "start", "stop", "tag")
+    __slots__ = ("above", "commas", "depth", "good", "inside", "links", "mark", "path", "size", "skipped", "start", "stop", "tag")
 
     def __init__(self, tag: str, path: int, depth: int, skipped: bool, mark: int, good: bool, start: int, inside: int):
         self.tag, self.path, self.depth, self.skipped, self.mark, self.good, self.start, self.inside = tag, path, depth, skipped, mark, good, start, inside
         self.stop, self.size, self.links, self.commas = None, 0, 0, 0
+        self.above: Node | None = None
 
 
 class Paths:
@@ -247,6 +256,7 @@ def parse(page: str) -> tuple[list[str | None], list[Node], Paths]:
             own = (class_ or id_).split()
             path = paths.below(up.path, tag + ("." + re.sub(r"\d+", "#", own[0].lower()).replace(">", "") if own else ""))
         node = Node(tag, path, up.depth + 1, skipped, names, bool(class_ or id_) and bool(GOOD.search(f"{class_} {id_}")), len(pieces), len(nodes))
+        node.above = up if up.tag in CONTAINERS else up.above
         if tag in RAW or tag == "plaintext":
             close = re.compile(rf"</{re.escape(tag)}[\t\n\f\r />]", re.IGNORECASE).search(page, at) if tag != "plaintext" else None
             stop = close.start() if close else n
@@ -276,9 +286,21 @@ def score(node: Node) -> float:
     return weight * (plain + 10 * node.commas) * (plain / node.size if node.size else 0)
 
 
+def _whole(node: Node) -> bool:
+    """Whether the container around a node holds text that the node leaves out: no more than it has, and hardly any of it links."""
+    up = node.above
+    if up is None or node.tag in ("article", "main", "body"):
+        return False
+    more, links = up.size - up.links - node.size + node.links, up.links - node.links
+    return 0 < more <= node.size - node.links and 4 * links <= more
+
+
 def best(nodes: list[Node]) -> Node:
-    """The container with the highest score; of equal ones the innermost, then the first."""
-    return max(enumerate(nodes), key=lambda x: (score(x[1]), x[1].depth, -x[0]))[1]
+    """The container with the highest score; of equal ones the innermost, then the first. What stands beside it as text belongs to it: then the one around both counts."""
+    found = max(enumerate(nodes), key=lambda x: (score(x[1]), x[1].depth, -x[0]))[1]
+    while _whole(found):
+        found = found.above
+    return found
 
 
 def joined(pieces: list[str | None], spans: list[tuple[int, int]]) -> str:

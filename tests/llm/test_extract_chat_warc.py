@@ -248,3 +248,28 @@ def test_known_fields_beside_a_layout(spark):
     assert [tuple(r) for r in chat.canonical(rows, "conv_id", "turn").collect()] == [(1, 0, "user", "hi")]
     with pytest.raises(ValueError):
         chat.canonical(rows.drop("text"), "conv_id", "turn")
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p>Some code here, for you.</p><pre><span class="token comment"># note</span> x = 1</pre></article>', "Some code here, for you.\n\n# note x = 1"),
+        ("<article><p>Formula <math><mi>x</mi></math> here, fine.</p></article>", "Formula x here, fine."),
+        ('<article><p>Intro text, of words.</p><section id="widgets"><p>How widgets are made, in short.</p></section></article>', "Intro text, of words.\n\nHow widgets are made, in short."),
+        ('<div class="post"><h1>Headline</h1><div class="post-body"><p>The story text, long enough to count. More, and more.</p></div></div>', "Headline\n\nThe story text, long enough to count. More, and more."),
+        ('<div class="text"><p>First block of text, with words.</p></div><div class="more"><p>Second block, too.</p></div>', "First block of text, with words.\n\nSecond block, too."),
+        ('<div class="text"><p>First block of text, with words.</p></div><div class="nearby"><a href="/a">Some other page</a> <a href="/b">And one more page</a></div>', "First block of text, with words."),
+    ],
+)
+def test_what_belongs_to_an_article(page, want):
+    assert extract.main_text(f"<html><body>{page}</body></html>")[0] == want
+
+
+OTHERS = ['<div class="comment-body"><p>I like it, really.</p></div>', '<div class="replies"><article><p>A reply, so long.</p></article></div>', '<div id="respond"><p>Leave a reply, please.</p></div>', '<div class="related-posts"><p>Read this too, friend.</p></div>', '<div class="social-share"><p>Share it with all.</p></div>', '<section id="comments" class="x"><p>Some say so, others not.</p></section>']
+
+
+@pytest.mark.parametrize("other", OTHERS)
+@pytest.mark.parametrize("inside", ["<article>{}{}</article>", "<article>{}</article>{}", '<div class="post-body">{}{}</div>', '<main><div class="entry">{}</div>{}</main>'])
+def test_what_does_not(other, inside):
+    text = "The real text of the page, with words enough."
+    assert extract.main_text("<body>" + inside.format(f"<p>{text}</p>", other) + "</body>")[0] == text
