@@ -68,6 +68,8 @@ WEAK = frozenset("header recommended related search share sharing social".split(
 PLAIN = frozenset("add area article aside bar block body bottom box button buttons container content copyright form global google group inner item items legal left link links list main mobile module new outer page panel post posts primary privacy reader right section secondary site skip slot story sub text thread title top unit user view wrap wrapper".split())
 #: Those of them that name a part of its own as soon as another word stands beside them.
 FIRM = WEAK - {"header", "search"}
+#: Those that a section of an article may be about, when they are all that names it, as the place that a link leads to.
+TOPICS = frozenset("advertisement advertisements banner captcha consent cookie cookies login menu modal navigation newsletter notice notices pagination popup signup toolbar widget widgets".split())
 #: Elements within a line or of code, which no name makes a part of the page.
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark pre q s samp small span strong sub sup time tt u var".split())
 STRUCTURE = frozenset("article aside center dd details div dl dt fieldset figure li ol section table tbody td tr ul".split())
@@ -101,9 +103,8 @@ def marked(tag: str, class_: str, id_: str, role: str) -> int:
         words = re.sub(r"(?<=[a-z])(?=[A-Z])|[\d_-]+", " ", name).lower().split()
         if not words or tag in HEADINGS or tag in INLINE:
             continue
-        if name == id_ and not class_ and tag in ("section", "article") and len(words) == 1:
-            # What an article's own part is about, if that is text.
-            found = max(found, int(words[0] in STRONG or words[0] in WEAK))
+        if name == id_ and not class_ and tag in ("section", "article") and len(words) == 1 and words[0] in TOPICS:
+            found = 1
             continue
         if len(words) == 1 or tag in STRUCTURE and all(w in STRONG or w in WEAK or w in PLAIN for w in words):
             if any(w in STRONG for w in words) or len(words) > 1 and any(w in FIRM for w in words):
@@ -289,7 +290,7 @@ def score(node: Node) -> float:
 def _whole(node: Node) -> bool:
     """Whether the container around a node holds text that the node leaves out: no more than it has, and hardly any of it links."""
     up = node.above
-    if up is None or node.tag in ("article", "main", "body"):
+    if up is None or node.tag not in ("div", "section"):
         return False
     more, links = up.size - up.links - node.size + node.links, up.links - node.links
     return 0 < more <= node.size - node.links and 4 * links <= more
