@@ -827,6 +827,16 @@ def tracked_versions(x):
     return store.read("file_versions").select("file_path", "hash", "commit_hash")
 
 
+@query("v", """WITH x AS (SELECT file_path, hash, commit_hash, author, lag(hash) OVER w AS previous_hash, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY file_path ORDER BY ts, hash))
+SELECT file_path, hash, commit_hash, author, previous_hash, CASE WHEN n = 1 THEN 'first' WHEN hash = previous_hash THEN 'same' ELSE 'changed' END AS change FROM x""")
+def streamed_history(x):
+    """Every version with the one before it, by the state that a stream keeps of each file."""
+    place = f"{shared_dir(x.spark)}/stream-{uuid.uuid4().hex}"
+    x.versions().write.parquet(f"{place}/in")
+    stream.follow(stream.read(x.spark, f"{place}/in", files=1_000_000), f"{place}/out", f"{place}/state").awaitTermination()
+    return x.spark.read.schema(stream.LINEAGE).parquet(f"{place}/out").select("file_path", "hash", "commit_hash", "author", "previous_hash", "change")
+
+
 # Source files.
 
 

@@ -175,3 +175,26 @@ def test_streamed_versions(spark, tmp_path):
         source = stream.unique(stream.read(spark, str(tmp_path / "in"), files=1))
         stream.track(source, store, str(tmp_path / f"check{os.urandom(2).hex()}")).awaitTermination()
     assert store.read("file_versions").count() == 3
+
+
+def test_streamed_lineage_goes_on_after_a_restart(spark, tmp_path):
+    from lodestone.operators import versions
+
+    rows = [("r", f"f{i % 3}", f"h{i % 7 // 2}", f"c{i}", i * 60, "u") for i in range(40)]
+    table = spark.createDataFrame(rows, "repo_id string, file_path string, hash string, commit_hash string, at long, author string")
+    table = table.select("repo_id", "file_path", "hash", "commit_hash", F.timestamp_seconds(F.col("at") + 1_700_000_000).alias("ts"), "author", "at")
+    parts = [table.filter(f"at div 600 = {k}").drop("at") for k in range(4)]
+    got = lambda: spark.read.parquet(str(tmp_path / "out")).collect()
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.follow(stream.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        assert len(got()) == 10 * (k + 1)
+    want = {(r["file_path"], r["commit_hash"]): r["previous_hash"] for r in versions.file_history(table).collect()}
+    assert {(r["file_path"], r["commit_hash"]): r["previous_hash"] for r in got()} == want
+    assert all(r["change"] == ("first" if r["previous_hash"] is None else "same" if r["previous_hash"] == r["hash"] else "changed") for r in got())
+    # One that comes late, but within the watermark, changes nothing after it.
+    old = spark.createDataFrame([("r", "f0", "old", "late", 1_700_000_000 + 60 * 30 - 5, "u"), ("r", "f0", "new", "next", 1_700_000_000 + 60 * 60, "u")], "repo_id string, file_path string, hash string, commit_hash string, ts long, author string")
+    old.withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream.follow(stream.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    last = {r["commit_hash"]: (r["previous_hash"], r["change"]) for r in got() if r["commit_hash"] in ("late", "next")}
+    assert last == {"late": (None, "late"), "next": (rows[39][2], "changed")}
