@@ -35,8 +35,8 @@ from .components import components, hot_from, spread_join
 SEED, WORDS, RADIUS = 42, 3, 2
 #: Most fingerprints of a tree.
 SHARD = 20_000
-#: Fingerprints that a shard of sampled bits is to hold; the most bits of a key; the share of pairs at the least similarity that share a shard.
-NEAR, MOST_BITS, RECALL = 32, 24, 0.99
+#: Least hashes that make a shard's key together; the share of pairs at just the least similarity that share a shard.
+TOGETHER, RECALL = 3, 0.995
 #: Standard deviations that the radius of candidates is above the expected distance; bytes of shingle sets that a task keeps.
 DEVIATIONS, HELD = 3, 16 << 20
 #: Bytes of a node's name, the digest of its set.
@@ -242,10 +242,26 @@ def expected(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def tables(nodes: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a table's key, tables): about NEAR fingerprints to a shard, and a pair of this similarity shares a shard with chance ``recall``."""
-    bits = min(MOST_BITS, max(8, math.ceil(math.log2(max(1, nodes) / NEAR))))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - expected(similarity)) ** bits))
+def bands(similarity: float, recall: float = RECALL) -> int:
+    """Keys of a set, so that two of this similarity have one in common with chance ``recall``; the same however many sets there are."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**TOGETHER))
+
+
+def shard_keys(h: np.ndarray, count: int) -> np.ndarray:
+    """A set's keys: each of TOGETHER least values of its hashes mixed anew. Two sets agree in a least value with the chance of their similarity."""
+    if not len(h):
+        return np.zeros(count, dtype=np.int64)
+    rng = np.random.default_rng(12)
+    a, b = (rng.integers(1, 1 << 62, (2, count * TOGETHER), dtype=np.int64) | 1).astype(np.uint64)
+    least = np.full(count * TOGETHER, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(h), COUNTED // 16):
+        x = (h[i : i + COUNTED // 16, None] ^ b) * a
+        least = np.minimum(least, ((x ^ x >> np.uint64(31)) * a).min(axis=0))
+    key = np.zeros(count, dtype=np.uint64)
+    for own in least.reshape(count, TOGETHER).T:
+        key = (key ^ own) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 class Sets:
@@ -315,9 +331,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, h, component): near-duplicates by shingles of more words and a lower similarity than blocks of equal bits could find.
 
     Texts with the same set of shingles are one node. Fingerprints of the sets have ``bits`` bits; candidates are pairs within
-    the distance expected at ``similarity`` and DEVIATIONS standard deviations more that share a shard. Shards are keyed by
-    sampled bits, in as many tables as the recall asks for; their BK-trees are searched as those of :func:`near_duplicates`.
-    A first search finds the fingerprints with candidates. The sets of only these are written to files, and a second search
+    the distance expected at ``similarity`` and DEVIATIONS standard deviations more that share a shard. A set is in a fixed
+    number of shards, keyed by least hashes of its shingles (see :func:`bands`), as at this distance bits of fingerprints agree
+    too often by chance; the shards' BK-trees are searched as those of :func:`near_duplicates`. A first search finds the fingerprints with candidates. The sets of only these are written to files, and a second search
     compares each candidate's set before it joins groups, so every link has an exact Jaccard similarity of ``similarity`` or
     more (of sets of 64-bit hashes). ``h`` is a hash of the text.
     """
@@ -328,32 +344,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for part in slices(batches, "text"):
-            fp, name = [], []
+            fp, name, keys = [], [], []
             for t in part.column(2).to_pylist():
                 own = np.unique(hashes(t, words))
                 fp.append(wide_fingerprint(own, bits))
                 name.append(xxhash.xxh128_digest(own.tobytes()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(name, pa.binary())], names=["id", "h", "fp", "name"])
+                keys.append(shard_keys(own, count))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(name, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "fp", "name", "keys"])
 
-    prints = written(rows.mapInArrow(run, "id long, h long, fp binary, name binary"), "fingerprints")
-    nodes = written(prints.groupBy("name").agg(F.first("fp").alias("fp"), F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("r"), F.count("*").alias("n")), "nodes")
+    count = bands(similarity)
+    prints = written(rows.mapInArrow(run, "id long, h long, fp binary, name binary, keys array<long>"), "fingerprints")
+    nodes = written(prints.groupBy("name").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("r"), F.count("*").alias("n")), "nodes")
     several = nodes.groupBy("fp").agg(F.count("*").alias("n"))
-    sampled, count = tables(nodes.count(), similarity)
-    rng = np.random.default_rng(12)
-    places = np.stack([rng.choice(bits, sampled, replace=False) for _ in range(count)])
-
-    def keyed(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                raw = np.frombuffer(b"".join(x[:size] for x in part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                spread = np.unpackbits(raw, axis=1, bitorder="little")
-                for k, own in enumerate(places):
-                    value = spread[:, own].astype(np.int64) @ (1 << np.arange(sampled, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(value), k), pa.int32()), pa.array(value)], names=["fp", "block", "value"])
-
-    shards = lambda some: some.mapInArrow(keyed, "fp binary, block int, value long")
-    found = link_shards(shards(several.select("fp")), radius, shard).select(F.explode(F.array("a", "b")).alias("fp"))
+    shards = lambda some: some.select("fp", F.posexplode("keys").alias("block", "value"))
+    found = link_shards(shards(nodes), radius, shard).select(F.explode(F.array("a", "b")).alias("fp"))
     near = written(found.unionByName(several.filter("n > 1").select("fp")).distinct(), "near")
     picked = nodes.join(near, "fp", "left_semi").select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
     folder = new_path(docs.sparkSession, "sets")
@@ -361,20 +365,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def store(batches):
         """A node for each text, with the place of its set; a file for each part."""
         for part in slices(batches, "text"):
-            file, at, out, parts = uuid.uuid4(), 0, [], []
+            file, at, out, parts, keys = uuid.uuid4(), 0, [], [], []
             for t in part.column(0).to_pylist():
                 own = np.unique(hashes(t, words))
                 raw = own.tobytes()
                 parts.append(raw)
                 out.append(wide_fingerprint(own, bits) + xxhash.xxh128_digest(raw) + file.bytes + at.to_bytes(8, "little") + len(own).to_bytes(8, "little"))
+                keys.append(shard_keys(own, count))
                 at += len(raw)
             put_file(f"{folder}/{file.hex}", parts)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "keys"])
 
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
-    stored = written(rows.join(picked, same, "left_semi").select("text").mapInArrow(store, "fp binary"), "stored")
+    stored = written(rows.join(picked, same, "left_semi").select("text").mapInArrow(store, "fp binary, keys array<long>"), "stored")
     # Repeated rows gave one name several places.
-    once = stored.groupBy(F.substring("fp", 1, size + NAME).alias("k")).agg(F.min("fp").alias("fp")).select("fp")
+    once = stored.groupBy(F.substring("fp", 1, size + NAME).alias("k")).agg(F.min("fp").alias("fp"), F.first("keys").alias("keys")).select("fp", "keys")
 
     def finder():
         sets = Sets(folder, bits)

@@ -113,10 +113,20 @@ def test_similar_documents(spark):
     assert kept == sorted(set(by_id.values())) and simhash.deduplicated(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [10, 10_000, 10**7, 10**10])
-def test_tables_meet_the_recall(n):
-    bits, count = simhash.tables(n, 0.8)
-    assert 1 - (1 - (1 - simhash.expected(0.8)) ** bits) ** count >= 0.95
+@pytest.mark.parametrize("n", [5, 9, 40, 500, 9000])
+def test_shard_keys_meet_the_recall(n):
+    """Sets of just the least similarity share a key, by a number of keys that doesn't depend on how many sets there are; others hardly do."""
+    count, rng = simhash.bands(0.8), np.random.default_rng(n)
+    assert count == 8
+    met = apart = 0
+    for _ in range(400):
+        # Of 9 m hashes 8 m and a little more are shared.
+        h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
+        own, other = (np.sort(np.delete(h, range(k, n // 10 + k))) for k in (0, n // 10))
+        assert len(np.intersect1d(own, other)) >= 0.8 * len(np.union1d(own, other)) - 1e-9
+        met += (simhash.shard_keys(own, count) == simhash.shard_keys(other, count)).any()
+        apart += (simhash.shard_keys(own, count) == simhash.shard_keys(own + np.uint64(1), count)).any()
+    assert met >= 0.985 * 400 and apart <= 2
 
 
 def test_clashing_columns_nulls_and_long_texts_in_every_stage(spark):
