@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from .tokens import PieceEncoder
 
 #: Characters in a chunk, and those that it shares with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Pieces that a worker remembers at least, and twice as many at most.
+KEPT = 150_000
 #: The pattern looks at so many characters past a match at most. Patterns that look further need more, see ``margin``.
 MARGIN = 4
 
@@ -40,12 +43,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@functools.cache
 def rank_encoder(path: str, pattern: str) -> PieceEncoder:
-    """Encodes each match of ``pattern`` by itself."""
+    """Encodes each match of ``pattern`` by itself; a worker process keeps it from task to task."""
     import tiktoken
 
     model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-    return PieceEncoder(model._encode_single_piece, regex.compile(pattern).findall)
+    return PieceEncoder(model._encode_single_piece, regex.compile(pattern).findall, KEPT)
+
+
+@functools.cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id; a worker process keeps them from task to task."""
+    return {i: b for b, i in load_ranks(path).items()}
 
 
 def chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
@@ -151,9 +161,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
 
     def merge(batches):
         model = rank_encoder(ranks, pattern)
-        model.split = lambda x: [x[0][a:b] for a, b in zip(x[1], x[1][1:])]  # noqa: B905
+        cut = lambda x: [x[0][a:b] for a, b in zip(x[1], x[1][1:])]  # noqa: B905, E731
         for part in slices(batches, text):
-            ids = model(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)))
+            ids = model(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)), cut)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=[key, no, out])
 
     coded = stretches.repartition(key, no).mapInArrow(merge, f"{key} long, {no} int, {out} binary")
@@ -181,7 +191,7 @@ def decode(rows: DataFrame, ranks: str, ids_col: str = "ids", out: str = "decode
     schema = type(rows.schema)([*rows.schema.fields]).add(out, "binary")
 
     def run(batches):
-        table = {i: b for b, i in load_ranks(ranks).items()}.__getitem__
+        table = token_bytes(ranks).__getitem__
         for part in slices(batches, ids_col):
             own = part.column(part.schema.get_field_index(ids_col)).to_pylist()
             yield appended(part, **{out: pa.array([None if x is None else b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in own], pa.binary())})

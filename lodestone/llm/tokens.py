@@ -88,12 +88,12 @@ class Remembered:
 class PieceEncoder:
     """Ids of texts, piece by piece."""
 
-    def __init__(self, encode: Callable[[str], list[int]], split: Callable[[str], list[str]]):
-        self.ids, self.split = Remembered(lambda pieces: [little(encode(p)) for p in pieces]), split
+    def __init__(self, encode: Callable[[str], list[int]], split: Callable[[str], list[str]], most: int = REMEMBERED):
+        self.ids, self.split = Remembered(lambda pieces: [little(encode(p)) for p in pieces], most), split
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self.split(t) for t in texts]
+    def __call__(self, texts: list, split: Callable | None = None) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; ``split`` cuts texts in place of the encoder's own function."""
+        parts = [(split or self.split)(t) for t in texts]
         pieces = list({x for p in parts for x in p})
         get = dict(zip(pieces, self.ids(pieces), strict=True)).__getitem__
         return [b"".join(map(get, p)) for p in parts]
