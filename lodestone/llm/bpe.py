@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,18 +42,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@functools.cache
 def rank_encoder(path: str, pattern: str) -> PieceEncoder:
-    """Encodes each match of ``pattern`` by itself; a worker process keeps it from task to task."""
+    """Encodes each match of ``pattern`` by itself. It lives as long as its task: workers that kept it would hold that memory through all later stages."""
     import tiktoken
 
     model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
     return PieceEncoder(model._encode_single_piece, regex.compile(pattern).findall, KEPT)
 
 
-@functools.cache
 def token_bytes(path: str) -> dict[int, bytes]:
-    """The bytes of each id; a worker process keeps them from task to task."""
+    """The bytes of each id."""
     return {i: b for b, i in load_ranks(path).items()}
 
 
