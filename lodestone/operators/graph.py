@@ -122,7 +122,7 @@ def core(edges: DataFrame, each: int = 3) -> DataFrame:
     return now
 
 
-def _spread(edges: DataFrame, each: int = 6) -> DataFrame:
+def _spread(edges: DataFrame, each: int = 2) -> DataFrame:
     """(node, f, b): the greatest node that reaches each node, and the greatest that it reaches, itself included, by the same rounds of ``each`` steps."""
     values, total = nodes(edges).select("node", F.col("node").alias("f"), F.col("node").alias("b")), None
     while True:
