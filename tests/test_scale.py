@@ -41,3 +41,11 @@ def test_callers_are_counted_without_pairs(calls):
     found = impact.blast_radius(edges, targets, functions, called)
     assert rows_made(found) <= 10 * N
     assert {tuple(r)[4:6] for r in found.collect()} == {(2, N)}
+
+
+def test_callers_are_listed_once_for_equal_names(calls):
+    functions, called, edges, targets = calls
+    found = impact.affected(edges, targets, functions, called)
+    assert rows_made(found) <= 10 * N
+    for r in found.collect():
+        assert r["functions_affected"] == ["f", "g"] and r["function_callers"] == sorted({f"{i}.py" for i in range(N)} - {r["target"]} | {"x.py"})
