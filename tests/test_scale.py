@@ -49,3 +49,10 @@ def test_callers_are_listed_once_for_equal_names(calls):
     assert rows_made(found) <= 10 * N
     for r in found.collect():
         assert r["functions_affected"] == ["f", "g"] and r["function_callers"] == sorted({f"{i}.py" for i in range(N)} - {r["target"]} | {"x.py"})
+
+
+def test_function_impact_lists_a_name_once(calls):
+    functions, called, _, _ = calls
+    found = impact.function_impact(functions, called)
+    assert rows_made(found) <= 10 * N
+    assert {(r["name"], r["n"]) for r in found.collect()} == {("f", N), ("g", 0)}
