@@ -173,8 +173,7 @@ class Api:
 
     def function_graph(self, repo: str) -> tuple[DataFrame, DataFrame]:
         state = analysis.rebuild(self.store, repo)
-        between = resolve.resolve_function_calls(state["function_calls"], state["functions"])
-        return projections.function_graph(state["functions"], resolve.resolve_calls(state["file_calls"], state["functions"]), between)
+        return projections.function_graph(state["functions"], state["file_calls"], state["function_calls"])
 
     def function_closure(self, repo: str) -> DataFrame:
         """(src, dst, dist): functions that a function reaches by up to five calls."""

@@ -56,3 +56,39 @@ def test_function_impact_lists_a_name_once(calls):
     found = impact.function_impact(functions, called)
     assert rows_made(found) <= 10 * N
     assert {(r["name"], r["n"]) for r in found.collect()} == {("f", N), ("g", 0)}
+
+
+def test_resolved_calls_come_from_sorted_rows(calls):
+    functions, called, _, _ = calls
+    found = resolve.resolve_calls(called, functions)
+    assert rows_made(found, "SortMergeJoin") == found.count() == N * (N + 1)
+
+
+def test_function_calls_are_not_shuffled_as_pairs(spark, calls):
+    functions, _, _, _ = calls
+    between = spark.createDataFrame([(f"{i}.py", "g", "f") for i in range(N)], "file string, caller string, callee string")
+    found = resolve.resolve_function_calls(between, functions)
+    assert rows_made(found, "Exchange") <= 10 * N and found.count() == N * N
+
+
+def test_ids_that_names_share_are_given_once(spark):
+    functions = spark.createDataFrame([("c", "a::b"), ("b::c", "a"), ("f", "x")], "name string, file string")
+    between = spark.createDataFrame([("x", "f", "c"), ("x", "f", "b::c")], "file string, caller string, callee string")
+    assert [tuple(r) for r in resolve.resolve_function_calls(between, functions).collect()] == [("x::f", "a::b::c")]
+
+
+def test_function_graph_without_pairs(spark, calls):
+    functions, called, _, _ = calls
+    between = spark.createDataFrame([("0.py", "g", "f"), ("0.py", "g", "none")], "file string, caller string, callee string")
+    nodes, edges = projections.function_graph(functions, called, between)
+    assert rows_made(nodes) <= 10 * N and rows_made(edges, "Exchange") <= 10 * N
+    assert sorted((r["id"], r["type"]) for r in nodes.collect()) == sorted([(f"{i}.py::f", "function") for i in range(N)] + [("0.py::g", "function"), ("x.py", "file")] + [(f"{i}.py", "file") for i in range(N)])
+    assert edges.count() == edges.distinct().count() == N * (N + 1) - N + N
+
+
+def test_function_graph_leaves_out_what_only_its_own_file_calls(spark):
+    functions = spark.createDataFrame([("f", "a.py", 1), ("g", "b.py", 2)], "name string, file string, line int")
+    called = spark.createDataFrame([("a.py", "f"), ("a.py", "g")], "file string, callee string")
+    none = spark.createDataFrame([], "file string, caller string, callee string")
+    nodes, edges = projections.function_graph(functions, called, none)
+    assert {r["id"] for r in nodes.collect()} == {"a.py", "b.py::g"} and [tuple(r)[:2] for r in edges.collect()] == [("a.py", "b.py::g")]
