@@ -12,30 +12,94 @@ from ..shared import shared_dir
 
 #: Hits of a search, of a merged result, and what a structural hit adds (fixed values).
 HITS, MERGED, BOOST = 10, 5, 0.5
-#: Queries that are broadcast at once.
-BLOCK = 1024
+#: Queries that are broadcast at once; how far a score by matrix products may be below a task's n-th, well over half a unit of the 6th place.
+BLOCK, MARGIN = 1024, 1e-5
 
 
 def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
 
 
+def _scores(x, y):
+    """Inner products of the rows of two matrices over the roots of their squared lengths, and where these are no numbers."""
+    import numpy as np
+
+    with np.errstate(all="ignore"):
+        lengths = np.sqrt(np.outer(np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)))
+        found = (x @ y.T) / lengths
+    return found, ~np.isfinite(found)
+
+
+def _near(stored: DataFrame, own: list, n: int) -> DataFrame:
+    """(id, embedding, at): rows of ``stored`` (id, embedding) that may be among the ``n`` nearest to the vector at place ``at`` of ``own``.
+
+    Each task multiplies matrices and keeps what is no further than its n-th by more than :data:`MARGIN`, so no pair is lost
+    to rounding; pairs without a number, and vectors that don't fit a matrix, are all kept.
+    """
+    import numpy as np
+
+    size = len(own[0]) if own[0] is not None else 0
+    plain = lambda v: v is not None and len(v) == size and None not in v
+    fit = np.array([i for i, v in enumerate(own) if size and plain(v)], dtype="int64")
+    other = np.setdiff1d(np.arange(len(own)), fit)
+    matrix = np.array([own[i] for i in fit], dtype="float64").reshape(len(fit), size)
+    kept = stored.sparkSession.sparkContext.broadcast((matrix, fit, other))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        matrix, fit, other = kept.value
+        least = np.full(len(fit), -np.inf)  # the n-th best score of each query up to now, by this task
+        best = np.full((len(fit), n), -np.inf)
+        for batch in itertools.chain.from_iterable((b.slice(k, 1024) for k in range(0, b.num_rows, 1024)) for b in batches):
+            vectors = batch.column(1)
+            lengths = np.array([-1 if v is None else v for v in pc.list_value_length(vectors).to_pylist()])
+            whole = np.flatnonzero(lengths == size) if size else np.zeros(0, "int64")
+            flat = vectors.take(pa.array(whole)).flatten()
+            if flat.null_count:
+                whole = np.array([i for i in whole if None not in vectors[int(i)].as_py()], dtype="int64")
+                flat = vectors.take(pa.array(whole)).flatten()
+            odd = np.setdiff1d(np.arange(batch.num_rows), whole)
+            rows, at = [np.repeat(odd, len(fit) + len(other)), np.repeat(whole, len(other))], [np.tile(np.concatenate([fit, other]), len(odd)), np.tile(other, len(whole))]
+            if len(whole) and len(fit):
+                scores, none = _scores(flat.to_numpy(zero_copy_only=False).astype("float64").reshape(len(whole), size), matrix)
+                low = np.where(none, -np.inf, scores)
+                few = low if len(whole) <= n else np.partition(low, len(whole) - n, axis=0)[len(whole) - n :]
+                best = np.partition(np.concatenate([best, few.T], axis=1), len(few), axis=1)[:, len(few) :]
+                least = best.min(axis=1)
+                r, q = np.nonzero(none | (scores >= least - MARGIN))
+                rows.append(whole[r])
+                at.append(fit[q])
+            rows, at = np.concatenate(rows), np.concatenate(at)
+            for k in range(0, len(rows), 10_000):
+                some = batch.take(pa.array(rows[k : k + 10_000]))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(at[k : k + 10_000], pa.int32())], names=["id", "embedding", "at"])
+
+    kinds = dict(stored.dtypes)
+    return stored.mapInArrow(run, f"id {kinds['id']}, embedding {kinds['embedding']}, at int")
+
+
 def search(chunks: DataFrame, queries: DataFrame, n: int = HITS, block: int = BLOCK) -> DataFrame:
     """(query_id, id, distance, rank): the ``n`` nearest chunks (id, embedding) to each query (query_id, vector).
 
     Queries pass the driver in blocks of ``block``, which are broadcast; beyond one block, each block's hits are written before
-    the next is read. Distances are rounded to 6 places, ties go to the smaller id. The rank filter keeps ``n`` rows of each
-    query in every task before the shuffle.
+    the next is read. Matrix products choose candidates in every task; their distances are then made in full, rounded to 6
+    places, ties go to the smaller id. Every chunk is compared with every query, so work grows with both.
     """
     spark = chunks.sparkSession
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    # Squares of lengths are made once for each vector, not for each pair.
     asked = queries.select("query_id", "vector", dot(F.col("vector"), F.col("vector")).alias("vv"))
-    stored = chunks.select("id", "embedding", dot(F.col("embedding"), F.col("embedding")).alias("ee"))
+    stored = chunks.select("id", "embedding")
 
     def hits(some: list) -> DataFrame:
-        own = F.broadcast(spark.createDataFrame(some, asked.schema))
-        scored = stored.crossJoin(own).select("query_id", "id", F.round(1 - dot(F.col("embedding"), F.col("vector")) / F.sqrt(F.col("ee") * F.col("vv")), 6).alias("distance"))
+        if not some:
+            near = stored.limit(0).withColumn("at", F.lit(0))
+        else:
+            near = _near(stored, [r["vector"] for r in some], n)
+        own = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(some)], f"at int, query_id {dict(asked.dtypes)['query_id']}, vector {dict(asked.dtypes)['vector']}, vv double"))
+        ee = dot(F.col("embedding"), F.col("embedding"))
+        scored = near.join(own, "at").select("query_id", "id", F.round(1 - dot(F.col("embedding"), F.col("vector")) / F.sqrt(ee * F.col("vv")), 6).alias("distance"))
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
     rows = asked.toLocalIterator()
