@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import shared_dir, written
 
 #: Hits of a search, of a merged result, and what a structural hit adds (fixed values).
 HITS, MERGED, BOOST = 10, 5, 0.5
@@ -129,35 +129,70 @@ def embedding_text(parsed: DataFrame) -> DataFrame:
     return parsed.select("file", F.array_join(lines, "\n").alias("text"))
 
 
-#: Places of a vector.
-SIZE = 64
+#: Places of a vector; words that are broadcast at most, the most frequent ones, and bytes of each.
+SIZE, FREQUENT, BYTES = 64, 1 << 16, 64
 
 
-def _words(texts: DataFrame, id_col: str) -> DataFrame:
-    """(id, word, tf) of each text."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    return texts.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+def counted(texts: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, word, tf) of each text (.., text), written; rows with the same id count as one text.
 
+    Words are counted where the text is. Only if ids repeat, which is checked, are counts shuffled.
+    """
+    own = texts.select(F.col(id_col).alias("id"), F.split(F.lower("text"), r"[^\p{L}\p{N}_]+").alias("words"))
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for part in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+            lengths = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
+            coded = part.column(1).flatten().dictionary_encode()
+            size = len(coded.dictionary)
+            pairs, tf = np.unique(np.repeat(np.arange(part.num_rows), lengths) * size + coded.indices.to_numpy(), return_counts=True)
+            whole = pairs % max(1, size) != pc.index(coded.dictionary, "").as_py()
+            pairs, tf = pairs[whole], tf[whole]
+            for k in range(0, len(pairs), 100_000):
+                row, word = np.divmod(pairs[k : k + 100_000], size)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), coded.dictionary.take(pa.array(word)), pa.array(tf[k : k + 100_000], pa.int64())], names=["id", "word", "tf"])
+
+    found = own.mapInArrow(count, f"id {dict(own.dtypes)['id']}, word string, tf long")
+    if not own.groupBy("id").count().filter("count > 1").isEmpty():
+        found = found.groupBy("id", "word").agg(F.sum("tf").alias("tf"))
+    return written(found, "words")
 
-def dictionary(texts: DataFrame, id_col: str = "id") -> DataFrame:
-    """(word, weight): ln((1 + N) / (1 + df)) + 1 of each word that df of N texts hold, and as the empty word the weight of one that none does."""
+
+def dictionary(texts: DataFrame, id_col: str = "id", words: DataFrame | None = None) -> DataFrame:
+    """(word, weight): ln((1 + N) / (1 + df)) + 1 of each word that df of N texts hold, and as the empty word the weight of one that none does.
+
+    ``words`` are the texts' :func:`counted` words, if there already.
+    """
     n = texts.agg(F.count("*").alias("n"))
-    df = _words(texts, id_col).groupBy("word").agg(F.count("*").alias("df"))
+    df = (counted(texts, id_col) if words is None else words).groupBy("word").agg(F.count("*").alias("df"))
     weight = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     unseen = n.select(F.lit("").alias("word"), F.lit(0).cast("long").alias("df"))
     return df.unionByName(unseen).crossJoin(F.broadcast(n)).select("word", weight.alias("weight"))
 
 
-def hashed(texts: DataFrame, terms: DataFrame, id_col: str = "id", size: int = SIZE) -> DataFrame:
-    """(id, place, value): places of unit vectors that aren't zero. A word adds (1 + ln tf) times its weight, or takes it away, at a place by its hash."""
-    unseen = F.broadcast(terms.filter("word = ''").select(F.col("weight").alias("other")))
-    found = _words(texts, id_col).join(terms.filter("word <> ''"), "word", "left").crossJoin(unseen)
+def hashed(texts: DataFrame, terms: DataFrame, id_col: str = "id", size: int = SIZE, words: DataFrame | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """(id, place, value): places of unit vectors that aren't zero. A word adds (1 + ln tf) times its weight, or takes it away, at a place by its hash.
+
+    The ``frequent`` words of least weight are broadcast, so most words of a text are summed up where they are; the others
+    are joined by a shuffle. ``words`` are the texts' :func:`counted` words, if there already.
+    """
+    words = counted(texts, id_col) if words is None else words
     mark = F.md5(F.col("word").cast("binary"))
     place = F.pmod(F.conv(F.substring(mark, 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
     sign = F.when(F.substring(mark, 9, 1) < "8", 1.0).otherwise(-1.0)
-    summed = found.groupBy("id", place.alias("place")).agg(F.sum(sign * (1 + F.log("tf")) * F.coalesce("weight", "other")).alias("value"))
-    long = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return summed.join(long, "id").filter("abs(value) > 1e-9").select("id", "place", (F.col("value") / F.col("norm")).alias("value"))
+    own = written(terms.select("word", "weight", place.alias("at"), sign.alias("sign")), "terms")
+    known, unseen = own.filter("word <> ''"), F.broadcast(own.filter("word = ''").select(F.col("weight").alias("other")))
+    many = F.broadcast(written(known.filter(F.octet_length("word") <= BYTES).orderBy("weight", "word").limit(frequent), "terms"))
+    near = words.join(many, "word").select("id", F.col("at").alias("place"), (F.col("sign") * (1 + F.log("tf")) * F.col("weight")).alias("value"))
+    rest = words.join(many.select("word"), "word", "left_anti").join(known, "word", "left").crossJoin(unseen)
+    rest = rest.select("id", F.coalesce("at", place).alias("place"), (F.coalesce("sign", sign) * (1 + F.log("tf")) * F.coalesce("weight", "other")).alias("value"))
+    summed = near.unionByName(rest).filter("id IS NOT NULL").groupBy("id", "place").agg(F.sum("value").alias("value"))
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("id")))
+    return summed.withColumn("norm", norm).filter("abs(value) > 1e-9").select("id", "place", (F.col("value") / F.col("norm")).alias("value"))
 
 
 def embed(texts: DataFrame, terms: DataFrame, id_col: str = "id", size: int = SIZE) -> DataFrame:

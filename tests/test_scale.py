@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestone.operators import impact, projections, resolve
+from lodestone.operators import impact, projections, resolve, retrieval
 
 N = 150
 
@@ -92,3 +92,20 @@ def test_function_graph_leaves_out_what_only_its_own_file_calls(spark):
     none = spark.createDataFrame([], "file string, caller string, callee string")
     nodes, edges = projections.function_graph(functions, called, none)
     assert {r["id"] for r in nodes.collect()} == {"a.py", "b.py::g"} and [tuple(r)[:2] for r in edges.collect()] == [("a.py", "b.py::g")]
+
+
+def test_words_of_vectors_are_summed_where_they_are(spark):
+    texts = spark.createDataFrame([(i, " ".join(f"w{i * k % 401}" for k in range(400))) for i in range(N)], "id long, text string")
+    words = retrieval.counted(texts)
+    found = retrieval.hashed(texts, retrieval.dictionary(texts, words=words), words=words)
+    assert words.count() > 300 * (N - 2) and rows_made(found, "Exchange") <= 64 * N
+    # Words that are not broadcast, and those that the dictionary lacks, weigh the same.
+    terms = retrieval.dictionary(texts).filter("word <> 'w7'")
+    one, other = ({(r["id"], r["place"]): round(r["value"], 9) for r in retrieval.hashed(texts, terms, frequent=k).collect()} for k in (1000, 5))
+    assert one == other and {i for i, _ in one} == set(range(N))
+
+
+def test_rows_with_the_same_id_are_one_text(spark):
+    texts = spark.createDataFrame([(1, "A b"), (1, "b, c__1"), (2, None), (None, "b"), (3, " ,")], "id long, text string")
+    assert {tuple(r) for r in retrieval.counted(texts).collect()} == {(1, "a", 1), (1, "b", 2), (1, "c__1", 1), (None, "b", 1)}
+    assert {r["id"] for r in retrieval.hashed(texts, retrieval.dictionary(texts)).collect()} == {1}
