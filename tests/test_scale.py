@@ -3,6 +3,7 @@
 import pytest
 
 from lodestone.operators import impact, projections, resolve, retrieval
+from lodestone.sources import fixtures
 
 N = 150
 
@@ -109,3 +110,11 @@ def test_rows_with_the_same_id_are_one_text(spark):
     texts = spark.createDataFrame([(1, "A b"), (1, "b, c__1"), (2, None), (None, "b"), (3, " ,")], "id long, text string")
     assert {tuple(r) for r in retrieval.counted(texts).collect()} == {(1, "a", 1), (1, "b", 2), (1, "c__1", 1), (None, "b", 1)}
     assert {r["id"] for r in retrieval.hashed(texts, retrieval.dictionary(texts)).collect()} == {1}
+
+
+def test_calls_get_tasks_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "ROWS", 500, raising=False)
+    x = fixtures.Fixtures(spark, "/root/testdata/sf0.001")
+    calls = x.file_calls()
+    assert calls.rdd.getNumPartitions() >= x.raw("lineitem").count() // 500 > 4
+    assert calls.count() == calls.distinct().count() > 0
