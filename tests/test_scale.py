@@ -2,7 +2,8 @@
 
 import pytest
 
-from lodestone.operators import impact, projections, resolve, retrieval
+from lodestone import shared
+from lodestone.operators import graph, impact, projections, resolve, retrieval
 from lodestone.sources import fixtures
 
 N = 150
@@ -118,3 +119,13 @@ def test_calls_get_tasks_by_their_rows(spark, monkeypatch):
     calls = x.file_calls()
     assert calls.rdd.getNumPartitions() >= x.raw("lineitem").count() // 500 > 4
     assert calls.count() == calls.distinct().count() > 0
+
+
+def test_loops_over_edges_get_tasks_by_few_bytes(spark, monkeypatch):
+    key, seen, real = "spark.sql.adaptive.advisoryPartitionSizeInBytes", [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name="table": (seen.append((name, df.sparkSession.conf.get(key, None))), real(df, name))[1])
+    before = spark.conf.get(key, None)
+    edges = spark.createDataFrame([(8 * k + i, 8 * k + (i + 1) % 4) for k in range(9) for i in range(4)], "src long, dst long")
+    found = graph.cycles(edges, None, searched=1)
+    assert {name for name, _ in seen} >= {"edges", "within", "open", "closed"} and {size for _, size in seen} == {"2m"} and spark.conf.get(key, None) == before
+    assert sorted(r["path"] for r in found.collect()) == [[8 * k + i for i in range(4)] for k in range(9)]
