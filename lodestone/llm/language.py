@@ -47,7 +47,7 @@ ACCEPT = 0.5
 #: Bytes of priors (hosts by languages), or of languages' shares, that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST = 8 << 20
 #: Bytes that are looked at at once.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 _FOLD = np.full(256, 32, dtype=np.uint32)
 for _lo, _hi in ((ord("a"), ord("z")), (0x80, 0xFF)):

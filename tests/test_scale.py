@@ -129,3 +129,18 @@ def test_loops_over_edges_get_tasks_by_few_bytes(spark, monkeypatch):
     found = graph.cycles(edges, None, searched=1)
     assert {name for name, _ in seen} >= {"edges", "within", "open", "closed"} and {size for _, size in seen} == {"2m"} and spark.conf.get(key, None) == before
     assert sorted(r["path"] for r in found.collect()) == [[8 * k + i for i in range(4)] for k in range(9)]
+
+
+def test_likelihoods_take_little_more_memory_than_texts():
+    import tracemalloc
+
+    import numpy as np
+
+    from lodestone.llm import language
+
+    texts, model = ["some words of a text " * 700] * 512, [(-10.0, np.arange(5000, dtype=np.uint16), np.ones(5000, np.float32))] * 6
+    tracemalloc.start()
+    language.likelihoods(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) < language.PIECE * 64 and peak < 45e6
