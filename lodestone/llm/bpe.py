@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import appended, slices
+from .arrow import appended, mapped, slices
 from .common import fresh, written
 from .tokens import PieceEncoder
 
@@ -112,7 +112,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
         for part in slices(batches, text):
             yield appended(part.select(rest), **{out: pa.array(model(part.column(len(rest)).to_pylist()), pa.binary())})
 
-    direct = base.filter(F.length(text) <= size + overlap).mapInArrow(short, schema)
+    direct = mapped(base.filter(F.length(text) <= size + overlap), short, schema)
     # The numbers of rows are written with them, so that every reader has the same ones, however the rows came.
     long = written(base.filter(F.length(text) > size + overlap).withColumn(key, F.monotonically_increasing_id()), "long")
     texts = long.select(key, text)
@@ -128,8 +128,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
         for part in slices(batches, text):
             yield appended(part, **{marks: pa.array([boundaries(t, compiled) for t in part.column(3).to_pylist()], pa.list_(pa.int32()))})
 
-    pieces = texts.mapInArrow(cut, f"{key} long, {no} int, {start} long, {text} string").repartition(key, no)
-    pieces = pieces.mapInArrow(split, f"{key} long, {no} int, {start} long, {text} string, {marks} array<int>")
+    pieces = mapped(texts, cut, f"{key} long, {no} int, {start} long, {text} string").repartition(key, no)
+    pieces = mapped(pieces, split, f"{key} long, {no} int, {start} long, {text} string, {marks} array<int>")
 
     def stitch(batches):
         """Stretches of each text, in order: what is encoded next, again in parallel."""
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
             for n, (t, own) in enumerate(stitched(one(first, source, following), compiled, margin)):
                 yield pa.RecordBatch.from_arrays([pa.array([first[0]], pa.int64()), pa.array([n], pa.int32()), pa.array([t]), pa.array([own], pa.list_(pa.int32()))], names=[key, no, text, marks])
 
-    stretches = pieces.repartition(key).sortWithinPartitions(key, no).mapInArrow(stitch, f"{key} long, {no} int, {text} string, {marks} array<int>")
+    stretches = mapped(pieces.repartition(key).sortWithinPartitions(key, no), stitch, f"{key} long, {no} int, {text} string, {marks} array<int>")
 
     def merge(batches):
         model = rank_encoder(ranks, pattern)
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
             ids = model(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)), cut)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=[key, no, out])
 
-    coded = stretches.repartition(key, no).mapInArrow(merge, f"{key} long, {no} int, {out} binary")
+    coded = mapped(stretches.repartition(key, no), merge, f"{key} long, {no} int, {out} binary")
 
     def join(batches):
         """The stretches of a text, in order, as one row; a row was one before, too."""
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=[key, out])
 
-    joined = coded.repartition(key).sortWithinPartitions(key, no).mapInArrow(join, f"{key} long, {out} binary")
+    joined = mapped(coded.repartition(key).sortWithinPartitions(key, no), join, f"{key} long, {out} binary")
     whole = long.drop(text).join(joined, key).drop(key)
     return direct.unionByName(whole)
 
@@ -193,4 +193,4 @@ def decode(rows: DataFrame, ranks: str, ids_col: str = "ids", out: str = "decode
             own = part.column(part.schema.get_field_index(ids_col)).to_pylist()
             yield appended(part, **{out: pa.array([None if x is None else b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in own], pa.binary())})
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

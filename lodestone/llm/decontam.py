@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import mapped, slices
 from .common import new_path, written
 
 #: Edits that an item may have, as a share of its words.
@@ -392,7 +392,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "edits", "n_words", "first_word"])
 
-        rows.mapInArrow(run, schema).write.mode("append").parquet(path)
+        mapped(rows, run, schema).write.mode("append").parquet(path)
         shared.destroy()
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -415,5 +415,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                         leaking.update(t + owner[0] for t, _ in shared.value.leaks(h, owner - owner[0]))
                 yield part.filter(pa.array([i not in leaking for i in range(part.num_rows)]))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

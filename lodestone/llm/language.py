@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import appended, slices
+from .arrow import appended, mapped, own_text, slices
 from .common import fresh, written
 
 #: Rows that trigram counts are fitted on, as expected; of a language at least, where it has them; the outcome of text that no language explains.
@@ -88,7 +88,7 @@ def fit(rows: DataFrame, counts: dict[str, int], sample: int = SAMPLE) -> list[t
 
     found: list[tuple[list, list]] = [([], []) for _ in languages]
     # A row comes back for each trigram that a language has.
-    for r in few.select("text", "l").mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect():
+    for r in mapped(few.select("text", "l"), count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect():
         found[r["l"]][0].append(r["b"])
         found[r["l"]][1].append(r["n"])
     model = [(math.log(0.5 / (0.5 * BUCKETS + sum(n))), np.array(b, np.uint16), np.log(2 * np.array(n, np.float64) + 1).astype(np.float32)) for b, n in found]
@@ -137,16 +137,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     labels = [*languages, OTHER]
     place = {x: i for i, x in enumerate(languages)}
 
-    def parts(batches):
+    def parts(batches, name):
         step = max(1, CELLS // size)
-        for part in slices(batches, text):
+        for part in slices(batches, name):
             for a in range(0, part.num_rows, step):
                 yield part.slice(a, step)
 
-    def evidence(part) -> tuple[np.ndarray, np.ndarray]:
-        """(log evidence of text and declared language, trigrams)."""
+    def evidence(part, name) -> tuple[np.ndarray, np.ndarray]:
+        """(log evidence of the text in column ``name`` and of the declared language, trigrams)."""
         column = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()
-        log, n = likelihoods(column(text), shared.value)
+        log, n = likelihoods([t or "" for t in column(name)], shared.value)
         for i, d in enumerate(column(declared)):
             if d in place:
                 log[i] += math.log(WRONG / (size - 1))
@@ -162,8 +162,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
             i, j = np.nonzero(p)
             return pa.RecordBatch.from_arrays([pa.array([h[0][x] for x in i]), pa.array([h[1][x] for x in i]), pa.array(j, pa.int32()), pa.array(p[i, j])], names=["host", "suffix", "i", "p"])
 
-        for part in parts(batches):
-            p = _softmax(evidence(part)[0])
+        for part in parts(batches, text):
+            p = _softmax(evidence(part, text)[0])
             for i, at in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 sums[at] = sums[at] + p[i] if at in sums else p[i]
                 if len(sums) * size > 4 * CELLS:
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     # Sums are of decimals, so that they don't depend on the order of rows.
     each = F.sum(F.col("p").cast("decimal(24,6)")).cast("double").alias("p")
-    counts = written(rows.select(host, suffix, text, declared).mapInArrow(soft, "host string, suffix string, i int, p double").groupBy("host", "suffix", "i").agg(each), "hosts")
+    counts = written(mapped(rows.select(host, suffix, text, declared), soft, "host string, suffix string, i int, p double").groupBy("host", "suffix", "i").agg(each), "hosts")
     few = (counts.agg(F.sum(96 + F.octet_length("host") + F.octet_length("suffix"))).first()[0] or 0) <= BROADCAST
     total = np.zeros(size)
     for r in counts.groupBy("i").agg(each).collect():
@@ -184,12 +184,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     by_suffix = counts.groupBy("suffix", "i").agg(each).groupBy("suffix").agg(vector("s"))
     named = counts.groupBy("host", "suffix").agg(vector("p")).join(by_suffix, "suffix").select(F.col("host").alias(host), F.struct("p", "s").alias(priors))
     joined = rows.join(F.broadcast(named) if few else named, host, "left")
-    ordered = joined.select(*[F.col(f"`{c}`") for c in kept], text, declared, priors)
+    own = own_text(docs, text_col)
+    judged = own if own in kept else text
+    ordered = joined.select(*[F.col(f"`{c}`") for c in kept], *([text] if judged == text else []), declared, priors)
     schema = type(docs.schema)([docs.schema[c] for c in kept]).add(out[0], "string").add(out[1], "double").add(out[2], "boolean")
 
     def judge(batches):
-        for part in parts(batches):
-            log, n = evidence(part)
+        for part in parts(batches, judged):
+            log, n = evidence(part, judged)
             own = _softmax(log)
             # No priors where the row's host wasn't there at the count, which can't be but for a lost table.
             prior = part.column(part.schema.get_field_index(priors)).to_pylist()
@@ -208,4 +210,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
             sure = p[np.arange(len(p)), best]
             yield appended(part.select(kept), **{out[0]: pa.array([labels[i] for i in best]), out[1]: pa.array(np.round(sure, 6)), out[2]: pa.array((sure >= ACCEPT) & (n > 0) & (best < size - 1))})
 
-    return ordered.mapInArrow(judge, schema)
+    return mapped(ordered, judge, schema)

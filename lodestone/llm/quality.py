@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import appended, slices
+from .arrow import appended, mapped, own_text, slices
 from .common import fresh
 
 #: Labelled and unlabelled rows for fitting, as expected; rounds; rows of each label that a view hands over in a round; how sure it must be.
@@ -133,7 +133,7 @@ class CoTrained:
 
 def _hashed(part, text, source, lang, chars):
     column = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()
-    a = np.stack([text_features(t) for t in column(text)])
+    a = np.stack([text_features(t or "") for t in column(text)])
     b = np.stack([meta_features(*x) for x in zip(column(source), column(lang), column(chars), strict=True)])
     return a, b
 
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in np.c_[a, b].astype("<f4")], pa.binary())], names=["id", "y", "x"])
 
     # Ordered, so that a fit is the same whatever order tasks end in.
-    found = sorted(((r["id"], r["y"], bytes(r["x"])) for r in once(first).unionByName(once(others)).mapInArrow(run, "id long, y int, x binary").collect()), key=lambda r: (r[0] is not None, r))
+    found = sorted(((r["id"], r["y"], bytes(r["x"])) for r in mapped(once(first).unionByName(once(others)), run, "id long, y int, x binary").collect()), key=lambda r: (r[0] is not None, r))
     x = np.array([np.frombuffer(r[2], "<f4") for r in found], dtype=np.float64).reshape(len(found), TEXT + META)
     y, fold = np.array([r[1] for r in found], dtype=np.int64), np.array([zlib.crc32(str(r[0]).encode()) % FOLD for r in found], dtype=np.int64)
     is_own, is_pool = y >= 0, y < 0
@@ -189,10 +189,13 @@ def score(docs: DataFrame, model: CoTrained, text_col: str = "text", source_col:
     for c in out[:3]:
         schema = schema.add(c, "double")
     schema = schema.add(out[3], "boolean")
+    rows, own = _with_views(docs, names, text_col, source_col, lang_col), own_text(docs, text_col)
+    if own is not None:
+        rows, names.text = rows.drop(names.text), own
 
     def run(batches):
         for part in slices(batches, names.text):
             p = shared.value(*_hashed(part, *names.views()))
             yield appended(part.select(kept), **{c: pa.array(np.round(p[:, i], 6)) for i, c in enumerate(out[:3])}, **{out[3]: pa.array(p[:, 2] >= KEEP)})
 
-    return _with_views(docs, names, text_col, source_col, lang_col).mapInArrow(run, schema)
+    return mapped(rows, run, schema)

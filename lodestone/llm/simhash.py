@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import mapped, slices
 from .common import file_system, fresh, new_path, put_file, written
 from .components import components, hot_from, spread_join
 
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(hashes(t, words, seed)) for t in part.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long")
 
 
 class Tree:
@@ -211,7 +211,7 @@ def link_shards(keyed: DataFrame, radius: int, shard: int = SHARD, finder: Calla
         if key is not None:
             yield from out()
 
-    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
+    return mapped(ordered, run, f"a {kind}, b {kind}")
 
 
 def _named(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -353,7 +353,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(name, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "fp", "name", "keys"])
 
     count = bands(similarity)
-    prints = written(rows.mapInArrow(run, "id long, h long, fp binary, name binary, keys array<long>"), "fingerprints")
+    prints = written(mapped(rows, run, "id long, h long, fp binary, name binary, keys array<long>"), "fingerprints")
     nodes = written(prints.groupBy("name").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("r"), F.count("*").alias("n")), "nodes")
     several = nodes.groupBy("fp").agg(F.count("*").alias("n"))
     shards = lambda some: some.select("fp", F.posexplode("keys").alias("block", "value"))
@@ -377,7 +377,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "keys"])
 
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
-    stored = written(rows.join(picked, same, "left_semi").select("text").mapInArrow(store, "fp binary, keys array<long>"), "stored")
+    stored = written(mapped(rows.join(picked, same, "left_semi").select("text"), store, "fp binary, keys array<long>"), "stored")
     # Repeated rows gave one name several places.
     once = stored.groupBy(F.substring("fp", 1, size + NAME).alias("k")).agg(F.min("fp").alias("fp"), F.first("keys").alias("keys")).select("fp", "keys")
 

@@ -4,12 +4,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import bpe, decontam, language, quality, simhash
+from lodestone.llm import arrow, bpe, decontam, language, quality, simhash
 from lodestone.llm.common import written
 from lodestone.llm.queries import table
 
@@ -250,3 +251,30 @@ def test_later_stages_against_brute_force(spark):
     for r in clean.collect():
         ids = model.encode_ordinary(r["text"])
         assert got[r["doc_id"]] == (r["doc_id"], len(ids), sha(np.array(ids, "<u4").tobytes()), sha(r["text"].encode()))
+
+
+def test_texts_go_to_python_once_and_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('wörd and ', 500) AS text", "'s' AS source", "'en' AS lang").repartition(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    found = arrow.mapped(docs, sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in found) == 3000 and max(r["bytes"] for r in found) <= arrow.BATCH_BYTES + 10_000
+    spark.conf.set(key, "1m")
+    assert max(r["bytes"] for r in arrow.mapped(docs, sizes, "n long, bytes long").collect()) <= (1 << 20) + 10_000
+    spark.conf.unset(key)
+    for out in (quality.score(docs, quality.CoTrained(*[np.zeros((0, 2))] * 2, np.zeros(0), np.zeros(0), *[np.zeros((0, 2))] * 2)), language.identify(docs)):
+        assert int(spark.conf.get(key)) == arrow.BATCH_BYTES
+        plan = out._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() != "MapInArrow":
+            plan = plan.children().apply(0)
+        assert "__text" not in plan.children().apply(0).output().mkString(",")
+    # Texts of another type, and null ones, as before.
+    odd = spark.createDataFrame([(1, None, "s", "en"), (2, 77, "s", "en")], "doc_id long, text int, source string, lang string")
+    as_text = odd.withColumn("text", F.col("text").cast("string"))
+    for f in (language.identify, lambda d: quality.score(d, quality.fit(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int")))):
+        assert [r[4:] for r in sorted(f(odd).collect())] == [r[4:] for r in sorted(f(as_text).collect())]
