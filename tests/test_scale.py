@@ -95,6 +95,18 @@ def test_function_impact_lists_a_name_once(calls):
     assert {(r["name"], r["n"]) for r in found.collect()} == {("f", N), ("g", 0)}
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_function_impact_as_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(impact, "BROADCAST", most)
+    monkeypatch.setattr(impact, "SLICE", 2)
+    functions = spark.createDataFrame([("f", f"{i}.py", 1) for i in range(9)] + [("g", "0.py", 1), ("h", "0.py", 1), (None, "0.py", 1), ("f", None, 1)], "name string, file string, line int")
+    called = spark.createDataFrame([(f"{i}.py", "f") for i in range(100)] + [("0.py", "g"), ("0.py", "f"), (None, "h")], "file string, callee string")
+    found = {(r["file"], r["name"]): (r["callers"], r["n"]) for r in impact.function_impact(functions, called, ";").collect()}
+    others = lambda i: sorted(f"{k}.py" for k in range(100) if k != i)
+    none = ("", 0)
+    assert found == {(f"{i}.py", "f"): (";".join(others(i)), 99) for i in range(9)} | {("0.py", "g"): none, ("0.py", "h"): none, ("0.py", None): none, (None, "f"): none}
+
+
 def test_resolved_calls_come_from_sorted_rows(calls):
     functions, called, _, _ = calls
     found = resolve.resolve_calls(called, functions)
