@@ -1,6 +1,7 @@
 """Jobs whose pairs would outgrow their input: results, and that no step makes or shuffles the pairs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import shared
 from lodestone.operators import graph, impact, projections, resolve, retrieval
@@ -191,3 +192,12 @@ def test_likelihoods_take_little_more_memory_than_texts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(map(len, texts)) < language.PIECE * 64 and peak < 45e6
+
+
+def test_pairs_of_one_name_are_made_in_several_tasks(spark, calls, monkeypatch):
+    monkeypatch.setattr(resolve, "ROWS", 10, raising=False)
+    functions, _, _, _ = calls
+    between = spark.createDataFrame([(f"{i}.py", "g", "f") for i in range(N)], "file string, caller string, callee string")
+    found = resolve.resolve_function_calls(between, functions)
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == found.distinct().count() == N * N and max(tasks) < 0.7 * N * N
